@@ -6,8 +6,13 @@ from typing import NamedTuple
 
 import numpy as np
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Bytes of ASCII white space, as a table.
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Bytes that are neither ASCII letters or digits nor part of a character beyond ASCII.
+PUNCTUATION = np.array([x < 0x80 and not chr(x).isalnum() for x in range(256)])
+#: A-Z in lower case, other bytes unchanged.
+LOWER = np.array([x + 32 if 0x41 <= x <= 0x5A else x for x in range(256)], np.uint8)
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -18,9 +23,9 @@ class Words(NamedTuple):
     first: np.ndarray  # for each text, its first word; one more entry at the end
 
 
-def find_words(data: np.ndarray, offsets: np.ndarray) -> Words:
-    """Maximal runs of bytes other than the six of ASCII white space; no word crosses from one text to the next."""
-    inside = ~_SPACE[data]
+def find_words(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = SPACE) -> Words:
+    """Maximal runs of bytes other than those in the table `between`; no word crosses from one text to the next."""
+    inside = ~between[data]
     n = len(data)
     begins, ends = inside.copy(), inside.copy()
     if n:
