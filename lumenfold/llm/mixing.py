@@ -5,6 +5,7 @@ whose fractional part is rounded. Two documents with fractions meet, and as many
 of them integral move from one to the other, in a random direction that keeps both expectations;
 so a source's words change only in its very last document. Documents of a source meet in groups of
 about FAN, what is left of each group meets again in the next level, and so on: a reduction tree.
+The last document is rounded together with the one of the last group whose change makes up best for it.
 """
 
 from __future__ import annotations
@@ -70,12 +71,21 @@ def _meet(items: str, seed: int) -> Column:
     """)
 
 
+def _close() -> Column:
+    """(off, row, up): how to round the last document c, and which row of the last group to change (-1: none), to be nearest the target."""
+    return F.expr("""
+      array_min(flatten(transform(array(false, true), up ->
+        transform(concat(array(named_struct('row', -1L, 'gain', 0L)), transform(out, o -> named_struct('row', o.row, 'gain', IF(o.up, -o.size, o.size)))), o ->
+          named_struct('off', abs((IF(up, 1, 0) - c.p) * c.size + o.gain), 'row', o.row, 'up', up)))))
+    """)
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = 5, text: str = "text", id_col: str = "doc_id", source: str = "source") -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken, source, copies.
 
     A document is taken 0 to `most` times, whole. The last document of a source that is left with a
-    fraction goes to the nearer number, so a source misses its target by half of that document at
-    most. Null text has size 0 and takes nothing; null is a source of its own, the last; rows that
+    fraction goes to the nearer number, unless changing another of its group as well comes nearer
+    still, so a source misses its target by half of that document at most. Null text has size 0 and takes nothing; null is a source of its own, the last; rows that
     share a doc_id are rounded on their own; an empty table gives no rows. Equal tables read in the
     same splits give equal mixes; doc_id alone decides unless it repeats.
     """
@@ -93,13 +103,16 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     while True:
         met = meeting.groupBy("source", "slot", "groups").agg(F.sort_array(F.collect_list("doc"), asc=False).alias("items"))
         met = materialize(met.withColumn("met", _meet("items", seed + level)).select("source", "slot", "groups", "met.c", "met.out"), f"met{level}")
-        settled.append(met.select("source", F.inline("out")).select("source", "doc_id", "row", "size", "up"))
         if left <= 1:
             break
+        settled.append(met.select("source", F.inline("out")).select("source", "doc_id", "row", "size", "up"))
         groups = F.greatest(F.lit(1), F.ceil(F.col("groups") / FAN))
         meeting = met.select("source", F.pmod(F.xxhash64("slot", F.lit(seed)), groups).alias("slot"), groups.alias("groups"), F.col("c").alias("doc"))
         left, level = -(-left // FAN), level + 1
-    settled.append(met.select("source", "c.doc_id", "c.row", "c.size", (F.col("c.p") >= 0.5).alias("up")))
+    last = met.withColumn("close", _close())
+    changed = F.expr("transform(out, o -> named_struct('doc_id', o.doc_id, 'row', o.row, 'size', o.size, 'up', o.up <> (o.row = close.row)))").cast(_DONE)
+    settled.append(last.select("source", F.inline(changed)).select("source", "doc_id", "row", "size", "up"))
+    settled.append(last.select("source", "c.doc_id", "c.row", "c.size", "close.up"))
     every = settled[0]
     for more in settled[1:]:
         every = every.unionByName(more)
