@@ -54,6 +54,12 @@ def small_side(df: DataFrame, most_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
 
 
+def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", most_rows: int = 1_000_000) -> DataFrame:
+    """The rows of docs whose id isn't in gone (one column, distinct): by broadcast up to most_rows ids, else by a shuffle of docs."""
+    ids = materialize(gone.toDF("_gone"), "gone")
+    return docs.join(small_side(ids, most_rows), docs[id_col].eqNullSafe(F.col("_gone")), "left_anti")
+
+
 def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(UTF-8 bytes, offsets) of a string column, offsets from 0; null counts as empty."""
     if column.null_count:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, without
 
 #: Partial rows of one digest that can reach a shard, at most.
 SALTS = 16
@@ -202,4 +202,4 @@ def drop_exact_copies(docs: DataFrame, text: str = "text", id_col: str = "doc_id
     Rows are told apart by doc_id: a doc_id goes when none of its rows stays.
     """
     gone = exact_groups(docs, text, id_col).groupBy(F.col("doc_id").alias("_gone")).agg(F.bool_or("kept").alias("_kept")).where("NOT _kept")
-    return docs.join(gone, docs[id_col].eqNullSafe(F.col("_gone")), "left_anti")
+    return without(docs, gone.select("_gone"), id_col)

@@ -19,8 +19,8 @@ from .common import WORD, materialize, small_side
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
 #: Documents that meet in one group, about.
 FAN = 64
-#: Sources that may be broadcast.
-BROADCAST_ROWS = 20_000
+#: Sources, and copies of documents, that may be broadcast.
+BROADCAST_ROWS, BROADCAST_IDS = 20_000, 1_000_000
 
 _DOC = "struct<size:bigint,doc_id:bigint,row:bigint,p:double>"
 _DONE = "array<struct<doc_id:bigint,row:bigint,size:bigint,up:boolean>>"
@@ -126,4 +126,5 @@ def repeat_by_mix(docs: DataFrame) -> DataFrame:
     Rows are told apart by doc_id; documents without words are taken once.
     """
     copies = mix(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.when(F.col("size") > 0, F.col("copies")).otherwise(1)).alias("_copies")).where("_copies > 0")
+    copies = small_side(materialize(copies, "copies"), BROADCAST_IDS)
     return docs.join(copies, docs["doc_id"].eqNullSafe(F.col("_id"))).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*[docs[c] for c in docs.columns])

@@ -171,10 +171,17 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text: str
     return _inputs(docs, text, id_col, n_chars).mapInArrow(scores, "doc_id long, held_out boolean, score double, predicted int")
 
 
-def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the classifier predicts to be of quality 1, with all their columns.
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that the classifier predicts to be of quality 1, with all their columns, scored where they are read."""
+    model = train(docs, labels)
 
-    Rows are told apart by doc_id: one goes when none of its texts is accepted.
-    """
-    gone = score(docs, train(docs, labels)).groupBy(F.col("doc_id").alias("_gone")).agg(F.max("predicted").alias("_best")).where("_best = 0")
-    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_gone")), "left_anti")
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = texts_of(batch.column(batch.num_columns - 2))
+            n_chars = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
+            z = [raw_scores(model, *featurize(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], n_chars[a:b])) for a, b in steps(offsets)]
+            p = 1 / (1 + np.exp(-np.clip(np.concatenate(z) if z else np.zeros(0), -30, 30)))
+            good = batch.filter(pa.array(p >= threshold))
+            yield pa.RecordBatch.from_arrays(good.columns[:-2], names=good.schema.names[:-2])
+
+    return docs.select(*docs.columns, F.col("text").alias("_scored_text"), F.col("n_chars").cast("double").alias("_scored_chars")).mapInArrow(choose, docs.schema)
