@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from .plans import blocks, containers, planes
+
+PLANS = (blocks, planes, containers)
+
 
 def queries() -> dict:
-    return {}
+    return {name: f for plan in PLANS for name, f in plan.QUERIES.items()}
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for plan in PLANS for name, sql in plan.SQL.items()}
