@@ -18,11 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, steps, texts_of
+from .words import find_words, hash_words
 
 CAPACITY, SEPARATOR = 2048, 0
-#: Distinct words whose ids a Python worker remembers, at most; the memory is emptied when it is full.
-REMEMBERED = 300_000
+#: Distinct words whose ids a Python worker remembers, about 40 bytes each; beyond that it begins anew.
+REMEMBERED = 3_000_000
+#: New words that are encoded in one call.
+CHUNK = 200
 #: Pieces of one hash bucket, about; one task numbers those of one bucket and length.
 BUCKET_ROWS = 20_000
 
@@ -30,25 +33,68 @@ BUCKET_ROWS = 20_000
 class WordIds:
     """Ids of whole texts by a tokenizer that never joins characters across ASCII white space and drops it.
 
-    Each distinct word is encoded once and remembered, so ids equal those of encoding the whole text.
+    Each distinct word is encoded once and remembered under its 64-bit hash, so ids equal those of
+    encoding the whole text.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text, without special tokens; null is empty."""
-        split = [(x or "").encode().split() for x in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known = self.known
-        new = list({w for words in split for w in words if w not in known})
-        for word, e in zip(new, self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False) if new else ()):
-            known[word] = np.asarray(e.ids, "<u4").tobytes()
-        return [b"".join([known[w] for w in words]) for words in split]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys = np.zeros(0, np.uint64)  # sorted; their ids are pool[begins : begins + sizes]
+        self.begins, self.sizes, self.pool, self.used = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(1 << 16, "<u4"), 0
+
+    def _learn(self, keys: np.ndarray, words: list[str]) -> None:
+        """Encode new words as lines of CHUNK words; the place in the line where an id begins says whose it is."""
+        ids, sizes = [], []
+        for at in range(0, len(words), CHUNK):
+            part = words[at : at + CHUNK]
+            e = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            starts = np.cumsum([0, *map(len, part)]) + np.arange(len(part) + 1)
+            sizes.append(np.diff(np.searchsorted(np.fromiter((o[0] for o in e.offsets), np.int64, len(e.ids)), starts)))
+            ids.append(np.asarray(e.ids, "<u4"))
+        ids, sizes = np.concatenate(ids), np.concatenate(sizes)
+        if self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate((self.pool, np.zeros(max(len(self.pool), len(ids)), "<u4")))
+        self.pool[self.used : self.used + len(ids)] = ids
+        at = np.searchsorted(self.keys, keys)
+        self.keys = np.insert(self.keys, at, keys)
+        self.sizes = np.insert(self.sizes, at, sizes)
+        self.begins = np.insert(self.begins, at, self.used + np.cumsum(sizes) - sizes)
+        self.used += len(ids)
+
+    def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, where each text's begin and one more entry), without special tokens."""
+        if len(self.keys) > REMEMBERED:
+            self._forget()
+        words = find_words(data, offsets)
+        if not len(words.starts):
+            return np.zeros(0, "<u4"), np.zeros(len(offsets), np.int64)
+        distinct, at, which = np.unique(hash_words(data, words), return_index=True, return_inverse=True)
+        place = np.searchsorted(self.keys, distinct)
+        new = np.ones(len(distinct), bool)
+        inside = place < len(self.keys)
+        new[inside] = self.keys[place[inside]] != distinct[inside]
+        if new.any():
+            whole, some = data.tobytes(), at[new]
+            self._learn(distinct[new], [whole[a:b].decode() for a, b in zip(words.starts[some].tolist(), words.ends[some].tolist())])
+            place = np.searchsorted(self.keys, distinct)
+        begins, sizes = self.begins[place][which], self.sizes[place][which].astype(np.int64)
+        total = np.concatenate(([0], np.cumsum(sizes)))
+        return self.pool[np.repeat(begins - total[:-1], sizes) + np.arange(total[-1])], total[words.first]
+
+
+_ENCODERS: dict[str, WordIds] = {}
+
+
+def encoder(path: str) -> WordIds:
+    """The encoder of this Python worker, which is kept from one partition to the next."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordIds(path)
+    return _ENCODERS[path]
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, keep_ids: bool = False, text: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -59,20 +105,22 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, keep_ids:
     schema = "row long, doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * keep_ids
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = WordIds(tokenizer), np.asarray([SEPARATOR], "<u4").tobytes()
+        encode, end = encoder(tokenizer), np.asarray([SEPARATOR], "<u4").tobytes()
         for batch in batches:
-            out: list[list] = [[] for _ in range(6 + keep_ids)]
-            rows, doc_ids, texts = (batch.column(i) for i in range(3))
-            for first in range(0, len(texts), 200):
-                part = slice(first, first + 200)
-                for row, doc_id, ids in zip(rows[part].to_pylist(), doc_ids[part].to_pylist(), encode(texts[part].to_pylist())):
-                    ids += end
-                    for n, at in enumerate(range(0, len(ids), 4 * capacity)):
-                        piece = ids[at : at + 4 * capacity]
-                        for to, x in zip(out, (row, doc_id, n, at // 4, len(piece) // 4, zlib.crc32(piece), *[np.frombuffer(piece, "<u4").astype(np.int64)] * keep_ids)):
-                            to.append(x)
+            data, offsets = texts_of(batch.column(2))
+            row_ids, doc_ids, out = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
+            for a, b in steps(offsets):
+                ids, first = encode(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                ids, first = ids.tobytes(), (4 * first).tolist()
+                for i in range(a, b):
+                    own = ids[first[i - a] : first[i - a + 1]] + end
+                    for n, at in enumerate(range(0, len(own), 4 * capacity)):
+                        piece = own[at : at + 4 * capacity]
+                        out.append((row_ids[i], doc_ids[i], n, at // 4, len(piece) // 4, zlib.crc32(piece), *[np.frombuffer(piece, "<u4").astype(np.int64)] * keep_ids))
+            names = ["row", "doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 6 + keep_ids]
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], names=["row", "doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(out)])
+            columns = list(zip(*out)) or [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(cut, schema)
