@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import blocks, containers, planes
+from .plans import blocks, containers, more, planes
 
-PLANS = (blocks, planes, containers)
+PLANS = (blocks, planes, containers, more)
 
 
 def queries() -> dict:
