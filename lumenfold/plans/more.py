@@ -211,3 +211,45 @@ def scaled_reference(spark, sf_dir):
     return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", round2(pos * scale, 14).alias("scaled"), shr(pos * scale + 8192, 10).bitwiseAND(F.lit(15)).alias("phase"))
 
 
+
+
+@query("WITH f AS (SELECT event_id // 256 AS stream_id, event_id, CAST(floor(abs(value)) AS BIGINT) % 256 AS mask FROM events) SELECT stream_id, CAST(k AS BIGINT) AS slot, max(event_id) AS frame FROM f, range(8) r(k) WHERE (mask >> k) & 1 = 1 GROUP BY stream_id, k")
+def reference_refresh(spark, sf_dir):
+    """The frame that each of a stream's eight reference slots holds at its end: the last whose refresh mask names the slot."""
+    mask = F.floor(F.abs("value")).cast("bigint") % 256
+    slots = F.filter(F.sequence(F.lit(0).cast("bigint"), F.lit(7).cast("bigint")), lambda k: F.floor(mask / F.pow(F.lit(2), k)).cast("bigint") % 2 == 1)
+    frames = read(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 256).cast("bigint").alias("stream_id"), "event_id", F.explode(slots).alias("slot"))
+    return frames.groupBy("stream_id", "slot").agg(F.max("event_id").alias("frame"))
+
+
+def _split(size: int, limit: int) -> str:
+    return f"s AS s, {size * size} * q - s * s > {limit} AS split"
+
+
+@query(f"""WITH {PX}, a AS (SELECT b, 0 AS y, 0 AS x, sum(v) AS s, sum(v * v) AS q FROM px GROUP BY b), a2 AS (SELECT b, y, x, {_split(8, 8_000_000)} FROM a),
+c AS (SELECT px.b, px.y // 4 * 4 AS y, px.x // 4 * 4 AS x, sum(v) AS s, sum(v * v) AS q FROM px JOIN a2 ON a2.b = px.b AND split GROUP BY ALL), c2 AS (SELECT b, y, x, {_split(4, 300_000)} FROM c),
+d AS (SELECT px.b, px.y // 2 * 2 AS y, px.x // 2 * 2 AS x, sum(v) AS s FROM px JOIN c2 ON c2.b = px.b AND c2.y = px.y // 4 * 4 AND c2.x = px.x // 4 * 4 AND split GROUP BY ALL)
+SELECT b AS block_id, CAST(y AS BIGINT) AS y, CAST(x AS BIGINT) AS x, CAST(size AS BIGINT) AS size, CAST(s AS BIGINT) AS total FROM (SELECT b, y, x, 8 AS size, s FROM a2 WHERE NOT split UNION ALL SELECT b, y, x, 4, s FROM c2 WHERE NOT split UNION ALL SELECT b, y, x, 2, s FROM d)""")
+def partition_quadtree(spark, sf_dir):
+    """The leaves of each block when a square splits in four as long as it varies much, down to 2x2."""
+    cell = lambda y, x, n: F.flatten(F.transform(F.sequence(y, y + n - 1), lambda r: F.slice("px", (r * N + x + 1).cast("int"), F.lit(n))))
+    total = lambda a: F.aggregate(a, F.lit(0).cast("bigint"), lambda s, v: s + v)
+    squares = lambda a: F.aggregate(a, F.lit(0).cast("bigint"), lambda s, v: s + v * v)
+    now = blocks(spark, sf_dir).select("block_id", "px", F.lit(0).alias("y"), F.lit(0).alias("x"))
+    leaves = None
+    for size, limit in ((8, 8_000_000), (4, 300_000), (2, None)):
+        now = hold(now, total=total(cell(F.col("y"), F.col("x"), size)), squares=squares(cell(F.col("y"), F.col("x"), size)))
+        varied = F.lit(False) if limit is None else size * size * F.col("squares") - F.col("total") * F.col("total") > limit
+        done = now.where(~varied).select("block_id", F.col("y").cast("bigint").alias("y"), F.col("x").cast("bigint").alias("x"), F.lit(size).cast("bigint").alias("size"), "total")
+        leaves = done if leaves is None else leaves.unionByName(done)
+        half = size // 2
+        parts = F.explode(F.array(*[F.struct((F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x")) for dy in (0, half) for dx in (0, half)]))
+        now = now.where(varied).select("block_id", "px", parts.alias("p")).select("block_id", "px", "p.y", "p.x")
+    return leaves
+
+
+@query(f"WITH {PL}, h AS (SELECT y, x, CASE WHEN v % 7 <> 0 THEN v END AS v FROM pl) SELECT y, x, coalesce(last_value(v IGNORE NULLS) OVER (PARTITION BY y ORDER BY x), CAST(-1 AS BIGINT)) AS filled FROM h")
+def hole_fill(spark, sf_dir):
+    """Missing samples of a field from the nearest one to the left in their line; -1 where there is none."""
+    v = F.when(F.col("v") % 7 != 0, F.col("v"))
+    return plane(spark, sf_dir).select("y", "x", F.coalesce(F.last(v, ignorenulls=True).over(Window.partitionBy("y").orderBy("x")), F.lit(-1)).cast("bigint").alias("filled"))
