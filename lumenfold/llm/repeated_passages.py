@@ -22,12 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, steps, texts_of
+from .common import materialize, small_side, steps, texts_of
 from .words import find_words, hash_words, mix, powers
 
 WINDOW, PHRASE = 50, 8
 #: Bytes of text in a shard, about. A phrase whose texts have more is dealt to several tasks.
 SHARD_BYTES = 6 << 20
+#: Documents with recurring phrases whose ids may be broadcast; with more, documents are shuffled once to find them.
+BROADCAST_ROWS = 1_000_000
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _EMPTY = hashlib.sha256(b"").digest()
 
@@ -119,14 +121,12 @@ class _Text:
 def _windows(pdf: pd.DataFrame) -> pd.DataFrame:
     """(one, two: the window's hash, doc_id, digest, start) of all windows of a shard that hold one of its phrases.
 
-    The digest tells texts apart that share a doc_id; rows whose text isn't the wanted one are skipped.
+    The digest tells texts apart that share a doc_id.
     """
     texts, phrases = [], {}
-    for doc_id, digest, wanted, text in zip(pdf["doc_id"], pdf["digest"], pdf["wanted"], pdf["text"]):
-        found = _Text(text)
-        if found.digest == bytes(digest):
-            texts.append((doc_id, found))
-            phrases |= found.phrases(np.asarray(wanted, np.int64).view(np.uint64))
+    for doc_id, wanted, text in zip(pdf["doc_id"], pdf["wanted"], pdf["text"]):
+        texts.append((doc_id, _Text(text)))
+        phrases |= texts[-1][1].phrases(np.asarray(wanted, np.int64).view(np.uint64))
     out: list[list] = [[] for _ in range(4)]
     if phrases:
         automaton = ahocorasick.Automaton()
@@ -134,10 +134,11 @@ def _windows(pdf: pd.DataFrame) -> pd.DataFrame:
             automaton.add_word(f" {phrase} ", 1)
         automaton.make_automaton()
         for number, (_, found) in enumerate(texts):
-            starts = found.candidates(automaton)
-            one, two = window_hashes(found.hashes)
-            for to, x in zip(out, (one[starts], two[starts], starts, np.full(len(starts), number))):
-                to.append(x)
+            if len(found.words) >= WINDOW:
+                starts = found.candidates(automaton)
+                one, two = window_hashes(found.hashes)
+                for to, x in zip(out, (one[starts], two[starts], starts, np.full(len(starts), number))):
+                    to.append(x)
     one, two, start, number = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
     ids = np.array([x for x, _ in texts], np.int64)
     digests = np.array([f.digest for _, f in texts] + [b""], object)
@@ -166,35 +167,38 @@ def _shard_runs(pdf: pd.DataFrame) -> pd.DataFrame:
     return _runs(found.iloc[order[least < ids]])
 
 
-def repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """One row per document: doc_id, digest, n_words, whole (all its words repeat), spans (other ranges of words that repeat).
+def routed_texts(docs: DataFrame, firsts: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, text, routes: array of (hot, group, part, wanted)) of the texts that hold a phrase that recurs.
 
-    A word repeats if a window of WINDOW consecutive words over it also stands in a document with a
-    smaller doc_id. Null and empty texts have no words; texts of under WINDOW words have no spans.
-    A null doc_id is neither before nor after another, and rows of one doc_id aren't before each
-    other. An empty table gives no rows.
+    All texts with a phrase go where its first document goes: to a shard of many, or, if they are
+    too large together (hot), to several parts of a group of their own. wanted: the recurring
+    phrases of this text that go there. Repeated doc_ids share their routes.
     """
+    held = firsts.select("first", "n_bytes", F.explode("phrases").alias("phrase"))
+    recurring = materialize(held.groupBy("phrase").agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("home")).where("n > 1").select(F.col("phrase").alias("_phrase"), "home"), "recurring")
+    routes = held.join(recurring, F.col("phrase") == F.col("_phrase")).groupBy("first", "home").agg(F.max("n_bytes").alias("n_bytes"), F.collect_set("phrase").alias("wanted"))
+    routes = materialize(routes, "routes")
+    dealt = routes.groupBy(F.col("home").alias("_home")).agg(F.ceil(F.sum("n_bytes") / SHARD_BYTES).alias("parts"))
+    shards = max(1, (routes.agg(F.sum("n_bytes")).first()[0] or 0) // SHARD_BYTES)
+    hot = F.col("parts") > 1
+    group, part = F.when(hot, F.col("home")).otherwise(F.pmod(F.xxhash64("home"), F.lit(shards))), F.when(hot, F.pmod(F.xxhash64("first"), F.col("parts"))).otherwise(0)
+    by_group = routes.join(dealt, F.col("home") == F.col("_home")).groupBy(F.col("first").alias("_first"), hot.alias("hot"), group.alias("group"), part.alias("part")).agg(F.flatten(F.collect_list("wanted")).alias("wanted"))
+    grouped = by_group.groupBy("_first").agg(F.collect_list(F.struct("hot", "group", "part", "wanted")).alias("routes"))
+    ids = small_side(routes.select(F.col("first").alias("_id")).distinct(), BROADCAST_ROWS)
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).join(ids, F.col("doc_id") == F.col("_id"), "left_semi")
+    return materialize(own.join(grouped, F.col("doc_id") == F.col("_first")).select("doc_id", "text", "routes"), "texts")
+
+
+def _search(docs: DataFrame, text: str, id_col: str) -> tuple[DataFrame, DataFrame]:
+    """(what `repeats` returns, the texts that were searched)."""
     base = materialize(words_of(docs, text, id_col), "words")
     firsts = base.where((F.col("n_words") >= WINDOW) & F.col("doc_id").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("first"), F.first("n_bytes").alias("n_bytes"), F.first("phrases").alias("phrases"))
     firsts = materialize(firsts, "firsts")
-    held = firsts.select("digest", "first", "n_bytes", F.explode("phrases").alias("phrase"))
-    recurring = materialize(held.groupBy("phrase").agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("home")).where("n > 1"), "recurring").select(F.col("phrase").alias("_phrase"), "home")
-    routes = held.join(recurring, F.col("phrase") == F.col("_phrase")).groupBy("digest", "first", "n_bytes", "home").agg(F.collect_list("phrase").alias("wanted"))
-    routes = materialize(routes, "routes")
-    homes = routes.groupBy("home").agg(F.sum("n_bytes").alias("bytes"))
-    total = homes.agg(F.sum("bytes")).first()[0] or 0
-    dealt = homes.select(F.col("home").alias("_home"), F.ceil(F.col("bytes") / SHARD_BYTES).alias("parts"))
-    routes = materialize(routes.join(dealt, F.col("home") == F.col("_home")).select("digest", F.col("first").alias("doc_id"), "home", "wanted", "parts"), "dealt")
-    wanted_ids = routes.select(F.col("doc_id").alias("_id")).distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).join(wanted_ids, F.col("doc_id") == F.col("_id"), "left_semi")
-    texts = materialize(texts, "texts")
-    sent = texts.join(routes, "doc_id")
-    shards = max(1, total // SHARD_BYTES)
-    span = "doc_id long, digest binary, start long, end long"
-    runs = sent.where("parts = 1").withColumn("shard", F.pmod(F.xxhash64("home"), F.lit(shards))).select("shard", "doc_id", "digest", "wanted", "text").groupBy("shard").applyInPandas(_shard_runs, span)
-    if not routes.where("parts > 1").isEmpty():
-        part = F.pmod(F.xxhash64("doc_id", "digest"), F.col("parts"))
-        windows = sent.where("parts > 1").select("home", part.alias("part"), "doc_id", "digest", "wanted", "text").groupBy("home", "part").applyInPandas(_windows, "one long, two long, doc_id long, digest binary, start long")
+    texts = routed_texts(docs, firsts, text, id_col)
+    sent = texts.select("doc_id", "text", F.inline("routes")).select("hot", "group", "part", "doc_id", "wanted", "text")
+    runs = sent.where("NOT hot").groupBy("group").applyInPandas(_shard_runs, "doc_id long, digest binary, start long, end long")
+    if not texts.where(F.exists("routes", lambda r: r["hot"])).isEmpty():
+        windows = sent.where("hot").groupBy("group", "part").applyInPandas(_windows, "one long, two long, doc_id long, digest binary, start long")
         windows = materialize(windows, "windows")
         least = windows.groupBy("one", "two").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("one", "two", "least")
         flagged = windows.join(least, ["one", "two"]).where("least < doc_id")
@@ -202,12 +206,20 @@ def repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> Data
     spans = runs.groupBy("doc_id", "digest").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
     spans = materialize(spans, "spans").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), "spans")
     first_of = firsts.select(F.col("digest").alias("_of"), "first")
-    return (
-        base.select("doc_id", "digest", "n_words")
-        .join(first_of, F.col("digest") == F.col("_of"), "left")
-        .join(spans, (F.col("digest") == F.col("_digest")) & (F.col("doc_id") == F.col("_id")), "left")
-        .select("doc_id", "digest", "n_words", F.coalesce(F.col("first") < F.col("doc_id"), F.lit(False)).alias("whole"), F.when(~F.coalesce(F.col("first") < F.col("doc_id"), F.lit(False)), F.col("spans")).alias("spans"))
-    )
+    whole = F.coalesce(F.col("first") < F.col("doc_id"), F.lit(False))
+    found = base.select("doc_id", "digest", "n_words").join(first_of, F.col("digest") == F.col("_of"), "left").join(spans, (F.col("digest") == F.col("_digest")) & (F.col("doc_id") == F.col("_id")), "left")
+    return found.select("doc_id", "digest", "n_words", whole.alias("whole"), F.when(~whole, F.col("spans")).alias("spans")), texts
+
+
+def repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """One row per document: doc_id, digest, n_words, whole (all its words repeat), spans (other ranges of words that repeat).
+
+    A word repeats if a window of WINDOW consecutive words over it also stands in a document with a
+    smaller doc_id. Null and empty texts have no words; texts of under WINDOW words have no spans.
+    A null doc_id is neither before nor after another, and rows of one doc_id aren't before each
+    other. An empty table gives no rows.
+    """
+    return _search(docs, text, id_col)[0]
 
 
 def kept_words(words: list[bytes], spans) -> list[bytes]:
@@ -219,29 +231,31 @@ def kept_words(words: list[bytes], spans) -> list[bytes]:
     return out + words[at:]
 
 
-def cut_texts(docs: DataFrame, found: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, digest, n_removed, kept): what is left of each text that has spans, as words joined by one space."""
-    some = found.where("spans IS NOT NULL").select(F.col("doc_id").alias("_id"), "digest", "spans").dropDuplicates(["_id", "digest"])
+def cut_texts(texts: DataFrame, found: DataFrame) -> DataFrame:
+    """(doc_id, digest, n_removed, kept): what is left of each text (doc_id, text) that has spans, as words joined by one space."""
+    some = found.where("spans IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.struct("digest", "spans")).alias("cuts"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc_id, text, digest, spans in zip(*(c.to_pylist() for c in batch.columns)):
+            for doc_id, text, cuts in zip(*(c.to_pylist() for c in batch.columns)):
                 words = (text or "").encode().split()
-                if hashlib.sha256(b" ".join(words)).digest() == digest:
-                    kept = kept_words(words, spans)
-                    out.append((doc_id, digest, len(words) - len(kept), b" ".join(kept).decode()))
+                digest = hashlib.sha256(b" ".join(words)).digest()
+                for one in cuts:
+                    if one["digest"] == digest:
+                        kept = kept_words(words, one["spans"])
+                        out.append((doc_id, digest, len(words) - len(kept), b" ".join(kept).decode()))
             columns = list(zip(*out)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.binary(), pa.int64(), pa.string()))], names=["doc_id", "digest", "n_removed", "kept"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).join(some, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "digest", "spans")
-    return rows.mapInArrow(cut, "doc_id long, digest binary, n_removed long, kept string")
+    return texts.select("doc_id", "text").join(some, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "cuts").mapInArrow(cut, "doc_id long, digest binary, n_removed long, kept string")
 
 
 def removal_digests(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256 (lowercase hex) after `repeats` are removed."""
-    found = materialize(repeats(docs, text, id_col), "repeats")
-    cut = cut_texts(docs, found, text, id_col).select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), F.col("n_removed").alias("_removed"), F.sha2("kept", 256).alias("_kept")).dropDuplicates(["_id", "_digest"])
+    found, texts = _search(docs, text, id_col)
+    found = materialize(found, "repeats")
+    cut = cut_texts(texts, found).select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), F.col("n_removed").alias("_removed"), F.sha2("kept", 256).alias("_kept")).dropDuplicates(["_id", "_digest"])
     joined = found.join(cut, (F.col("doc_id") == F.col("_id")) & (F.col("digest") == F.col("_digest")), "left")
     return joined.select(
         "doc_id",
