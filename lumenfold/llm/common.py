@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Text bytes that one NumPy step works on at most, unless a single text is longer.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 19
 
 
 def tune(spark: SparkSession) -> None:
