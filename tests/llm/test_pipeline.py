@@ -50,3 +50,16 @@ def test_run(spark):
 
     got = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"} <= set(got.columns) and got.count() > 100
+
+
+@pytest.mark.parametrize("kind", ["odd", "none"])
+def test_stages_on_odd_and_empty_tables(spark, docs, empty, kind):
+    """Nulls in every column, empty and long texts, repeated rows and clashing names; and no rows at all."""
+    import corpus_pipeline
+
+    given = docs.union(docs.where("doc_id IN (3, 4)")) if kind == "odd" else empty
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, given, "/root/testdata/sf0.001")
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert got.columns == given.columns
+        assert (got.count() > 0) == (kind == "odd")
