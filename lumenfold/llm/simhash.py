@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, without
 from .components import connected_components
 
 WIDTH, SEED, DISTANCE, BLOCKS = 3, 42, 3, 6
@@ -148,13 +148,13 @@ def near_groups(docs: DataFrame, distance: int = DISTANCE, text: str = "text", i
     distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "distinct")
     joined = connected_components(links(distinct.select("fp"), distance))
     linked = distinct.join(joined, F.col("fp") == F.col("node"), "left").select("fp", "first", "n", F.coalesce("component", "fp").alias("component"))
-    least = linked.where("fp <> component OR n > 1").select("component").distinct()
-    groups = linked.join(least, "component").groupBy("component").agg(F.min("first").alias("component_id"))
-    known = linked.join(groups, "component").select(F.col("fp").alias("_fp"), "component_id")
+    # a component's rows meet only as partial sums, and in a join that adaptive execution can split
+    groups = linked.groupBy("component").agg(F.min("first").alias("component_id"), F.sum("n").alias("rows")).where("rows > 1").select(F.col("component").alias("_component"), "component_id")
+    known = linked.join(groups, F.col("component") == F.col("_component")).select(F.col("fp").alias("_fp"), "component_id")
     return rows.join(known, F.col("fp") == F.col("_fp"), "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("_fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id is the smallest of its component, with all their columns; null doc_ids without others stay."""
-    kept = near_groups(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_kept")), "left_semi")
+    gone = near_groups(docs).groupBy("doc_id").agg(F.bool_or(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("first")).where("NOT first")
+    return without(docs, gone.select("doc_id"))
