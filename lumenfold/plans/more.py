@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.integer import clip, round2, shr
-from ..operators import entropy, grain, transform
+from ..operators import entropy, grain, rangecoder, transform
 from ..operators.intra import N, each
 from ..sources.isobmff import join, number
 from ..sources.planes import blocks, hold, pairs, plane, read, spread_block
@@ -253,3 +253,13 @@ def hole_fill(spark, sf_dir):
     """Missing samples of a field from the nearest one to the left in their line; -1 where there is none."""
     v = F.when(F.col("v") % 7 != 0, F.col("v"))
     return plane(spark, sf_dir).select("y", "x", F.coalesce(F.last(v, ignorenulls=True).over(Window.partitionBy("y").orderBy("x")), F.lit(-1)).cast("bigint").alias("filled"))
+
+
+@query(f"WITH s AS (SELECT event_id // {entropy.TILE} AS tile, event_id % {entropy.TILE} AS i, CAST(floor(abs(value)) AS BIGINT) % 5 AS s FROM events) SELECT tile, count(*) AS n, {big('sum((i + 1) * s)', 'checksum')} FROM s GROUP BY tile")
+def range_coder_roundtrip(spark, sf_dir):
+    """Each tile's symbols coded by an adaptive range coder and decoded again."""
+    e = read(spark, sf_dir, "events").select(F.floor(F.col("event_id") / entropy.TILE).cast("bigint").alias("tile"), F.struct("event_id", (F.floor(F.abs("value")).cast("bigint") % 5).alias("s")).alias("e"))
+    tiles = e.groupBy("tile").agg(F.transform(F.array_sort(F.collect_list("e")), lambda x: x["s"]).alias("symbols"))
+    found = rangecoder.decode_tiles(rangecoder.encode_tiles(tiles, 5), 5)
+    weighted = F.aggregate(F.transform("symbols", lambda s, i: (i + 1) * s), F.lit(0).cast("bigint"), lambda a, v: a + v)
+    return found.select("tile", F.size("symbols").cast("bigint").alias("n"), weighted.alias("checksum"))

@@ -100,3 +100,14 @@ def test_session_emits_in_display_order():
             out += now.push(n, order % (1 << session.BITS))
         out += now.flush()
         assert [o[1] for o in out] == sorted(shown) and [o[2] for o in out] == list(range(60))
+
+
+def test_range_coder():
+    from lumenfold.operators.rangecoder import decode, encode
+
+    rng = random.Random(3)
+    for _ in range(200):
+        size, n, p = rng.randint(2, 8), rng.randint(0, 200), rng.random()
+        symbols = [rng.randrange(size) if rng.random() < p else 0 for _ in range(n)]
+        assert decode(encode(symbols, size), n, size) == symbols
+    assert len(encode([0] * 1000, 4)) < 25
