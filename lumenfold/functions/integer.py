@@ -48,9 +48,3 @@ def dot(values: Column, weights) -> Column:
 def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0).cast("bigint"), lambda s, v: s + v)
 
-
-def constrain(diff: Column, threshold: Column, shift: Column) -> Column:
-    """diff, cut to what the threshold leaves at its size; null stays null."""
-    size = F.least(F.abs(diff), F.greatest(F.lit(0), threshold - F.floor(F.abs(diff) / F.pow(F.lit(2), shift)).cast("bigint")))
-    return F.when(diff < 0, -size).otherwise(size).cast("bigint")
-

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.integer import clip, constrain, floor_log2, shr, signed_round2
+from ..functions.integer import clip, floor_log2, shr, signed_round2
 from ..sources.planes import hold, lines, with_lines_around
 from .intra import N, each
 
@@ -47,34 +51,42 @@ def luma_strength(strength: int, variance: Column) -> Column:
 
 
 def cdef_filter(df: DataFrame, primary: int, secondary: int, damping: int = 5) -> DataFrame:
-    """cdef: each sample moved towards its neighbours along `direction` and, weaker, along those two steps off it.
+    """(block_id, cdef): each sample moved towards its neighbours along `direction` and, weaker, along those two steps off it.
 
-    Neighbours outside the block are unavailable: they neither move a sample nor bound it.
+    Neighbours outside the block are unavailable: they neither move a sample nor bound it. Twelve
+    taps for each sample are too many for lambdas over arrays, so whole Arrow batches of blocks are
+    filtered as NumPy planes, those of one direction together.
     """
-    if not primary and not secondary:
-        return df
-    table = F.array(*[F.array(*[F.struct(F.lit(y).alias("y"), F.lit(x).alias("x")) for y, x in d]) for d in DIRECTIONS])
     shift_p, shift_s = max(0, damping - primary.bit_length() + 1) if primary else 0, damping - secondary.bit_length() + 1 if secondary else 0
-    taps = []
-    for k in range(2):
-        strong = 4 - (primary & 1) if k == 0 else ((4 - (primary & 1)) & 3) | 2
-        for turn, strength, shift, weight in ((0, primary, shift_p, strong), (2, secondary, shift_s, 2 - k), (6, secondary, shift_s, 2 - k)):
-            tap = F.col("_table")[F.pmod(F.col("direction") + turn, F.lit(8)).cast("int")][k]
-            taps += [F.struct((sign * tap["y"]).alias("y"), (sign * tap["x"]).alias("x"), F.lit(strength).alias("most"), F.lit(shift).alias("shift"), F.lit(weight).alias("weight")) for sign in (1, -1) if strength]
-    df = hold(hold(df, _table=table), _taps=F.array(*taps))
-
-    def there(y, x, t):
-        inside = (y + t["y"] >= 0) & (y + t["y"] < N) & (x + t["x"] >= 0) & (x + t["x"] < N)
-        return F.when(inside, F.get("px", (y + t["y"]) * N + x + t["x"]))
-
-    def moved(y, x):
-        here = F.col("px")[y * N + x]
-        start = F.struct(F.lit(0).cast("bigint").alias("sum"), here.alias("low"), here.alias("high"))
-        add = lambda a, t: F.struct((a["sum"] + t["weight"] * F.coalesce(constrain(there(y, x, t) - here, t["most"], t["shift"]), F.lit(0))).cast("bigint").alias("sum"), F.least(a["low"], there(y, x, t)).alias("low"), F.greatest(a["high"], there(y, x, t)).alias("high"))
-        value = lambda a: here + shr(a["sum"] - F.when(a["sum"] < 0, 1).otherwise(0) + 8, 4)
-        return F.aggregate("_taps", start, add, (lambda a: F.greatest(a["low"], F.least(a["high"], value(a)))) if primary and secondary else value)
-
-    return df.withColumn("cdef", each(moved))
+    strong = 4 - (primary & 1)
+
+    def one_direction(px: np.ndarray, d: int) -> np.ndarray:
+        outside = -(1 << 20)
+        padded = np.pad(px, ((0, 0), (2, 2), (2, 2)), constant_values=outside)
+        total, low, high = np.zeros_like(px), px, px
+        for k in range(2):
+            for turn, strength, shift, weight in ((0, primary, shift_p, (strong, strong & 3 | 2)[k]), (2, secondary, shift_s, 2 - k), (6, secondary, shift_s, 2 - k)):
+                dy, dx = DIRECTIONS[(d + turn) % 8][k]
+                for y, x in ((dy, dx), (-dy, -dx)) if strength else ():
+                    there = padded[:, 2 + y : 2 + y + N, 2 + x : 2 + x + N]
+                    there = np.where(there == outside, px, there)  # an unavailable neighbour is as good as an equal one
+                    diff = there - px
+                    size = np.abs(diff)
+                    total = total + weight * np.sign(diff) * np.minimum(size, np.maximum(0, strength - (size >> shift)))
+                    low, high = np.minimum(low, there), np.maximum(high, there)
+        value = px + ((total - (total < 0) + 8) >> 4)
+        return np.clip(value, low, high) if primary and secondary else value
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            px = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, N, N)
+            direction, out = batch.column(2).to_numpy(zero_copy_only=False), px.copy()
+            for d in np.unique(direction) if primary or secondary else ():
+                out[direction == d] = one_direction(px[direction == d], int(d))
+            offsets = pa.array(np.arange(0, 64 * len(px) + 1, 64), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(out.reshape(-1)))], names=["block_id", "cdef"])
+
+    return df.select("block_id", "px", F.col("direction").cast("bigint").alias("direction")).mapInArrow(run, "block_id long, cdef array<long>")
 
 
 def ccso(packed: DataFrame, offsets: list[int], q: int = 8, shift: int = 6, taps: tuple = (0, 1)) -> DataFrame:
