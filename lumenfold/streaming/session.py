@@ -92,14 +92,18 @@ def reorder(decoded: DataFrame) -> DataFrame:
 
 
 def run_stream(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    """Read events as a stream until its files are used up, reorder, write to a table of files, and read that."""
+    """Read events as a stream until its files are used up, reorder, write to a table of files, and read that.
+
+    The row that ends a stream comes with its first frame, so the frames of one stream have to be in
+    the files of one micro-batch.
+    """
     shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-session-')}"
     base = f"{shared}/session-{uuid.uuid4().hex}"
     schema = spark.read.parquet(f"{folder}/{table}.parquet").schema
     # a pattern, since a stream takes a single file by a pattern only
     source = spark.readStream.schema(schema).parquet(f"{folder}/{table[:-1]}[{table[-1]}].parquet")
     decoded = frames(source).select("stream_id", "decode_ord", "hint")
-    # one row at the end of a stream says that no more frames come
+    # a row without a number, sorted behind the others, says that no more frames come
     ends = frames(source).where((F.col("decode_ord") == 0)).select("stream_id", F.lit(None).cast("bigint").alias("decode_ord"), F.lit(0).cast("bigint").alias("hint"))
     done = reorder(decoded.unionByName(ends)).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     done.awaitTermination()
