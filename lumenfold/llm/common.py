@@ -20,8 +20,8 @@ STEP_BYTES = 1 << 19
 
 def tune(spark: SparkSession) -> None:
     """Bound what one Arrow batch brings into a Python worker, in rows and in bytes."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,7 @@ def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", most_rows:
 
 def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(UTF-8 bytes, offsets) of a string column, offsets from 0; null counts as empty."""
+    pa.default_memory_pool().release_unused()  # a worker serves many tasks and should not keep what earlier batches took
     if column.null_count:
         column = column.fill_null("")
     kind = np.int64 if pa.types.is_large_string(column.type) else np.int32

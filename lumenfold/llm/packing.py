@@ -23,7 +23,7 @@ from .words import find_words, hash_words
 
 CAPACITY, SEPARATOR = 2048, 0
 #: Distinct words whose ids a Python worker remembers, about 40 bytes each; beyond that it begins anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 #: New words that are encoded in one call.
 CHUNK = 200
 #: Pieces of one hash bucket, about; one task numbers those of one bucket and length.
