@@ -1,4 +1,4 @@
-"""License scans: winnowed fingerprints of templates pick candidates, banded alignment decides.
+"""License scans: winnowed fingerprints of templates pick candidates, in-order matches in a bounded span decide.
 
 The inverted index holds the templates' fingerprints only, so its size doesn't depend on the corpus
 and every document is scanned where it is read, without a shuffle.
@@ -6,6 +6,7 @@ and every document is scanned where it is read, without a shuffle.
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import steps, texts_of
 from .words import LOWER, PUNCTUATION, find_words, hash_words, mix
 
-#: Words in a fingerprint; fingerprints in a winnowing window; width of the band on either side; least coverage.
+#: Words in a fingerprint; fingerprints in a winnowing window; words that a passage may have more than its template, at least; least coverage.
 GRAM, WINDOW, BAND, COVERAGE = 3, 2, 8, 0.8
 
 #: Notices by which well-known licenses are named.
@@ -39,7 +40,8 @@ class Index(NamedTuple):
     names: list[str]
     words: list[np.ndarray]
     grams: np.ndarray  # sorted
-    places: list[list[tuple[int, int]]]  # of each gram: (template, position)
+    places: list[list[int]]  # of each gram: the templates that have it
+    masks: list[_Masks]
 
 
 def _grams(hashes: np.ndarray, n: int = GRAM) -> np.ndarray:
@@ -66,7 +68,7 @@ def winnow(grams: np.ndarray, window: int = WINDOW) -> list[int]:
 
 def build_index(templates: dict[str, str]) -> Index:
     """Templates of under GRAM words are refused: they have no fingerprint."""
-    places: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    places: dict[int, set[int]] = defaultdict(set)
     words = []
     for t, (name, text) in enumerate(templates.items()):
         data = np.frombuffer(text.encode(), np.uint8)
@@ -75,53 +77,126 @@ def build_index(templates: dict[str, str]) -> Index:
             raise ValueError(f"template {name!r} has under {GRAM} words")
         grams = _grams(words[-1])
         for at in winnow(grams):
-            places[int(grams[at])].append((t, at))
+            places[int(grams[at])].add(t)
     found = sorted(places)
-    return Index(list(templates), words, np.array(found, np.uint64), [places[g] for g in found])
+    return Index(list(templates), words, np.array(found, np.uint64), [sorted(places[g]) for g in found], [_Masks(w) for w in words])
 
 
-def align(template: np.ndarray, text: np.ndarray, shift: int, band: int = BAND) -> tuple[int, int, int]:
-    """(matched words, first, last matched position in text) of the best alignment near the diagonal `shift`.
+def _reach(masks: list[int], full: int, need: int, at: int = 0) -> int:
+    """The first word up to which `need` template words match in order from word `at` on, or -1; masks: the template positions of each text word, as bits.
 
-    Template word i may match text words i + shift - band to i + shift + band, in order; as many as
-    possible do, and among those alignments the one whose first matches come latest is returned.
+    A row of the longest common subsequence is one integer, whose zero bits mark where it grows.
     """
-    width, none = 2 * band + 1, (0, -1, -1)
-    row = [none] * (width + 1)  # row[k]: the best with text words up to diagonal k - 1
-    for i, word in enumerate(template):
-        new, left = [none] * (width + 1), none
-        for k in range(width):
-            j = i + shift - band + k
-            best = max(left, row[k + 1] if k + 1 < width else row[width - 1], key=lambda x: (x[0], x[1]))
-            if 0 <= j < len(text) and text[j] == word:
-                before = row[k]
-                hit = (before[0] + 1, before[1] if before[0] else j, j)
-                best = max(best, hit, key=lambda x: (x[0], x[1]))
-            new[k] = left = best
-        row = new
-    return max(row, key=lambda x: (x[0], x[1]))
+    v, n = full, full.bit_length()
+    for j in range(at, len(masks)):
+        u = v & masks[j]
+        if u:
+            v = ((v + u) | (v - u)) & full
+            if n - v.bit_count() >= need:
+                return j
+    return -1
+
+
+def _extend(masks: list[int], full: int, need: int) -> tuple[int, int]:
+    """(matched words, last word) of the passage from the first word on that has most matches over words without one, at least `need`."""
+    v, n, matched, best = full, full.bit_length(), 0, (0, 0, 0)
+    for j, mask in enumerate(masks):
+        u = v & mask
+        if u:
+            v = ((v + u) | (v - u)) & full
+            now = n - v.bit_count()
+            if now > matched:
+                matched = now
+                if matched >= need and (not best[0] or 2 * matched - j > best[2]):
+                    best = (matched, j, 2 * matched - j)
+            if matched == n:
+                break
+    return best[0], best[1]
+
+
+class _Masks:
+    """The positions of each word of a template, as bits from either end, and how often it has the word."""
+
+    def __init__(self, words: np.ndarray):
+        self.size, self.full = len(words), (1 << len(words)) - 1
+        self.words, self.counts = np.unique(words, return_counts=True)
+        at: dict[int, list[int]] = defaultdict(list)
+        for i, word in enumerate(words.tolist()):
+            at[word].append(i)
+        self.forward = [sum(1 << i for i in at[int(w)]) for w in self.words] + [0]
+        self.backward = [sum(1 << (self.size - 1 - i) for i in at[int(w)]) for w in self.words] + [0]
+
+    def numbers(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of each word in `words`; len(words) for others."""
+        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
+        return np.where(self.words[at] == hashes, at, len(self.words))
+
+    def most(self, numbers: np.ndarray) -> int:
+        """How many words may match at most, whatever their order."""
+        return int(np.minimum(np.bincount(numbers, minlength=len(self.counts) + 1)[:-1], self.counts).sum())
+
+
+def slack_of(size: int) -> int:
+    """Words that a passage may have more than its template."""
+    return max(BAND, size // 8)
+
+
+def passages(masks: _Masks, hashes: np.ndarray, hits: list[int], coverage: float = COVERAGE) -> Iterator[tuple[int, int, int]]:
+    """(matched words, first word, last word) of every passage of a text, from left to right.
+
+    hits: where the text has a fingerprint of the template; a passage holds one of them. The passage
+    that is complete first comes first. It begins as late as it can, and goes on while that gives
+    more matches than words without one.
+    """
+    need = max(1, math.ceil(coverage * masks.size))
+    limit = masks.size + slack_of(masks.size)
+    if len(hashes) < need:
+        return
+    places = np.array(sorted(hits))
+    begins, ends = np.maximum(places + GRAM - limit, 0), np.minimum(places + limit, len(hashes))
+    cut = np.flatnonzero(begins[1:] > ends[:-1]) + 1
+    for lo, hi in zip(begins[np.append(0, cut)].tolist(), ends[np.append(cut, len(places)) - 1].tolist()):
+        numbers = masks.numbers(hashes[lo:hi])
+        if masks.most(numbers) < need:
+            continue
+        forward, backward = ([m[i] for i in numbers.tolist()] for m in (masks.forward, masks.backward))
+        at = 0
+        while at + need <= hi - lo:
+            end = _reach(forward, masks.full, need, at)
+            if end < 0:
+                break
+            first = end - _reach(backward[at : end + 1][::-1], masks.full, need)
+            if end - first >= limit:
+                at = max(at + 1, end + 2 - limit)
+                continue
+            matched, size = _extend(forward[first : min(first + limit, hi - lo)], masks.full, need)
+            last = first + size
+            one = np.searchsorted(places, lo + first)
+            if one < len(places) and places[one] + GRAM - 1 <= lo + last:
+                yield matched, lo + first, lo + last
+                at = last + 1
+            else:
+                at = first + 1
 
 
 def _matches(index: Index, hashes: np.ndarray, hits: list[tuple[int, int]], coverage: float) -> Iterator[tuple[int, int, int, int]]:
     """(template, matched, first word, last word) of a text; hits: (position, number of the gram)."""
-    diagonals: dict[int, set[int]] = defaultdict(set)
+    places: dict[int, list[int]] = defaultdict(list)
     for position, gram in hits:
-        for t, at in index.places[gram]:
-            diagonals[t].add(position - at)
-    for t, shifts in sorted(diagonals.items()):
-        end = -1
-        for shift in sorted(shifts):
-            matched, first, last = align(index.words[t], hashes, shift)
-            if matched and first > end and matched >= coverage * len(index.words[t]):
-                yield t, matched, first, last
-                end = last
+        for t in index.places[gram]:
+            places[t].append(position)
+    for t, own in sorted(places.items()):
+        for matched, first, last in passages(index.masks[t], hashes, own, coverage):
+            yield t, matched, first, last
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row per passage that covers a template: doc_id, license, coverage, matched_words, start_char, end_char.
 
     Words are runs of letters and digits, A-Z in lower case. A passage counts if at least `coverage`
-    of the template's words match in order; passages of one template in one document don't overlap.
+    of the template's words match in order, within BAND words (or an eighth, if more) above the
+    template's size, and if it holds one of the template's fingerprints. Passages of one template in
+    one document don't overlap and are found from left to right; those of different templates may.
     Spans are characters of the whole text, the end excluded. Null and empty texts, and those
     without any such passage, give no rows; repeated rows are scanned one by one.
     """

@@ -231,6 +231,52 @@ def test_licenses(spark, docs, rows, empty):
     assert licenses.scan(docs).count() == 0 and licenses.scan(empty).count() == 0
 
 
+def common_words(a, b):
+    """The most words that match in order."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(max(new[-1], row[j + 1], row[j] + (x == y)))
+        row = new
+    return row[-1]
+
+
+def naive_passages(template, text, coverage=0.8):
+    """(matched, first, last) from left to right, by trying all spans of a text that has fingerprints everywhere."""
+    limit, out, at = len(template) + licenses.slack_of(len(template)), [], 0
+    match = lambda a, b: common_words(template, text[a : b + 1])
+    while True:
+        spans = [(b, -a) for b in range(at, len(text)) for a in range(max(at, b - limit + 1), b + 1) if match(a, b) >= coverage * len(template)]
+        if not spans:
+            return out
+        first = -min(spans)[1]
+        ends = range(first, min(first + limit, len(text)))
+        last = max((b for b in ends if match(first, b) >= coverage * len(template)), key=lambda b: (2 * match(first, b) - (b - first), -b))
+        out.append((match(first, last), first, last))
+        at = last + 1
+
+
+@pytest.mark.parametrize("name", ["reserved", "MIT", "CC-BY-NC-4.0", "Apache-2.0"])
+def test_notices_that_stand_again_close_by(spark, name):
+    notice = licenses.TEMPLATES[name]
+    texts = [(k, "before it " * (k % 3) + f"{notice}\n" * k) for k in range(1, 8)] + [(9, f"{notice} and {notice} or else {notice}")]
+    got = Counter(r["doc_id"] for r in licenses.scan(spark.createDataFrame(texts, "doc_id long, text string")).where(f"license = '{name}' AND coverage = 1").collect())
+    assert got == {k: 3 if k == 9 else k for k, _ in texts}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_passages_against_all_spans(seed):
+    rng = random.Random(seed)
+    for _ in range(25):
+        template = [rng.randint(0, 5) for _ in range(rng.randint(3, 9))]
+        text = []
+        for _ in range(rng.randint(1, 4)):
+            text += [x if rng.random() < 0.85 else rng.randint(6, 9) for x in template if rng.random() < 0.95] + [rng.randint(0, 9) for _ in range(rng.choice([0, 0, 1, 4]))]
+        got = licenses.passages(licenses._Masks(np.array(template, np.uint64)), np.array(text, np.uint64), list(range(max(1, len(text) - 2))))
+        assert list(got) == naive_passages(template, text)
+
+
 def test_exact_notices_of_given_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = {(r["doc_id"], r["license"]) for r in licenses.scan(docs).collect() if r["coverage"] == 1}
