@@ -265,6 +265,34 @@ def test_notices_that_stand_again_close_by(spark, name):
     assert got == {k: 3 if k == 9 else k for k, _ in texts}
 
 
+def test_whole_license_texts_with_edits(spark):
+    rng, whole = random.Random(8), licenses.whole_texts()
+    assert {"MIT-text", "BSD-2-Clause-text", "BSD-3-Clause-text", "Apache-2.0-text", "GPL-3.0-text", "LGPL-2.1-text", "MPL-2.0-text", "ISC-text", "Unlicense-text"} <= set(whole)
+    rows, most = [], {}
+    for i, (name, text) in enumerate(whole.items()):
+        own = text.split()
+        edited = [x if rng.random() < 0.93 else "edited" for x in own]
+        edited[len(own) // 2 : len(own) // 2] = ["inserted"] * min(12, len(own) // 10)
+        cut = own[: int(0.7 * len(own))]
+        rows += [(3 * i, f"Copyright Ünder\n\n{text}\n\nafter it"), (3 * i + 1, "x " * 40 + " ".join(edited)), (3 * i + 2, " ".join(cut))]
+        most |= {3 * i: name, 3 * i + 1: name, 3 * i + 2: None}
+    found = defaultdict(list)
+    for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect():
+        found[r["doc_id"]].append(r)
+    texts = dict(rows)
+    for doc_id, name in most.items():
+        own = [r for r in found[doc_id] if r["license"] == name]
+        if doc_id % 3 == 2:
+            name = list(whole)[doc_id // 3]
+            assert not [r for r in found[doc_id] if r["license"] == name]
+        else:
+            assert len(own) == 1 and own[0]["matched_words"] == max(r["matched_words"] for r in found[doc_id])
+            assert own[0]["coverage"] == 1 if doc_id % 3 == 0 else 0.8 <= own[0]["coverage"] < 1
+        if doc_id % 3 == 0:
+            span = texts[doc_id][own[0]["start_char"] : own[0]["end_char"]]
+            assert re.findall(r"[a-z0-9]+", span.lower()) == re.findall(r"[a-z0-9]+", whole[name].lower())
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_passages_against_all_spans(seed):
     rng = random.Random(seed)
