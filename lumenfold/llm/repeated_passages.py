@@ -185,7 +185,7 @@ def routed_texts(docs: DataFrame, firsts: DataFrame, text: str = "text", id_col:
     by_group = routes.join(dealt, F.col("home") == F.col("_home")).groupBy(F.col("first").alias("_first"), hot.alias("hot"), group.alias("group"), part.alias("part")).agg(F.flatten(F.collect_list("wanted")).alias("wanted"))
     grouped = by_group.groupBy("_first").agg(F.collect_list(F.struct("hot", "group", "part", "wanted")).alias("routes"))
     ids = small_side(routes.select(F.col("first").alias("_id")).distinct(), BROADCAST_ROWS)
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).join(ids, F.col("doc_id") == F.col("_id"), "left_semi")
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(ids, F.col("doc_id") == F.col("_id"), "left_semi")
     return materialize(own.join(grouped, F.col("doc_id") == F.col("_first")).select("doc_id", "text", "routes"), "texts")
 
 

@@ -189,6 +189,24 @@ def test_repeated_passages(spark, docs, rows, empty, monkeypatch, shard_bytes):
 # 5
 
 
+@pytest.mark.parametrize("shard_bytes", [6 << 20, 900])
+def test_repeated_passages_of_rows_that_share_a_doc_id(spark, monkeypatch, shard_bytes):
+    monkeypatch.setattr(repeated_passages, "SHARD_BYTES", shard_bytes)
+    rng = random.Random(6)
+    w = lambda n: " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(n))
+    passage = w(70)
+    rows = [(1, f"{w(5)} {passage}"), (2, None), (2, f"{w(9)} {passage} {w(3)}"), (2, w(60)), (2, ""), (2, None), (1, None)]
+    rows += [(i, f"{passage} {w(20)}") for i in range(3, 9)]
+    got = repeated_passages.removal_digests(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    want = []
+    for doc_id, text in rows:
+        kept = words(text)
+        if doc_id > 1 and passage in (text or ""):
+            kept = words(text.replace(passage, ""))
+        want.append((doc_id, len(words(text)), len(words(text)) - len(kept), hashlib.sha256(" ".join(kept).encode()).hexdigest()))
+    assert sorted(tuple(r) for r in got) == sorted(want)
+
+
 def test_language_id(spark, docs, empty):
     known = spark.createDataFrame([("the thing of this and that whether " * 5, "en"), ("le que dans une pas aux être " * 5, "fr"), (None, "fr"), ("x", None)], "text string, lang string")
     pages = spark.createDataFrame(
