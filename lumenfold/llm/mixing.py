@@ -23,13 +23,13 @@ FAN = 64
 BROADCAST_ROWS, BROADCAST_IDS = 20_000, 1_000_000
 
 _DOC = "struct<size:bigint,doc_id:bigint,row:bigint,p:double>"
-_DONE = "array<struct<doc_id:bigint,row:bigint,size:bigint,up:boolean>>"
+_DONE = "array<struct<doc_id:bigint,size:bigint,up:boolean>>"
 
 
 def sized(docs: DataFrame, text: str = "text", id_col: str = "doc_id", source: str = "source") -> DataFrame:
-    """(row, doc_id, source, size): the number of words of every text."""
+    """(row, doc_id, source, size): the number of words of every text, and a hash of it as row, the same wherever the text is read."""
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), size.alias("size"))
+    return docs.select(F.xxhash64(F.col(text)).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), size.alias("size"))
 
 
 def targets(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
@@ -54,29 +54,32 @@ def targets(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 
 
 def _meet(items: str, seed: int) -> Column:
-    """Fold an array of documents, largest first, into (c: the one left with a fraction, out: those that are settled)."""
+    """Fold an array of documents, largest first, into (c: the one left with a fraction, out: those that are settled).
+
+    The random number of a meeting hashes what both documents are and how many meetings came before, so that equal rows meet at random too.
+    """
     return F.expr(f"""
       aggregate(slice({items}, 2, size({items})), named_struct('c', {items}[0], 'out', CAST(array() AS {_DONE})), (a, x) ->
         element_at(transform(array(named_struct(
             'c_up', (1 - a.c.p) * a.c.size, 'c_down', a.c.p * a.c.size, 'x_up', (1 - x.p) * x.size, 'x_down', x.p * x.size,
-            'u', shiftrightunsigned(xxhash64(a.c.doc_id, x.doc_id, a.c.row, x.row, {seed}), 11) / 9007199254740992D)), s ->
+            'u', shiftrightunsigned(xxhash64(a.c.doc_id, x.doc_id, a.c.row, x.row, size(a.out), {seed}), 11) / 9007199254740992D)), s ->
           element_at(transform(array(s.u * (least(s.c_up, s.x_down) + least(s.c_down, s.x_up)) < least(s.c_down, s.x_up)), up ->
             IF(IF(up, s.c_up <= s.x_down, s.c_down <= s.x_up),
               named_struct(
                 'c', named_struct('size', x.size, 'doc_id', x.doc_id, 'row', x.row, 'p', greatest(0D, least(1D, IF(up, x.p - s.c_up / x.size, x.p + s.c_down / x.size)))),
-                'out', concat(a.out, array(named_struct('doc_id', a.c.doc_id, 'row', a.c.row, 'size', a.c.size, 'up', up)))),
+                'out', concat(a.out, array(named_struct('doc_id', a.c.doc_id, 'size', a.c.size, 'up', up)))),
               named_struct(
                 'c', named_struct('size', a.c.size, 'doc_id', a.c.doc_id, 'row', a.c.row, 'p', greatest(0D, least(1D, IF(up, a.c.p + s.x_down / a.c.size, a.c.p - s.x_up / a.c.size)))),
-                'out', concat(a.out, array(named_struct('doc_id', x.doc_id, 'row', x.row, 'size', x.size, 'up', NOT up)))))), 1)), 1))
+                'out', concat(a.out, array(named_struct('doc_id', x.doc_id, 'size', x.size, 'up', NOT up)))))), 1)), 1))
     """)
 
 
 def _close() -> Column:
-    """(off, row, up): how to round the last document c, and which row of the last group to change (-1: none), to be nearest the target."""
+    """(off, at, up): how to round the last document c, and which place of `out` in the last group to change (-1: none), to be nearest the target."""
     return F.expr("""
       array_min(flatten(transform(array(false, true), up ->
-        transform(concat(array(named_struct('row', -1L, 'gain', 0L)), transform(out, o -> named_struct('row', o.row, 'gain', IF(o.up, -o.size, o.size)))), o ->
-          named_struct('off', abs((IF(up, 1, 0) - c.p) * c.size + o.gain), 'row', o.row, 'up', up)))))
+        transform(concat(array(named_struct('at', -1, 'gain', 0L)), transform(out, (o, i) -> named_struct('at', i, 'gain', IF(o.up, -o.size, o.size)))), o ->
+          named_struct('off', abs((IF(up, 1, 0) - c.p) * c.size + o.gain), 'at', o.at, 'up', up)))))
     """)
 
 
@@ -86,8 +89,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     A document is taken 0 to `most` times, whole. The last document of a source that is left with a
     fraction goes to the nearer number, unless changing another of its group as well comes nearer
     still, so a source misses its target by half of that document at most. Null text has size 0 and takes nothing; null is a source of its own, the last; rows that
-    share a doc_id are rounded on their own; an empty table gives no rows. Equal tables read in the
-    same splits give equal mixes; doc_id alone decides unless it repeats.
+    share a doc_id are rounded on their own; an empty table gives no rows. Equal tables give equal
+    mixes however they are split: doc_id, text and source alone decide, and rows that are equal in
+    these stand for each other.
     """
     rows = materialize(sized(docs, text, id_col, source), "sizes")
     goals = materialize(targets(rows, weights, share, most), "targets")
@@ -96,23 +100,23 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     at = rows.join(known, same, "left")
     fraction = (F.col("size") > 0) & (F.col("part") > 0)
     groups = F.greatest(F.lit(1), F.ceil(F.col("documents") / FAN))
-    meeting = at.where(fraction).select("source", F.pmod(F.xxhash64("doc_id", F.lit(seed)), groups).alias("slot"), groups.alias("groups"), F.struct("size", "doc_id", "row", F.col("part").alias("p")).cast(_DOC).alias("doc"))
+    meeting = at.where(fraction).select("source", F.pmod(F.xxhash64("doc_id", "row", F.lit(seed)), groups).alias("slot"), groups.alias("groups"), F.struct("size", "doc_id", "row", F.col("part").alias("p")).cast(_DOC).alias("doc"))
     most_documents = goals.agg(F.max("documents")).first()[0] or 0
-    settled = [at.where(~fraction).select("source", "doc_id", "row", "size", F.lit(False).alias("up"))]
+    settled = [at.where(~fraction).select("source", "doc_id", "size", F.lit(False).alias("up"))]
     level, left = 0, -(-most_documents // FAN)
     while True:
         met = meeting.groupBy("source", "slot", "groups").agg(F.sort_array(F.collect_list("doc"), asc=False).alias("items"))
         met = materialize(met.withColumn("met", _meet("items", seed + level)).select("source", "slot", "groups", "met.c", "met.out"), f"met{level}")
         if left <= 1:
             break
-        settled.append(met.select("source", F.inline("out")).select("source", "doc_id", "row", "size", "up"))
+        settled.append(met.select("source", F.inline("out")).select("source", "doc_id", "size", "up"))
         groups = F.greatest(F.lit(1), F.ceil(F.col("groups") / FAN))
         meeting = met.select("source", F.pmod(F.xxhash64("slot", F.lit(seed)), groups).alias("slot"), groups.alias("groups"), F.col("c").alias("doc"))
         left, level = -(-left // FAN), level + 1
     last = met.withColumn("close", _close())
-    changed = F.expr("transform(out, o -> named_struct('doc_id', o.doc_id, 'row', o.row, 'size', o.size, 'up', o.up <> (o.row = close.row)))").cast(_DONE)
-    settled.append(last.select("source", F.inline(changed)).select("source", "doc_id", "row", "size", "up"))
-    settled.append(last.select("source", "c.doc_id", "c.row", "c.size", "close.up"))
+    changed = F.expr("transform(out, (o, i) -> named_struct('doc_id', o.doc_id, 'size', o.size, 'up', o.up <> (i = close.at)))").cast(_DONE)
+    settled.append(last.select("source", F.inline(changed)).select("source", "doc_id", "size", "up"))
+    settled.append(last.select("source", "c.doc_id", "c.size", "close.up"))
     every = settled[0]
     for more in settled[1:]:
         every = every.unionByName(more)

@@ -108,6 +108,20 @@ def test_mixing(spark, docs, rows, empty):
     assert repeated.columns == docs.columns and Counter(r["doc_id"] for r in repeated.collect()) == {r["doc_id"]: r["copies"] if r["size"] else 1 for r in mixing.mix(docs.where("doc_id IS NOT NULL")).collect() if r["copies"] or not r["size"]}
 
 
+def test_mixing_does_not_depend_on_splits(spark, docs):
+    rng = random.Random(9)
+    many = spark.createDataFrame([(i if i % 5 else i % 3 or None, "w " * rng.randint(1, 40) + f"t{i % 700}", f"s{i % 2}") for i in range(9000)], "doc_id long, text string, source string")
+    same = spark.createDataFrame([(1, "a b c", "s")] * 200 + [(None, "a b", "s")] * 100, "doc_id long, text string, source string")
+    for given in (docs, many, same):
+        first = sorted(map(str, mixing.mix(given).collect()))
+        assert len(first) == given.count()
+        assert sorted(map(str, mixing.mix(given.repartition(7)).collect())) == first
+        assert sorted(map(str, mixing.mix(given.coalesce(1)).collect())) == first
+    got = mixing.mix(same).collect()
+    assert abs(sum(r["taken"] for r in got) - got[0]["target"]) <= 1.5
+    assert len({r["copies"] for r in got if r["doc_id"]}) == 2
+
+
 def test_mixing_in_several_levels_keeps_words(spark):
     rng = random.Random(4)
     docs = spark.createDataFrame([(i, "w " * rng.randint(1, 40), f"s{i % 2}") for i in range(9000)], "doc_id long, text string, source string")
