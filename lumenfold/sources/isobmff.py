@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 BRANDS = ("avif", "avis", "av02")
 CONTAINERS = {b"meta": 4, b"iprp": 0, b"ipco": 0, b"iref": 4, b"iinf": 6}
 #: Limits on what one file may hold.
-MOST_BOXES, MOST_ENTRIES = 10_000, 4096
+MOST_BOXES = 10_000
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
@@ -144,7 +144,7 @@ def _lists(found: DataFrame, fourcc: str, parse, schema: str, kinds: list) -> Da
 def _associations(b: bytes) -> Iterator[tuple]:
     version, flags, n = b[0], b[3], struct.unpack_from(">I", b, 4)[0]
     at = 8
-    for _ in range(min(n, MOST_ENTRIES)):
+    for _ in range(n):
         item = struct.unpack_from(">H" if version < 1 else ">I", b, at)[0]
         at += 2 if version < 1 else 4
         count = b[at]
@@ -177,7 +177,7 @@ def _extents(b: bytes) -> Iterator[tuple]:
         at += n
         return int.from_bytes(b[at - n : at], "big")
 
-    for _ in range(min(take(2 if version < 2 else 4), MOST_ENTRIES)):
+    for _ in range(take(2 if version < 2 else 4)):
         item = take(2 if version < 2 else 4)
         method = take(2) & 15 if version in (1, 2) else 0
         take(2)

@@ -111,3 +111,11 @@ def test_range_coder():
         symbols = [rng.randrange(size) if rng.random() < p else 0 for _ in range(n)]
         assert decode(encode(symbols, size), n, size) == symbols
     assert len(encode([0] * 1000, 4)) < 25
+
+
+def test_long_lists_are_read_whole():
+    n = 5000
+    ipma = struct.pack(">II", 0, n) + b"".join(struct.pack(">HBB", i + 1, 1, 0x81) for i in range(n))
+    assert list(isobmff._associations(ipma)) == [(i + 1, 0, 1, True) for i in range(n)]
+    iloc = struct.pack(">IHH", 0, 0x4400, n) + b"".join(struct.pack(">HHHII", i + 1, 0, 1, i, 7) for i in range(n))
+    assert list(isobmff._extents(iloc)) == [(i + 1, 0, i, 7) for i in range(n)]
