@@ -2,7 +2,7 @@
 
 Digests are computed inside the scan, pre-aggregated before any shuffle, and dealt by digest to
 shards of bounded size. Every shard keeps a cuckoo filter whose buckets also hold the stored keys:
-a hit is verified against them, a newer copy deletes the entry of the older one and takes its
+a hit is verified against them, which are SHA-256 of the whole content and stand for it; a newer copy deletes the entry of the older one and takes its
 place, and a filter that overflows is rebuilt at twice its size from the stored keys.
 """
 
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, without
+from .common import at_places, materialize, place_of, with_row
 
 #: Partial rows of one digest that can reach a shard, at most.
 SALTS = 16
@@ -114,15 +114,16 @@ def ascii_lower_sha256(text: str | None) -> bytes:
     return hashlib.sha256((text or "").encode().lower()).digest()
 
 
-def with_digest(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(doc_id long, digest binary) of every row."""
+def with_digest(docs: DataFrame, text: str = "text", id_col: str = "doc_id", place: str | None = None) -> DataFrame:
+    """(doc_id long, digest binary) of every row; place: a struct (file, at) that tells rows apart, whose fields are added."""
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [hashlib.sha256((x.as_buffer().to_pybytes() if x.is_valid else b"").lower()).digest() for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["doc_id", "digest"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()), *batch.columns[2:]], names=["doc_id", "digest", *batch.schema.names[2:]])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(digests, "doc_id long, digest binary")
+    columns = [F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"), *place_of(place)]
+    return docs.select(*columns).mapInArrow(digests, "doc_id long, digest binary" + ", file long, at long" * bool(place))
 
 
 def _index_shard(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -197,9 +198,15 @@ def exact_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id") ->
 
 
 def drop_exact_copies(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """The rows of docs that stay, with all their columns.
+    """Of rows with equal texts (see `exact_groups`) the one with the largest doc_id, with all its columns.
 
-    Rows are told apart by doc_id: a doc_id goes when none of its rows stays.
+    Rows are told apart by where they stand in their files; of several with that doc_id, or of those
+    of a group without any doc_id, the first in the files stays. Other columns may have any names.
     """
-    gone = exact_groups(docs, text, id_col).groupBy(F.col("doc_id").alias("_gone")).agg(F.bool_or("kept").alias("_kept")).where("NOT _kept")
-    return without(docs, gone.select("_gone"), id_col)
+    named, row = with_row(docs)
+    rows = materialize(with_digest(named, text, id_col, row), "digests")
+    copies = live_digests(rows, rows.count()).where("group_size > 1").select(F.col("digest").alias("copied"), "keep_id")
+    groups = materialize(rows.join(copies, F.col("digest") == F.col("copied")), "copies")
+    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy(F.col("digest").alias("kept")).agg(F.min(F.struct("file", "at")).alias("place"))
+    gone = groups.join(stay, F.col("digest") == F.col("kept")).where(F.struct("file", "at") != F.col("place")).select("file", "at")
+    return at_places(named, row, materialize(gone, "gone"), "left_anti").select(*docs.columns)

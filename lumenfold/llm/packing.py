@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, steps, texts_of
-from .words import find_words, hash_words
+from .words import find_words, fold_keys, word_keys
 
 CAPACITY, SEPARATOR = 2048, 0
 #: Distinct words whose ids a Python worker remembers, about 40 bytes each; beyond that it begins anew.
@@ -33,8 +33,9 @@ BUCKET_ROWS = 20_000
 class WordIds:
     """Ids of whole texts by a tokenizer that never joins characters across ASCII white space and drops it.
 
-    Each distinct word is encoded once and remembered under its 64-bit hash, so ids equal those of
-    encoding the whole text.
+    Each distinct word is encoded once and remembered with its key (see `word_keys`), in the order
+    of a hash of the key. A word whose hash is taken by another word is encoded each time it comes,
+    so ids equal those of encoding the whole text.
     """
 
     def __init__(self, path: str):
@@ -44,11 +45,12 @@ class WordIds:
         self._forget()
 
     def _forget(self) -> None:
-        self.keys = np.zeros(0, np.uint64)  # sorted; their ids are pool[begins : begins + sizes]
-        self.begins, self.sizes, self.pool, self.used = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(1 << 16, "<u4"), 0
+        self.hashes, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # sorted by hash; slots are places in the next four
+        self.low, self.high, self.begins, self.sizes = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool, self.used = np.zeros(1 << 16, "<u4"), 0  # a word's ids are pool[begins : begins + sizes]
 
-    def _learn(self, keys: np.ndarray, words: list[str]) -> None:
-        """Encode new words as lines of CHUNK words; the place in the line where an id begins says whose it is."""
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Add words' ids to the pool: (where each begins, how many). Lines of CHUNK words are encoded; the place where an id begins says whose it is."""
         ids, sizes = [], []
         for at in range(0, len(words), CHUNK):
             part = words[at : at + CHUNK]
@@ -60,29 +62,41 @@ class WordIds:
         if self.used + len(ids) > len(self.pool):
             self.pool = np.concatenate((self.pool, np.zeros(max(len(self.pool), len(ids)), "<u4")))
         self.pool[self.used : self.used + len(ids)] = ids
-        at = np.searchsorted(self.keys, keys)
-        self.keys = np.insert(self.keys, at, keys)
-        self.sizes = np.insert(self.sizes, at, sizes)
-        self.begins = np.insert(self.begins, at, self.used + np.cumsum(sizes) - sizes)
+        begins = self.used + np.cumsum(sizes) - sizes
         self.used += len(ids)
+        return begins, sizes
+
+    def _learn(self, hashes: np.ndarray, low: np.ndarray, high: np.ndarray, words: list[str]) -> None:
+        begins, sizes = self._encode(words)
+        at = np.searchsorted(self.hashes, hashes)
+        self.slots = np.insert(self.slots, at, np.arange(len(self.low), len(self.low) + len(low), dtype=np.int32))
+        self.hashes = np.insert(self.hashes, at, hashes)
+        for name, more in (("low", low), ("high", high), ("begins", begins), ("sizes", sizes)):
+            setattr(self, name, np.concatenate((getattr(self, name), more)))
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, where each text's begin and one more entry), without special tokens."""
-        if len(self.keys) > REMEMBERED:
+        if len(self.hashes) > REMEMBERED:
             self._forget()
         words = find_words(data, offsets)
         if not len(words.starts):
             return np.zeros(0, "<u4"), np.zeros(len(offsets), np.int64)
-        distinct, at, which = np.unique(hash_words(data, words), return_index=True, return_inverse=True)
-        place = np.searchsorted(self.keys, distinct)
+        low, high = word_keys(data, words.starts, words.ends)
+        distinct, at, which = np.unique(fold_keys(low, high), return_index=True, return_inverse=True)
+        place = np.searchsorted(self.hashes, distinct)
         new = np.ones(len(distinct), bool)
-        inside = place < len(self.keys)
-        new[inside] = self.keys[place[inside]] != distinct[inside]
+        inside = place < len(self.hashes)
+        new[inside] = self.hashes[place[inside]] != distinct[inside]
+        whole = data.tobytes()
+        spelled = lambda some: [whole[a:b].decode() for a, b in zip(words.starts[some].tolist(), words.ends[some].tolist())]
         if new.any():
-            whole, some = data.tobytes(), at[new]
-            self._learn(distinct[new], [whole[a:b].decode() for a, b in zip(words.starts[some].tolist(), words.ends[some].tolist())])
-            place = np.searchsorted(self.keys, distinct)
-        begins, sizes = self.begins[place][which], self.sizes[place][which].astype(np.int64)
+            self._learn(distinct[new], low[at[new]], high[at[new]], spelled(at[new]))
+            place = np.searchsorted(self.hashes, distinct)
+        place = self.slots[place[which]]
+        begins, sizes = self.begins[place], self.sizes[place]
+        others = np.flatnonzero((self.low[place] != low) | (self.high[place] != high))
+        if len(others):
+            begins[others], sizes[others] = self._encode(spelled(others))
         total = np.concatenate(([0], np.cumsum(sizes)))
         return self.pool[np.repeat(begins - total[:-1], sizes) + np.arange(total[-1])], total[words.first]
 
@@ -100,15 +114,19 @@ def encoder(path: str) -> WordIds:
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, keep_ids: bool = False, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(row, doc_id, piece, start, length, ids_crc32[, ids]) of every document's ids, followed by the separator.
 
-    row tells rows of docs apart that share a doc_id. Null and empty texts give one piece, the separator.
+    row tells rows of docs apart that share a doc_id. Null and empty texts give one piece, the
+    separator; a null doc_id stays null; a text of any length is cut into pieces, none longer than
+    `capacity`; rows that repeat give their pieces each time; an empty table gives no rows.
     """
-    schema = "row long, doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * keep_ids
+    schema = "row long, doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = encoder(tokenizer), np.asarray([SEPARATOR], "<u4").tobytes()
+        names = ["row", "doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 6 + keep_ids]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
         for batch in batches:
             data, offsets = texts_of(batch.column(2))
-            row_ids, doc_ids, out = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
+            row_ids, doc_ids, out, kept = batch.column(0).to_pylist(), batch.column(1).to_pylist(), [], []
             for a, b in steps(offsets):
                 ids, first = encode(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 ids, first = ids.tobytes(), (4 * first).tolist()
@@ -116,11 +134,14 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, keep_ids:
                     own = ids[first[i - a] : first[i - a + 1]] + end
                     for n, at in enumerate(range(0, len(own), 4 * capacity)):
                         piece = own[at : at + 4 * capacity]
-                        out.append((row_ids[i], doc_ids[i], n, at // 4, len(piece) // 4, zlib.crc32(piece), *[np.frombuffer(piece, "<u4").astype(np.int64)] * keep_ids))
-            names = ["row", "doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 6 + keep_ids]
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-            columns = list(zip(*out)) or [[]] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+                        out.append((row_ids[i], doc_ids[i], n, at // 4, len(piece) // 4, zlib.crc32(piece)))
+                        if keep_ids:
+                            kept.append(piece)
+            columns = [pa.array(c, k) for c, k in zip(list(zip(*out)) or [[]] * 6, kinds)]
+            if keep_ids:
+                ends = np.cumsum([0, *(len(x) // 4 for x in kept)])
+                columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(kept), "<i4"))))
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(cut, schema)
@@ -184,7 +205,8 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Every row of cut (with row, piece and length) and its sequence_id and offset.
 
     No sequence holds more than `capacity` tokens, and offsets in a sequence leave no gaps.
-    Lengths must be from 1 to capacity. An empty table gives no rows.
+    Lengths must be from 1 to capacity. Pieces of one length are alike; row and piece, which tell
+    rows apart, decide who takes which place. An empty table gives no rows.
     """
     spark = cut.sparkSession
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -206,5 +228,11 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32[, ids], sequence_id, offset, row."""
+    """One row per piece: doc_id, piece, start, length, ids_crc32[, ids], sequence_id, offset, row.
+
+    keep_ids adds the token ids themselves, so that sequences can be trained on as they are. Nulls,
+    empty and very long texts, ties, repeated rows and empty tables are treated as `pieces` and
+    `pack` say: every row of docs is packed whole, its repeats too; among pieces of one length, a
+    hash of their row decides which goes where.
+    """
     return pack(materialize(pieces(docs, tokenizer, capacity, keep_ids), "pieces"), capacity)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import steps, texts_of
+from .common import steps, texts_of, unused
 from .words import find_words, hash_words, mix
 
 #: Hash buckets of words; factors of an interaction; labelled documents that are fitted on, at most.
@@ -142,24 +142,33 @@ def _batches(batch: pa.RecordBatch) -> Iterator[tuple[int, int, tuple]]:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text: str = "text", id_col: str = "doc_id", n_chars: str = "n_chars") -> Model:
-    """Fit on `sample` labelled documents at most, the first by a hash of doc_id, none of them held out."""
-    known = labels.where(F.col("quality").isin(0, 1) & ~held_out()).groupBy(F.col("doc_id").alias("_labelled")).agg(F.max("quality").alias("label"))
+    """Fit on `sample` labelled documents at most, none of them held out: the first by a hash of doc_id.
+
+    Of rows that share a doc_id the one with the longest text is taken, of equally long ones the one
+    whose text has the least hash, of repeated ones any; a doc_id labelled 0 and 1 counts as 1;
+    ties of the hash of doc_id are broken by doc_id. Null labels and null doc_ids are not used.
+    """
+    known = labels.where(F.col("quality").isin(0, 1) & ~held_out()).groupBy(F.col("doc_id").cast("long").alias("_labelled")).agg(F.max("quality").alias("label"))
     chosen = known.orderBy(F.xxhash64("_labelled"), "_labelled").limit(sample)
     rows = _inputs(docs, text, id_col, n_chars).join(F.broadcast(chosen), F.col("doc_id") == F.col("_labelled"))
+    # a doc_id that many rows share: each task sends one of them at most
+    one = rows.groupBy("doc_id", "label").agg(F.max_by(F.struct("text", "n_chars"), F.struct(F.octet_length("text"), -F.xxhash64("text"), "n_chars")).alias("one")).select("doc_id", "label", "one.text", "one.n_chars")
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, (first, bucket, weight, stats) in _batches(batch):
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], batch.column("label")[a:b], pa.array(np.split(bucket, first[1:-1]), pa.list_(pa.int32())), pa.array(np.split(weight, first[1:-1]), pa.list_(pa.float64())), pa.array(list(stats), pa.list_(pa.float64()))], names=["doc_id", "label", "bucket", "weight", "stats"])
 
-    got = rows.mapInArrow(sparse, "doc_id long, label int, bucket array<int>, weight array<double>, stats array<double>").toPandas().sort_values("doc_id", kind="stable")
+    got = one.mapInArrow(sparse, "doc_id long, label int, bucket array<int>, weight array<double>, stats array<double>").toPandas().sort_values("doc_id", kind="stable")
     return fit(list(zip(got["bucket"], got["weight"], got["stats"])), got["label"].to_numpy(float))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text: str = "text", id_col: str = "doc_id", n_chars: str = "n_chars") -> DataFrame:
     """One row per document: doc_id, held_out, score (0 to 1), predicted (1 from the threshold on).
 
-    Null and empty texts are scored from their statistics alone. Only text and n_chars enter a score.
+    Null and empty texts are scored from their statistics alone. Only text and n_chars enter a score,
+    so repeated rows have equal scores, and equal scores no order; a null doc_id counts as held out;
+    an empty table gives no rows. Texts of any length are scored whole.
     """
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,4 +193,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
             good = batch.filter(pa.array(p >= threshold))
             yield pa.RecordBatch.from_arrays(good.columns[:-2], names=good.schema.names[:-2])
 
-    return docs.select(*docs.columns, F.col("text").alias("_scored_text"), F.col("n_chars").cast("double").alias("_scored_chars")).mapInArrow(choose, docs.schema)
+    added = [F.col("text").alias(unused("_scored_text", docs)), F.col("n_chars").cast("double").alias(unused("_scored_chars", docs))]
+    return docs.select("*", *added).mapInArrow(choose, docs.schema)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_side, steps, texts_of
+from .common import materialize, small_side, steps, texts_of
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
@@ -24,8 +24,6 @@ SPACES = " \t\n\x0b\x0c\r"
 BITS, GRAM, PSEUDO = 14, 4, 1.0
 #: Least log-likelihood ratio per n-gram, in nats, of a document that is kept.
 THRESHOLD = -0.2
-#: Labelled documents that may be broadcast; with more, documents and labels are joined by a shuffle.
-BROADCAST_ROWS = 2_000_000
 SCALE = 1 << 20
 
 
@@ -70,8 +68,8 @@ def gram_counts(docs: DataFrame, labels: DataFrame, text: str = "text", id_col:
 
     Each task adds up its own rows first, so a shuffle gets a row for each bucket and task at most.
     """
-    trusted = labels.groupBy(F.col("doc_id").alias("_trusted")).agg(F.max("quality").alias("_quality")).where("_quality = 1 AND _trusted IS NOT NULL").select("_trusted")
-    marked = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text")).join(small_side(trusted, BROADCAST_ROWS), F.col("_id") == F.col("_trusted"), "left").select("_text", F.col("_trusted").isNotNull().alias("_in"))
+    trusted = labels.groupBy(F.col("doc_id").cast("long").alias("_trusted")).agg(F.max("quality").alias("_quality")).where("_quality = 1 AND _trusted IS NOT NULL").select("_trusted")
+    marked = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text).alias("_text")).join(small_side(materialize(trusted, "trusted")), F.col("_id") == F.col("_trusted"), "left").select("_text", F.col("_trusted").isNotNull().alias("_in"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)

@@ -2,11 +2,12 @@
 
 Every window of WINDOW words is represented by the least hash of the phrases of PHRASE words in it,
 so equal windows have the same representative, and few phrases represent any window. Phrases that
-recur in different texts are confirmed by a grouped count. Texts that hold one go, with it, to the
-shard of the first document that has it; there the phrases are compiled into an Aho-Corasick
-automaton, which streams the texts of the shard and locates every occurrence. Windows around
-occurrences are compared by hashes of 128 bits: inside the shard, since it has all texts with the
-phrase, or, where so many texts share one that they are dealt to several tasks, by a grouped minimum.
+recur in different texts are confirmed by a grouped count. The words around each of them, and no
+more, go to the shard of the first document that has it; there the phrases are compiled into an
+Aho-Corasick automaton, which streams all that came to the shard and locates every occurrence.
+Windows around occurrences are compared word for word. Where so much surrounds one phrase that it is
+dealt to several tasks, each compares its own, and only windows of their first documents are
+compared between tasks, by a digest. Hashes choose what is sent; they decide nothing.
 Texts with the same words throughout are compared as wholes, and only the first takes part in this.
 """
 
@@ -23,14 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, small_side, steps, texts_of
-from .words import find_words, hash_words, mix, powers
+from .words import find_words, hash_words, mix, run_names, word_keys, word_names
 
 WINDOW, PHRASE = 50, 8
-#: Bytes of text in a shard, about. A phrase whose texts have more is dealt to several tasks.
+#: Bytes of text in a shard, about. A phrase that has more around it is dealt to several tasks.
 SHARD_BYTES = 6 << 20
-#: Documents with recurring phrases whose ids may be broadcast; with more, documents are shuffled once to find them.
-BROADCAST_ROWS = 1_000_000
-_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+#: Between two pieces of a shard; no word is a line end.
+BETWEEN = " \n "
 _EMPTY = hashlib.sha256(b"").digest()
 
 
@@ -56,16 +56,6 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(backward[:n], forward[width - 1 : width - 1 + n])
 
 
-def window_hashes(hashes: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent 64-bit hashes of the words of each window."""
-    n = len(hashes) - window + 1
-    out = []
-    for base in _BASES:
-        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(hashes ^ np.uint64(base)) * powers(base, len(hashes)))))
-        out.append(mix((total[window:] - total[:n]) * powers(pow(base, -1, 1 << 64), n)))
-    return out[0], out[1]
-
-
 def words_of(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(doc_id, n_words, n_bytes, digest of the words, phrases): the hashes that represent the text's windows."""
 
@@ -88,127 +78,142 @@ def words_of(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> Dat
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(read, "doc_id long, n_words long, n_bytes long, digest binary, phrases array<long>")
 
 
-class _Text:
-    """The words of one text of a shard and the windows that may recur."""
-
-    def __init__(self, text: str):
-        data = np.frombuffer(text.encode(), np.uint8)
-        words = find_words(data, np.array([0, len(data)]))
-        self.words, self.hashes = text.encode().split(), hash_words(data, words)
-        self.digest = hashlib.sha256(b" ".join(self.words)).digest()
-
-    def phrases(self, wanted: np.ndarray) -> dict[int, str]:
-        """The text of each wanted phrase."""
-        own = phrase_hashes(self.hashes)
-        at = np.flatnonzero(np.isin(own, wanted))
-        return {int(own[i]): b" ".join(self.words[i : i + PHRASE]).decode() for i in at}
-
-    def candidates(self, automaton: ahocorasick.Automaton) -> np.ndarray:
-        """Starts of the windows that contain an occurrence of one of the automaton's phrases."""
-        line = f" {b' '.join(self.words).decode()} "
-        sizes = np.fromiter((len(w.decode()) + 1 for w in self.words), np.int64, len(self.words))
-        ends = {int(e): i for i, e in enumerate(np.cumsum(sizes))}  # the space after each word
-        found = np.fromiter((ends[e] for e, _ in automaton.iter(line)), np.int64) - PHRASE + 1
-        n = len(self.words) - WINDOW + 1
-        change = np.zeros(n + 1, np.int64)
-        first, last = np.maximum(found + PHRASE - WINDOW, 0), np.minimum(found, n - 1)
-        inside = first <= last
-        np.add.at(change, first[inside], 1)
-        np.add.at(change, last[inside] + 1, -1)
-        return np.flatnonzero(np.cumsum(change[:n]) > 0)
-
-
-def _windows(pdf: pd.DataFrame) -> pd.DataFrame:
-    """(one, two: the window's hash, doc_id, digest, start) of all windows of a shard that hold one of its phrases.
-
-    The digest tells texts apart that share a doc_id.
-    """
-    texts, phrases = [], {}
-    for doc_id, wanted, text in zip(pdf["doc_id"], pdf["wanted"], pdf["text"]):
-        texts.append((doc_id, _Text(text)))
-        phrases |= texts[-1][1].phrases(np.asarray(wanted, np.int64).view(np.uint64))
-    out: list[list] = [[] for _ in range(4)]
-    if phrases:
-        automaton = ahocorasick.Automaton()
-        for phrase in phrases.values():
-            automaton.add_word(f" {phrase} ", 1)
-        automaton.make_automaton()
-        for number, (_, found) in enumerate(texts):
-            if len(found.words) >= WINDOW:
-                starts = found.candidates(automaton)
-                one, two = window_hashes(found.hashes)
-                for to, x in zip(out, (one[starts], two[starts], starts, np.full(len(starts), number))):
-                    to.append(x)
-    one, two, start, number = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
-    ids = np.array([x for x, _ in texts], np.int64)
-    digests = np.array([f.digest for _, f in texts] + [b""], object)
-    return pd.DataFrame({"one": one.view(np.int64), "two": two.view(np.int64), "doc_id": ids[number] if len(ids) else number, "digest": digests[number], "start": start})
-
-
-def _runs(windows: pd.DataFrame) -> pd.DataFrame:
-    """(doc_id, digest, start, end): the words that flagged windows cover, as disjoint ranges of each text."""
-    out = []
-    for (doc_id, digest), starts in windows.groupby(["doc_id", "digest"])["start"]:
-        s = np.unique(starts.to_numpy())
-        cut = np.flatnonzero(np.diff(s) > WINDOW)
-        out += [(doc_id, digest, int(a), int(b) + WINDOW) for a, b in zip(s[np.append(0, cut + 1)], s[np.append(cut, len(s) - 1)])]
-    return pd.DataFrame(out, columns=["doc_id", "digest", "start", "end"])
-
-
-def _shard_runs(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The ranges of each text of a shard whose windows an earlier document of the shard has too."""
-    found = _windows(pdf)
-    if not len(found):
-        return _runs(found)
-    order = np.lexsort((found["two"], found["one"]))
-    one, two, ids = (found[x].to_numpy()[order] for x in ("one", "two", "doc_id"))
-    new = np.flatnonzero(np.append(True, (one[1:] != one[:-1]) | (two[1:] != two[:-1])))
-    least = np.repeat(np.minimum.reduceat(ids, new), np.diff(np.append(new, len(ids))))
-    return _runs(found.iloc[order[least < ids]])
-
-
 def routed_texts(docs: DataFrame, firsts: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, text, routes: array of (hot, group, part, wanted)) of the texts that hold a phrase that recurs.
+    """(doc_id, text, digest, routes: array of (hot, group, part, wanted)) of the texts that hold a phrase that recurs.
 
-    All texts with a phrase go where its first document goes: to a shard of many, or, if they are
-    too large together (hot), to several parts of a group of their own. wanted: the recurring
-    phrases of this text that go there. Repeated doc_ids share their routes.
+    What surrounds a phrase goes where the first document with that phrase goes: to a shard of many,
+    or, if all its surroundings are too large together (hot), to several parts of a group of their own.
+    wanted: the recurring phrases of this text that go there. digest: the text that is meant, as
+    rows that share a doc_id come with each other's routes.
     """
-    held = firsts.select("first", "n_bytes", F.explode("phrases").alias("phrase"))
-    recurring = materialize(held.groupBy("phrase").agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("home")).where("n > 1").select(F.col("phrase").alias("_phrase"), "home"), "recurring")
-    routes = held.join(recurring, F.col("phrase") == F.col("_phrase")).groupBy("first", "home").agg(F.max("n_bytes").alias("n_bytes"), F.collect_set("phrase").alias("wanted"))
-    routes = materialize(routes, "routes")
-    dealt = routes.groupBy(F.col("home").alias("_home")).agg(F.ceil(F.sum("n_bytes") / SHARD_BYTES).alias("parts"))
-    shards = max(1, (routes.agg(F.sum("n_bytes")).first()[0] or 0) // SHARD_BYTES)
+    held = firsts.select("first", "digest", "n_bytes", "n_words", F.explode("phrases").alias("phrase"))
+    recurring = held.groupBy("phrase").agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("home")).where("n > 1").select(F.col("phrase").alias("_phrase"), "home")
+    recurring = materialize(recurring, "recurring")
+    most = F.least(F.col("n_bytes"), F.ceil(F.count(F.lit(1)) * (2 * WINDOW - PHRASE) * F.col("n_bytes") / F.col("n_words")))  # of bytes that surround them
+    routes = held.join(recurring, F.col("phrase") == F.col("_phrase")).groupBy("first", "digest", "n_bytes", "n_words", "home").agg(F.collect_set("phrase").alias("wanted"), most.alias("around"))
+    routes = materialize(routes.select("first", "digest", "home", "wanted", "around"), "routes")
+    dealt = routes.groupBy(F.col("home").alias("_home")).agg(F.ceil(F.sum("around") / SHARD_BYTES).alias("parts"))
+    shards = max(1, 2 * (routes.agg(F.sum("around")).first()[0] or 0) // SHARD_BYTES)  # half full on the average
     hot = F.col("parts") > 1
-    group, part = F.when(hot, F.col("home")).otherwise(F.pmod(F.xxhash64("home"), F.lit(shards))), F.when(hot, F.pmod(F.xxhash64("first"), F.col("parts"))).otherwise(0)
-    by_group = routes.join(dealt, F.col("home") == F.col("_home")).groupBy(F.col("first").alias("_first"), hot.alias("hot"), group.alias("group"), part.alias("part")).agg(F.flatten(F.collect_list("wanted")).alias("wanted"))
-    grouped = by_group.groupBy("_first").agg(F.collect_list(F.struct("hot", "group", "part", "wanted")).alias("routes"))
-    ids = small_side(routes.select(F.col("first").alias("_id")).distinct(), BROADCAST_ROWS)
+    group, part = F.when(hot, F.col("home")).otherwise(F.pmod(F.xxhash64("home"), F.lit(shards))), F.when(hot, F.pmod(F.xxhash64("digest"), F.col("parts"))).otherwise(0)
+    by_group = routes.join(dealt, F.col("home") == F.col("_home")).groupBy("first", "digest", hot.alias("hot"), group.alias("group"), part.alias("part")).agg(F.flatten(F.collect_list("wanted")).alias("wanted"))
+    grouped = by_group.groupBy(F.col("first").alias("_first"), "digest").agg(F.collect_list(F.struct("hot", "group", "part", "wanted")).alias("routes"))
+    ids = small_side(materialize(routes.select(F.col("first").alias("_id")).distinct(), "held"))
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(ids, F.col("doc_id") == F.col("_id"), "left_semi")
-    return materialize(own.join(grouped, F.col("doc_id") == F.col("_first")).select("doc_id", "text", "routes"), "texts")
+    return materialize(own.join(grouped, F.col("doc_id") == F.col("_first")).select("doc_id", "text", "digest", "routes"), "texts")
+
+
+def surroundings(texts: DataFrame) -> DataFrame:
+    """(hot, group, part, doc_id, digest, at, places, piece): the words around the wanted phrases of each text, joined by one space.
+
+    A piece holds every window of WINDOW words that holds one of the phrases of its group; pieces
+    that touch are one. at: the piece's first word; places: where in it the phrases begin.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc_id, text, digest, routes in zip(*(c.to_pylist() for c in batch.columns)):
+                words = text.encode().split()
+                if hashlib.sha256(b" ".join(words)).digest() != digest:
+                    continue
+                data = np.frombuffer(text.encode(), np.uint8)
+                own, out = phrase_hashes(hash_words(data, find_words(data, np.array([0, len(data)])))), []
+                for route in routes:
+                    found = np.flatnonzero(np.isin(own, np.asarray(route["wanted"], np.int64).view(np.uint64)))
+                    begins, ends = np.maximum(found + PHRASE - WINDOW, 0), np.minimum(found + WINDOW, len(words))
+                    cuts = np.flatnonzero(begins[1:] > ends[:-1]) + 1
+                    for some in np.split(np.arange(len(found)), cuts):
+                        a, b = int(begins[some[0]]), int(ends[some[-1]])
+                        out.append((route["hot"], route["group"], route["part"], doc_id, digest, a, (found[some] - a).tolist(), b" ".join(words[a:b]).decode()))
+                if out:
+                    kinds = (pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int32()), pa.string())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["hot", "group", "part", "doc_id", "digest", "at", "places", "piece"])
+
+    return texts.select("doc_id", "text", "digest", "routes").mapInArrow(cut, "hot boolean, group long, part long, doc_id long, digest binary, at long, places array<int>, piece string")
+
+
+def locate(line: str, data: np.ndarray, spaces: np.ndarray, phrases: list[str]) -> np.ndarray:
+    """The word with which each occurrence of a phrase ends in a line of words; spaces: the bytes of the space before each word and after the last."""
+    automaton = ahocorasick.Automaton()
+    for phrase in phrases:
+        automaton.add_word(f" {phrase} ", 1)
+    automaton.make_automaton()
+    at = (np.cumsum((data & 0xC0) != 0x80) - 1)[spaces]  # the same in characters
+    return np.searchsorted(at, np.fromiter((end for end, _ in automaton.iter(line)), np.int64)) - 1
+
+
+def _ranges(number: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number, start, end): the words that the windows at `starts` cover in each numbered piece, as disjoint ranges; both in order."""
+    cut = np.flatnonzero((np.diff(number) != 0) | (np.diff(starts) > WINDOW)) + 1
+    first, last = np.append(0, cut)[: len(starts)], np.append(cut, len(starts))[: len(starts)] - 1
+    return number[first], starts[first], starts[last] + WINDOW
+
+
+def _shard(pdf: pd.DataFrame) -> pd.DataFrame:
+    """What a shard's pieces tell: ranges of words that repeat, and windows of a hot group that other parts have to compare.
+
+    The shard's phrases are compiled into an automaton, which finds every occurrence in all pieces.
+    Windows around occurrences are equal where all their words are. One whose document isn't the
+    first of the shard to have it repeats. The first is known to be the first of all where the
+    shard has all pieces with its phrases; else (hot) its window is returned under a digest of its words.
+    """
+    ids, at, digests, hot = pdf["doc_id"].to_numpy(), pdf["at"].to_numpy(), pdf["digest"].to_numpy(), bool(pdf["hot"].iloc[0])
+    line = f" {BETWEEN.join(pdf['piece'])} "
+    data = np.frombuffer(line.encode(), np.uint8)
+    spaces = np.flatnonzero(data == 0x20)
+    starts, ends = spaces[:-1] + 1, spaces[1:]
+    breaks = np.flatnonzero((ends - starts == 1) & (data[starts] == 0x0A))
+    first = np.append(0, breaks + 1)  # of each piece
+    piece = np.searchsorted(breaks, np.arange(len(starts)), side="right")
+    piece[breaks] = -1
+    names = word_names(*word_keys(data, starts, ends))
+    places = pdf["places"]
+    where = np.repeat(first, places.map(len)) + np.concatenate(places.to_list())
+    chosen = where[np.unique(run_names(names, PHRASE)[where], return_index=True)[1]]
+    found = locate(line, data, spaces, [data[starts[i] : ends[i + PHRASE - 1]].tobytes().decode() for i in chosen.tolist()]) - PHRASE + 1
+    n = len(starts) - WINDOW + 1
+    if n <= 0:
+        n, found = 0, found[:0]
+    change = np.zeros(n + 1, np.int64)
+    np.add.at(change, np.maximum(found + PHRASE - WINDOW, 0), 1)
+    np.add.at(change, np.minimum(found + 1, n), -1)
+    windows = np.flatnonzero((np.cumsum(change[:n]) > 0) & (piece[:n] == piece[WINDOW - 1 :]) & (piece[:n] >= 0)) if n else np.zeros(0, np.int64)
+    owner = piece[windows]
+    same, doc = run_names(names, WINDOW)[windows], ids[owner]
+    order = np.argsort(same, kind="stable")
+    new = np.flatnonzero(np.diff(same[order], prepend=-1))
+    least = np.empty_like(doc)
+    least[order] = np.repeat(np.minimum.reduceat(doc[order], new), np.diff(np.append(new, len(order)))) if len(order) else doc
+    repeated = least < doc
+    number, begin, end = _ranges(owner[repeated], windows[repeated])
+    shift = at - first
+    out = pd.DataFrame({"doc_id": ids[number], "digest": digests[number], "start": begin + shift[number], "end": end + shift[number], "window": None})
+    if hot:
+        open_, number = windows[~repeated], owner[~repeated]
+        marks = [hashlib.blake2b(data[a:b], digest_size=20).digest() for a, b in zip(starts[open_].tolist(), ends[open_ + WINDOW - 1].tolist())]
+        begin = open_ + shift[number]
+        out = pd.concat([out, pd.DataFrame({"doc_id": ids[number], "digest": digests[number], "start": begin, "end": begin + WINDOW, "window": marks})])
+    return out
 
 
 def _search(docs: DataFrame, text: str, id_col: str) -> tuple[DataFrame, DataFrame]:
     """(what `repeats` returns, the texts that were searched)."""
     base = materialize(words_of(docs, text, id_col), "words")
-    firsts = base.where((F.col("n_words") >= WINDOW) & F.col("doc_id").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("first"), F.first("n_bytes").alias("n_bytes"), F.first("phrases").alias("phrases"))
+    firsts = base.where((F.col("n_words") >= WINDOW) & F.col("doc_id").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("first"), F.first("n_bytes").alias("n_bytes"), F.first("n_words").alias("n_words"), F.first("phrases").alias("phrases"))
     firsts = materialize(firsts, "firsts")
     texts = routed_texts(docs, firsts, text, id_col)
-    sent = texts.select("doc_id", "text", F.inline("routes")).select("hot", "group", "part", "doc_id", "wanted", "text")
-    runs = sent.where("NOT hot").groupBy("group").applyInPandas(_shard_runs, "doc_id long, digest binary, start long, end long")
-    if not texts.where(F.exists("routes", lambda r: r["hot"])).isEmpty():
-        windows = sent.where("hot").groupBy("group", "part").applyInPandas(_windows, "one long, two long, doc_id long, digest binary, start long")
-        windows = materialize(windows, "windows")
-        least = windows.groupBy("one", "two").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("one", "two", "least")
-        flagged = windows.join(least, ["one", "two"]).where("least < doc_id")
-        runs = runs.unionByName(flagged.select("doc_id", "digest", "start", (F.col("start") + WINDOW).alias("end")))
+    found = surroundings(texts).groupBy("group", "part").applyInPandas(_shard, "doc_id long, digest binary, start long, end long, window binary")
+    found = materialize(found, "found")
+    waiting = found.where("window IS NOT NULL")
+    earlier = waiting.groupBy("window").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select(F.col("window").alias("_window"), "least")
+    more = waiting.join(earlier, F.col("window") == F.col("_window")).where("least < doc_id")
+    runs = found.where("window IS NULL").drop("window").unionByName(more.select("doc_id", "digest", "start", "end"))
     spans = runs.groupBy("doc_id", "digest").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
     spans = materialize(spans, "spans").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), "spans")
     first_of = firsts.select(F.col("digest").alias("_of"), "first")
     whole = F.coalesce(F.col("first") < F.col("doc_id"), F.lit(False))
-    found = base.select("doc_id", "digest", "n_words").join(first_of, F.col("digest") == F.col("_of"), "left").join(spans, (F.col("digest") == F.col("_digest")) & (F.col("doc_id") == F.col("_id")), "left")
-    return found.select("doc_id", "digest", "n_words", whole.alias("whole"), F.when(~whole, F.col("spans")).alias("spans")), texts
+    joined = base.select("doc_id", "digest", "n_words").join(first_of, F.col("digest") == F.col("_of"), "left").join(spans, (F.col("digest") == F.col("_digest")) & (F.col("doc_id") == F.col("_id")), "left")
+    return joined.select("doc_id", "digest", "n_words", whole.alias("whole"), F.when(~whole, F.col("spans")).alias("spans")), texts
 
 
 def repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:

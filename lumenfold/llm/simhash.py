@@ -15,10 +15,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, without
+from .common import at_places, materialize, place_of, with_row
 from .components import connected_components
 
 WIDTH, SEED, DISTANCE, BLOCKS = 3, 42, 3, 6
@@ -45,15 +45,16 @@ def fingerprint(text: str | None, width: int = WIDTH) -> int:
     return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, fp long: the 64 bits as a signed integer) of every row."""
+def fingerprints(docs: DataFrame, text: str = "text", id_col: str = "doc_id", place: str | None = None) -> DataFrame:
+    """(doc_id, fp long: the 64 bits as a signed integer) of every row; place: a struct (file, at) that tells rows apart, whose fields are added."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(x) for x in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64)), *batch.columns[2:]], names=["doc_id", "fp", *batch.schema.names[2:]])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(compute, "doc_id long, fp long")
+    columns = [F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"), *place_of(place)]
+    return docs.select(*columns).mapInArrow(compute, "doc_id long, fp long" + ", file long, at long" * bool(place))
 
 
 def block_masks(blocks: int = BLOCKS, distance: int = DISTANCE) -> list[int]:
@@ -136,6 +137,16 @@ def links(fps: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, bucket
     return found.distinct()
 
 
+def components_of(rows: DataFrame, distance: int, first: Column) -> DataFrame:
+    """(fp, first: the least value of that column in the component) of every fingerprint of rows whose component has more than one row."""
+    distinct = materialize(rows.groupBy("fp").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("n")), "distinct")
+    joined = connected_components(links(distinct.select("fp"), distance))
+    linked = distinct.join(joined, F.col("fp") == F.col("node"), "left").select("fp", "first", "n", F.coalesce("component", "fp").alias("component"))
+    # a component's rows meet only as partial sums, and in a join that adaptive execution can split
+    groups = linked.groupBy("component").agg(F.min("first").alias("first"), F.sum("n").alias("rows")).where("rows > 1").select(F.col("component").alias("_component"), F.col("first").alias("_first"))
+    return linked.join(groups, F.col("component") == F.col("_component")).select(F.col("fp").alias("_fp"), "_first")
+
+
 def near_groups(docs: DataFrame, distance: int = DISTANCE, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row per document: doc_id, fingerprint (16 lowercase hex digits), component_id.
 
@@ -145,16 +156,19 @@ def near_groups(docs: DataFrame, distance: int = DISTANCE, text: str = "text", i
     alone has a null component_id. Rows that repeat are returned as often. An empty table gives no rows.
     """
     rows = materialize(fingerprints(docs, text, id_col), "fingerprints")
-    distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "distinct")
-    joined = connected_components(links(distinct.select("fp"), distance))
-    linked = distinct.join(joined, F.col("fp") == F.col("node"), "left").select("fp", "first", "n", F.coalesce("component", "fp").alias("component"))
-    # a component's rows meet only as partial sums, and in a join that adaptive execution can split
-    groups = linked.groupBy("component").agg(F.min("first").alias("component_id"), F.sum("n").alias("rows")).where("rows > 1").select(F.col("component").alias("_component"), "component_id")
-    known = linked.join(groups, F.col("component") == F.col("_component")).select(F.col("fp").alias("_fp"), "component_id")
-    return rows.join(known, F.col("fp") == F.col("_fp"), "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("_fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    known = components_of(rows, distance, F.col("doc_id"))
+    return rows.join(known, F.col("fp") == F.col("_fp"), "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("_fp").isNull(), F.col("doc_id")).otherwise(F.col("_first")).alias("component_id"))
 
 
-def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its component, with all their columns; null doc_ids without others stay."""
-    gone = near_groups(docs).groupBy("doc_id").agg(F.bool_or(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("first")).where("NOT first")
-    return without(docs, gone.select("doc_id"))
+def keep_one_of_each(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """Of each component of near duplicates (see `near_groups`) the row with the smallest doc_id, with all its columns.
+
+    Rows are told apart by where they stand in their files; of several with that doc_id, or of a
+    component without any doc_id, the first in the files stays. Other columns may have any names.
+    """
+    named, row = with_row(docs)
+    rows = materialize(fingerprints(named, place=row), "fingerprints")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "file", "at")
+    known = components_of(rows, distance, order)
+    gone = rows.join(known, F.col("fp") == F.col("_fp")).where((F.col("file") != F.col("_first")["file"]) | (F.col("at") != F.col("_first")["at"])).select("file", "at")
+    return at_places(named, row, materialize(gone, "gone"), "left_anti").select(*docs.columns)
