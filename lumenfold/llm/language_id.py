@@ -27,11 +27,17 @@ TEMPER = 10.0
 DECLARED, ADDRESSED = 0.85, 0.75
 #: Pseudo-pages of the level above in the prior of a host, and of a domain.
 HOST_WEIGHT, DOMAIN_WEIGHT = 4.0, 8.0
-#: Hosts and domains whose sums may be broadcast.
-BROADCAST_ROWS = 100_000
+#: Languages that the table of likelihoods may have; with more, `lang` holds something else and the job is refused.
+MOST_LANGUAGES = 64
 
 #: Address suffixes of countries and the language that most of their pages use.
-SUFFIXES = {"at": "de", "ch": "de", "de": "de", "es": "es", "fr": "fr", "ie": "en", "mx": "es", "uk": "en", "us": "en"}
+SUFFIXES = {
+    "ar": "es", "at": "de", "au": "en", "br": "pt", "ca": "en", "ch": "de", "cl": "es", "cn": "zh", "co": "es", "cr": "es", "cu": "es", "cz": "cs", "de": "de", "dk": "da", "ec": "es",
+    "es": "es", "fi": "fi", "fr": "fr", "gr": "el", "hu": "hu", "ie": "en", "it": "it", "jp": "ja", "kr": "ko", "li": "de", "mc": "fr", "mx": "es", "nl": "nl", "no": "no", "nz": "en",
+    "pe": "es", "pl": "pl", "pt": "pt", "ro": "ro", "ru": "ru", "se": "sv", "sn": "fr", "tr": "tr", "ua": "uk", "uk": "en", "us": "en", "uy": "es", "ve": "es",
+}
+#: Labels below which countries register names, as in example.co.uk.
+SECOND_LEVEL = ("ac", "asso", "co", "com", "edu", "go", "gob", "gouv", "gov", "gv", "ltd", "me", "ne", "net", "nom", "or", "org", "plc", "sch")
 
 
 def language_counts(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
@@ -56,15 +62,24 @@ def language_counts(docs: DataFrame, text: str = "text", lang: str = "lang") ->
 
 
 def log_likelihoods(counts: DataFrame) -> tuple[list[str], np.ndarray]:
-    """(languages in order, log probability of each bucket in each): 2**BITS rows for each language come to the driver."""
-    rows = counts.collect()
-    langs = sorted({r["lang"] for r in rows})
+    """(languages in order, log probability of each bucket in each): 2**BITS rows for each of MOST_LANGUAGES come to the driver at most."""
+    counts = materialize(counts, "languages")
+    langs = sorted(r["lang"] for r in counts.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect())
+    if len(langs) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages, such as {langs[:5]}")
+    rows = counts.join(F.broadcast(counts.sparkSession.createDataFrame(list(enumerate(langs)), "i int, _lang string")), F.col("lang") == F.col("_lang")).select("bucket", "i", "n").toPandas()
     n = np.full((1 << BITS, len(langs)), PSEUDO)
-    for r in rows:
-        n[r["bucket"], langs.index(r["lang"])] += r["n"]
+    n[rows["bucket"], rows["i"]] += rows["n"]
     return langs, np.log(n / n.sum(0)) if langs else n
 
 
+def domain_of(host):
+    """Column: the name that was registered: the last two labels of a host, three where a country registers below such as co; an address of digits is its own."""
+    second, top = F.substring_index(F.substring_index(host, ".", -2), ".", 1), F.substring_index(host, ".", -1)
+    labels = F.when((F.length(top) == 2) & second.isin(*SECOND_LEVEL), F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2))
+    return F.when(host.rlike(r"^[0-9.]+$"), host).otherwise(labels)
+
+
 def visible(html):
     """Column: a page without its head, scripts, styles, comments, navigation and tags; null is empty."""
     out = F.coalesce(html, F.lit(""))
@@ -81,7 +96,7 @@ def evidence(pages: DataFrame, langs: list[str]) -> DataFrame:
     declared = F.lower(F.regexp_extract(F.coalesce("html", F.lit("")), r"""(?is)<html\b[^>]*\blang\s*=\s*["']?([a-z]{2})""", 1))
     suffix = F.try_element_at(F.create_map(*[F.lit(x) for kv in SUFFIXES.items() for x in kv]), F.substring_index(host, ".", -1))
     known = lambda x: F.when(x.isin(langs), x)
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), F.substring_index(host, ".", -2).alias("domain"), known(declared).alias("declared"), F.coalesce(known(path), known(suffix)).alias("addressed"), visible(F.col("html")).alias("body"))
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), domain_of(host).alias("domain"), known(declared).alias("declared"), F.coalesce(known(path), known(suffix)).alias("addressed"), visible(F.col("html")).alias("body"))
 
 
 def _says(named: np.ndarray, langs: list[str], right: float) -> np.ndarray:
@@ -93,6 +108,7 @@ def _says(named: np.ndarray, langs: list[str], right: float) -> np.ndarray:
 
 def text_evidence(found: DataFrame, langs: list[str], table: np.ndarray) -> DataFrame:
     """found without its body, and scores: for each language, the log likelihood of text, markup and address together."""
+    shared = found.sparkSession.sparkContext.broadcast(table)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -102,7 +118,7 @@ def text_evidence(found: DataFrame, langs: list[str], table: np.ndarray) -> Data
                 bucket, first = gram_buckets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], GRAM, BITS)
                 owner = np.repeat(np.arange(b - a), np.diff(first))
                 for i in range(len(langs)):
-                    text[a:b, i] = np.bincount(owner, table[bucket, i], b - a) / TEMPER
+                    text[a:b, i] = np.bincount(owner, shared.value[bucket, i], b - a) / TEMPER
             for column, right in (("declared", DECLARED), ("addressed", ADDRESSED)):
                 text += _says(np.array(batch.column(column).to_pylist() + [None], object)[:-1], langs, right)
             kept = [batch.column(x) for x in ("page_id", "host", "domain", "declared", "addressed")]
@@ -119,21 +135,23 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
     lang is the language of the highest posterior, the first by name of equal ones. A page without
     text, markup or address is decided by its host and, for want of one, by all pages. If no
     document has a language, lang and probability are null. Repeated pages count as often in the
-    priors; null urls share the empty host.
+    priors; null urls share the empty host. An empty table gives no rows, and text of any length is
+    read whole. More than MOST_LANGUAGES values of `lang` are an error.
     """
     langs, table = log_likelihoods(language_counts(docs))
     if not langs:
         return evidence(pages, []).select("page_id", F.lit(None).cast("string").alias("lang"), F.lit(None).cast("double").alias("probability"), "declared", "addressed", "host")
     scored = materialize(text_evidence(evidence(pages, langs), langs, table), "evidence")
     each = range(len(langs))
-    sums = [F.sum(F.round(F.col("p")[i] * 1e9).cast("long")).alias(f"s{i}") for i in each]
-    vector = lambda name: F.array(*[F.col(f"s{i}") / 1e9 for i in each]).alias(name)  # noqa: E731  sums of integers don't depend on their order
-    hosts = scored.groupBy(F.col("host").alias("_host")).agg(*sums).select("_host", vector("at_host"))
-    domains = scored.groupBy(F.col("domain").alias("_domain")).agg(*sums).select("_domain", vector("at_domain"))
-    everywhere = [x or 0.0 for x in (scored.agg(*sums).select(vector("v")).first()["v"])]
+    sums = lambda to: [F.sum(F.round(F.col("p")[i] * 1e9).cast("long")).alias(f"{to}{i}") for i in each]  # noqa: E731  sums of integers don't depend on their order
+    vector = lambda of: F.array(*[F.col(f"{of}{i}") / 1e9 for i in each])
+    hosts = materialize(scored.groupBy(F.col("host").alias("_host")).agg(*sums("h")), "hosts")
+    domains = materialize(scored.groupBy(F.col("domain").alias("_domain")).agg(*sums("d")), "domains")
+    everywhere = [(x or 0) / 1e9 for x in scored.agg(*sums("e")).first()]
     total = max(sum(everywhere), 1e-9)
     root = F.array(*[F.lit((x + 1) / (total + len(langs))) for x in everywhere])
-    joined = scored.join(small_side(hosts, BROADCAST_ROWS), F.col("host") == F.col("_host")).join(small_side(domains, BROADCAST_ROWS), F.col("domain") == F.col("_domain"))
+    joined = scored.join(small_side(hosts), F.col("host") == F.col("_host")).join(small_side(domains), F.col("domain") == F.col("_domain"))
+    joined = joined.withColumns({"at_host": vector("h"), "at_domain": vector("d")})
 
     def smoothed(counts: str, above, weight: float):
         own = F.zip_with(counts, "p", lambda n, p: F.greatest(n - p, F.lit(0.0)))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import steps, texts_of
-from .words import LOWER, PUNCTUATION, find_words, hash_words, mix
+from .words import LOWER, PUNCTUATION, find_words, fold_keys, mix, word_keys
 
 #: Words in a fingerprint; fingerprints in a winnowing window; words that a passage may have more than its template, at least; least coverage.
 GRAM, WINDOW, BAND, COVERAGE = 3, 2, 8, 0.8
@@ -51,6 +51,7 @@ def whole_texts() -> dict[str, str]:
 class Index(NamedTuple):
     names: list[str]
     words: list[np.ndarray]
+    known: tuple[np.ndarray, np.ndarray, np.ndarray]  # all templates' words, in the order of their hashes: (hash, both parts of the key)
     grams: np.ndarray  # sorted
     places: list[list[int]]  # of each gram: the templates that have it
     masks: list[_Masks]
@@ -65,9 +66,23 @@ def _grams(hashes: np.ndarray, n: int = GRAM) -> np.ndarray:
     return out
 
 
-def _word_hashes(data: np.ndarray, offsets: np.ndarray):
+def _word_hashes(data: np.ndarray, offsets: np.ndarray, known: tuple | None = None):
+    """(words, a hash of each); with the words that templates have, the hash of any other is 0: it matches none."""
     words = find_words(data, offsets, PUNCTUATION)
-    return words, hash_words(LOWER[data], words)
+    low, high = word_keys(LOWER[data], words.starts, words.ends)
+    hashes = fold_keys(low, high)
+    if known is not None:
+        at = np.minimum(np.searchsorted(known[0], hashes), len(known[0]) - 1)
+        hashes[(known[1][at] != low) | (known[2][at] != high)] = 0
+    return words, hashes
+
+
+def _known(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    data = np.frombuffer(" ".join(texts).encode(), np.uint8)
+    words = find_words(data, np.array([0, len(data)]), PUNCTUATION)
+    low, high = word_keys(LOWER[data], words.starts, words.ends)
+    hashes, at = np.unique(fold_keys(low, high), return_index=True)
+    return hashes, low[at], high[at]
 
 
 def winnow(grams: np.ndarray, window: int = WINDOW) -> list[int]:
@@ -91,7 +106,7 @@ def build_index(templates: dict[str, str]) -> Index:
         for at in winnow(grams):
             places[int(grams[at])].add(t)
     found = sorted(places)
-    return Index(list(templates), words, np.array(found, np.uint64), [sorted(places[g]) for g in found], [_Masks(w) for w in words])
+    return Index(list(templates), words, _known(list(templates.values())), np.array(found, np.uint64), [sorted(places[g]) for g in found], [_Masks(w) for w in words])
 
 
 def _reach(masks: list[int], full: int, need: int, at: int = 0) -> int:
@@ -220,18 +235,18 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: flo
             ids, out = batch.column(0).to_pylist(), []
             for a, b in steps(offsets):
                 part, base = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-                words, hashes = _word_hashes(part, base)
+                words, hashes = _word_hashes(part, base, index.known)
                 grams = _grams(hashes)
                 at = np.minimum(np.searchsorted(index.grams, grams), len(index.grams) - 1)
                 hit = np.flatnonzero(index.grams[at] == grams)
                 hit = hit[words.text[hit] == words.text[hit + GRAM - 1]] if len(hit) else hit
+                chars = np.concatenate(([0], np.cumsum((part & 0xC0) != 0x80))) if len(hit) else base  # characters before each byte
                 for doc, own in _by_text(words.text[hit], hit):
                     first, last = words.first[doc], words.first[doc + 1]
                     begin = base[doc]
                     for t, matched, one, two in _matches(index, hashes[first:last], [(int(i - first), int(at[i])) for i in own], coverage):
-                        start = len(part[begin : words.starts[first + one]].tobytes().decode())
-                        size = len(part[words.starts[first + one] : words.ends[first + two]].tobytes().decode())
-                        out.append((ids[a + doc], index.names[t], matched / len(index.words[t]), matched, start, start + size))
+                        start, end = (int(chars[x] - chars[begin]) for x in (words.starts[first + one], words.ends[first + two]))
+                        out.append((ids[a + doc], index.names[t], matched / len(index.words[t]), matched, start, end))
             columns = list(zip(*out)) if out else [[]] * 6
             kinds = [pa.int64(), pa.string(), pa.float64(), pa.int32(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "license", "coverage", "matched_words", "start_char", "end_char"])

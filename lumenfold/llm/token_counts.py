@@ -1,15 +1,18 @@
 """Edit-aware token counts: a segment tree of pre-tokens for each document.
 
 A byte-level BPE never merges across the pre-tokens that its pattern cuts, so a document's count is
-the sum of its pre-tokens' counts. The tree holds characters and tokens of every node; an edit walks
-down to the pre-tokens that it touches, cuts and encodes only from the one before it to the first
-old boundary that the new cuts meet again, and updates the sums on the way up.
+the sum of its pre-tokens' counts. The tree holds characters and tokens of every node, and its
+leaves are stored. An edit walks down to the leaves that it touches, cuts and encodes only from the
+pre-token before it to the first old boundary that the new cuts meet again, and updates the sums on
+the way up; other leaves are neither cut nor encoded.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterator
+from itertools import accumulate, islice
 
 import pyarrow as pa
 import regex
@@ -17,10 +20,13 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pre-tokens of a leaf when a tree is built; a leaf of SPLIT times as many has the tree built anew.
+from .common import materialize, small_side
+
+#: Pre-tokens of a leaf when a tree is built; a leaf of SPLIT times as many is split.
 LEAF, SPLIT = 64, 8
 #: Distinct pre-tokens whose counts a Python worker remembers, at most.
 REMEMBERED = 300_000
+_LEAVES = ("leaf_chars", "leaf_tokens", "leaf_pretokens")
 
 
 class Counter:
@@ -48,29 +54,51 @@ class Counter:
 class SegmentTree:
     """Pre-tokens of one text in leaves, with the characters and tokens under every node of a binary tree.
 
-    Node 1 is the root, node i has the children 2i and 2i + 1, and leaf k is node size + k.
+    Node 1 is the root, node i has the children 2i and 2i + 1, and leaf k is node size + k. A leaf
+    that comes from a stored tree is its place in the text until an edit needs its pre-tokens.
     """
 
-    def __init__(self, counter: Counter, text: str):
-        self.counter, self.encoded = counter, 0
-        self._build(counter.cut(text))
-
-    def _build(self, pieces: list[str]) -> None:
-        self.leaves = [pieces[i : i + LEAF] for i in range(0, len(pieces), LEAF)] or [[]]
-        self.size = 1 << (len(self.leaves) - 1).bit_length()
+    def __init__(self, counter: Counter, text: str, stored: tuple[list[int], list[int], list[int]] | None = None):
+        """stored: characters, tokens and pre-tokens of each leaf of this text's tree; without it the text is cut and encoded."""
+        self.counter, self.source, self.encoded = counter, text, 0
+        if stored is None:
+            pieces = counter.cut(text)
+            self._plant([self._counted(pieces[i : i + LEAF]) for i in range(0, len(pieces), LEAF)])
+        else:
+            self._plant(list(zip(accumulate(stored[0], initial=0), *stored)))
+
+    def _counted(self, leaf: list[str]) -> tuple[list[str], int, int, int]:
+        return leaf, sum(map(len, leaf)), sum(map(self.counter, leaf)), len(leaf)
+
+    def _plant(self, leaves: list[tuple]) -> None:
+        """leaves: pre-tokens or their place in the source, then characters, tokens and pre-tokens."""
+        leaves = leaves or [([], 0, 0, 0)]
+        self.leaves, self.counts = [x[0] for x in leaves], [x[3] for x in leaves]
+        self.size = 1 << (len(leaves) - 1).bit_length()
         self.chars, self.tokens = [0] * (2 * self.size), [0] * (2 * self.size)
-        for k, leaf in enumerate(self.leaves):
-            self.chars[self.size + k], self.tokens[self.size + k] = sum(map(len, leaf)), sum(map(self.counter, leaf))
+        for k, (_, chars, tokens, _) in enumerate(leaves):
+            self.chars[self.size + k], self.tokens[self.size + k] = chars, tokens
         for i in range(self.size - 1, 0, -1):
             self._sum(i)
 
+    def stored(self) -> tuple[list[int], list[int], list[int]]:
+        """Characters, tokens and pre-tokens of each leaf."""
+        n = len(self.leaves)
+        return self.chars[self.size : self.size + n], self.tokens[self.size : self.size + n], self.counts
+
+    def _leaf(self, k: int) -> list[str]:
+        if isinstance(self.leaves[k], int):
+            found = self.counter.pattern.finditer(self.source, self.leaves[k])
+            self.leaves[k] = [m.group() for m in islice(found, self.counts[k])]
+        return self.leaves[k]
+
     def _sum(self, i: int) -> None:
         self.chars[i], self.tokens[i] = self.chars[2 * i] + self.chars[2 * i + 1], self.tokens[2 * i] + self.tokens[2 * i + 1]
 
-    def _set(self, k: int, leaf: list[str]) -> None:
-        self.leaves[k] = leaf
+    def _set(self, k: int, leaf: list[str], chars: int, tokens: int) -> None:
+        self.leaves[k], self.counts[k] = leaf, len(leaf)
         i = self.size + k
-        self.chars[i], self.tokens[i] = sum(map(len, leaf)), sum(map(self.counter, leaf))
+        self.chars[i], self.tokens[i] = chars, tokens
         while i > 1:
             i //= 2
             self._sum(i)
@@ -93,8 +121,12 @@ class SegmentTree:
     def length(self) -> int:
         return self.chars[1]
 
+    @property
+    def pretokens(self) -> int:
+        return sum(self.counts)
+
     def text(self) -> str:
-        return "".join(x for leaf in self.leaves for x in leaf)
+        return "".join(x for k in range(len(self.leaves)) for x in self._leaf(k))
 
     def edit(self, at: int, delete: int, insert: str) -> int:
         """Replace `delete` characters from `at` on by `insert`; returns the new total. Both are cut to the text's length."""
@@ -106,14 +138,14 @@ class SegmentTree:
             first -= 1
             start -= self.chars[self.size + first]
         index, begin = self._position(first, start, at)
-        index, begin = max(index - 1, 0), begin - (len(self.leaves[first][index - 1]) if index > 0 else 0)
+        index, begin = max(index - 1, 0), begin - (len(self._leaf(first)[index - 1]) if index > 0 else 0)
         # old pre-tokens from there on, and where each ends in the new text
-        last, kept = first, self.leaves[first][:index]
-        old = self.leaves[first][index:]
+        last, kept = first, self._leaf(first)[:index]
+        old = self._leaf(first)[index:]
         shift = len(insert) - delete
         while last + 1 < len(self.leaves) and begin + sum(map(len, old)) < at + delete:
             last += 1
-            old += self.leaves[last]
+            old += self._leaf(last)
         while True:
             joined = "".join(old)
             text = joined[: at - begin] + insert + joined[at - begin + delete :]
@@ -121,31 +153,33 @@ class SegmentTree:
             for n, piece in enumerate(old):
                 ends[position + shift] = n  # an old boundary, in the new text, and the old pieces before it
                 position += len(piece)
-            new, position = [], begin
-            tail = None
+            new, position, met = [], begin, len(old)
             for found in self.counter.pattern.finditer(text):
                 if position >= at + len(insert) and position in ends and position - shift >= at + delete and new:
-                    tail = old[ends[position] :]
+                    met = ends[position]
                     break
                 new.append(found.group())
                 position += len(new[-1])
-            if tail is not None or last + 1 >= len(self.leaves):
+            if met < len(old) or last + 1 >= len(self.leaves):
                 break
             last += 1  # no old boundary was met inside these leaves
-            old += self.leaves[last]
-        self.encoded += len(new)
-        self._set(first, kept + new + (tail or []))
+            old += self._leaf(last)
+        self.encoded += met + len(new)
+        tokens = sum(self.tokens[self.size + first : self.size + last + 1]) + sum(map(self.counter, new)) - sum(map(self.counter, old[:met]))
+        chars = sum(self.chars[self.size + first : self.size + last + 1]) + shift
         for k in range(first + 1, last + 1):
-            if self.leaves[k]:
-                self._set(k, [])
-        if len(self.leaves[first]) > LEAF * SPLIT:
-            self._build([x for leaf in self.leaves for x in leaf])
+            self._set(k, [], 0, 0)
+        self._set(first, kept + new + old[met:], chars, tokens)
+        if self.counts[first] > LEAF * SPLIT:
+            whole, leaves = self.leaves[first], list(zip(self.leaves, *self.stored()))
+            leaves[first : first + 1] = [self._counted(whole[i : i + LEAF]) for i in range(0, len(whole), LEAF)]
+            self._plant(leaves)
         return self.total
 
     def _position(self, leaf: int, start: int, at: int) -> tuple[int, int]:
         """(index, first character) of the last pre-token of a leaf that begins before `at`; (0, start) if none does."""
         index, begin = 0, start
-        for i, piece in enumerate(self.leaves[leaf]):
+        for i, piece in enumerate(self._leaf(leaf)):
             if start >= at:
                 break
             index, begin = i, start
@@ -153,53 +187,114 @@ class SegmentTree:
         return index, begin
 
 
-def recount(docs: DataFrame, edits: DataFrame, ranks_path: str, pattern: str, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """One row per document: doc_id, tokens_before, tokens_after, pretokens, reencoded, edits, chars_after.
-
-    edits: doc_id, seq, at, delete, insert; the edits of a document apply in the order of seq (ties
-    in the order of at, delete, insert), each to the text that the one before left. Characters are
-    Unicode code points; positions beyond the text mean its end. reencoded: pre-tokens that edits
-    encoded. Null text is empty; null numbers are 0 and a null insert is empty; edits of unknown
-    documents are ignored; a document that repeats gets its edits each time. Rows stream in order
-    of doc_id, so a task holds one document's tree at a time, however many edits it has.
+def build_trees(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """One row per document: doc_id, digest of its text, pretokens, tokens, chars, and those of each leaf: leaf_chars, leaf_tokens, leaf_pretokens.
+
+    This is the index to store: it has no text, and `update` never encodes again what edits leave
+    alone. Null and empty texts have a tree with one empty leaf; texts of any length are cut whole;
+    an empty table gives no rows.
+    """
+    schema = "doc_id long, digest binary, pretokens long, tokens long, chars long, leaf_chars array<int>, leaf_tokens array<int>, leaf_pretokens array<int>"
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = Counter(ranks_path, pattern)
+        kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), *[pa.list_(pa.int32())] * 3]
+        names = ["doc_id", "digest", "pretokens", "tokens", "chars", "leaf_chars", "leaf_tokens", "leaf_pretokens"]
+        for batch in batches:
+            out = []
+            for one in batch.column(1).to_pylist():
+                tree = SegmentTree(counter, one or "")
+                out.append((_digest(one), tree.pretokens, tree.total, tree.length, *tree.stored()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(list(zip(*out)) or [[]] * 7, kinds))], names=names)
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(build, schema)
+
+
+def _digest(text: str | None) -> bytes:
+    return hashlib.sha256((text or "").encode()).digest()
+
+
+def _distinct_texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, digest, text) of docs (doc_id, text); of rows that repeat a task sends few."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, bytes]] = set()
+        for batch in batches:
+            digests, new = [_digest(x) for x in batch.column(1).to_pylist()], []
+            for key in zip(batch.column(0).to_pylist(), digests):
+                new.append(key not in seen)
+                if len(seen) > REMEMBERED:
+                    seen.clear()
+                seen.add(key)
+            found = pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), batch.column(1)], names=["doc_id", "digest", "text"])
+            yield found.filter(pa.array(new, pa.bool_()))
+
+    return docs.mapInArrow(read, "doc_id long, digest binary, text string")
+
+
+def update(docs: DataFrame, trees: DataFrame, edits: DataFrame, ranks_path: str, pattern: str, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """One row per row of trees: doc_id, tokens_before, tokens_after, pretokens, reencoded, edits, chars_after.
+
+    trees: what `build_trees` made of docs, stored. edits: doc_id, seq, at, delete, insert; the edits
+    of a document apply in the order of seq (ties in the order of at, delete, insert), each to the
+    text that the one before left. Characters are Unicode code points; positions beyond the text
+    mean its end. reencoded: pre-tokens that edits encoded, the new ones and those they replace.
+    Null text is empty; null numbers are 0 and a null insert is empty; edits of unknown documents,
+    and those with a null doc_id, are ignored; each text of a doc_id that repeats gets its edits.
+    Only documents with edits are read and shuffled, and of those that repeat whole, few: what moves
+    grows with the edits and the texts they change. Rows stream in order, so a task holds one
+    document's tree at a time, however many edits it has.
     """
-    one = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("seq"), F.lit(None).cast("long").alias("at"), F.lit(None).cast("long").alias("delete"), F.coalesce(F.col(text), F.lit("")).alias("insert"))
-    two = edits.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(1).alias("kind"), F.coalesce(F.col("seq").cast("long"), F.lit(0)).alias("seq"), F.coalesce(F.col("at").cast("long"), F.lit(0)).alias("at"), F.coalesce(F.col("delete").cast("long"), F.lit(0)).alias("delete"), F.coalesce(F.col("insert"), F.lit("")).alias("insert"))
-    order = ["doc_id", "kind", "seq", "at", "delete", "insert"]
-    rows = one.unionByName(two).repartition("doc_id").sortWithinPartitions(*order)
+    changes = edits.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), *[F.coalesce(F.col(x).cast("long"), F.lit(0)).alias(x) for x in ("seq", "at", "delete")], F.coalesce(F.col("insert"), F.lit("")).alias("insert"))
+    edited = small_side(materialize(changes.select(F.col("doc_id").alias("_edited")).distinct(), "edited"))
+    same = F.col("doc_id") == F.col("_edited")
+    texts = _distinct_texts(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).join(edited, same, "left_semi"))
+    own = trees.join(edited, same, "left_semi").groupBy("doc_id", "digest").agg(*[F.first(x).alias(x) for x in _LEAVES])
+    own = materialize(own, "edited-trees")
+    changes = changes.join(own.select(F.col("doc_id").alias("_id"), "digest"), F.col("doc_id") == F.col("_id")).drop("_id")
+    rows = texts.select("doc_id", "digest", F.lit(1).alias("kind"), F.coalesce("text", F.lit("")).alias("insert"))
+    rows = rows.unionByName(own.withColumn("kind", F.lit(0)), allowMissingColumns=True).unionByName(changes.withColumn("kind", F.lit(2)), allowMissingColumns=True)
+    rows = rows.repartition("doc_id", "digest").sortWithinPartitions("doc_id", "digest", "kind", "seq", "at", "delete", "insert")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(ranks_path, pattern)
-        now, trees, done, out = None, [], 0, []
+        now, stored, tree, done, out = None, None, None, 0, []
 
         def close() -> None:
-            for tree, before in trees:
-                out.append((now, before, tree.total, sum(map(len, tree.leaves)), tree.encoded, done, tree.length))
+            if tree is not None:
+                out.append((*now, tree.total, tree.pretokens, tree.encoded, done, tree.length))
 
         def table() -> pa.RecordBatch:
-            names = ["doc_id", "tokens_before", "tokens_after", "pretokens", "reencoded", "edits", "chars_after"]
-            columns = list(zip(*out)) or [[]] * len(names)
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
+            kinds = [pa.int64(), pa.binary(), *[pa.int64()] * 5]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out)) or [[]] * 7, kinds)], names=["_id", "_digest", "_tokens", "_pretokens", "_encoded", "_edits", "_chars"])
 
-        fresh = True
         for batch in batches:
-            for doc_id, kind, at, delete, insert in zip(*(batch.column(x).to_pylist() for x in ("doc_id", "kind", "at", "delete", "insert"))):
-                if fresh or doc_id != now:
+            for doc_id, digest, kind, at, delete, insert, *leaves in zip(*(batch.column(x).to_pylist() for x in ("doc_id", "digest", "kind", "at", "delete", "insert", *_LEAVES))):
+                if (doc_id, digest) != now:
                     close()
-                    now, trees, done, fresh = doc_id, [], 0, False
+                    now, stored, tree, done = (doc_id, digest), None, None, 0
                 if kind == 0:
-                    tree = SegmentTree(counter, insert)
-                    trees.append((tree, tree.total))
-                else:
+                    stored = tuple(leaves)
+                elif kind == 1:
+                    tree = tree or SegmentTree(counter, insert, stored)
+                elif tree is not None:
                     done += 1
-                    for tree, _ in trees:
-                        tree.edit(at, delete, insert)
+                    tree.edit(at, delete, insert)
             yield table()
             out.clear()
         close()
         yield table()
 
-    return rows.mapInArrow(apply, "doc_id long, tokens_before long, tokens_after long, pretokens long, reencoded long, edits long, chars_after long")
+    changed = rows.mapInArrow(apply, "_id long, _digest binary, _tokens long, _pretokens long, _encoded long, _edits long, _chars long")
+    changed = small_side(materialize(changed, "changed"))
+    joined = trees.select("doc_id", "digest", "tokens", "pretokens", "chars").join(changed, (F.col("doc_id") == F.col("_id")) & (F.col("digest") == F.col("_digest")), "left")
+    new = lambda x, y, z: F.coalesce(x, y).alias(z)
+    return joined.select("doc_id", F.col("tokens").alias("tokens_before"), new("_tokens", "tokens", "tokens_after"), new("_pretokens", "pretokens", "pretokens"), new("_encoded", F.lit(0), "reencoded"), new("_edits", F.lit(0), "edits"), new("_chars", "chars", "chars_after"))
+
+
+def recount(docs: DataFrame, edits: DataFrame, ranks_path: str, pattern: str, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """Store the trees of docs, then `update` them by edits: one row per document, as there."""
+    return update(docs, materialize(build_trees(docs, ranks_path, pattern, text, id_col), "trees"), edits, ranks_path, pattern, text, id_col)
 
 
 def sample_edits(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
