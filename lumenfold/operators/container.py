@@ -2,33 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.isobmff import associations, boxes, extents, integer, items, primary, probe, properties, references
+from ..sources.isobmff import describe, integer, probe
+from ..sources.planes import hold
 
 #: Names of auxiliary images that are alpha planes.
 ALPHA = ("urn:mpeg:mpegB:cicp:systems:auxiliary:alpha", "urn:mpeg:hevc:2015:auxid:1")
 
 
-def tables(files: DataFrame) -> dict[str, DataFrame]:
-    """boxes, items, extents, properties, associations, references and primary of the files that the probe lets through.
+def described(files: DataFrame, most_bytes: int | None = None) -> DataFrame:
+    """`describe` of the files that the probe lets through."""
+    return describe(files.where(probe(F.col("content"))), most_bytes)
 
-    The boxes are kept in memory and on disk, since all other tables are read from them; unpersist them when done.
-    """
-    found = boxes(files.where(probe(F.col("content")))).persist(StorageLevel.MEMORY_AND_DISK)
-    return {"boxes": found, "items": items(found), "extents": extents(found), "properties": properties(found), "associations": associations(found), "references": references(found), "primary": primary(found)}
 
+def properties_of(item: Column) -> Column:
+    """The properties (fourcc, raw) of an item in the order of association; indices without a property are skipped."""
+    own = F.filter("associations", lambda a: (a["item_id"] == item) & (a["idx"] >= 1) & (a["idx"] <= F.size("properties")))
+    return F.transform(own, lambda a: F.get("properties", a["idx"].cast("int") - 1))
 
-def item_properties(t: dict[str, DataFrame]) -> DataFrame:
-    """(path, item_id, ord, fourcc, raw): each item's properties in the order of association; indices without a property are skipped."""
-    return t["associations"].join(t["properties"], ["path", "idx"]).select("path", "item_id", "ord", "fourcc", "raw")
+
+def last_of(properties_: Column, *fourccs: str) -> Column:
+    """The payload of the property of a type that is associated last; null if there is none."""
+    return F.try_element_at(F.filter(properties_, lambda p: p["fourcc"].isin(*fourccs)), F.lit(-1))["raw"]
 
 
-def last_of(properties_of: DataFrame, fourcc: str) -> DataFrame:
-    """(path, item_id, raw): the property of a type that is associated last."""
-    return properties_of.where(F.col("fourcc") == fourcc).groupBy("path", "item_id").agg(F.max_by("raw", "ord").alias("raw"))
+def item_properties(found: DataFrame) -> DataFrame:
+    """(path, item_id, ord, fourcc, raw): each item's properties in the order of association; indices without a property are skipped."""
+    each = found.select("path", "properties", F.inline("associations")).where((F.col("idx") >= 1) & (F.col("idx") <= F.size("properties")))
+    return each.select("path", "item_id", "ord", F.get("properties", F.col("idx").cast("int") - 1).alias("p")).select("path", "item_id", "ord", "p.*")
 
 
 def orientation(steps: Column, axis: Column) -> Column:
@@ -40,46 +43,62 @@ def orientation(steps: Column, axis: Column) -> Column:
     return out
 
 
-def orientations(properties_of: DataFrame) -> DataFrame:
-    """(path, item_id, orientation): rotation and mirror boxes applied in order, each to what the one before left.
+def orientation_of(properties_: Column) -> Column:
+    """Rotation and mirror boxes applied in order, each to what the one before left.
 
     Each step goes by the name so far, so a mirror that met an unnamed pair is forgotten. An item has
     a bounded number of associations, and their fold is an array aggregate.
     """
-    some = properties_of.where(F.col("fourcc").isin("irot", "imir")).groupBy("path", "item_id").agg(F.array_sort(F.collect_list(F.struct("ord", "fourcc", integer(F.col("raw"), 0, 1).alias("v")))).alias("list"))
     steps_of = lambda name: F.when(name == "Rotate180", 2).when(name.isin("Rotate90", "Transpose"), 3).when(name.isin("Rotate270", "Transverse"), 1).otherwise(0)
     axis_of = lambda name: F.when(name.isin("FlipH", "Transpose", "Transverse"), 0).when(name == "FlipV", 1)
-    step = lambda name, p: F.when(p["fourcc"] == "irot", orientation(p["v"] % 4, axis_of(name))).otherwise(orientation(steps_of(name), p["v"] % 2))
-    return some.select("path", "item_id", F.aggregate("list", F.lit("Normal"), step).alias("orientation"))
-
-
-def alpha_items(t: dict[str, DataFrame], properties_of: DataFrame) -> DataFrame:
-    """(path, alpha_id): the last auxiliary reference to the primary item from an item that says it is alpha."""
-    urn = last_of(properties_of, "auxC").select("path", F.col("item_id").alias("from_id"), F.regexp_replace(F.substring(F.col("raw"), F.lit(5), F.length("raw")).cast("string"), "\x00.*$", "").alias("urn"))
-    refs = t["references"].where("ref_type = 'auxl'").join(t["primary"], "path").where("to_id = primary_id")
-    return refs.join(urn.where(F.col("urn").isin(*ALPHA)), ["path", "from_id"]).groupBy("path").agg(F.max_by("from_id", "ord").alias("alpha_id"))
-
-
-def images(files: DataFrame) -> DataFrame:
-    """One row per readable file: path, width, height, item_type, orientation, h_spacing, v_spacing, has_alpha, premultiplied."""
-    t = tables(files)
-    props = item_properties(t)
-    size = last_of(props, "ispe").select("path", "item_id", integer(F.col("raw"), 4, 4).alias("width"), integer(F.col("raw"), 8, 4).alias("height"))
-    spacing = last_of(props, "pasp").select("path", "item_id", integer(F.col("raw"), 0, 4).alias("h_spacing"), integer(F.col("raw"), 4, 4).alias("v_spacing"))
-    main = t["primary"].withColumnRenamed("primary_id", "item_id").join(t["items"], ["path", "item_id"], "left")
-    main = main.join(size, ["path", "item_id"], "left").join(spacing, ["path", "item_id"], "left").join(orientations(props), ["path", "item_id"], "left")
-    multiplied = t["references"].where("ref_type = 'prem'").select("path", F.col("from_id").alias("item_id"), F.col("to_id").alias("alpha_id"), F.lit(True).alias("premultiplied")).distinct()
-    main = main.join(alpha_items(t, props), "path", "left").join(multiplied, ["path", "item_id", "alpha_id"], "left")
-    return main.select("path", "width", "height", "item_type", F.coalesce("orientation", F.lit("Normal")).alias("orientation"), "h_spacing", "v_spacing", F.col("alpha_id").isNotNull().alias("has_alpha"), F.coalesce("premultiplied", F.lit(False)).alias("premultiplied"))
-
-
-def payloads(files: DataFrame, t: dict[str, DataFrame]) -> DataFrame:
-    """(path, item_id, payload): the extents of each item, in order, out of the file; null if one ends beyond it."""
-    joined = t["extents"].join(files, "path")
-    part = F.when((F.col("offset") >= 0) & (F.col("offset") + F.col("length") <= F.length("content")), F.hex(F.substring("content", F.col("offset").cast("int") + 1, F.col("length").cast("int"))))
-    parts = F.array_sort(F.collect_list(F.struct("ord", part.alias("hex"))))
-    whole = F.when(F.forall(parts, lambda p: p["hex"].isNotNull()), F.unhex(F.array_join(F.transform(parts, lambda p: p["hex"]), "")))
-    return joined.groupBy("path", "item_id").agg(whole.alias("payload"))
+    byte = lambda p: F.coalesce(integer(p["raw"], 0, 1), F.lit(0))
+    step = lambda name, p: F.when(p["fourcc"] == "irot", orientation(byte(p) % 4, axis_of(name))).otherwise(orientation(steps_of(name), byte(p) % 2))
+    return F.aggregate(F.filter(properties_, lambda p: p["fourcc"].isin("irot", "imir")), F.lit("Normal"), step)
+
+
+def alpha_of(item: Column) -> Column:
+    """The item of the last auxiliary reference to `item` that says it is alpha; null if there is none."""
+    def names_alpha(r):
+        raw = last_of(properties_of(r["from_id"]), "auxC")
+        return F.regexp_replace(F.substring(raw, F.lit(5), F.length(raw)).cast("string"), "\x00.*$", "").isin(*ALPHA)
+
+    return F.try_element_at(F.filter("references", lambda r: (r["ref_type"] == "auxl") & (r["to_id"] == item) & names_alpha(r)), F.lit(-1))["from_id"]
+
+
+def images(files: DataFrame, most_bytes: int = 1 << 28) -> DataFrame:
+    """One row per readable file, of its primary item: path, width, height, item_type, layout, bit_depth, colour (primaries, transfer, matrix, full_range),
+    icc, orientation, h_spacing, v_spacing, has_alpha, premultiplied, crop (x, y, w, h), max_level, avg_level, errors.
+
+    All of it comes from the file's own row, so nothing is shuffled. What a file doesn't say is null;
+    of properties of a type the last associated counts; a property that is too short is null.
+    """
+    df = hold(described(files, most_bytes), p=properties_of(F.col("primary_id")), alpha_id=alpha_of(F.col("primary_id")))
+    raw = {x: last_of(F.col("p"), x) for x in ("ispe", "pasp", "clap")}
+    by_type = lambda *kinds: F.try_element_at(F.filter("p", lambda q: (q["fourcc"] == "colr") & F.substring(q["raw"], 1, 4).cast("string").isin(*kinds)), F.lit(-1))["raw"]
+    df = hold(df, config=last_of(F.col("p"), "av1C", "av2C"), nclx=by_type("nclx"), profile=by_type("rICC", "prof"), **raw)
+    bit = lambda n: F.floor(integer(F.col("config"), 2, 1) / (1 << n)) % 2 == 1
+    size = lambda at: F.when((integer(F.col("ispe"), 4, 4) > 0) & (integer(F.col("ispe"), 8, 4) > 0), integer(F.col("ispe"), at, 4))
+    space = lambda at: F.when((integer(F.col("pasp"), 0, 4) > 0) & (integer(F.col("pasp"), 4, 4) > 0), integer(F.col("pasp"), at, 4))
+    signed = lambda at: integer(F.col("clap"), at, 4) - F.when(integer(F.col("clap"), at, 4) >= 1 << 31, 1 << 32).otherwise(0)
+    colour = F.when(F.length("nclx") >= 11, F.struct(integer(F.col("nclx"), 4, 2).alias("primaries"), integer(F.col("nclx"), 6, 2).alias("transfer"), integer(F.col("nclx"), 8, 2).alias("matrix"), (integer(F.col("nclx"), 10, 1) >= 128).alias("full_range")))
+    own = lambda items_, field: F.try_element_at(F.filter(items_, lambda i: i["item_id"] == F.col("primary_id")), F.lit(1))[field]
+    multiplied = F.exists("references", lambda r: (r["ref_type"] == "prem") & (r["from_id"] == F.col("primary_id")) & (r["to_id"] == F.col("alpha_id")))
+    width, height = size(4), size(8)
+    return df.select(
+        "path", width.alias("width"), height.alias("height"), own("items", "item_type").alias("item_type"),
+        F.when(F.length("config") >= 4, F.when(bit(4), "I400").when(bit(3) & bit(2), "I420").when(bit(3), "I422").otherwise("I444")).alias("layout"),
+        F.when(F.length("config") >= 4, F.when(bit(5), 12).when(bit(6), 10).otherwise(8)).cast("int").alias("bit_depth"),
+        colour.alias("colour"), F.substring("profile", F.lit(5), F.length("profile")).alias("icc"),
+        orientation_of(F.col("p")).alias("orientation"), space(0).alias("h_spacing"), space(4).alias("v_spacing"),
+        F.col("alpha_id").isNotNull().alias("has_alpha"), F.coalesce(multiplied, F.lit(False)).alias("premultiplied"),
+        crop(width.cast("double"), height.cast("double"), *[signed(4 * k) for k in range(8)]).alias("crop"),
+        own("payloads", "max_level").alias("max_level"), own("payloads", "avg_level").alias("avg_level"), "errors",
+    )
+
+
+def payloads(files: DataFrame, most_bytes: int = 1 << 28) -> DataFrame:
+    """(path, item_id, payload): the units of each item's codec configuration and its extents, in order, out of the file; null if one ends beyond it, or if there are more than most_bytes."""
+    return described(files, most_bytes).select("path", F.inline("payloads")).select("path", "item_id", "payload")
 
 
 def crop(width: Column, height: Column, wn: Column, wd: Column, hn: Column, hd: Column, xn: Column, xd: Column, yn: Column, yd: Column) -> Column:

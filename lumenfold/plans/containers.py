@@ -34,17 +34,23 @@ def files(spark, sf_dir) -> DataFrame:
     alpha, mirror, twice = k % 5 == 0, k % 3 == 0, k % 7 == 0
     first, second = text(F.substring("p_name", 1, 3)), text(F.substring(F.col("p_name"), F.lit(4), F.length("p_name")))
     brand = choose(k % 4 == 3, literal(b"heic"), literal(b"avif"))
+    level = obu.unit(8, join(number(1, 1), number(100 + k % 4000, 2), number(k % 400, 2)))
     head = box("ftyp", brand, number(0, 4), brand)
     kind = text(F.col("p_type"))
     data = box("mdat", first, literal(b"gap"), second, kind)
     base = head.size + 8
 
     def entry(item, kind_):
-        return box("infe", number(2 << 24, 4), number(item, 2), number(0, 2), literal(kind_), number(0, 1))
+        wide = k % 4 == 1  # version 3, which has ids of four bytes; every sixth file has version 1
+        version = F.when(wide, 3).when(k % 6 == 0, 1).otherwise(2)
+        return box("infe", number(version * (1 << 24), 4), choose(wide, number(item, 4), number(item, 2)), number(0, 2), literal(kind_), number(0, 1))
 
     def count(n):
         return number(F.when(alpha, 2).otherwise(1), n)
 
+    def reference(item):
+        return choose(k % 2 == 1, number(item, 4), number(item, 2))
+
     meta = [
         box("pitm", number(0, 4), number(1, 2)),
         box("iinf", number(0, 4), count(2), entry(1, b"av02"), choose(alpha, entry(2, b"av02"))),
@@ -58,15 +64,19 @@ def files(spark, sf_dir) -> DataFrame:
                 box("irot", number(k % 4, 1)),
                 box("imir", number(k % 2, 1)),
                 box("pasp", number(1 + k % 3, 4), number(1 + k % 2, 4)),
-                box("auxC", number(0, 4), literal(container.ALPHA[0].encode() + b"\0"))),
+                box("auxC", number(0, 4), literal(container.ALPHA[0].encode() + b"\0")),
+                box("av2C", number(0x81, 1), number(0, 1), number((k % 4) * 32 + (k % 2) * 16 + (F.floor(k / 5) % 4) * 4, 1), number((k % 2) * 16, 1), choose(k % 2 == 1, number(7, 1)), level),
+                box("colr", literal(b"nclx"), number(1 + k % 12, 2), number(13, 2), number(k % 9, 2), number((k % 2) * 128, 1)),
+                box("colr", literal(b"prof"), text(F.col("p_brand"))),
+                box("clap", number(F.col("p_size") * 10, 4), number(3, 4), number(F.col("p_size") * 7, 4), number(8, 4), number(F.pmod(k % 9 - 4, F.lit(1 << 32)), 4), number(2, 4), number(F.pmod(k % 5 - 2, F.lit(1 << 32)), 4), number(4, 4))),
             box("ipma", number(0, 4), count(4),
-                number(1, 2), number(F.when(mirror, 6).otherwise(5), 1), number(1, 1), number(0x82, 1), number(3, 1), choose(mirror, number(0x84, 1)), number(5, 1), number(99, 1),
+                number(1, 2), number(F.when(mirror, 10).otherwise(9), 1), number(1, 1), number(0x82, 1), number(3, 1), choose(mirror, number(0x84, 1)), number(5, 1), number(99, 1), number(7, 1), number(8, 1), number(9, 1), number(10, 1),
                 choose(alpha, join(number(2, 2), number(2, 1), number(1, 1), number(6, 1))))),
-        choose(alpha, box("iref", number(0, 4), box("auxl", number(2, 2), number(1, 2), number(1, 2)), choose(k % 10 == 0, box("prem", number(1, 2), number(1, 2), number(2, 2))))),
+        choose(alpha, box("iref", number((k % 2) * (1 << 24), 4), box("auxl", reference(2), number(1, 2), reference(1)), choose(k % 10 == 0, box("prem", reference(1), number(1, 2), reference(2))))),
     ]
     late = choose(twice, box("meta", number(0, 4), box("pitm", number(0, 4), number(9, 2))))
     content = join(head, data, box("meta", number(0, 4), *meta), late).data
-    return hold(read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_size"), path=F.concat(F.lit("part/"), k), content=content).select("path", "content")
+    return hold(read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size"), path=F.concat(F.lit("part/"), k), content=content).select("path", "content")
 
 
 _P = "p AS (SELECT *, 'part/' || p_partkey AS path, p_partkey % 4 AS rot, CASE WHEN p_partkey % 3 = 0 THEN p_partkey % 2 END AS axis FROM part), f AS (SELECT * FROM p WHERE p_partkey % 4 <> 3)"
@@ -79,42 +89,55 @@ def probe_filter(spark, sf_dir):
     return files(spark, sf_dir).select("path", probe(F.col("content")).alias("readable"))
 
 
-@query(f"WITH {_P} SELECT path, 64 + p_partkey % 1000 AS width, CAST(48 + p_size AS BIGINT) AS height, 'av02' AS item_type, {_NAME} AS orientation, 1 + p_partkey % 3 AS h_spacing, 1 + p_partkey % 2 AS v_spacing, p_partkey % 5 = 0 AS has_alpha, p_partkey % 10 = 0 AS premultiplied FROM f")
+_CROP = "SELECT p_partkey, CASE WHEN ok THEN x END AS x, CASE WHEN ok THEN y END AS y, CASE WHEN ok THEN w END AS w, CASE WHEN ok THEN h END AS h FROM (SELECT *, x >= 0 AND y >= 0 AND w > 0 AND h > 0 AND x + w <= width AND y + h <= height AS ok FROM (SELECT p_partkey, width, height, CAST(round((width - 1) / 2 + xo - (cw - 1) / 2) AS BIGINT) AS x, CAST(round((height - 1) / 2 + yo - (ch - 1) / 2) AS BIGINT) AS y, CAST(round(cw) AS BIGINT) AS w, CAST(round(ch) AS BIGINT) AS h FROM (SELECT p_partkey, CAST(64 + p_partkey % 1000 AS DOUBLE) AS width, CAST(48 + p_size AS DOUBLE) AS height, p_size * 10 / 3 AS cw, p_size * 7 / 8 AS ch, (p_partkey % 9 - 4) / 2 AS xo, (p_partkey % 5 - 2) / 4 AS yo FROM part)))"
+
+
+@query(f"""WITH {_P}, crops AS ({_CROP}) SELECT path, 64 + p_partkey % 1000 AS width, CAST(48 + p_size AS BIGINT) AS height, 'av02' AS item_type, {_NAME} AS orientation, 1 + p_partkey % 3 AS h_spacing, 1 + p_partkey % 2 AS v_spacing, p_partkey % 5 = 0 AS has_alpha, p_partkey % 10 = 0 AS premultiplied,
+CASE WHEN p_partkey % 2 = 1 THEN 'I400' ELSE CASE p_partkey // 5 % 4 WHEN 3 THEN 'I420' WHEN 2 THEN 'I422' ELSE 'I444' END END AS layout, CAST(CASE p_partkey % 4 WHEN 1 THEN 12 WHEN 2 THEN 10 WHEN 3 THEN 12 ELSE 8 END AS INTEGER) AS bit_depth,
+1 + p_partkey % 12 AS primaries, CAST(13 AS BIGINT) AS transfer, p_partkey % 9 AS matrix, p_partkey % 2 = 1 AS full_range, p_brand AS icc, c.x AS crop_x, c.y AS crop_y, c.w AS crop_w, c.h AS crop_h,
+CAST(100 + p_partkey % 4000 AS INTEGER) AS max_level, CAST(p_partkey % 400 AS INTEGER) AS avg_level FROM f JOIN crops c USING (p_partkey)""")
 def container_image_info(spark, sf_dir):
-    return container.images(files(spark, sf_dir))
+    found = container.images(files(spark, sf_dir))
+    return found.select(
+        "path", "width", "height", "item_type", "orientation", "h_spacing", "v_spacing", "has_alpha", "premultiplied", "layout", "bit_depth", "colour.*", F.col("icc").cast("string").alias("icc"),
+        *[F.col(f"crop.{x}").alias(f"crop_{x}") for x in "xywh"], "max_level", "avg_level",
+    )
+
 
+_TYPES = "('ispe', 2 + CASE WHEN p_partkey % 5 = 0 THEN 1 ELSE 0 END), ('irot', 1), ('imir', CASE WHEN p_partkey % 3 = 0 THEN 1 END), ('pasp', 1), ('auxC', CASE WHEN p_partkey % 5 = 0 THEN 1 END), ('av2C', 1), ('colr', 2), ('clap', 1)"
 
-@query(f"WITH {_P} SELECT path, fourcc, CAST(n AS BIGINT) AS n FROM f, LATERAL (VALUES ('ispe', 2 + CASE WHEN p_partkey % 5 = 0 THEN 1 ELSE 0 END), ('irot', 1), ('imir', CASE WHEN p_partkey % 3 = 0 THEN 1 END), ('pasp', 1), ('auxC', CASE WHEN p_partkey % 5 = 0 THEN 1 END)) v(fourcc, n) WHERE n IS NOT NULL")
+
+@query(f"WITH {_P} SELECT path, fourcc, CAST(n AS BIGINT) AS n FROM f, LATERAL (VALUES {_TYPES}) v(fourcc, n) WHERE n IS NOT NULL")
 def ipma_property_join(spark, sf_dir):
-    found = container.item_properties(container.tables(files(spark, sf_dir)))
+    found = container.item_properties(container.described(files(spark, sf_dir)))
     return found.groupBy("path", "fourcc").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"WITH {_P} SELECT path, CAST(2 AS BIGINT) AS alpha_id FROM f WHERE p_partkey % 5 = 0")
 def alpha_resolution(spark, sf_dir):
-    t = container.tables(files(spark, sf_dir))
-    return container.alpha_items(t, container.item_properties(t))
+    found = container.described(files(spark, sf_dir)).select("path", container.alpha_of(F.col("primary_id")).alias("alpha_id"))
+    return found.where("alpha_id IS NOT NULL")
 
 
 @query(f"WITH {_P} SELECT path, {_NAME} AS orientation FROM f")
 def orientation_from_irot_imir(spark, sf_dir):
-    return container.orientations(container.item_properties(container.tables(files(spark, sf_dir)))).where("item_id = 1").select("path", "orientation")
+    return container.described(files(spark, sf_dir)).select("path", container.orientation_of(container.properties_of(F.lit(1))).alias("orientation"))
+
+
+_UNIT = "'062001' || lpad(to_hex(100 + p_partkey % 4000), 4, '0') || lpad(to_hex(p_partkey % 400), 4, '0')"
 
 
-@query(f"WITH {_P} SELECT path, CAST(1 AS BIGINT) AS item_id, p_name AS payload FROM f UNION ALL SELECT path, 2, p_type FROM f WHERE p_partkey % 5 = 0")
+@query(f"WITH {_P} SELECT path, CAST(1 AS BIGINT) AS item_id, upper({_UNIT}) || hex(encode(p_name)) AS payload FROM f UNION ALL SELECT path, 2, hex(encode(p_type)) FROM f WHERE p_partkey % 5 = 0")
 def iloc_gather(spark, sf_dir):
-    some = files(spark, sf_dir)
-    found = container.payloads(some, container.tables(some))
-    return found.select("path", "item_id", F.decode("payload", "utf-8").alias("payload"))
+    return container.payloads(files(spark, sf_dir)).select("path", "item_id", F.hex("payload").alias("payload"))
 
 
-@query(f"WITH {_P} SELECT path, count(*) AS boxes, CAST(1 AS BIGINT) AS primary_id FROM f, LATERAL (SELECT unnest(range(CAST(16 + CASE WHEN p_partkey % 5 = 0 THEN 3 ELSE 0 END + CASE WHEN p_partkey % 10 = 0 THEN 1 ELSE 0 END + CASE WHEN p_partkey % 7 = 0 THEN 2 ELSE 0 END AS BIGINT)))) GROUP BY path")
+@query(f"WITH {_P} SELECT path, CAST(20 + CASE WHEN p_partkey % 5 = 0 THEN 3 ELSE 0 END + CASE WHEN p_partkey % 10 = 0 THEN 1 ELSE 0 END + CASE WHEN p_partkey % 7 = 0 THEN 2 ELSE 0 END AS BIGINT) AS boxes, CAST(1 AS BIGINT) AS primary_id FROM f")
 def box_inventory(spark, sf_dir):
-    t = container.tables(files(spark, sf_dir))
-    return t["boxes"].groupBy("path").agg(F.count("fourcc").alias("boxes")).join(t["primary"], "path")
+    return container.described(files(spark, sf_dir)).select("path", F.size("boxes").cast("bigint").alias("boxes"), "primary_id")
 
 
-@query("SELECT p_partkey, CASE WHEN ok THEN x END AS x, CASE WHEN ok THEN y END AS y, CASE WHEN ok THEN w END AS w, CASE WHEN ok THEN h END AS h FROM (SELECT *, x >= 0 AND y >= 0 AND w > 0 AND h > 0 AND x + w <= width AND y + h <= height AS ok FROM (SELECT p_partkey, width, height, CAST(round((width - 1) / 2 + xo - (cw - 1) / 2) AS BIGINT) AS x, CAST(round((height - 1) / 2 + yo - (ch - 1) / 2) AS BIGINT) AS y, CAST(round(cw) AS BIGINT) AS w, CAST(round(ch) AS BIGINT) AS h FROM (SELECT p_partkey, CAST(64 + p_partkey % 1000 AS DOUBLE) AS width, CAST(48 + p_size AS DOUBLE) AS height, CAST(p_size * 10 AS DOUBLE) / 3 AS cw, CAST(p_size * 7 AS DOUBLE) / 8 AS ch, CAST(p_partkey % 9 - 4 AS DOUBLE) / 2 AS xo, CAST(p_partkey % 5 - 2 AS DOUBLE) / 4 AS yo FROM part)))")
+@query(_CROP)
 def clean_aperture_rect(spark, sf_dir):
     k, one = F.col("p_partkey"), F.lit(1)
     rect = container.crop((64 + k % 1000).cast("double"), (48 + F.col("p_size")).cast("double"), F.col("p_size") * 10, one * 3, F.col("p_size") * 7, one * 8, k % 9 - 4, one * 2, k % 5 - 2, one * 4)

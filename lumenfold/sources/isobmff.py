@@ -14,12 +14,16 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Brands of a file that is probed as readable; boxes that hold boxes, and the bytes before those.
 BRANDS = ("avif", "avis", "av02")
 CONTAINERS = {b"meta": 4, b"iprp": 0, b"ipco": 0, b"iref": 4, b"iinf": 6}
 #: Limits on what one file may hold.
 MOST_BOXES = 10_000
+#: Files, and bytes of files, that are described in one Arrow batch at most, unless one file is larger.
+ROWS, BYTES = 256, 8 << 20
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
@@ -38,10 +42,19 @@ def integer(content: Column, at, n: int) -> Column:
     return F.when(F.length(part) == n, F.conv(F.hex(part), 16, 10).cast("bigint"))
 
 
-def _walk(data: bytes, start: int, end: int, depth: int, parent: int, out: list) -> None:
-    """Append (depth, parent, fourcc, offset, length, payload) of the boxes in data[start:end].
+class Box(NamedTuple):
+    depth: int
+    parent: int  # the number of the box around it, -1 for none
+    fourcc: bytes
+    offset: int
+    length: int
+    head: int  # bytes before the payload
 
-    A box that says 0 for its size is an error; one that ends beyond `end` ends the walk without one.
+
+def _walk(data, start: int, end: int, depth: int, parent: int, out: list[Box]) -> None:
+    """Append the boxes in data[start:end]; their payloads stay where they are.
+
+    A box that says less than its own head for its size is an error; one that ends beyond `end` ends the walk without one.
     """
     at = start
     while at + 8 <= end:
@@ -58,150 +71,223 @@ def _walk(data: bytes, start: int, end: int, depth: int, parent: int, out: list)
         if len(out) >= MOST_BOXES:
             raise ValueError("too many boxes")
         number = len(out)
-        out.append((depth, parent, fourcc, at, size, data[at + head : at + size]))
+        out.append(Box(depth, parent, fourcc, at, size, head))
         if fourcc in CONTAINERS:
             _walk(data, at + head + CONTAINERS[fourcc], at + size, depth + 1, number, out)
         at += size
 
 
-def boxes(files: DataFrame) -> DataFrame:
-    """(path, ord, depth, parent, fourcc, offset, length, payload, error): the boxes of each file in order.
+class _Bits:
+    """Big-endian numbers out of a payload, one after the other; IndexError at its end."""
 
-    A malformed file gives the boxes before the fault and one row with the error; never an exception.
-    """
-    schema = "path string, ord int, depth int, parent int, fourcc string, offset long, length long, payload binary, error string"
+    def __init__(self, data):
+        self.data, self.at = data, 0
 
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.string()]
-        names = ["path", "ord", "depth", "parent", "fourcc", "offset", "length", "payload", "error"]
-        for batch in batches:
-            rows = []
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found: list = []
-                error = None
-                try:
-                    _walk(content or b"", 0, len(content or b""), 0, -1, found)
-                except ValueError as e:
-                    error = str(e)
-                rows += [(path, i, d, p, f.decode("latin-1"), o, n, b, None) for i, (d, p, f, o, n, b) in enumerate(found)]
-                if error:
-                    rows.append((path, len(found), 0, -1, None, None, None, None, error))
-            columns = list(zip(*rows)) or [[]] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+    def take(self, n: int) -> int:
+        if self.at + n > len(self.data):
+            raise IndexError
+        self.at += n
+        return int.from_bytes(self.data[self.at - n : self.at], "big")
 
-    return files.select("path", "content").mapInArrow(parse, schema)
 
+def _narrow(item: int) -> int:
+    """Item ids are of 16 bits; larger ones are read as 0, which is no item."""
+    return item if item < 65536 else 0
 
-def _first(found: DataFrame, *fourccs: str) -> DataFrame:
-    """Of each file, the first box of each of the given types; later ones are ignored."""
-    return found.where(F.col("fourcc").isin(*fourccs)).groupBy("path", "fourcc").agg(F.min_by("payload", "ord").alias("payload"))
 
+def _primary(b) -> int:
+    r = _Bits(b)
+    version = r.take(4) >> 24
+    return _narrow(r.take(4 if version else 2))
 
-def primary(found: DataFrame) -> DataFrame:
-    """(path, primary_id)."""
-    p = F.col("payload")
-    wide = F.when(integer(p, 0, 1) == 0, integer(p, 4, 2)).otherwise(integer(p, 4, 4))
-    return _first(found, "pitm").select("path", F.when(wide > 65535, 0).otherwise(wide).alias("primary_id"))
 
+def _item(b) -> tuple[int, str]:
+    """(id, type) of an entry; version 0 has no type."""
+    r = _Bits(b)
+    version = r.take(4) >> 24
+    item = _narrow(r.take(4 if version > 2 else 2))
+    r.take(2)
+    return item, (r.take(4) if version else 0).to_bytes(4, "big").decode("latin-1")
 
-def items(found: DataFrame) -> DataFrame:
-    """(path, item_id, item_type): versions 2 and 3 of the entries; the first of an id wins."""
-    p, version = F.col("payload"), integer(F.col("payload"), 0, 1)
-    narrow = version == 2
-    wide = integer(p, 4, 4)
-    one = found.where((F.col("fourcc") == "infe")).select("path", "ord", F.when(narrow, integer(p, 4, 2)).otherwise(F.when(wide > 65535, 0).otherwise(wide)).alias("item_id"), F.when(narrow, F.substring(p, 9, 4)).otherwise(F.substring(p, 11, 4)).cast("string").alias("item_type"))
-    return one.groupBy("path", "item_id").agg(F.min_by("item_type", "ord").alias("item_type"))
 
+def _associations(b) -> Iterator[tuple]:
+    """(item, ord, idx, essential)"""
+    r = _Bits(b)
+    head = r.take(4)
+    for _ in range(r.take(4)):
+        item = _narrow(r.take(4 if head >> 24 else 2))
+        for k in range(r.take(1)):
+            wide = 1 + (head & 1)
+            code = r.take(wide)
+            yield item, k, code & (1 << 8 * wide - 1) - 1, bool(code >> 8 * wide - 1)
+
+
+def _extents(b) -> Iterator[tuple]:
+    """(item, ord, offset, length) of what lies in the file itself; other construction methods are skipped."""
+    r = _Bits(b)
+    version = r.take(4) >> 24
+    sizes = r.take(2)
+    offset, length, base, index = sizes >> 12, sizes >> 8 & 15, sizes >> 4 & 15, sizes & 15 if version in (1, 2) else 0
+    for _ in range(r.take(2 if version < 2 else 4)):
+        item = r.take(2 if version < 2 else 4)
+        method = r.take(2) & 15 if version in (1, 2) else 0
+        r.take(2)
+        start = r.take(base)
+        for k in range(r.take(2)):
+            r.take(index)
+            row = (item, k, start + r.take(offset), r.take(length))
+            if method == 0:
+                yield row
+
+
+def _references(b, kind: bytes, version: int) -> Iterator[tuple]:
+    """(type, from, to)"""
+    r, wide = _Bits(b), 4 if version else 2
+    of = _narrow(r.take(wide))
+    for _ in range(r.take(2)):
+        yield kind.decode("latin-1"), of, _narrow(r.take(wide))
+
+
+def _config_units(raw: bytes) -> bytes:
+    """The units in a codec configuration, behind its four bytes, or five if a delay is present."""
+    return raw[5 if len(raw) > 3 and raw[3] & 16 else 4 :]
+
+
+_SCHEMA = """path string, boxes array<struct<ord:int,depth:int,parent:int,fourcc:string,offset:bigint,length:bigint>>, primary_id long,
+  items array<struct<item_id:bigint,item_type:string>>, properties array<struct<fourcc:string,raw:binary>>,
+  associations array<struct<item_id:bigint,ord:bigint,idx:bigint,essential:boolean>>, references array<struct<ref_type:string,from_id:bigint,ord:bigint,to_id:bigint>>,
+  extents array<struct<item_id:bigint,ord:bigint,offset:bigint,length:bigint>>, payloads array<struct<item_id:bigint,payload:binary,max_level:int,avg_level:int>>, errors array<string>"""
+
+
+def _described(data, most_bytes: int | None, light) -> dict:
+    """What one file says of itself. Each list keeps what comes before a fault, and `errors` names the faults."""
+    found: list[Box] = []
+    errors = []
+    try:
+        _walk(data, 0, len(data), 0, -1, found)
+    except ValueError as e:
+        errors.append(str(e))
+    first: dict[bytes, int] = {}
+    for n, box in enumerate(found):
+        first.setdefault(box.fourcc, n)
+    inside = lambda box: bytes(data[box.offset + box.head : box.offset + box.length])
+
+    def read(kind: bytes, parse) -> list:
+        out: list = []
+        if kind in first:
+            try:
+                for row in parse(inside(found[first[kind]])):
+                    out.append(row)
+            except IndexError:
+                errors.append(f"{kind.decode()} ends too soon")
+        return out
+
+    items: dict[int, str] = {}
+    primary = read(b"pitm", lambda b: [_primary(b)])
+    for box in found:
+        if box.fourcc == b"infe":
+            try:
+                item, kind = _item(inside(box))
+                items.setdefault(item, kind)
+            except IndexError:
+                errors.append("infe ends too soon")
+    properties = [(b.fourcc.decode("latin-1"), inside(b)) for b in found if b.parent == first.get(b"ipco", -2)]
+    associations = read(b"ipma", _associations)
+    references, holder = [], first.get(b"iref", -2)
+    for box in found:
+        if box.parent == holder:
+            try:
+                for row in _references(inside(box), box.fourcc, data[found[holder].offset + found[holder].head]):
+                    references.append((row[0], row[1], len(references), row[2]))
+            except IndexError:
+                errors.append(f"{box.fourcc.decode('latin-1')} ends too soon")
+    extents = read(b"iloc", _extents)
+    payloads = []
+    if most_bytes is not None:
+        config = {}
+        for item, _, idx, _ in associations:
+            if 0 < idx <= len(properties) and properties[idx - 1][0] in ("av1C", "av2C"):
+                config[item] = _config_units(properties[idx - 1][1])
+        for item in dict.fromkeys(x[0] for x in extents):
+            own = [x[2:] for x in extents if x[0] == item]
+            if sum(n for _, n in own) + len(config.get(item, b"")) > most_bytes:
+                errors.append(f"item {item} is larger than {most_bytes} bytes")
+                payloads.append((item, None, None, None))
+            elif any(a + n > len(data) for a, n in own):
+                errors.append(f"item {item} ends beyond the file")
+                payloads.append((item, None, None, None))
+            else:
+                whole = config.get(item, b"") + b"".join(bytes(data[a : a + n]) for a, n in own)
+                payloads.append((item, whole, *light(whole)))
+    boxes_ = [(n, b.depth, b.parent, b.fourcc.decode("latin-1"), b.offset, b.length) for n, b in enumerate(found)]
+    return {"boxes": boxes_, "primary_id": primary[0] if primary else None, "items": list(items.items()), "properties": properties, "associations": associations, "references": references, "extents": extents, "payloads": payloads, "errors": errors}
 
-def properties(found: DataFrame) -> DataFrame:
-    """(path, idx, fourcc, raw): the property boxes of the first property container, numbered from 1."""
-    from pyspark.sql import Window
 
-    holder = found.where("fourcc = 'ipco'").groupBy("path").agg(F.min("ord").alias("holder"))
-    inside = found.join(holder, "path").where(F.col("parent") == F.col("holder"))
-    return inside.select("path", F.row_number().over(Window.partitionBy("path").orderBy("ord")).cast("bigint").alias("idx"), "fourcc", F.col("payload").alias("raw"))
+def describe(files: DataFrame, most_bytes: int | None = None) -> DataFrame:
+    """One row per file (path, content): its boxes, primary item, items, properties, associations, references, extents and errors, as arrays.
 
+    One pass over the files, without a shuffle; no payload of a box leaves it but those of
+    properties. most_bytes: also the bytes of every item, its codec configuration's units before
+    its extents, and the last content light level in them; an item of more bytes, or that ends
+    beyond the file, has null for them and an error. Lists are read whole; one that ends too soon
+    keeps the rows before its end and gives an error. Null and empty files give empty lists; no
+    content of a file raises an exception. Repeated paths are read one by one.
+    """
+    from .obu import last_light_level
+
+    schema = to_arrow_schema(StructType.fromDDL(_SCHEMA))
+    named = {f.name: [x.name for x in f.type.value_type] for f in schema if pa.types.is_list(f.type) and pa.types.is_struct(f.type.value_type)}
 
-def _lists(found: DataFrame, fourcc: str, parse, schema: str, kinds: list) -> DataFrame:
-    """Rows (path, ...) of a list box, by a parser of its payload; a box that ends too soon gives the rows before its end."""
-    names = [x.split()[0] for x in schema.split(", ")]
+    def table(rows: list[dict]) -> pa.RecordBatch:
+        for row in rows:
+            row.update({name: [dict(zip(fields, v)) for v in row[name]] for name, fields in named.items()})
+        return pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for path, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                try:
-                    for row in parse(payload):
-                        rows.append((path, *row))
-                except (struct.error, IndexError):
-                    pass
-            columns = list(zip(*rows)) or [[]] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
-
-    return _first(found, fourcc).select("path", "payload").mapInArrow(run, schema)
-
-
-def _associations(b: bytes) -> Iterator[tuple]:
-    version, flags, n = b[0], b[3], struct.unpack_from(">I", b, 4)[0]
-    at = 8
-    for _ in range(n):
-        item = struct.unpack_from(">H" if version < 1 else ">I", b, at)[0]
-        at += 2 if version < 1 else 4
-        count = b[at]
-        at += 1
-        for k in range(count):
-            if flags & 1:
-                code = struct.unpack_from(">H", b, at)[0]
-                at += 2
-                yield (item if item < 65536 else 0, k, code & 0x7FFF, bool(code >> 15))
-            else:
-                code = b[at]
-                at += 1
-                yield (item if item < 65536 else 0, k, code & 0x7F, bool(code >> 7))
+            rows, size = [], 0
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                data = content.as_buffer()
+                rows.append({"path": path} | _described(memoryview(data) if data is not None else b"", most_bytes, last_light_level))
+                size += len(data) if data is not None else 0
+                if len(rows) == ROWS or size > BYTES:
+                    yield table(rows)
+                    rows, size = [], 0
+            if rows:
+                yield table(rows)
 
+    return files.select("path", "content").mapInArrow(parse, _SCHEMA)
 
-def associations(found: DataFrame) -> DataFrame:
-    """(path, item_id, ord, idx, essential)."""
-    return _lists(found, "ipma", _associations, "path string, item_id long, ord long, idx long, essential boolean", [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()])
 
+def boxes(described: DataFrame) -> DataFrame:
+    """(path, ord, depth, parent, fourcc, offset, length, error): the boxes of each file in order, and a row for each error."""
+    found = described.select("path", F.inline("boxes"), F.lit(None).cast("string").alias("error"))
+    return found.unionByName(described.select("path", F.explode("errors").alias("error")), allowMissingColumns=True)
 
-def _extents(b: bytes) -> Iterator[tuple]:
-    version, sizes = b[0], struct.unpack_from(">H", b, 4)[0]
-    offset, length, base, index = sizes >> 12, sizes >> 8 & 15, sizes >> 4 & 15, sizes & 15 if version in (1, 2) else 0
-    at = 6
 
-    def take(n: int) -> int:
-        nonlocal at
-        if at + n > len(b):
-            raise IndexError
-        at += n
-        return int.from_bytes(b[at - n : at], "big")
-
-    for _ in range(take(2 if version < 2 else 4)):
-        item = take(2 if version < 2 else 4)
-        method = take(2) & 15 if version in (1, 2) else 0
-        take(2)
-        start = take(base)
-        for k in range(take(2)):
-            take(index)
-            row = (item, k, start + take(offset), take(length))
-            if method == 0:
-                yield row
+def items(described: DataFrame) -> DataFrame:
+    """(path, item_id, item_type); the first entry of an id counts."""
+    return described.select("path", F.inline("items"))
+
+
+def properties(described: DataFrame) -> DataFrame:
+    """(path, idx, fourcc, raw): the property boxes of the first property container, numbered from 1."""
+    return described.select("path", F.posexplode("properties").alias("i", "p")).select("path", (F.col("i") + 1).cast("bigint").alias("idx"), "p.fourcc", "p.raw")
+
+
+def associations(described: DataFrame) -> DataFrame:
+    """(path, item_id, ord, idx, essential)."""
+    return described.select("path", F.inline("associations"))
 
 
-def extents(found: DataFrame) -> DataFrame:
+def extents(described: DataFrame) -> DataFrame:
     """(path, item_id, ord, offset, length): ranges of the file; other construction methods are skipped."""
-    return _lists(found, "iloc", _extents, "path string, item_id long, ord long, offset long, length long", [pa.string(), *[pa.int64()] * 4])
+    return described.select("path", F.inline("extents"))
 
 
-def references(found: DataFrame) -> DataFrame:
-    """(path, ref_type, from_id, ord, to_id) of the boxes in a reference box of version 0."""
-    holder = found.where("fourcc = 'iref'").groupBy("path").agg(F.min("ord").alias("holder"))
-    inside = found.join(holder, "path").where(F.col("parent") == F.col("holder"))
-    p = F.col("payload")
-    places = F.sequence(F.lit(0), (integer(p, 2, 2) - 1).cast("int"))
-    some = inside.where(integer(p, 2, 2) > 0).select("path", F.col("ord").alias("box"), F.col("fourcc").alias("ref_type"), integer(p, 0, 2).alias("from_id"), p.alias("p"), F.explode(places).alias("k"))
-    return some.select("path", "ref_type", "from_id", (F.col("box").cast("bigint") * 65536 + F.col("k")).alias("ord"), integer(F.col("p"), 4 + 2 * F.col("k"), 2).alias("to_id")).where("to_id IS NOT NULL")
+def references(described: DataFrame) -> DataFrame:
+    """(path, ref_type, from_id, ord, to_id) of the boxes in the reference box."""
+    return described.select("path", F.inline("references"))
 
 
 class Bytes(NamedTuple):

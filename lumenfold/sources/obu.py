@@ -72,6 +72,18 @@ def light_levels(found: DataFrame) -> DataFrame:
     return levels.groupBy("stream_id").agg(F.max_by("most", "ord").alias("max_level"), F.max_by("average", "ord").alias("avg_level"))
 
 
+def last_light_level(data: bytes) -> tuple[int | None, int | None]:
+    """(maximum, average) of the last content light level in a run of units; a fault ends the run."""
+    level = (None, None)
+    try:
+        for _, kind, _, _, _, payload in _units(data):
+            if kind == METADATA and len(payload) > 4 and payload[0] == LIGHT_LEVEL:
+                level = (int.from_bytes(payload[1:3], "big"), int.from_bytes(payload[3:5], "big"))
+    except ValueError:
+        pass
+    return level
+
+
 def unit(kind, payload: Bytes) -> Bytes:
     """The bytes of a unit of under 127 bytes without extension layers."""
     return join(number(payload.size + 1, 1), number(F.shiftleft(kind, 2) if isinstance(kind, Column) else kind << 2, 1), payload)

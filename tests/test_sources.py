@@ -36,17 +36,29 @@ def test_truncated_and_corrupted_files(spark, some):
                 bad[rng.randrange(len(bad))] = rng.randrange(256)
             contents.append(bytes(bad))
     files = frame(spark, contents)
-    assert isobmff.boxes(files).count() > 0
-    assert container.images(files).count() <= len(contents)
-    t = container.tables(files)
-    assert container.payloads(files, t).count() >= 0
+    found = isobmff.describe(files, 1 << 20).cache()
+    assert found.count() == len(contents) and isobmff.boxes(found).count() > 0
+    assert container.images(files).count() <= len(contents) and container.payloads(files).count() >= 0
+    for table in (isobmff.items, isobmff.properties, isobmff.associations, isobmff.extents, isobmff.references):
+        assert table(found).count() >= 0
+
+
+def test_items_larger_than_allowed_or_beyond_the_file(spark, some):
+    got = container.payloads(frame(spark, [r["content"] for r in some]), 9).collect()
+    assert got and all(r["payload"] is None or len(r["payload"]) <= 9 for r in got)
+    iloc = struct.pack(">IHH", 0, 0x4400, 1) + struct.pack(">HHHII", 1, 0, 1, 0, 10_000)
+    box = lambda kind, body: struct.pack(">I4s", len(body) + 8, kind) + body
+    whole = box(b"ftyp", b"avif\0\0\0\0") + box(b"meta", bytes(4) + box(b"iloc", iloc) + box(b"ipma", struct.pack(">II", 0, 2) + struct.pack(">HBB", 1, 1, 0x81)))
+    row = container.described(frame(spark, [whole]), 1 << 20).first()
+    assert [(p["item_id"], p["payload"]) for p in row["payloads"]] == [(1, None)]
+    assert sorted(row["errors"]) == ["ipma ends too soon", "item 1 ends beyond the file"] and [a["idx"] for a in row["associations"]] == [1]
 
 
 def test_box_sizes(spark):
     box = lambda kind, body, size=None: struct.pack(">I4s", len(body) + 8 if size is None else size, kind) + body
     large = struct.pack(">I4sQ", 1, b"free", 20) + b"abcd"
-    got = isobmff.boxes(frame(spark, [box(b"free", b"xy") + large, box(b"free", b"") + box(b"skip", b"", 0), box(b"free", b"") + box(b"skip", b"", 99)])).collect()
-    by = lambda p: [(r["fourcc"], r["length"], r["error"] is not None) for r in sorted(got, key=lambda r: r["ord"]) if r["path"] == p]
+    got = isobmff.boxes(isobmff.describe(frame(spark, [box(b"free", b"xy") + large, box(b"free", b"") + box(b"skip", b"", 0), box(b"free", b"") + box(b"skip", b"", 99)]))).collect()
+    by = lambda p: [(r["fourcc"], r["length"], r["error"] is not None) for r in sorted(got, key=lambda r: (r["ord"] is None, r["ord"])) if r["path"] == p]
     assert by("0") == [("free", 10, False), ("free", 20, False)]
     assert by("1") == [("free", 8, False), (None, None, True)]
     assert by("2") == [("free", 8, False)]
