@@ -15,6 +15,12 @@ def round2(v: Column, n: int) -> Column:
     return F.shiftright(v + ((1 << n) >> 1), n)
 
 
+def shifted(v: Column, n: Column) -> Column:
+    """v * 2**n for a column n, toward minus infinity if n is negative."""
+    v = v.cast("bigint")
+    return F.when(n < 0, F.call_function("shiftright", v, (-n).cast("int"))).otherwise(F.call_function("shiftleft", v, n.cast("int")))
+
+
 def signed_round2(v: Column, n: int) -> Column:
     """The magnitude of v / 2**n, halves up, with v's sign."""
     return F.when(v < 0, -round2(-v, n)).otherwise(round2(v, n))

@@ -13,7 +13,7 @@ TILE = 64
 
 def update(cdf: Column, symbol: Column, rate: Column) -> Column:
     """Entries before the symbol move towards 32768, the others towards 0, by 1 / 2**rate of the way."""
-    step = lambda v: F.floor(v / F.pow(F.lit(2), rate)).cast("bigint")
+    step = lambda v: F.call_function("shiftright", v, rate.cast("int"))
     return F.transform(cdf, lambda p, i: F.when(i < symbol, p + step(32768 - p)).otherwise(p - step(p)))
 
 

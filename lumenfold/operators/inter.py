@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.integer import clip, floor_log2, round2, shr
+from ..functions.integer import clip, round2, shifted, shr
 from ..sources.planes import hold
 from .intra import N, each
 
@@ -69,23 +69,27 @@ def eight_tap(df: DataFrame) -> DataFrame:
     return df.withColumn("eight_tap", each(lambda y, x: clip(round2(run(F.col("_h"), lambda d: edge(y + d) * N + x), 7), 0, 255)))
 
 
+def _bucket(size: Column, starts: list[int]) -> Column:
+    """How many of the starts `size` has reached."""
+    return sum((F.when(size >= start, 1).otherwise(0) for start in starts), F.lit(0))
+
+
 def quantize_component(v: Column) -> Column:
-    """A signed code of seven bits for a vector component, finer near 0; null from INVALID_FROM on."""
+    """A signed code of seven bits for a vector component; null from INVALID_FROM on.
+
+    Sizes below 32 are their own code. Above, each octave is a bucket of 16 codes in steps of 2, 4, ... 64.
+    """
     size = F.abs(v).cast("bigint")
-    bits = F.when(size == 0, 0).otherwise(F.greatest(F.lit(0), F.least(F.lit(6), floor_log2(size) - 4)))
-    scale = F.pow(F.lit(2), bits).cast("bigint")
-    some = F.when(bits > 0, 1).otherwise(0)
-    code = F.floor((size - 16 * some * scale) / scale) + (bits + some) * 16
-    return F.when(size < INVALID_FROM, F.when(v < 0, -code).otherwise(code)).cast("bigint")
+    octave = _bucket(size, [32 << k for k in range(6)])
+    code = shifted(size, -octave) + 16 * octave
+    return F.when(size < INVALID_FROM, code * F.sign(v).cast("bigint")).cast("bigint")
 
 
 def dequantize_component(code: Column) -> Column:
+    """The size at which the bucket step of a code begins, with its sign."""
     size = F.abs(code)
-    bits = F.floor(size / 16) - F.when(size >= 16, 1).otherwise(0)
-    some = F.when(bits > 0, 1).otherwise(0)
-    scale = F.pow(F.lit(2), bits).cast("bigint")
-    out = (size - (bits + some) * 16) * scale + 16 * some * scale
-    return F.when(code < 0, -out).otherwise(out).cast("bigint")
+    octave = _bucket(size, [32 + 16 * k for k in range(6)])
+    return (shifted(size - 16 * octave, octave) * F.sign(code).cast("bigint")).cast("bigint")
 
 
 def project_component(v: Column, num: Column, den: Column, low: int = -(1 << 15), high: int = (1 << 15) - 1) -> Column:

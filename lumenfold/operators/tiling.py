@@ -8,8 +8,12 @@ from pyspark.sql import functions as F
 from ..functions.integer import shr
 
 
-def uniform_tiles(size: Column, log2_tiles: int, log2_unit: int = 6, most: int = 64) -> Column:
-    """The first unit of each tile when `size` samples are cut into 2**log2_tiles tiles of nearly equal whole units.
+#: Tiles along a side that a frame may have.
+MOST_TILES = 64
+
+
+def uniform_tiles(size: Column, log2_tiles: int, log2_unit: int = 6) -> Column:
+    """The first unit of each tile when `size` samples are cut into 2**log2_tiles tiles of nearly equal whole units; null above MOST_TILES.
 
     Full units are shared out evenly; the first tiles get one more each of what is left over.
     """
@@ -18,8 +22,9 @@ def uniform_tiles(size: Column, log2_tiles: int, log2_unit: int = 6, most: int =
     base = shr(full, log2_tiles)
     extra = full - base * (1 << log2_tiles) + F.when(base == 0, units - full).otherwise(0)
     first = lambda k: k * base + F.least(k, F.greatest(extra, F.lit(0)))
-    starts = F.transform(F.sequence(F.lit(0), F.lit(min(1 << log2_tiles, most) - 1)), lambda k: first(k).cast("bigint"))
-    return F.array_distinct(F.filter(starts, lambda s: s < units))
+    starts = F.transform(F.sequence(F.lit(0), F.lit((1 << log2_tiles) - 1)), lambda k: first(k).cast("bigint"))
+    found = F.array_distinct(F.filter(starts, lambda s: s < units))
+    return F.when(F.size(found) <= MOST_TILES, found)
 
 
 def rank_references(frames: DataFrame, group: str, score: str, order: str, k: int) -> DataFrame:

@@ -62,10 +62,9 @@ def walsh_hadamard(df: DataFrame, coefs: str = "c4") -> DataFrame:
     """wht: the lossless 4x4 transform; inputs lose three bits, then each line and each column is lifted."""
 
     def lift(a, b, c, d):
-        t0, t2 = a + b, c - d
-        t4 = shr(t0 - t2, 1)
-        t3, t1 = t4 - d, t4 - b
-        return [t0 - t3, t3, t1, t2 + t1]
+        """Sums of the inputs, corrected by one half of their alternating sum, which makes the steps reversible in integers."""
+        half = shr(a + b - c + d, 1)
+        return [a + b + d - half, half - d, half - b, c - d - b + half]
 
     df = hold(df, **{f"_i{k}": shr(F.col(coefs)[k], 3) for k in range(16)})
     lines = [lift(*[F.col(f"_i{4 * y + x}") for x in range(4)]) for y in range(4)]

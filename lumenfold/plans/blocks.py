@@ -181,10 +181,8 @@ def identity8_2d(spark, sf_dir):
 
 def _wht_sql():
     def lift(a, b, c, d):
-        t0, t2 = f"({a} + {b})", f"({c} - {d})"
-        t4 = f"(({t0} - {t2}) >> 1)"
-        t3, t1 = f"({t4} - {d})", f"({t4} - {b})"
-        return [f"({t0} - {t3})", t3, t1, f"({t2} + {t1})"]
+        half = f"(({a} + {b} - {c} + {d}) >> 1)"
+        return [f"({a} + {b} + {d} - {half})", f"({half} - {d})", f"({half} - {b})", f"({c} - {d} - {b} + {half})"]
 
     wide = ", ".join(f"max((v - 128) >> 3) FILTER (WHERE y = {y} AND x = {x}) AS i{4 * y + x}" for y in range(4) for x in range(4))
     lines = ", ".join(f"{e} AS t{4 * y + x}" for y in range(4) for x, e in enumerate(lift(*[f"i{4 * y + k}" for k in range(4)])))
@@ -295,8 +293,7 @@ FROM pq JOIN d ON d.b = pq.b"""
 
 @query(_deblock_sql(20, 400))
 def deblock_edge(spark, sf_dir):
-    found = loopfilter.deblock(pairs(spark, sf_dir), 20, 400)
-    return spread_block(found, "left", "right").join(found.select("block_id", "filter_width"), "block_id")
+    return spread_block(loopfilter.deblock(pairs(spark, sf_dir), 20, 400), "left", "right", keep=("filter_width",))
 
 
 _MV = "SELECT l_orderkey, l_linenumber, l_partkey, CAST(floor(l_extendedprice) AS BIGINT) % 4096 - 2048 AS v FROM lineitem"
@@ -307,8 +304,8 @@ c AS (SELECT *, ((a - CASE WHEN n > 0 THEN 16 << n ELSE 0 END) >> n) + (n + CASE
 SELECT l_orderkey, l_linenumber, l_partkey, {big('CASE WHEN a < 2048 THEN CASE WHEN v < 0 THEN -code ELSE code END END', 'code')}, {big('CASE WHEN a < 2048 THEN CASE WHEN v < 0 THEN -back ELSE back END END', 'back')} FROM c""")
 def mv_quantize_roundtrip(spark, sf_dir):
     v = F.floor("l_extendedprice").cast("bigint") % 4096 - 2048
-    coded = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", inter.quantize_component(v).alias("code"))
-    return coded.withColumn("back", inter.dequantize_component(F.col("code")))
+    rows = hold(read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", v.alias("v")), code=inter.quantize_component(F.col("v")))
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "code", inter.dequantize_component(F.col("code")).alias("back"))
 
 
 @query(f"WITH m AS (SELECT l_orderkey, l_linenumber, l_partkey, CAST(floor(l_extendedprice) AS BIGINT) % 4096 - 2048 AS v, l_suppkey % 71 - 35 AS num, l_linenumber - 1 AS den FROM lineitem), p AS (SELECT *, v * greatest(-31, least(31, num)) * CASE WHEN den = 0 THEN 0 ELSE 16384 // den END AS p FROM m) SELECT l_orderkey, l_linenumber, l_partkey, {big('greatest(-32768, least(32767, (p + 8192 - CASE WHEN p < 0 THEN 1 ELSE 0 END) >> 14))', 'projected')} FROM p")

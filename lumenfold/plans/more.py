@@ -162,7 +162,7 @@ def colour_primaries(spark, sf_dir):
     return read(spark, sf_dir, "part").join(F.broadcast(names), F.col("p_size") % 24 == F.col("code"), "left").select("p_partkey", F.coalesce("name", F.lit("reserved")).alias("primaries"))
 
 
-def slice_tiles(groups: DataFrame, prefix: int = 2) -> DataFrame:
+def slice_tiles(groups: DataFrame, prefix: int = 4) -> DataFrame:
     """(group_id, tile, payload) of tile groups (group_id, tiles, content): each tile but the last has its size less 1 before it.
 
     A group that ends too soon gives one row with a null payload.
@@ -190,14 +190,17 @@ def slice_tiles(groups: DataFrame, prefix: int = 2) -> DataFrame:
     return groups.select("group_id", "tiles", "content").mapInArrow(run, "group_id long, tile long, payload binary")
 
 
-@query("SELECT conv_id AS group_id, turn, text FROM conversations WHERE text IS NOT NULL AND strlen(text) > 0 AND strlen(text) <= 65536 AND turn IS NOT NULL")
+@query("SELECT conv_id AS group_id, turn, coalesce(text, '') || '|' AS text FROM conversations")
 def tile_slicing(spark, sf_dir):
-    """Turns of a conversation as the tiles of a group, written with little-endian sizes and cut apart again."""
-    turns = read(spark, sf_dir, "conversations").where("text IS NOT NULL AND octet_length(text) BETWEEN 1 AND 65536 AND turn IS NOT NULL")
+    """Turns of a conversation, each with a mark at its end, as the tiles of a group, written with little-endian sizes of four bytes and cut apart again.
+
+    A null turn comes first, a null or empty text is the mark alone; turns with the same number keep their texts.
+    """
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.coalesce("text", F.lit("")), F.lit("|")).alias("text"))
     size = F.octet_length("text") - 1
-    little = join(number(size % 256, 1), number(F.floor(size / 256), 1)).data
+    little = join(*[number(F.shiftright(size, 8 * k).bitwiseAND(F.lit(255)), 1) for k in range(4)]).data
     one = F.struct("turn", F.hex(little).alias("head"), F.hex(F.encode("text", "utf-8")).alias("body"))
-    groups = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(one)).alias("t"))
+    groups = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(one)).alias("t"))
     hexes = F.transform("t", lambda x, i: F.when(i < F.size("t") - 1, F.concat(x["head"], x["body"])).otherwise(x["body"]))
     groups = groups.select(F.col("conv_id").alias("group_id"), F.size("t").cast("bigint").alias("tiles"), F.unhex(F.array_join(hexes, "")).alias("content"), F.transform("t", lambda x: x["turn"]).alias("turns"))
     found = slice_tiles(groups).join(groups.select("group_id", "turns"), "group_id")

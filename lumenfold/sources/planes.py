@@ -68,12 +68,12 @@ def with_lines_around(packed: DataFrame, reach: int) -> DataFrame:
     return dealt.withColumn("around", F.array(*around)).where(F.floor(F.col("y") / BAND) == F.col("band")).select("y", "line", "around")
 
 
-def spread_block(df: DataFrame, *arrays: str, width: int = 8) -> DataFrame:
-    """A row (block_id, y, x, ...) for each position of the named arrays."""
+def spread_block(df: DataFrame, *arrays: str, width: int = 8, keep: tuple[str, ...] = ()) -> DataFrame:
+    """A row (block_id, y, x, ...) for each position of the named arrays, with the columns in keep."""
     zipped = F.arrays_zip(*arrays) if len(arrays) > 1 else F.transform(arrays[0], lambda v: F.struct(v.alias(arrays[0])))
-    out = df.select("block_id", F.posexplode(zipped).alias("i", "s"))
+    out = df.select("block_id", *keep, F.posexplode(zipped).alias("i", "s"))
     i = F.col("i").cast("bigint")
-    return out.select("block_id", F.floor(i / width).cast("bigint").alias("y"), (i % width).alias("x"), *[F.col("s")[a].alias(a) for a in arrays])
+    return out.select("block_id", *keep, F.floor(i / width).cast("bigint").alias("y"), (i % width).alias("x"), *[F.col("s")[a].alias(a) for a in arrays])
 
 
 def spread_line(df: DataFrame, *arrays: str) -> DataFrame:

@@ -114,6 +114,66 @@ def test_session_emits_in_display_order():
         assert [o[1] for o in out] == sorted(shown) and [o[2] for o in out] == list(range(60))
 
 
+def replayed(rows):
+    """The session's rows, replayed one by one over lists: (decode_ord, disp_order, out_seq, error)."""
+    out, waiting, highest, seq = [], [], 0, 0
+
+    def show(n):
+        nonlocal seq
+        for order, decode_ord in waiting[:n]:
+            out.append((decode_ord, order, seq, False))
+            seq += 1
+        del waiting[:n]
+
+    for decode_ord, hint, kind in rows:
+        if kind == session.ERROR:
+            waiting, highest = [], 0
+            out.append((decode_ord, None, None, True))
+            continue
+        if kind == session.NEW_SEQUENCE:
+            show(len(waiting))
+            highest = 0
+        order = hint
+        while order <= highest - 32:
+            order += 64
+        highest = max(highest, order)
+        waiting.append((order, decode_ord))
+        waiting.sort()
+        if len(waiting) > 8:
+            n = 1
+            while n < len(waiting) and waiting[n][0] == waiting[n - 1][0] + 1:
+                n += 1
+            show(n)
+    show(len(waiting))
+    return out
+
+
+def test_streams_over_several_micro_batches(spark, tmp_path):
+    """One file a trigger gives what one trigger for all gives; new sequences and faults included."""
+    events = spark.read.parquet(f"{DIR}/events.parquet").where("event_id < 700").orderBy("event_id")
+    for n in range(5):
+        events.where(f"event_id >= {n * 140} AND event_id < {n * 140 + 140}").coalesce(1).write.parquet(str(tmp_path / "events" / f"part={n}"))
+    folder, key = str(tmp_path / "flat"), lambda r: (r["stream_id"], r["decode_ord"])
+    import glob
+    import os
+    import shutil
+
+    os.mkdir(folder)
+    for n in range(5):
+        shutil.copy(glob.glob(str(tmp_path / "events" / f"part={n}" / "*.parquet"))[0], f"{folder}/{n}.parquet")
+        os.utime(f"{folder}/{n}.parquet", (n + 1, n + 1))
+    decoded = session.broken_frames(events).collect()
+    for decode, want in ((session.frames, None), (session.broken_frames, decoded)):
+        one = sorted((tuple(r) for r in session.run_stream(spark, folder, decode, 1).collect()), key=str)
+        assert one == sorted((tuple(r) for r in session.run_stream(spark, folder, decode).collect()), key=str)
+        if want:
+            expected = []
+            for stream in {r["stream_id"] for r in want}:
+                own = sorted((r for r in want if r["stream_id"] == stream), key=key)
+                expected += [(stream, *x) for x in replayed([(r["decode_ord"], r["hint"], r["kind"]) for r in own])]
+            assert one == sorted(expected, key=str) and any(x[4] for x in one)
+
+
 def test_range_coder():
     from lumenfold.operators.rangecoder import decode, encode
 
