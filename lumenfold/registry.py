@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import blocks, containers, more, planes
+from .plans import blocks, containers, more, planes, stencils
 
-PLANS = (blocks, planes, containers, more)
+PLANS = (blocks, planes, containers, more, stencils)
 
 
 def queries() -> dict:
