@@ -35,6 +35,21 @@ def floor_log2(v: Column) -> Column:
     return F.length(F.bin(v)) - 1
 
 
+def reciprocal(d: Column) -> Column:
+    """(mantissa, shift) with 2**shift / d near mantissa, for d > 0: the mantissa of nine bits comes from the eight highest bits of d, rounded."""
+    top = floor_log2(d)
+    rest = d - shifted(F.lit(1), top)
+    f = F.when(top > 7, shifted(rest + shifted(F.lit(1), F.greatest(top - 8, F.lit(0))), F.least(7 - top, F.lit(0)))).otherwise(shifted(rest, F.greatest(7 - top, F.lit(0))))
+    return F.struct(F.floor((2 * 65536 + 128 + f) / (2 * (128 + f))).alias("mantissa"), (top + 9).cast("bigint").alias("shift"))
+
+
+def divided(v: Column, by: int) -> Column:
+    """v / by by the reciprocal of a constant, halves up."""
+    top = by.bit_length() - 1
+    mantissa = (2 * 65536 + 128 + (f := by - (1 << top) << 7 - top)) // (2 * (128 + f))
+    return round2(v * mantissa, top + 9)
+
+
 def lfsr(state: Column) -> Column:
     """The next state of the 16-bit grain register: taps 0, 1, 3 and 12, the new bit comes in at the top."""
     bit = state.bitwiseXOR(shr(state, 1)).bitwiseXOR(shr(state, 3)).bitwiseXOR(shr(state, 12)).bitwiseAND(F.lit(1))

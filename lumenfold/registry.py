@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import blocks, containers, more, planes, stencils
+from .plans import blocks, containers, more, planes, shapes, stencils
 
-PLANS = (blocks, planes, containers, more, stencils)
+PLANS = (blocks, planes, containers, more, stencils, shapes)
 
 
 def queries() -> dict:
