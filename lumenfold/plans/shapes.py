@@ -31,18 +31,17 @@ _STEP = f"[{', '.join(map(str, STEPS))}]"
 _E = "ed AS (SELECT b, x + 1 AS i, v FROM px WHERE y = 0 UNION ALL SELECT b - 1, x + 9, v FROM px WHERE y = 0 UNION ALL SELECT b, -1 - y, v FROM px WHERE x = 0 UNION ALL SELECT b - 1, -9 - y, v FROM px WHERE x = 0 UNION ALL SELECT b, 0, v FROM px WHERE y = 0 AND x = 0)"
 
 
-def _met(name: str, place: str, part: str, end: int) -> str:
-    """Join for the two edge samples from `place` on, and their mix; positions beyond the last sample, number 16, stay there."""
-    return f"JOIN ed {name}a ON {name}a.b = o.b AND {name}a.i = {end} * least(16, {place}) JOIN ed {name}b ON {name}b.b = o.b AND {name}b.i = {end} * least(16, {place} + 1)"
-
-
-@query(f"""WITH {PQ}, {_E}, o AS (SELECT b, y, x, {_STEP}[b % 9 + 1] AS dx, {_STEP}[(b // 9) % 9 + 1] AS dy FROM pq),
-z AS (SELECT o.b, o.y, o.x, (va.v * (32 - f1) + vb.v * f1 + 16) >> 5 AS top_only, (wa.v * (32 - f3) + wb.v * f3 + 16) >> 5 AS left_only,
-  CASE WHEN p2 < -64 THEN (la.v * (32 - fl) + lb.v * fl + 16) >> 5 ELSE (ta.v * (32 - ft) + tb.v * ft + 16) >> 5 END AS either
-  FROM (SELECT *, (((y + 1) * dx) & 63) >> 1 AS f1, (((y + 1) * dx) >> 6) + x + 1 AS k1, (((x + 1) * dy) & 63) >> 1 AS f3, (((x + 1) * dy) >> 6) + y + 1 AS k3,
-    64 * x - (y + 1) * dx AS p2, ((64 * x - (y + 1) * dx) & 63) >> 1 AS ft, greatest((64 * x - (y + 1) * dx) >> 6, -1) + 1 AS kt, ((64 * y - (x + 1) * dy) & 63) >> 1 AS fl, greatest((64 * y - (x + 1) * dy) >> 6, -1) + 1 AS kl FROM o) o
-  {_met('v', 'k1', 'f1', 1)} {_met('w', 'k3', 'f3', -1)} {_met('t', 'kt', 'ft', 1)} {_met('l', 'kl', 'fl', -1)})
-SELECT {COLS}, {big('top_only', 'top_only')}, {big('either', 'either')}, {big('left_only', 'left_only')} FROM z""")
+def _mix(place: str, part: str, side: int) -> str:
+    """Between the edge samples number `place` and the next one of a side, counted from the corner; beyond the last, number 16, they stay there."""
+    at = lambda k: f"e[CAST(17 + {side} * least(16, {k}) AS BIGINT)]"
+    return f"(({at(place)} * (32 - {part}) + {at(f'{place} + 1')} * {part} + 16) >> 5)"
+
+
+@query(f"""WITH {PX}, {_E}, el AS MATERIALIZED (SELECT b, list(v ORDER BY i) AS e FROM ed GROUP BY b HAVING count(*) = 33),
+o AS (SELECT px.b, y, x, e, (y + 1) * {_STEP}[b % 9 + 1] AS p1, (x + 1) * {_STEP}[(b // 9) % 9 + 1] AS p3 FROM px JOIN el USING (b)),
+z AS (SELECT *, 64 * x - p1 AS pt, 64 * y - p3 AS pl FROM o)
+SELECT {COLS}, {big(_mix('((p1 >> 6) + x + 1)', '((p1 & 63) >> 1)', 1), 'top_only')}, {big(_mix('((p3 >> 6) + y + 1)', '((p3 & 63) >> 1)', -1), 'left_only')},
+  {big(f"CASE WHEN pt < -64 THEN {_mix('(greatest(pl >> 6, -1) + 1)', '((pl & 63) >> 1)', -1)} ELSE {_mix('(greatest(pt >> 6, -1) + 1)', '((pt & 63) >> 1)', 1)} END", 'either')} FROM z""")
 def directional_zones(spark, sf_dir):
     """All three zones of directional prediction, the steps from the block's id; the next block's edges continue a block's own."""
     line = lambda of, step: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.col(of)[k * step])

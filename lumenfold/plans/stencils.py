@@ -27,13 +27,13 @@ def query(sql: str):
 
 
 #: The plane with six more samples on all sides, its edges repeated; cy, cx: the sample that stands there.
-_PAD = f"""{PL}, hp AS (SELECT r.y AS y, c.x AS x, pl.y AS cy, pl.x AS cx, pl.v FROM (SELECT unnest(range(-6, my + 7)) AS y, my FROM sz) r CROSS JOIN (SELECT unnest(range(-6, {WIDTH + 6})) AS x) c
+_PAD = f"""{PL}, hp AS MATERIALIZED (SELECT r.y AS y, c.x AS x, pl.y AS cy, pl.x AS cx, pl.v FROM (SELECT unnest(range(-6, my + 7)) AS y, my FROM sz) r CROSS JOIN (SELECT unnest(range(-6, {WIDTH + 6})) AS x) c
   JOIN lw ON lw.y = greatest(0, least(my, r.y)) JOIN pl ON pl.y = lw.y AND pl.x = greatest(0, least(lw.mx, c.x)))"""
-_FEATURES = f"""{_PAD}, lap AS (SELECT m.y, m.x, abs(u.v - 2 * m.v + d.v) AS f0, abs(ur.v - 2 * m.v + dl.v) AS f1, abs(ul.v - 2 * m.v + dr.v) AS f2 FROM hp m
-  JOIN hp u ON u.y = m.y - 1 AND u.x = m.x JOIN hp d ON d.y = m.y + 1 AND d.x = m.x JOIN hp ur ON ur.y = m.y - 1 AND ur.x = m.x + 1
-  JOIN hp dl ON dl.y = m.y + 1 AND dl.x = m.x - 1 JOIN hp ul ON ul.y = m.y - 1 AND ul.x = m.x - 1 JOIN hp dr ON dr.y = m.y + 1 AND dr.x = m.x + 1),
+_FEATURES = f"""{_PAD}, hl AS MATERIALIZED (SELECT y, list(v ORDER BY x) AS l FROM hp GROUP BY y),
+lap AS MATERIALIZED (SELECT m.y, m.x, abs(u.l[m.x + 7] - 2 * m.v + d.l[m.x + 7]) AS f0, abs(u.l[m.x + 8] - 2 * m.v + d.l[m.x + 6]) AS f1, abs(u.l[m.x + 6] - 2 * m.v + d.l[m.x + 8]) AS f2 FROM hp m
+  JOIN hl u ON u.y = m.y - 1 JOIN hl d ON d.y = m.y + 1),
 bk AS (SELECT DISTINCT y // 4 AS block_y, x // 4 AS block_x FROM pl),
-ft AS (SELECT block_y, block_x, CAST(sum(f0) AS BIGINT) AS f0, CAST(sum(f1) AS BIGINT) AS f1, CAST(sum(f2) AS BIGINT) AS f2 FROM bk CROSS JOIN range(-1, 5) i(i) CROSS JOIN range(-1, 5) j(j) JOIN lap ON lap.y = 4 * block_y + i AND lap.x = 4 * block_x + j GROUP BY block_y, block_x)"""
+ft AS MATERIALIZED (SELECT block_y, block_x, CAST(sum(f0) AS BIGINT) AS f0, CAST(sum(f1) AS BIGINT) AS f1, CAST(sum(f2) AS BIGINT) AS f2 FROM bk CROSS JOIN range(-1, 5) i(i) CROSS JOIN range(-1, 5) j(j) JOIN lap ON lap.y = 4 * block_y + i AND lap.x = 4 * block_x + j GROUP BY block_y, block_x)"""
 
 
 def _blocks_of(found: DataFrame) -> DataFrame:
@@ -80,8 +80,8 @@ _TAPS = ", ".join(f"({n}, {dy}, {dx}, {c})" for n, (_, taps) in enumerate(FILTER
 
 
 @query(f"""WITH {_FEATURES}, kd AS (SELECT block_y, block_x, CASE WHEN f0 >= f1 AND f0 >= f2 THEN 0 WHEN f1 >= f2 THEN 1 ELSE 2 END AS k FROM ft), taps(k, dy, dx, c) AS (VALUES {_TAPS}),
-s AS (SELECT p.y, p.x, p.v, kd.k, CAST(sum((a.v + b.v) * c) AS BIGINT) AS s FROM pl p JOIN kd ON kd.block_y = p.y // 4 AND kd.block_x = p.x // 4 JOIN taps ON taps.k = kd.k
-  JOIN hp a ON a.y = p.y + dy AND a.x = p.x + dx JOIN hp b ON b.y = p.y - dy AND b.x = p.x - dx GROUP BY ALL)
+pk AS MATERIALIZED (SELECT p.y, p.x, p.v, kd.k, dy, dx, c FROM pl p JOIN kd ON kd.block_y = p.y // 4 AND kd.block_x = p.x // 4 JOIN taps ON taps.k = kd.k),
+s AS (SELECT p.y, p.x, p.v, p.k, CAST(sum((a.l[p.x + dx + 7] + b.l[p.x - dx + 7]) * c) AS BIGINT) AS s FROM pk p JOIN hl a ON a.y = p.y + dy JOIN hl b ON b.y = p.y - dy GROUP BY p.y, p.x, p.v, p.k)
 SELECT y, x, {big(f'greatest(0, least(255, (v * [{", ".join(str(c) for c, _ in FILTERS)}][k + 1] + s + 64) >> 7))', 'filtered')} FROM s""")
 def pc_wiener_filter(spark, sf_dir):
     return stencil.spread_band(stencil.classified_filter(plane(spark, sf_dir), FILTERS), "filtered", width=WIDTH)
