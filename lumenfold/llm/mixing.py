@@ -10,6 +10,8 @@ The last document is rounded together with the one of the last group whose chang
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,10 +35,23 @@ def sized(docs: DataFrame, text: str = "text", id_col: str = "doc_id", source: s
     return docs.select(F.xxhash64(F.col(text)).alias("hash"), F.col(id_col).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), size.alias("size"), *place_of(place))
 
 
+_SAME = ("hash", "doc_id", "source", "size")
+
+
 def apart(rows: DataFrame) -> DataFrame:
-    """rows with (file, at), which tell those apart that are equal in all of `sized`: they are numbered, so that a third of all rows being equal deals no group more than its share."""
-    times = rows.groupBy("hash", "doc_id", "source", "size").agg(F.count(F.lit(1)).alias("_n"))
-    return times.select("hash", "doc_id", "source", "size", F.lit(0).cast("long").alias("file"), F.explode(F.sequence(F.lit(1).cast("long"), "_n")).alias("at"))
+    """rows with (file, at, salt): those that are equal in all of `sized` are numbered, so that a third of all rows being equal deals no group more than its share."""
+    times = rows.groupBy(*_SAME).agg(F.count(F.lit(1)).alias("_n"))
+    at = times.select(*_SAME, "_n", F.lit(0).cast("long").alias("file"), F.explode(F.sequence(F.lit(1).cast("long"), "_n")).alias("at"))
+    return at.withColumn("salt", F.when(F.col("_n") > 1, F.col("at")).otherwise(0)).drop("_n")
+
+
+def apart_by_place(rows: DataFrame) -> DataFrame:
+    """The same for rows that have places of their own: these tell equal rows apart."""
+    names = [f"_{c}" for c in _SAME]
+    repeated = small_side(materialize(rows.groupBy(*_SAME).count().where("count > 1").select(*_SAME).toDF(*names), "repeated"))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(n)) for c, n in zip(_SAME, names)])
+    joined = rows.join(repeated.withColumn("_again", F.lit(True)), same, "left")
+    return joined.select(*rows.columns, F.when(F.col("_again"), F.xxhash64("file", "at")).otherwise(0).alias("salt"))
 
 
 def targets(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
@@ -94,7 +109,7 @@ def _mixed(rows: DataFrame, weights: tuple[int, ...], share: float, most: int, s
     at = rows.join(known, same, "left")
     fraction = (F.col("size") > 0) & (F.col("part") > 0)
     groups = F.greatest(F.lit(1), F.ceil(F.col("documents") / FAN))
-    slot = F.pmod(F.xxhash64("doc_id", "hash", "file", "at", F.lit(seed)), groups)
+    slot = F.pmod(F.xxhash64("doc_id", "hash", "salt", F.lit(seed)), groups)
     meeting = at.where(fraction).select("source", slot.alias("slot"), groups.alias("groups"), F.struct("size", "doc_id", "hash", "file", "at", F.col("part").alias("p")).cast(_DOC).alias("doc"))
     most_documents = goals.agg(F.max("documents")).first()[0] or 0
     columns = ("source", "doc_id", "size", "file", "at", "up")
@@ -142,7 +157,7 @@ def repeat_by_mix(docs: DataFrame) -> DataFrame:
     """
     named, row = with_row(docs)
     times = unused("_rows_copies", named)
-    rows = materialize(sized(named, place=row), "sizes")
+    rows = materialize(apart_by_place(materialize(sized(named, place=row), "sizes")), "sizes")
     copies = _mixed(rows, WEIGHTS, SHARE, MOST, 5).select("file", "at", F.when(F.col("size") > 0, F.col("copies")).otherwise(1).cast("int").alias(times)).where(F.col(times) > 0)
     joined = at_places(named, row, materialize(copies, "copies"), "inner")
     return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(times))).alias(f"{times}_n")).select(*docs.columns)

@@ -1,6 +1,7 @@
 """Every operator against a plain Python version, over nulls, empty and long texts, ties, and clashing columns."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -9,6 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from lumenfold.llm import common, components, exact_dedup, language_id, licenses, mixing, packing, quality_classifier, quality_rules, repeated_passages, simhash, token_counts
 
@@ -59,6 +61,47 @@ def test_classifier(spark, docs, labels, rows, empty):
     assert {r["score"] for r in flat} == {0.5}
 
 
+def plain_score(model, text, n_chars):
+    """The score of one text, over its words and characters one by one and all pairs of inputs."""
+    from lumenfold.llm import words as w
+
+    known = quality_classifier
+    tokens, data = (text or "").encode().split(), (text or "").encode()
+    buckets = Counter(int(w.hash_words(np.frombuffer(t, np.uint8), w.find_words(np.frombuffer(t, np.uint8), np.array([0, len(t)])))[0] % known.BUCKETS) for t in tokens)
+    x = {b: np.log1p(n) for b, n in buckets.items()}
+    norm = sum(v * v for v in x.values()) ** 0.5
+    x = {b: v / norm for b, v in x.items()}
+    share = lambda inside: sum(map(inside, data)) / max(len(data), 1)
+    marks, n = b"#*$%&|<>!", max(len(tokens), 1)
+    stats = {
+        "words": np.log1p(len(tokens)), "word bytes": sum(map(len, tokens)) / n, "upper case": share(lambda c: 65 <= c <= 90), "digits": share(lambda c: 48 <= c <= 57), "symbols": share(lambda c: c in b"#*$%&<>"),
+        "bars": share(lambda c: c == 124), "exclamations": share(lambda c: c == 33), "beyond ASCII": share(lambda c: c > 127), "line ends": share(lambda c: c == 10), "distinct words": len(set(tokens)) / n,
+        "commonest word": max(Counter(tokens).values(), default=0) / n, "words ending in a mark": sum(t[-1] in marks for t in tokens) / n, "words of upper case": sum(65 <= t[0] <= 90 and 65 <= (t + b" ")[1] <= 90 for t in tokens) / n,
+        "full stops": share(lambda c: c == 46), "n_chars": np.log1p(max(n_chars or 0, 0)), "n_chars missing": float(n_chars is None),
+    }
+    for i, name in enumerate(known.STATISTICS):
+        x[known.BUCKETS + i] = min(4, max(-4, (stats[name] - model.mean[i]) / model.spread[i]))
+    total, keys = model.bias + sum(model.weights[a] * v for a, v in x.items()), sorted(x)
+    for i, a in enumerate(keys):
+        for b in keys[i + 1 :]:
+            total += model.factors[a] @ model.factors[b] * x[a] * x[b]
+    return 1 / (1 + np.exp(-min(30, max(-30, total))))
+
+
+def test_scores_against_plain_python(spark, docs, labels, rows):
+    model = quality_classifier.train(docs, labels)
+    got = {r["doc_id"]: r["score"] for r in quality_classifier.score(docs, model).collect()}
+    for r in rows:
+        if len(r[1] or "") < 3000:
+            assert got[r[0]] == pytest.approx(plain_score(model, r[1], r[4]), abs=1e-9)
+
+
+def test_training_takes_one_row_of_a_repeated_doc_id(spark, docs, labels):
+    again = docs.union(docs.where("doc_id < 30")).union(docs.where("doc_id < 30").withColumn("text", F.substring("text", 1, 20)))
+    one, two = quality_classifier.train(docs, labels), quality_classifier.train(again, labels)
+    assert one.bias == two.bias and np.array_equal(one.weights, two.weights)
+
+
 def test_held_out_accuracy(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
@@ -122,6 +165,52 @@ def test_mixing_does_not_depend_on_splits(spark, docs):
     assert len({r["copies"] for r in got if r["doc_id"]}) == 2
 
 
+def test_mixing_of_many_equal_or_null_ids(spark, monkeypatch):
+    """A third of all rows equal, a third with a null doc_id: no group of a meeting is much larger than FAN."""
+    given = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, F.lit(7)).when(F.col("id") % 3 == 1, F.col("id")).cast("long").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit("a b c")).otherwise(F.concat(F.lit("w "), F.col("id").cast("string"))).alias("text"), F.lit("s").alias("source"))
+    given = given.union(spark.createDataFrame([(1, "x y", "t")], given.schema))
+    sizes, write = [], mixing.materialize
+
+    def watched(df, name):
+        found = write(df, name)
+        if name == "met0":
+            sizes.append(found.agg(F.max(F.size("out"))).first()[0])
+        return found
+
+    monkeypatch.setattr(mixing, "materialize", watched)
+    got = mixing.mix(given)
+    assert got.count() == 30_001 and sizes[0] < 3 * mixing.FAN
+    one = got.where("source = 's'").agg({"taken": "sum", "target": "max"}).first()
+    assert abs(one["sum(taken)"] - one["max(target)"]) <= 2
+
+
+def test_targets_of_many_sources(spark):
+    """More sources than a range holds, against filling up in plain Python."""
+    sizes = {f"s{i:05}": (i * 7919) % 997 for i in range(3000)}
+    rows = spark.createDataFrame([(k, v) for k, v in sizes.items()], "source string, size long")
+    got = {r["source"]: r["target"] for r in mixing.targets(rows).collect()}
+    weight = {k: (3, 1, 2)[i % 3] for i, k in enumerate(sorted(sizes))}
+    total, stopped = 1.5 * sum(sizes.values()), set()
+    while True:
+        level = (total - sum(2 * sizes[k] for k in stopped)) / sum(weight[k] for k in sizes if k not in stopped)
+        more = {k for k in sizes if k not in stopped and level * weight[k] > 2 * sizes[k]}
+        if not more:
+            break
+        stopped |= more
+    assert all(got[k] == pytest.approx(2 * sizes[k] if k in stopped else level * weight[k]) for k in sizes)
+
+
+def test_running_sums(spark):
+    from lumenfold.llm.common import running
+
+    given = spark.createDataFrame([(i, (i * 37) % 101, i % 5) for i in range(1, 500)], "id long, key long, v long")
+    got = running(given, [F.col("key"), F.col("id").desc()], {"before": "v", "rank": "id"}, "sums").collect()
+    order, seen, ids = sorted(got, key=lambda r: (r["key"], -r["id"])), 0, 0
+    for r in order:
+        assert (r["before"], r["rank"]) == (seen, ids)
+        seen, ids = seen + r["v"], ids + r["id"]
+
+
 def test_mixing_in_several_levels_keeps_words(spark):
     rng = random.Random(4)
     docs = spark.createDataFrame([(i, "w " * rng.randint(1, 40), f"s{i % 2}") for i in range(9000)], "doc_id long, text string, source string")
@@ -169,9 +258,104 @@ def test_recount(spark, docs, rows, empty):
     assert token_counts.recount(empty, edits, path, pattern).count() == 0
 
 
+def test_stored_trees_spare_what_edits_leave_alone(spark, docs, rows):
+    """Documents without edits keep what is stored, right or not; leaves that an edit doesn't touch are neither cut nor encoded."""
+    import public_tokenizers
+
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    trees = token_counts.build_trees(docs, path, pattern).withColumn("tokens", F.when(F.col("doc_id") == 3, F.col("tokens")).otherwise(-5)).cache()
+    edits = spark.createDataFrame([(3, 1, 2, 1, "xyz"), (None, 1, 0, 5, "lost"), (10**6, 1, 0, 0, "unknown")], "doc_id long, seq long, at long, delete long, insert string")
+    got = token_counts.update(docs, trees, edits, path, pattern).collect()
+    assert len(got) == len(rows) and {(r["tokens_after"], r["edits"]) for r in got if r["doc_id"] != 3} == {(-5, 0)}
+    text = next(r[1] for r in rows if r[0] == 3)
+    counter = token_counts.Counter(path, pattern)
+    assert [r["tokens_after"] for r in got if r["doc_id"] == 3] == [len(counter.encoding.encode_ordinary(text[:2] + "xyz" + text[3:]))]
+
+    class Watched(token_counts.Counter):
+        asked = 0
+
+        def __call__(self, piece):
+            self.asked += 1
+            return super().__call__(piece)
+
+    long = "The thing, and 12 more: l'été  \n" * 4000
+    stored = token_counts.SegmentTree(counter, long).stored()
+    watched = Watched(path, pattern)
+    tree = token_counts.SegmentTree(watched, long, stored)
+    for at, insert in ((70_000, "new"), (5, " "), (len(long), "end"), (70_001, "\n\n")):
+        long = long[:at] + insert + long[at:]
+        assert tree.edit(at, 0, insert) == len(counter.encoding.encode_ordinary(long))
+    assert watched.asked < 100 and sum(isinstance(x, list) for x in tree.leaves) < 10 and tree.text() == long
+
+
+def test_recount_of_repeated_ids(spark):
+    """Rows that share a doc_id: each text gets the edits; whole repeats are counted alike."""
+    import public_tokenizers
+
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    given = spark.createDataFrame([(1, "one two")] * 50 + [(1, "three"), (1, None), (None, "four"), (None, "five")], "doc_id long, text string")
+    edits = spark.createDataFrame([(1, 2, 0, 0, "b "), (1, 1, 0, 0, "a ")], "doc_id long, seq long, at long, delete long, insert string")
+    got = Counter((r["doc_id"], r["tokens_before"], r["chars_after"], r["edits"]) for r in token_counts.recount(given, edits, path, pattern).collect())
+    size = lambda t: len(token_counts.Counter(path, pattern).encoding.encode_ordinary(t))
+    assert got == {(1, size("one two"), 11, 2): 50, (1, size("three"), 9, 2): 1, (1, 0, 4, 2): 1, (None, size("four"), 4, 0): 2}
+
+
 # 4
 
 
+def thue_morse(n):
+    """A word of a and b, and that with both exchanged: polynomial hashes modulo a power of two can't tell them apart."""
+    word = "".join("ab"[bin(i).count("1") & 1] for i in range(n))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_a_polynomial_hash_confuses(spark):
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = [x for n in (1024, 2048) for x in thue_morse(n)]
+    texts += [f"{a} {' '.join(f'w{i}' for i in range(49))}" for a in texts] + [f"{texts[0]} {' '.join(f'w{i}' for i in range(49))} tail"]
+    rows = list(enumerate(texts))
+    given = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(tuple(r) for r in repeated_passages.removal_digests(given).collect())
+    want = removed([(i, words(t)) for i, t in rows])
+    assert {r[0]: r[1:] for r in got} == want and got[-1][2] == 50 and all(r[2] == 0 for r in got[:-1])
+    from tokenizers import Tokenizer
+
+    ids = {r["doc_id"]: r["ids"] for r in packing.pieces(given, path, capacity=1 << 20, keep_ids=True).collect()}
+    tokenizer = Tokenizer.from_file(path)
+    assert all(ids[i] == tokenizer.encode(t, add_special_tokens=False).ids + [0] for i, t in rows)
+
+
+def test_ids_where_all_hashes_are_equal(monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    monkeypatch.setattr(packing, "fold_keys", lambda low, high: low % np.uint64(2))
+    texts = ["the thing of others", "others of the thing, the x" * 3, "", "a\x00 a"]
+    data = [t.encode() for t in texts]
+    ids, first = packing.WordIds(path)(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
+    assert [ids[a:b].tolist() for a, b in zip(first, first[1:])] == [Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_word_keys_and_run_names():
+    from lumenfold.llm import words as w
+
+    rng = random.Random(8)
+    some = [bytes(rng.choice(b"ab\x00") for _ in range(rng.randrange(1, 20))) for _ in range(3000)]
+    data = np.frombuffer(b" ".join(some), np.uint8)
+    found = w.find_words(data, np.array([0, len(data)]))
+    low, high = w.word_keys(data, found.starts, found.ends)
+    keys = dict(zip(some, zip(low.tolist(), high.tolist())))
+    assert all(keys[x] == k for x, k in zip(some, zip(low.tolist(), high.tolist()))) and len(set(keys.values())) == len(keys)
+    names = w.word_names(low, high) % 3
+    for size in (1, 2, 5, 8, 50):
+        runs, seen = w.run_names(names, size), {}
+        assert len(runs) == len(names) - size + 1
+        assert all(seen.setdefault(tuple(names[i : i + size]), r) == r for i, r in enumerate(runs.tolist())) and len(seen) == len(set(runs.tolist()))
+
+
 def removed(rows):
     first = {}
     for doc_id, w in rows:
@@ -233,6 +417,66 @@ def test_language_id(spark, docs, empty):
     assert {r["lang"] for r in language_id.identify(pages, known.limit(0)).collect()} == {None}
 
 
+def test_posteriors_against_plain_python(spark):
+    """Every page's posterior from its n-grams, markup, address, host and domain, one by one."""
+    L = language_id
+    known = [("the thing of this and that whether " * 5, "en"), ("le que dans une pas aux être " * 5, "fr"), ("der und nicht ist das " * 4, "de"), (None, "fr"), ("x", None)]
+    pages = [
+        (1, "http://a.example.co.uk/x", "<html lang='fr'><body>dans une que</body>"), (2, "http://b.example.co.uk/y", "<p>the thing"), (3, None, None), (4, "http://a.other.co.uk/", "das und"), (5, "https://u:p@sub.site.fr:80/de/", ""),
+        (6, "http://sub.site.fr/", "<script>the the the</script>que"), (7, "http://10.0.0.1/", "ist nicht " * 3000), (8, "ftp://10.0.0.1", "<html lang=xx>"), (2, "http://b.example.co.uk/y", "<p>the thing"),
+    ]
+    got = L.identify(spark.createDataFrame(pages, "page_id long, url string, html string"), spark.createDataFrame(known, "text string, lang string")).collect()
+    langs = ["de", "en", "fr"]
+
+    def buckets(text):
+        b = text.encode()
+        return [(int.from_bytes(b[i : i + L.GRAM], "big") * 0x9E3779B97F4A7C15 % 2**64) >> (64 - L.BITS) for i in range(len(b) - L.GRAM + 1)]
+
+    counts = {g: Counter(x for t, own in known if own == g and t for x in buckets(t)) for g in langs}
+    logp = lambda g, x: np.log((counts[g][x] + L.PSEUDO) / (sum(counts[g].values()) + L.PSEUDO * 2**L.BITS))
+    hosts = {1: "a.example.co.uk", 2: "b.example.co.uk", 3: "", 4: "a.other.co.uk", 5: "sub.site.fr", 6: "sub.site.fr", 7: "10.0.0.1", 8: "10.0.0.1"}
+    domains = {1: "example.co.uk", 2: "example.co.uk", 3: "", 4: "other.co.uk", 5: "site.fr", 6: "site.fr", 7: "10.0.0.1", 8: "10.0.0.1"}
+    bodies = {1: "  dans une que ", 2: " the thing", 3: "", 4: "das und", 5: "", 6: " que", 7: "ist nicht " * 3000, 8: " "}
+    declared, addressed = {1: "fr"}, {1: "en", 2: "en", 4: "en", 5: "de", 6: "fr"}
+    says = lambda named, g, right: 0.0 if named is None else np.log(right if named == g else (1 - right) / 2)
+    p = {}
+    for page in hosts:
+        score = np.array([sum(logp(g, x) for x in buckets(bodies[page])) / L.TEMPER + says(declared.get(page), g, L.DECLARED) + says(addressed.get(page), g, L.ADDRESSED) for g in langs])
+        p[page] = np.exp(score - score.max()) / np.exp(score - score.max()).sum()
+    every = [r[0] for r in pages]
+    root = (sum(p[q] for q in every) + 1) / (len(every) + len(langs))
+    for r in got:
+        page = r["page_id"]
+        others = lambda by: sum((p[q] for q in every if by[q] == by[page]), np.zeros(3)) - p[page]
+        smoothed = lambda n, above, weight: (n + weight * above) / (n.sum() + weight)
+        prior = smoothed(others(hosts), smoothed(others(domains), root, L.DOMAIN_WEIGHT), L.HOST_WEIGHT)
+        posterior = p[page] * prior / (p[page] * prior).sum()
+        assert r["lang"] == langs[int(np.argmax(posterior))] and r["probability"] == pytest.approx(posterior.max(), rel=1e-6)
+        assert (r["host"], r["declared"], r["addressed"]) == (hosts[page], declared.get(page), addressed.get(page))
+    assert len(got) == len(pages)
+
+
+def test_equal_posteriors_go_to_the_first_language(spark):
+    known = spark.createDataFrame([("abc", "b"), ("abc", "a")], "text string, lang string")
+    got = language_id.identify(spark.createDataFrame([(1, "x", "zzz")], "page_id long, url string, html string"), known).first()
+    assert got["lang"] == "a" and got["probability"] == pytest.approx(0.5)
+
+
+def test_languages_of_unseen_documents(spark):
+    """Texts of known language, without markup or address, by a model of other texts."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang IS NOT NULL")
+    pages = docs.where("doc_id % 2 = 0").select(F.col("doc_id").alias("page_id"), F.lit("").alias("url"), F.col("text").alias("html"), F.col("lang").alias("true"))
+    got = language_id.identify(pages, docs.where("doc_id % 2 = 1")).join(pages.select("page_id", "true"), "page_id")
+    right = got.agg(F.avg((F.col("lang") == F.col("true")).cast("double"))).first()[0]
+    assert right > 0.95
+
+
+def test_too_many_languages(spark):
+    known = spark.createDataFrame([("text", f"l{i}") for i in range(language_id.MOST_LANGUAGES + 1)], "text string, lang string")
+    with pytest.raises(ValueError):
+        language_id.identify(spark.createDataFrame([(1, "x", "y")], "page_id long, url string, html string"), known)
+
+
 def test_language_of_given_pages(spark):
     d = "/root/testdata/sf0.01"
     got = language_id.identify(spark.read.parquet(f"{d}/pages.parquet"), spark.read.parquet(f"{d}/documents.parquet")).collect()
@@ -242,6 +486,15 @@ def test_language_of_given_pages(spark):
 # 6
 
 
+def test_many_notices_in_one_text(spark):
+    """Thousands of notices behind letters of two bytes: every span is the notice itself, in time linear in the text."""
+    one = "Ünd füllt die Zeile. Released under the MIT License. "
+    found = licenses.scan(spark.createDataFrame([(1, one * 4000), (2, None), (3, "")], "doc_id long, text string")).where("license = 'MIT'").collect()
+    at = one.index("Released")
+    assert sorted(r["start_char"] for r in found) == [at + len(one) * i for i in range(4000)]
+    assert {r["end_char"] - r["start_char"] for r in found} == {len("Released under the MIT License")} and {r["coverage"] for r in found} == {1.0}
+
+
 def test_licenses(spark, docs, rows, empty):
     names = licenses.TEMPLATES
     rng, texts = random.Random(5), []
@@ -550,6 +803,48 @@ def test_quality_rules(spark, docs, labels, rows, empty):
 # shared
 
 
+def test_shared_folder_and_release(spark):
+    from types import SimpleNamespace
+
+    from lumenfold.llm import common
+
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None, set=lambda *a: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError):
+        common.shared_dir(cluster)
+    before = common.written(spark)
+    df = common.materialize(spark.range(5), "five")
+    (path,) = set(common.written(spark)) - set(before)
+    assert df.count() == 5 and os.path.isdir(path.removeprefix("file://"))
+    common.release(spark, [path])
+    assert not os.path.exists(path.removeprefix("file://")) and common.written(spark) == before
+
+
+def test_broadcasts_are_bounded_by_bytes(spark):
+    from lumenfold.llm import common
+
+    df = spark.createDataFrame([(i, "x" * 1000) for i in range(100)], "id long, text string")
+    assert common.is_small(df, 200_000) and not common.is_small(df, 100_000)
+    with pytest.raises(TypeError):
+        common.is_small(spark.createDataFrame([([1],)], "a array<int>"))
+
+
+def test_rows_keep_their_place(spark, tmp_path):
+    from lumenfold.llm import common
+
+    spark.range(1000).repartition(4).write.parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    named, row = common.with_row(table)
+    first = {tuple(r) for r in named.select("id", f"{row}.file", f"{row}.at").collect()}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    try:
+        assert {tuple(r) for r in named.select("id", f"{row}.file", f"{row}.at").collect()} == first
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len({x[1:] for x in first}) == 1000
+    twice, row = common.with_row(table.select("id", F.explode(F.array(F.lit(1), F.lit(2))).alias("_row")))
+    assert twice.select(f"`{row}`").distinct().count() == 2000 and row not in ("_row",)
+
+
 def test_steps_and_texts():
     import pyarrow as pa
 

@@ -63,3 +63,45 @@ def test_stages_on_odd_and_empty_tables(spark, docs, empty, kind):
         if name != corpus_pipeline.STAGES[-1][0]:
             assert got.columns == given.columns
         assert (got.count() > 0) == (kind == "odd")
+
+
+def test_columns_that_clash_with_helpers(spark, docs):
+    """Columns named like those that the operators add inside keep their values, in every stage."""
+    from pyspark.sql import functions as F
+
+    import corpus_pipeline
+
+    names = ["_gone", "_id", "_copy", "_copies", "_scored_text", "_scored_chars", "_row", "_file", "_at", "_rows_copies", "_metadata", "file", "at", "digest", "fp", "n", "_fp", "_first", "copied", "kept", "size", "source_size", "salt"]
+    given = docs.select("*", *[F.lit(f"own {n}").alias(n) for n in names if n not in docs.columns])
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, given, "/root/testdata/sf0.001")
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert got.columns == given.columns and got.select("_gone", "_row", "_metadata").distinct().collect() == [("own _gone", "own _row", "own _metadata")]
+        assert got.count() > 0
+
+
+def test_repeated_rows_are_decided_one_by_one(spark):
+    """Whole repeats, null ids and near copies under one id: exactly one row of each group stays, and the mix weighs each row."""
+    from corpus_pipeline import exact, mixed, near
+
+    words = " ".join(f"w{i}" for i in range(300))
+    rows = [(1, "a b c", "s")] * 40 + [(None, "a B c", "s")] * 20 + [(None, "p q r", "s")] * 3 + [(2, words, "s"), (2, words + " x", "s"), (None, words + " y", "s")]
+    given = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert sorted(map(tuple, exact(spark, given, "").collect()), key=str) == sorted([(1, "a b c", "s"), (None, "p q r", "s"), *rows[-3:]], key=str)
+    left = near(spark, given, "").collect()
+    assert Counter(r["text"].split()[0] for r in left) == {"a": 1, "p": 1, "w0": 1} and {r["doc_id"] for r in left} == {1, None, 2}
+    taken = mixed(spark, given, "").collect()
+    total = sum(len(t.split()) for _, t, _ in rows)
+    assert abs(sum(len(r["text"].split()) for r in taken) - 1.5 * total) <= 151
+    assert max(Counter(r["text"] for r in taken)["a b c"], 1) <= 80
+
+
+def test_a_run_leaves_only_the_last_stage(spark):
+    import corpus_pipeline
+    from lumenfold.llm.common import release, written
+
+    release(spark)
+    got = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    assert got.count() > 100 and {p.rsplit("/", 1)[1].split("-")[0] for p in written(spark)} == {"pieces", "mixing"}
+    assert got.selectExpr("bool_and(size(ids) = length)").first()[0]
+    release(spark)
