@@ -1,7 +1,12 @@
-"""Film grain: noise from a shift register, scaled by the sample it is added to."""
+"""Film grain: noise from a shift register, scaled by the sample it is added to; and tables of grain that depends on its neighbours."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from statistics import NormalDist
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,3 +43,75 @@ def scaling_of(samples: DataFrame, segments: DataFrame, key: str) -> DataFrame:
 def apply_luma(v: Column, scaling: Column, grain: Column, shift: int = 8, low: int = 0, high: int = 255) -> Column:
     """The sample plus its scaled grain, rounded, in a range."""
     return clip(v + shr(scaling * grain + ((1 << shift) >> 1), shift), low, high)
+
+
+#: Lines and columns of a table of grain; those at its edges that depend on no neighbours; what the seeds of both chroma tables differ by.
+HEIGHT, GRAIN_WIDTH, MARGIN = 73, 82, 3
+CHROMA_SEEDS = (0xB524, 0x49D8)
+
+
+def normal_noise(size: int = 2048, spread: int = 512) -> np.ndarray:
+    """Numbers with a normal distribution: its quantiles in an order that jumps about."""
+    normal = NormalDist()
+    quantiles = np.array([round(spread * normal.inv_cdf((i + 0.5) / size)) for i in range(size)])
+    return quantiles[np.arange(size) * 1103 % size]
+
+
+def _draws(seeds: np.ndarray, n: int, bits: int = 11) -> np.ndarray:
+    """(seeds, n): the top bits of each register after every step."""
+    state, out = seeds.astype(np.int64), np.empty((len(seeds), n), np.int64)
+    for i in range(n):
+        bit = (state ^ state >> 1 ^ state >> 3 ^ state >> 12) & 1
+        state = state >> 1 | bit << 15
+        out[:, i] = state >> 16 - bits
+    return out
+
+
+def grain_tables(seeds: np.ndarray, weights: np.ndarray, lag: int, shift: int, scale: int, noise: np.ndarray, luma: np.ndarray | None = None) -> np.ndarray:
+    """(seeds, HEIGHT, GRAIN_WIDTH) tables of grain, all of one lag together.
+
+    Each entry is noise / 2**(4 + scale), plus, inside the margins, the weighted sum of the entries up
+    to `lag` lines above and columns beside it that are done, and with luma of that table's entry,
+    divided by 2**shift; roundings are halves up, and entries are cut to eight bits.
+    """
+    n = len(seeds)
+    half = 1 << 4 + scale >> 1
+    out = (noise[_draws(seeds, HEIGHT * GRAIN_WIDTH)] + half >> 4 + scale).reshape(n, HEIGHT, GRAIN_WIDTH)
+    places = [(dy, dx) for dy in range(-lag, 1) for dx in range(-lag, lag + 1) if (dy, dx) < (0, 0)]
+    if not places and luma is None:
+        return out
+    for y in range(MARGIN, HEIGHT):
+        for x in range(MARGIN, GRAIN_WIDTH - MARGIN):
+            total = sum((weights[:, k] * out[:, y + dy, x + dx] for k, (dy, dx) in enumerate(places)), np.zeros(n, np.int64))
+            if luma is not None:
+                total = total + weights[:, len(places)] * luma[:, y, x]
+            out[:, y, x] = np.clip(out[:, y, x] + (total + (1 << shift >> 1) >> shift), -128, 127)
+    return out
+
+
+def tables_of(parameters: DataFrame, lag: int, shift: int = 7, scale: int = 0, noise: np.ndarray | None = None) -> DataFrame:
+    """(key, plane, grain): the luma table and both chroma tables of full size of each row of parameters (key, seed, weights), as flat arrays.
+
+    weights: for each place before an entry, line by line, and last for the luma's entry. Rows of an
+    Arrow batch are filled together, entry by entry, so a batch holds ROWS sets of tables at a time.
+    """
+    noise = normal_noise() if noise is None else noise
+    places = 2 * lag * (lag + 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                seeds = part.column(1).to_numpy(zero_copy_only=False)
+                weights = part.column(2).flatten().to_numpy(zero_copy_only=False).reshape(len(seeds), -1)
+                luma = grain_tables(seeds, weights, lag, shift, scale, noise)
+                every = [luma] + [grain_tables(seeds ^ turn, weights[:, : places + 1], lag, shift, scale, noise, luma) for turn in CHROMA_SEEDS]
+                for plane, found in enumerate(every):
+                    offsets = pa.array(np.arange(len(seeds) + 1) * HEIGHT * GRAIN_WIDTH, pa.int32())
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array([plane] * len(seeds), pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(found.reshape(-1)))], names=["key", "plane", "grain"])
+
+    return parameters.select("key", "seed", "weights").mapInArrow(run, "key long, plane long, grain array<long>")
+
+
+#: Sets of tables that a task fills together.
+ROWS = 200

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.integer import clip, reciprocal, shifted
-from ..operators import bitreader, references
+from ..operators import bitreader, grain, references
 from ..sources import obu
 from ..sources.isobmff import integer, join, number
 from ..sources.planes import blocks, hold, read, spread_block
@@ -272,3 +272,15 @@ def quantiser_matrices(spark, sf_dir):
     low, high = F.least, F.greatest
     df = blocks(spark, sf_dir).withColumns({"whole": at(lambda y, x: F.floor(high(y, x) * (high(y, x) + 1) / 2) + low(y, x)), "transposed": at(lambda y, x: x * 8 + y), "sampled": at(lambda y, x: F.shiftright(y, 1) * 16 + F.shiftright(x, 1) * 2)})
     return spread_block(df, "whole", "transposed", "sampled")
+
+
+def grain_luts(spark, sf_dir):
+    """Tables of grain of each supplier's seed and weights, summed up by line. Entries depend on those before them, which SQL would need a recursion over 6,000 steps for; a test fills them in plain Python."""
+    k = F.col("s_suppkey")
+    weights = F.transform(F.sequence(F.lit(0), F.lit(12)), lambda i: (k * 7 + i * 5) % 25 - 12)
+    made = grain.tables_of(read(spark, sf_dir, "supplier").select(k.alias("key"), (k * 40503 % 65536).alias("seed"), weights.alias("weights")), lag=2)
+    lines = made.select("key", "plane", F.posexplode("grain").alias("i", "v")).groupBy("key", "plane", F.floor(F.col("i") / grain.GRAIN_WIDTH).cast("bigint").alias("y"))
+    return lines.agg(F.sum("v").alias("total"), F.min("v").alias("least"), F.max("v").alias("most"))
+
+
+QUERIES["grain_luts"] = grain_luts
