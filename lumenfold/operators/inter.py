@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,6 +49,15 @@ def compound(df: DataFrame) -> DataFrame:
     })
 
 
+def masked(df: DataFrame, sign: int = 0) -> DataFrame:
+    """masked, mask: px and px2 with four more bits, mixed by a weight that grows with their difference; and the weights' means over 2x2 samples, halves down with sign 1."""
+    weight = F.zip_with("px", "px2", lambda a, b: F.least(38 + shr(F.abs(16 * a - 16 * b) + 8, 8), F.lit(64)).cast("bigint"))
+    df = hold(df, _m=weight)
+    mixed = F.transform("px", lambda a, i: clip(shr(16 * a * F.col("_m")[i] + 16 * F.col("px2")[i] * (64 - F.col("_m")[i]) + (32 << 4), 10), 0, 255))
+    four = lambda i: reduce(lambda a, b: a + b, [F.col("_m")[(F.shiftright(i, 2) * 2 + dy) * N + i.bitwiseAND(F.lit(3)) * 2 + dx] for dy in (0, 1) for dx in (0, 1)])
+    return df.withColumns({"masked": mixed, "mask": F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: shr(four(i) + 2 - sign, 2).cast("bigint"))})
+
+
 def wedge(df: DataFrame) -> DataFrame:
     """wedge: px and px2 on the two sides of a line through the block's middle, whose slope is from its id, with a soft edge."""
     slope = F.col("block_id") % 9 - 4

@@ -6,10 +6,10 @@ one block doesn't wait for another.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.integer import clip, round2, shr, signed_round2, total
+from ..functions.integer import clip, floor_log2, reciprocal, round2, shifted, shr, signed_round2, total
 from ..sources.planes import hold
 
 N = 8
@@ -129,3 +129,14 @@ def dpcm(df: DataFrame) -> DataFrame:
     """dpcm: running sums along each line of the residual 128 below the samples."""
     line = lambda y: F.slice("px", y * N + 1, N)
     return df.withColumn("dpcm", each(lambda y, x: F.aggregate(F.slice(line(y), 1, x + 1), F.lit(0).cast("bigint"), lambda s, v: s + v - 128)))
+
+
+def model_alpha(num: Column, den: Column) -> Column:
+    """num / den in units of 1/256, by the reciprocal of den and the nine highest bits of num, at most 511; 0 where either is 0 or the quotient is too small."""
+    size = F.greatest(F.abs(num), F.lit(1))
+    top = floor_log2(size)
+    head = F.when(top > 7, shifted(size + shifted(F.lit(1), F.greatest(top - 8, F.lit(0))), F.least(7 - top, F.lit(0)))).otherwise(shifted(size, F.greatest(7 - top, F.lit(0))))
+    below = reciprocal(F.greatest(den, F.lit(1)))
+    shift = below["shift"] - 1 - top
+    value = F.when(shift < 0, 511).otherwise(F.least(shifted(below["mantissa"] * head, -F.greatest(shift, F.lit(0))), F.lit(511)))
+    return F.when((num != 0) & (den != 0) & (shift <= 17), value * F.sign(num).cast("bigint")).otherwise(0).cast("bigint")

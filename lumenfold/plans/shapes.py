@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from ..functions.integer import divided, shr
-from ..operators import blockmath
+from ..operators import blockmath, inter, intra
 from ..operators.intra import with_edges
 from ..sources.planes import blocks, hold, pairs, spread_block
 from .blocks import COLS, EDGES, PQ, PX, big
@@ -171,3 +171,25 @@ def optical_flow_vectors(spark, sf_dir):
     df = hold(df, v0=solved(F.col("s0")), v1=solved(F.col("s1")))
     clip = lambda k, v: F.when(F.col("det") > 0, F.greatest(F.lit(-16), F.least(F.lit(16), k * F.col(v)))).otherwise(0).cast("bigint")
     return df.select("block_id", clip(-2, "v0").alias("ax"), clip(-2, "v1").alias("ay"), clip(-1, "v0").alias("bx"), clip(-1, "v1").alias("by_"))
+
+
+_FIT = f"{PQ}, ft AS (SELECT b, CAST(64 * sum(v * w) - sum(v) * sum(w) AS BIGINT) AS num, CAST(64 * sum(v * v) - sum(v) * sum(v) AS BIGINT) AS den FROM pq GROUP BY b)"
+_HEAD = lambda v, k: f"CASE WHEN {k} > 7 THEN ({v} + (1 << greatest(0, {k} - 8))) >> greatest(0, {k} - 7) ELSE {v} << greatest(0, 7 - {k}) END"
+
+
+@query(f"""WITH {_FIT}, k AS (SELECT *, length(bin(greatest(1, abs(num)))) - 1 AS kn, length(bin(greatest(1, den))) - 1 AS kd FROM ft), h AS (SELECT *, {_HEAD('greatest(1, abs(num))', 'kn')} AS fn, {_HEAD('greatest(1, den) - (1 << kd)', 'kd')} AS fd FROM k WHERE kd <= 62),
+a AS (SELECT b, num, den, kd - kn - 8 AS s, fn, (2 * 65536 + 128 + fd) // (2 * (128 + fd)) AS rc FROM h)
+SELECT b AS block_id, {big('CASE WHEN num = 0 OR den = 0 OR s > 1 THEN 0 ELSE sign(num) * CASE WHEN 16 + s < 0 THEN 511 ELSE least(511, (rc * fn) >> greatest(0, 16 + s)) END END', 'alpha')} FROM a""")
+def cfl_model_alpha(spark, sf_dir):
+    """The slope of one block's samples on another's, by an integer reciprocal."""
+    fitted = intra.implicit_alpha(pairs(spark, sf_dir)).select("block_id", "num", "den")
+    return hold(fitted, n=F.col("num"), d=F.col("den")).select("block_id", intra.model_alpha(F.col("n"), F.col("d")).alias("alpha"))
+
+
+@query(f"""WITH {PQ}, m AS (SELECT *, least(38 + ((abs(16 * v - 16 * w) + 8) >> 8), 64) AS m FROM pq), h AS (SELECT b, y // 2 AS y2, x // 2 AS x2, (CAST(sum(m) AS BIGINT) + 1) >> 2 AS mask FROM m GROUP BY ALL)
+SELECT m.b AS block_id, CAST(y AS BIGINT) AS y, CAST(x AS BIGINT) AS x, {big('greatest(0, least(255, (16 * v * m + 16 * w * (64 - m) + 512) >> 10))', 'masked')}, {big('mask', 'mask')} FROM m JOIN h ON h.b = m.b AND h.y2 = m.y // 2 AND h.x2 = m.x // 2""")
+def compound_difference_mask(spark, sf_dir):
+    """Blocks mixed by their difference, beside the mask that the chroma of each sample gets."""
+    df = inter.masked(pairs(spark, sf_dir), sign=1)
+    wide = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("mask")[F.shiftright(i, 4) * 4 + F.shiftright(i.bitwiseAND(F.lit(7)), 1)])
+    return spread_block(df.withColumn("mask", wide), "masked", "mask")
