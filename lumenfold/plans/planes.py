@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bitcodes
 from ..operators import entropy, grain, loopfilter, tiling
-from ..sources.planes import WIDTH, lines, pack, plane, read, spread_line
+from ..sources.planes import WIDTH, lines, pack, plane, read, spread_line, with_lines_around
 
 PL = f"pl AS (SELECT event_id // {WIDTH} AS y, event_id % {WIDTH} AS x, CAST(greatest(0, least(255, floor(value))) AS BIGINT) AS v FROM events), sz AS (SELECT max(y) AS my FROM pl), lw AS (SELECT y, max(x) AS mx FROM pl GROUP BY y)"
 QUERIES: dict = {}
@@ -172,6 +172,47 @@ def recenter_roundtrip(spark, sf_dir):
     return read(spark, sf_dir, "orders").select("o_orderkey", r.alias("r"), bitcodes.recenter(r, v).alias("centred")).select("o_orderkey", "centred", bitcodes.inverse_recenter(F.col("r"), F.col("centred")).alias("back"))
 
 
+_UNIFORM = lambda x, n: f"(CASE WHEN {x} < (1 << length(bin({n}))) - {n} THEN CASE WHEN {n} = 1 THEN '' ELSE lpad(bin({x}), CAST(length(bin({n})) - 1 AS INTEGER), '0') END ELSE CASE WHEN length(bin({n})) = 1 THEN '' ELSE lpad(bin(({x} + (1 << length(bin({n}))) - {n}) >> 1), CAST(length(bin({n})) - 1 AS INTEGER), '0') END || (({x} + (1 << length(bin({n}))) - {n}) & 1) END)"
+
+
+def _subexp_sql(first: int = 3) -> str:
+    cases, start, size = [], 0, first
+    for i in range(9):
+        cases.append(f"WHEN n <= {start + 3 * (1 << size)} THEN '{'1' * i}' || {_UNIFORM(f'greatest(0, x - {start})', f'greatest(1, n - {start})')} WHEN x < {start + (1 << size)} THEN '{'1' * i}0' || lpad(bin(greatest(0, x - {start})), {size}, '0')")
+        start, size = start + (1 << size), size + (i > 0)
+    centred = lambda r, v: f"CASE WHEN {v} > 2 * ({r}) THEN {v} WHEN {v} >= {r} THEN 2 * ({v} - ({r})) ELSE 2 * (({r}) - ({v})) - 1 END"
+    return f"WITH o AS (SELECT o_orderkey, 2 + o_custkey % 900 AS n, o_orderkey % (2 + o_custkey % 900) AS v, o_orderkey * 7 % (2 + o_custkey % 900) AS r FROM orders), x AS (SELECT *, CASE WHEN 2 * r <= n THEN {centred('r', 'v')} ELSE {centred('(n - 1 - r)', '(n - 1 - v)')} END AS x FROM o) SELECT o_orderkey, CASE {' '.join(cases)} END AS code, v AS back FROM x"
+
+
+@query(_subexp_sql())
+def subexponential_roundtrip(spark, sf_dir):
+    n = 2 + F.col("o_custkey") % 900
+    rows = read(spark, sf_dir, "orders").select("o_orderkey", n.alias("n"), (F.col("o_orderkey") % n).alias("v"), (F.col("o_orderkey") * 7 % n).alias("r"))
+    coded = rows.withColumn("code", bitcodes.sub_exponential(F.col("r"), F.col("v"), F.col("n")))
+    return coded.select("o_orderkey", "code", bitcodes.read_sub_exponential(F.col("code"), F.col("r"), F.col("n")).alias("back"))
+
+
+@query(f"WITH o AS (SELECT o_orderkey, 2 + o_custkey % 50 AS n, o_orderkey % (2 + o_custkey % 50) AS v, o_custkey % (2 + o_custkey % 50) % 3 AS d FROM orders), p AS (SELECT *, v - CASE WHEN v > d THEN 1 ELSE 0 END AS w, n - 1 AS m FROM o) SELECT o_orderkey, CASE WHEN v = d THEN '0' ELSE '1' || {_UNIFORM('w', 'm')} END AS code, v AS back FROM p")
+def default_uniform_roundtrip(spark, sf_dir):
+    n = 2 + F.col("o_custkey") % 50
+    rows = read(spark, sf_dir, "orders").select("o_orderkey", n.alias("n"), (F.col("o_orderkey") % n).alias("v"), (F.col("o_custkey") % n % 3).alias("d"))
+    coded = rows.withColumn("code", bitcodes.or_default(F.col("d"), F.col("v"), F.col("n")))
+    return coded.select("o_orderkey", "code", bitcodes.read_or_default(F.col("code"), F.col("d"), F.col("n")).alias("back"))
+
+
+@query(f"WITH {PL}, s AS (SELECT p.y, p.x, l.v >> 5 AS l, a.v >> 5 AS a, al.v >> 5 AS al FROM pl p LEFT JOIN pl l ON l.y = p.y AND l.x = p.x - 1 LEFT JOIN pl a ON a.y = p.y - 1 AND a.x = p.x LEFT JOIN pl al ON al.y = p.y - 1 AND al.x = p.x - 1) SELECT y, x, {big('CASE WHEN l IS NOT NULL AND a IS NOT NULL THEN CASE WHEN a = al THEN a ELSE l END ELSE coalesce(l, a, 0) END', 'predicted')}, {big('CASE WHEN l IS NULL OR a IS NULL THEN 0 WHEN l = a AND al = l THEN 2 WHEN l = a OR al = l OR a = al THEN 1 ELSE 0 END', 'context')} FROM s")
+def segment_contexts(spark, sf_dir):
+    """Each block's segment as its left, upper and upper-left neighbours predict it, and how far these agree."""
+    packed = lines(plane(spark, sf_dir).withColumn("v", F.shiftright("v", 5)))
+    around = with_lines_around(packed, 1)
+    left = lambda of, i: F.when(i > 0, F.get(of, i - 1))
+    l, a, c = (lambda i: left(F.col("line"), i)), (lambda i: F.get(F.col("around")[0], i)), (lambda i: left(F.col("around")[0], i))  # noqa: E741,E731
+    both = lambda i: l(i).isNotNull() & a(i).isNotNull()
+    predicted = lambda v, i: F.when(both(i), F.when(a(i) == c(i), a(i)).otherwise(l(i))).otherwise(F.coalesce(l(i), a(i), F.lit(0))).cast("bigint")
+    context = lambda v, i: F.when(~both(i), 0).when((l(i) == a(i)) & (c(i) == l(i)), 2).when((l(i) == a(i)) | (c(i) == l(i)) | (a(i) == c(i)), 1).otherwise(0).cast("bigint")
+    return spread_line(around.withColumns({"predicted": F.transform("line", predicted), "context": F.transform("line", context)}), "predicted", "context")
+
+
 @query("""WITH s AS (SELECT p_partkey, p_partkey * 37 % 4000 + p_size AS sz FROM part), f AS (SELECT p_partkey, greatest(1, (sz + 7) >> 6) AS f, 1 + ((sz - 1) >> 6) AS u FROM s), e AS (SELECT *, f >> 3 AS b, f - (f >> 3) * 8 + CASE WHEN f >> 3 = 0 THEN u - f ELSE 0 END AS x FROM f),
 k AS (SELECT DISTINCT p_partkey, k * b + least(k, greatest(x, 0)) AS start, u FROM e, range(8) r(k)) SELECT p_partkey, CAST(start AS BIGINT) AS start FROM k WHERE start < u""")
 def uniform_tiles(spark, sf_dir):
