@@ -32,8 +32,8 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Bytes of a table, as Spark would hold it in memory, that may be broadcast.
-BROADCAST_BYTES = 64 << 20
+#: Bytes of a table, as Spark would hold it in memory, that may be broadcast: what Spark allows itself by default.
+BROADCAST_BYTES = 10 << 20
 _written: dict[str, list[str]] = {}  # by application: what `materialize` wrote and `release` has not deleted
 
 
@@ -85,10 +85,10 @@ def release(spark: SparkSession, paths: list[str] | None = None) -> None:
             mine.remove(path)
 
 
-def small_side(df: DataFrame, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """df marked for broadcast if its rows have at most most_bytes together, else unmarked (a shuffle join follows).
+def is_small(df: DataFrame, most_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether df's rows have at most most_bytes together: each counts with its fixed parts and with the bytes of its strings.
 
-    df should be a table just written: it is counted. A row counts with its fixed parts and with the bytes of its strings.
+    df should be a table just written: it is counted.
     """
     fixed, varying = 16, F.lit(0)
     for field in df.schema.fields:
@@ -98,7 +98,12 @@ def small_side(df: DataFrame, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
         elif not isinstance(field.dataType, (NumericType, BooleanType)):
             raise TypeError(f"{field.name}: only columns of numbers and strings have a known size")
     got = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(varying), F.lit(0)).alias("size")).first()
-    return F.broadcast(df) if got["n"] * fixed + got["size"] <= most_bytes else df
+    return got["n"] * fixed + got["size"] <= most_bytes
+
+
+def small_side(df: DataFrame, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """df marked for broadcast if it is small, else unmarked (a shuffle join follows)."""
+    return F.broadcast(df) if is_small(df, most_bytes) else df
 
 
 def unused(name: str, *taken: DataFrame) -> str:

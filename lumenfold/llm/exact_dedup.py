@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import at_places, materialize, place_of, with_row
+from .common import at_places, materialize, place_of, small_side, with_row
 
 #: Partial rows of one digest that can reach a shard, at most.
 SALTS = 16
@@ -187,8 +187,8 @@ def exact_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id") ->
     """
     rows = materialize(with_digest(docs, text, id_col), "digests")
     live = live_digests(rows, rows.count())
-    copies = live.where("group_size > 1").withColumnRenamed("digest", "copied")
-    return rows.join(copies, F.col("digest") == F.col("copied"), "left").select(
+    copies = materialize(live.where("group_size > 1").withColumnRenamed("digest", "copied"), "live")
+    return rows.join(small_side(copies), F.col("digest") == F.col("copied"), "left").select(
         "doc_id",
         F.when(F.col("copied").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
@@ -205,8 +205,9 @@ def drop_exact_copies(docs: DataFrame, text: str = "text", id_col: str = "doc_id
     """
     named, row = with_row(docs)
     rows = materialize(with_digest(named, text, id_col, row), "digests")
-    copies = live_digests(rows, rows.count()).where("group_size > 1").select(F.col("digest").alias("copied"), "keep_id")
-    groups = materialize(rows.join(copies, F.col("digest") == F.col("copied")), "copies")
+    copies = materialize(live_digests(rows, rows.count()).where("group_size > 1").select(F.col("digest").alias("copied"), "keep_id"), "live")
+    groups = materialize(rows.join(small_side(copies), F.col("digest") == F.col("copied")), "copies")
     stay = groups.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy(F.col("digest").alias("kept")).agg(F.min(F.struct("file", "at")).alias("place"))
-    gone = groups.join(stay, F.col("digest") == F.col("kept")).where(F.struct("file", "at") != F.col("place")).select("file", "at")
+    stay = materialize(stay.select("kept", F.col("place.file").alias("kept_file"), F.col("place.at").alias("kept_at")), "stay")
+    gone = groups.join(small_side(stay), F.col("digest") == F.col("kept")).where("file <> kept_file OR at <> kept_at").select("file", "at")
     return at_places(named, row, materialize(gone, "gone"), "left_anti").select(*docs.columns)
