@@ -12,13 +12,14 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, steps, texts_of
+from .common import materialize, running, steps, texts_of
 from .words import find_words, fold_keys, word_keys
 
 CAPACITY, SEPARATOR = 2048, 0
@@ -26,8 +27,8 @@ CAPACITY, SEPARATOR = 2048, 0
 REMEMBERED = 500_000
 #: New words that are encoded in one call.
 CHUNK = 200
-#: Pieces of one hash bucket, about; one task numbers those of one bucket and length.
-BUCKET_ROWS = 20_000
+#: Pieces of one length in a hash bucket, about; one task numbers those of one bucket.
+BUCKET_ROWS = 500
 
 
 class WordIds:
@@ -210,12 +211,14 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """
     spark = cut.sparkSession
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    buckets = max(1, sum(histogram.values()) // BUCKET_ROWS)
-    dealt = cut.withColumn("_bucket", F.pmod(F.xxhash64("row", "piece"), F.lit(buckets)))
+    # a row for each of `capacity` lengths at most
+    before = dict(zip(sorted(histogram), accumulate((histogram[n] for n in sorted(histogram)), initial=0)))
+    lengths = spark.createDataFrame([(n, max(1, c // BUCKET_ROWS), before[n]) for n, c in histogram.items()], "_of_length long, _buckets long, _shorter long")
+    dealt = cut.join(F.broadcast(lengths), F.col("length") == F.col("_of_length")).withColumn("_bucket", F.pmod(F.xxhash64("row", "piece"), F.col("_buckets")))
     sizes = dealt.groupBy("length", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.select(F.col("length").alias("_length"), F.col("_bucket").alias("_of"), (F.sum("_n").over(Window.partitionBy("length").orderBy("_bucket")) - F.col("_n")).alias("_before"))
+    sums = running(sizes, ["length", "_bucket"], {"_sum": "_n"}, "buckets").select(F.col("length").alias("_length"), F.col("_bucket").alias("_of"), "_sum")
     within = F.row_number().over(Window.partitionBy("length", "_bucket").orderBy("row", "piece")) - 1
-    numbered = dealt.withColumn("_within", within).join(before, (F.col("length") == F.col("_length")) & (F.col("_bucket") == F.col("_of"))).withColumn("_k", F.col("_before") + F.col("_within"))
+    numbered = dealt.withColumn("_within", within).join(sums, (F.col("length") == F.col("_length")) & (F.col("_bucket") == F.col("_of"))).withColumn("_k", F.col("_sum") - F.col("_shorter") + F.col("_within"))
     # at most some dozens of rows for each of `capacity` lengths, so the plan's size is bounded
     planned = spark.createDataFrame(plan(histogram, capacity), "_l long, _from long, _to long, _sequence long, _offset long, _each long")
     joined = numbered.join(F.broadcast(planned), (F.col("length") == F.col("_l")) & (F.col("_k") >= F.col("_from")) & (F.col("_k") < F.col("_to")))
@@ -235,4 +238,9 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, ke
     `pack` say: every row of docs is packed whole, its repeats too; among pieces of one length, a
     hash of their row decides which goes where.
     """
-    return pack(materialize(pieces(docs, tokenizer, capacity, keep_ids), "pieces"), capacity)
+    cut = materialize(pieces(docs, tokenizer, capacity, keep_ids), "pieces")
+    if not keep_ids:
+        return pack(cut, capacity)
+    # the ids move once, to their places, and not through the numbering
+    placed = pack(cut.select("row", "piece", "length"), capacity).select(F.col("row").alias("_row"), F.col("piece").alias("_piece"), "sequence_id", "offset")
+    return cut.join(placed, (F.col("row") == F.col("_row")) & (F.col("piece") == F.col("_piece"))).select(*cut.columns, "sequence_id", "offset")

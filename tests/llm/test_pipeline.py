@@ -102,6 +102,6 @@ def test_a_run_leaves_only_the_last_stage(spark):
 
     release(spark)
     got = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
-    assert got.count() > 100 and {p.rsplit("/", 1)[1].split("-")[0] for p in written(spark)} == {"pieces", "mixing"}
+    assert got.count() > 100 and {p.rsplit("/", 1)[1].split("-")[0] for p in written(spark)} == {"pieces", "buckets", "mixing"}
     assert got.selectExpr("bool_and(size(ids) = length)").first()[0]
     release(spark)
