@@ -20,7 +20,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_side
+from .common import is_small, materialize
 
 #: Pre-tokens of a leaf when a tree is built; a leaf of SPLIT times as many is split.
 LEAF, SPLIT = 64, 8
@@ -241,14 +241,17 @@ def update(docs: DataFrame, trees: DataFrame, edits: DataFrame, ranks_path: str,
     mean its end. reencoded: pre-tokens that edits encoded, the new ones and those they replace.
     Null text is empty; null numbers are 0 and a null insert is empty; edits of unknown documents,
     and those with a null doc_id, are ignored; each text of a doc_id that repeats gets its edits.
-    Only documents with edits are read and shuffled, and of those that repeat whole, few: what moves
-    grows with the edits and the texts they change. Rows stream in order, so a task holds one
+    Of documents that repeat whole, few are shuffled, and of those without edits none, unless the
+    edited ones are too many to broadcast their ids: what moves grows with the edits and the texts
+    they change. Rows stream in order, so a task holds one
     document's tree at a time, however many edits it has.
     """
     changes = edits.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), *[F.coalesce(F.col(x).cast("long"), F.lit(0)).alias(x) for x in ("seq", "at", "delete")], F.coalesce(F.col("insert"), F.lit("")).alias("insert"))
-    edited = small_side(materialize(changes.select(F.col("doc_id").alias("_edited")).distinct(), "edited"))
+    edited = materialize(changes.select(F.col("doc_id").alias("_edited")).distinct(), "edited")
     same = F.col("doc_id") == F.col("_edited")
-    texts = _distinct_texts(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).join(edited, same, "left_semi"))
+    all_texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id IS NOT NULL")
+    # where edits name so many documents that their ids can't be broadcast, the shuffle that brings texts and edits together drops the others
+    texts = _distinct_texts(all_texts.join(F.broadcast(edited), same, "left_semi") if is_small(edited) else all_texts)
     own = trees.join(edited, same, "left_semi").groupBy("doc_id", "digest").agg(*[F.first(x).alias(x) for x in _LEAVES])
     own = materialize(own, "edited-trees")
     changes = changes.join(own.select(F.col("doc_id").alias("_id"), "digest"), F.col("doc_id") == F.col("_id")).drop("_id")
@@ -258,10 +261,10 @@ def update(docs: DataFrame, trees: DataFrame, edits: DataFrame, ranks_path: str,
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(ranks_path, pattern)
-        now, stored, tree, done, out = None, None, None, 0, []
+        now, stored, source, tree, done, out = None, None, "", None, 0, []
 
         def close() -> None:
-            if tree is not None:
+            if done:
                 out.append((*now, tree.total, tree.pretokens, tree.encoded, done, tree.length))
 
         def table() -> pa.RecordBatch:
@@ -272,12 +275,13 @@ def update(docs: DataFrame, trees: DataFrame, edits: DataFrame, ranks_path: str,
             for doc_id, digest, kind, at, delete, insert, *leaves in zip(*(batch.column(x).to_pylist() for x in ("doc_id", "digest", "kind", "at", "delete", "insert", *_LEAVES))):
                 if (doc_id, digest) != now:
                     close()
-                    now, stored, tree, done = (doc_id, digest), None, None, 0
+                    now, stored, source, tree, done = (doc_id, digest), None, "", None, 0
                 if kind == 0:
                     stored = tuple(leaves)
                 elif kind == 1:
-                    tree = tree or SegmentTree(counter, insert, stored)
-                elif tree is not None:
+                    source = insert
+                else:
+                    tree = tree or SegmentTree(counter, source, stored)
                     done += 1
                     tree.edit(at, delete, insert)
             yield table()
@@ -286,7 +290,7 @@ def update(docs: DataFrame, trees: DataFrame, edits: DataFrame, ranks_path: str,
         yield table()
 
     changed = rows.mapInArrow(apply, "_id long, _digest binary, _tokens long, _pretokens long, _encoded long, _edits long, _chars long")
-    changed = small_side(materialize(changed, "changed"))
+    changed = materialize(changed, "changed")
     joined = trees.select("doc_id", "digest", "tokens", "pretokens", "chars").join(changed, (F.col("doc_id") == F.col("_id")) & (F.col("digest") == F.col("_digest")), "left")
     new = lambda x, y, z: F.coalesce(x, y).alias(z)
     return joined.select("doc_id", F.col("tokens").alias("tokens_before"), new("_tokens", "tokens", "tokens_after"), new("_pretokens", "pretokens", "pretokens"), new("_encoded", F.lit(0), "reencoded"), new("_edits", F.lit(0), "edits"), new("_chars", "chars", "chars_after"))
