@@ -76,22 +76,26 @@ def images(files: DataFrame, most_bytes: int = 1 << 28) -> DataFrame:
     raw = {x: last_of(F.col("p"), x) for x in ("ispe", "pasp", "clap")}
     by_type = lambda *kinds: F.try_element_at(F.filter("p", lambda q: (q["fourcc"] == "colr") & F.substring(q["raw"], 1, 4).cast("string").isin(*kinds)), F.lit(-1))["raw"]
     df = hold(df, config=last_of(F.col("p"), "av1C", "av2C"), nclx=by_type("nclx"), profile=by_type("rICC", "prof"), **raw)
-    bit = lambda n: F.floor(integer(F.col("config"), 2, 1) / (1 << n)) % 2 == 1
-    size = lambda at: F.when((integer(F.col("ispe"), 4, 4) > 0) & (integer(F.col("ispe"), 8, 4) > 0), integer(F.col("ispe"), at, 4))
-    space = lambda at: F.when((integer(F.col("pasp"), 0, 4) > 0) & (integer(F.col("pasp"), 4, 4) > 0), integer(F.col("pasp"), at, 4))
-    signed = lambda at: integer(F.col("clap"), at, 4) - F.when(integer(F.col("clap"), at, 4) >= 1 << 31, 1 << 32).otherwise(0)
+    at = lambda name, place, n=4: integer(F.col(name), place, n)
+    # the numbers once for each row: what follows names them many times
+    numbers = {"w": at("ispe", 4), "h": at("ispe", 8), "hs": at("pasp", 0), "vs": at("pasp", 4), "flags": at("config", 2, 1)} | {f"c{k}": at("clap", 4 * k) for k in range(8)}
+    df = hold(df, **numbers)
+    bit = lambda n: F.shiftright("flags", n).bitwiseAND(F.lit(1)) == 1
+    both = lambda one, a, b: F.when((F.col(a) > 0) & (F.col(b) > 0), F.col(one))
+    signed = lambda k: F.col(f"c{k}") - F.when(F.col(f"c{k}") >= 1 << 31, 1 << 32).otherwise(0)
+    df = hold(df, width=both("w", "w", "h"), height=both("h", "w", "h"), clap_=F.array(*[signed(k) for k in range(8)]))
     colour = F.when(F.length("nclx") >= 11, F.struct(integer(F.col("nclx"), 4, 2).alias("primaries"), integer(F.col("nclx"), 6, 2).alias("transfer"), integer(F.col("nclx"), 8, 2).alias("matrix"), (integer(F.col("nclx"), 10, 1) >= 128).alias("full_range")))
     own = lambda items_, field: F.try_element_at(F.filter(items_, lambda i: i["item_id"] == F.col("primary_id")), F.lit(1))[field]
     multiplied = F.exists("references", lambda r: (r["ref_type"] == "prem") & (r["from_id"] == F.col("primary_id")) & (r["to_id"] == F.col("alpha_id")))
-    width, height = size(4), size(8)
+    df = hold(df, rect=crop(F.col("width").cast("double"), F.col("height").cast("double"), *[F.col("clap_")[k] for k in range(8)]), turned=orientation_of(F.col("p")))
     return df.select(
-        "path", width.alias("width"), height.alias("height"), own("items", "item_type").alias("item_type"),
+        "path", "width", "height", own("items", "item_type").alias("item_type"),
         F.when(F.length("config") >= 4, F.when(bit(4), "I400").when(bit(3) & bit(2), "I420").when(bit(3), "I422").otherwise("I444")).alias("layout"),
         F.when(F.length("config") >= 4, F.when(bit(5), 12).when(bit(6), 10).otherwise(8)).cast("int").alias("bit_depth"),
         colour.alias("colour"), F.substring("profile", F.lit(5), F.length("profile")).alias("icc"),
-        orientation_of(F.col("p")).alias("orientation"), space(0).alias("h_spacing"), space(4).alias("v_spacing"),
+        F.col("turned").alias("orientation"), both("hs", "hs", "vs").alias("h_spacing"), both("vs", "hs", "vs").alias("v_spacing"),
         F.col("alpha_id").isNotNull().alias("has_alpha"), F.coalesce(multiplied, F.lit(False)).alias("premultiplied"),
-        crop(width.cast("double"), height.cast("double"), *[signed(4 * k) for k in range(8)]).alias("crop"),
+        F.col("rect").alias("crop"),
         own("payloads", "max_level").alias("max_level"), own("payloads", "avg_level").alias("avg_level"), "errors",
     )
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bitcodes
 from ..operators import entropy, grain, loopfilter, tiling
-from ..sources.planes import WIDTH, lines, pack, plane, read, spread_line, with_lines_around
+from ..sources.planes import WIDTH, hold, lines, pack, plane, read, spread_line, with_lines_around
 
 PL = f"pl AS (SELECT event_id // {WIDTH} AS y, event_id % {WIDTH} AS x, CAST(greatest(0, least(255, floor(value))) AS BIGINT) AS v FROM events), sz AS (SELECT max(y) AS my FROM pl), lw AS (SELECT y, max(x) AS mx FROM pl GROUP BY y)"
 QUERIES: dict = {}
@@ -188,8 +188,12 @@ def _subexp_sql(first: int = 3) -> str:
 def subexponential_roundtrip(spark, sf_dir):
     n = 2 + F.col("o_custkey") % 900
     rows = read(spark, sf_dir, "orders").select("o_orderkey", n.alias("n"), (F.col("o_orderkey") % n).alias("v"), (F.col("o_orderkey") * 7 % n).alias("r"))
-    coded = rows.withColumn("code", bitcodes.sub_exponential(F.col("r"), F.col("v"), F.col("n")))
-    return coded.select("o_orderkey", "code", bitcodes.read_sub_exponential(F.col("code"), F.col("r"), F.col("n")).alias("back"))
+    n, code, x = F.col("n"), F.col("code"), F.col("x")
+    rows = hold(rows, x=bitcodes.centred(F.col("r"), F.col("v"), n))
+    rows = hold(hold(rows, i=bitcodes.sub_exponential_range(x, n)), code=bitcodes.sub_exponential(x, F.col("i"), n)).select("o_orderkey", "n", "r", "code")
+    rows = hold(rows, i=bitcodes.sub_exponential_ones(code, n))
+    rows = hold(rows, x=bitcodes.read_sub_exponential(code, F.col("i"), n))
+    return rows.select("o_orderkey", "code", bitcodes.uncentred(F.col("r"), x, n).alias("back"))
 
 
 @query(f"WITH o AS (SELECT o_orderkey, 2 + o_custkey % 50 AS n, o_orderkey % (2 + o_custkey % 50) AS v, o_custkey % (2 + o_custkey % 50) % 3 AS d FROM orders), p AS (SELECT *, v - CASE WHEN v > d THEN 1 ELSE 0 END AS w, n - 1 AS m FROM o) SELECT o_orderkey, CASE WHEN v = d THEN '0' ELSE '1' || {_UNIFORM('w', 'm')} END AS code, v AS back FROM p")
