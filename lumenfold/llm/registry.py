@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, hard_negatives, language_id, licenses, mixing, nearest, packing, quality_classifier, quality_rules, repeated_passages, simhash, token_counts
+from . import divergence, exact_dedup, hard_negatives, language_id, licenses, mixing, nearest, packing, quality_classifier, quality_rules, repeated_passages, simhash, token_counts
 from .common import read_table
 
 
@@ -65,17 +65,21 @@ def op11_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.nearest(read_table(spark, sf_dir, "embeddings"))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read_table(spark, sf_dir, "documents"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(read_table(spark, sf_dir, "embeddings"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_quality_classifier, op2_mixing, op3_token_counts, op4_substring_dedup, op5_language_id, op6_license_scan, op7_best_fit_packing, op8_exact_dedup, op9_simhash, op10_quality_rules, op11_nearest_neighbours, op13_hard_negatives)
+    every = (op1_quality_classifier, op2_mixing, op3_token_counts, op4_substring_dedup, op5_language_id, op6_license_scan, op7_best_fit_packing, op8_exact_dedup, op9_simhash, op10_quality_rules, op11_nearest_neighbours, op12_source_divergence, op13_hard_negatives)
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_substring_dedup": OP4, "op8_exact_dedup": OP8, "op13_hard_negatives": OP13}
+    return {"op4_substring_dedup": OP4, "op8_exact_dedup": OP8, "op12_source_divergence": OP12, "op13_hard_negatives": OP13}
 
 
 OP8 = """
@@ -106,6 +110,38 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_
 FROM d LEFT JOIN k USING (doc_id)
 """
 
+OP12 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents
+), t AS (
+  SELECT doc, lang, source, unnest(terms) AS term FROM d
+), v AS (
+  SELECT lang, term, count(*) AS lang_n FROM t GROUP BY lang, term HAVING count(DISTINCT doc) >= 10
+), c AS (
+  SELECT t.lang, source, t.term, count(*) AS n FROM t JOIN v ON t.lang = v.lang AND t.term = v.term GROUP BY t.lang, source, t.term
+), g AS (
+  SELECT lang, source, coalesce(total, 0) AS total, terms, lang_total
+  FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN (SELECT lang, source, sum(n) AS total FROM c GROUP BY lang, source) USING (lang, source)
+  LEFT JOIN (SELECT lang, count(*) AS terms, sum(lang_n) AS lang_total FROM v GROUP BY lang) USING (lang)
+), s AS (
+  SELECT g.lang, g.source, v.term, coalesce(n, 0) AS n, CAST(1 + CAST(1000000000 AS HUGEINT) * (coalesce(n, 0) + 2) // (total + 2 * terms) AS BIGINT) AS p,
+    CAST(1 + CAST(1000000000 AS HUGEINT) * (lang_n + 2) // (lang_total + 2 * terms) AS BIGINT) AS q
+  FROM g JOIN v ON g.lang = v.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = v.term
+), f AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)), 0) AS BIGINT) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN s x ON x.lang = a.lang AND x.source = a.source LEFT JOIN s y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term
+  GROUP BY a.lang, a.source, b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM s WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, value, CAST(row_number() OVER w AS INTEGER) AS rank
+FROM f WINDOW w AS (PARTITION BY lang, source, part ORDER BY value DESC, item)
+QUALIFY part = 'pair' OR row_number() OVER w <= 10
+"""
+
 OP13 = """
 WITH e AS (
   SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
