@@ -80,7 +80,7 @@ def document_vectors(docs: DataFrame, min_docs: int, lang: str, source: str, tex
         own = own.select("lang", "source", F.transform("terms", _named).alias("terms"))
         model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_docs), vocabSize=(1 << 31) - 1).fit(own)
         names = [x.rpartition(_NUL) for x in model.vocabulary]
-        vocabulary = spark.createDataFrame(pa.table({"index": pa.array(range(len(names)), pa.int32()), "lang": [x[0] for x in names], "term": [x[2] for x in names]}))
+        vocabulary = spark.createDataFrame(pa.table({"index": pa.array(range(len(names)), pa.int32()), "lang": pa.array([x[0] for x in names], pa.string()), "term": pa.array([x[2] for x in names], pa.string())}))
         to = new_path(spark, "document-vectors")
         model.transform(own).select("lang", "source", "vector").write.parquet(to)
         vectors = spark.read.schema("lang string, source string, vector struct<type: tinyint, size: int, indices: array<int>, values: array<double>>").parquet(to)
