@@ -12,9 +12,9 @@ from ..sources.planes import hold
 ALPHA = ("urn:mpeg:mpegB:cicp:systems:auxiliary:alpha", "urn:mpeg:hevc:2015:auxid:1")
 
 
-def described(files: DataFrame, most_bytes: int | None = None) -> DataFrame:
-    """`describe` of the files that the probe lets through."""
-    return describe(files.where(probe(F.col("content"))), most_bytes)
+def described(files: DataFrame, *wanted: str, most_bytes: int = 1 << 28) -> DataFrame:
+    """`describe`, of the wanted lists, of the files that the probe lets through."""
+    return describe(files.where(probe(F.col("content"))), wanted, most_bytes)
 
 
 def properties_of(item: Column) -> Column:
@@ -72,7 +72,7 @@ def images(files: DataFrame, most_bytes: int = 1 << 28) -> DataFrame:
     All of it comes from the file's own row, so nothing is shuffled. What a file doesn't say is null;
     of properties of a type the last associated counts; a property that is too short is null.
     """
-    df = hold(described(files, most_bytes), p=properties_of(F.col("primary_id")), alpha_id=alpha_of(F.col("primary_id")))
+    df = hold(described(files, "items", "properties", "associations", "references", "levels", most_bytes=most_bytes), p=properties_of(F.col("primary_id")), alpha_id=alpha_of(F.col("primary_id")))
     raw = {x: last_of(F.col("p"), x) for x in ("ispe", "pasp", "clap")}
     by_type = lambda *kinds: F.try_element_at(F.filter("p", lambda q: (q["fourcc"] == "colr") & F.substring(q["raw"], 1, 4).cast("string").isin(*kinds)), F.lit(-1))["raw"]
     df = hold(df, config=last_of(F.col("p"), "av1C", "av2C"), nclx=by_type("nclx"), profile=by_type("rICC", "prof"), **raw)
@@ -96,13 +96,13 @@ def images(files: DataFrame, most_bytes: int = 1 << 28) -> DataFrame:
         F.col("turned").alias("orientation"), both("hs", "hs", "vs").alias("h_spacing"), both("vs", "hs", "vs").alias("v_spacing"),
         F.col("alpha_id").isNotNull().alias("has_alpha"), F.coalesce(multiplied, F.lit(False)).alias("premultiplied"),
         F.col("rect").alias("crop"),
-        own("payloads", "max_level").alias("max_level"), own("payloads", "avg_level").alias("avg_level"), "errors",
+        own("levels", "max_level").alias("max_level"), own("levels", "avg_level").alias("avg_level"), "errors",
     )
 
 
 def payloads(files: DataFrame, most_bytes: int = 1 << 28) -> DataFrame:
     """(path, item_id, payload): the units of each item's codec configuration and its extents, in order, out of the file; null if one ends beyond it, or if there are more than most_bytes."""
-    return described(files, most_bytes).select("path", F.inline("payloads")).select("path", "item_id", "payload")
+    return described(files, "payloads", most_bytes=most_bytes).select("path", F.inline("payloads"))
 
 
 def crop(width: Column, height: Column, wn: Column, wd: Column, hn: Column, hd: Column, xn: Column, xd: Column, yn: Column, yd: Column) -> Column:

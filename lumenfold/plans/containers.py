@@ -109,19 +109,19 @@ _TYPES = "('ispe', 2 + CASE WHEN p_partkey % 5 = 0 THEN 1 ELSE 0 END), ('irot',
 
 @query(f"WITH {_P} SELECT path, fourcc, CAST(n AS BIGINT) AS n FROM f, LATERAL (VALUES {_TYPES}) v(fourcc, n) WHERE n IS NOT NULL")
 def ipma_property_join(spark, sf_dir):
-    found = container.item_properties(container.described(files(spark, sf_dir)))
+    found = container.item_properties(container.described(files(spark, sf_dir), "properties", "associations"))
     return found.groupBy("path", "fourcc").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"WITH {_P} SELECT path, CAST(2 AS BIGINT) AS alpha_id FROM f WHERE p_partkey % 5 = 0")
 def alpha_resolution(spark, sf_dir):
-    found = container.described(files(spark, sf_dir)).select("path", container.alpha_of(F.col("primary_id")).alias("alpha_id"))
+    found = container.described(files(spark, sf_dir), "properties", "associations", "references").select("path", container.alpha_of(F.col("primary_id")).alias("alpha_id"))
     return found.where("alpha_id IS NOT NULL")
 
 
 @query(f"WITH {_P} SELECT path, {_NAME} AS orientation FROM f")
 def orientation_from_irot_imir(spark, sf_dir):
-    return container.described(files(spark, sf_dir)).select("path", container.orientation_of(container.properties_of(F.lit(1))).alias("orientation"))
+    return container.described(files(spark, sf_dir), "properties", "associations").select("path", container.orientation_of(container.properties_of(F.lit(1))).alias("orientation"))
 
 
 _UNIT = "'062001' || lpad(to_hex(100 + p_partkey % 4000), 4, '0') || lpad(to_hex(p_partkey % 400), 4, '0')"
@@ -134,7 +134,7 @@ def iloc_gather(spark, sf_dir):
 
 @query(f"WITH {_P} SELECT path, CAST(20 + CASE WHEN p_partkey % 5 = 0 THEN 3 ELSE 0 END + CASE WHEN p_partkey % 10 = 0 THEN 1 ELSE 0 END + CASE WHEN p_partkey % 7 = 0 THEN 2 ELSE 0 END AS BIGINT) AS boxes, CAST(1 AS BIGINT) AS primary_id FROM f")
 def box_inventory(spark, sf_dir):
-    return container.described(files(spark, sf_dir)).select("path", F.size("boxes").cast("bigint").alias("boxes"), "primary_id")
+    return container.described(files(spark, sf_dir), "boxes").select("path", F.size("boxes").cast("bigint").alias("boxes"), "primary_id")
 
 
 @query(_CROP)

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, StructField, StructType
 
 from ..functions.integer import clip, round2, shr
 from ..operators import entropy, grain, rangecoder, transform
@@ -163,48 +164,53 @@ def colour_primaries(spark, sf_dir):
 
 
 def slice_tiles(groups: DataFrame, prefix: int = 4) -> DataFrame:
-    """(group_id, tile, payload) of tile groups (group_id, tiles, content): each tile but the last has its size less 1 before it.
+    """groups (tiles, content, and any columns beside) with `payloads`: the bytes of each tile in order. Each tile but the last has its size less 1 before it.
 
-    A group that ends too soon gives one row with a null payload.
+    A group that ends too soon, or whose content or number of tiles is null, has null payloads; one
+    without tiles has none. Other columns are passed on as they are.
     """
+    names = [x for x in groups.columns if x not in ("tiles", "content")]
+
+    def cut(n: int | None, b: bytes | None) -> list[bytes] | None:
+        at, own = 0, []
+        for tile in range(n) if n is not None and b is not None else ():
+            size = len(b) - at
+            if tile < n - 1:
+                size = int.from_bytes(b[at : at + prefix], "little") + 1
+                at += prefix
+            if at + size > len(b):
+                return None
+            own.append(b[at : at + size])
+            at += size
+        return None if n is None or b is None else own
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for key, n, b in zip(*(c.to_pylist() for c in batch.columns)):
-                at, own = 0, []
-                for tile in range(n):
-                    size = len(b) - at
-                    if tile < n - 1:
-                        size = int.from_bytes(b[at : at + prefix], "little") + 1
-                        at += prefix
-                    if at + size > len(b):
-                        own = [(key, tile, None)]
-                        break
-                    own.append((key, tile, b[at : at + size]))
-                    at += size
-                rows += own
-            columns = list(zip(*rows)) or [[]] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.binary()))], names=["group_id", "tile", "payload"])
-
-    return groups.select("group_id", "tiles", "content").mapInArrow(run, "group_id long, tile long, payload binary")
+            found = [cut(n, b) for n, b in zip(batch.column("tiles").to_pylist(), batch.column("content").to_pylist())]
+            yield pa.RecordBatch.from_arrays([*[batch.column(x) for x in names], pa.array(found, pa.list_(pa.binary()))], names=[*names, "payloads"])
+
+    return groups.mapInArrow(run, StructType([*groups.select(*names).schema.fields, StructField("payloads", ArrayType(BinaryType()))]))
 
 
 @query("SELECT conv_id AS group_id, turn, coalesce(text, '') || '|' AS text FROM conversations")
 def tile_slicing(spark, sf_dir):
-    """Turns of a conversation, each with a mark at its end, as the tiles of a group, written with little-endian sizes of four bytes and cut apart again.
+    """Turns of a conversation, each with a mark at its end, as the tiles of groups, written with little-endian sizes of four bytes and cut apart again.
 
-    A null turn comes first, a null or empty text is the mark alone; turns with the same number keep their texts.
+    A group has 64 tiles at most, so a conversation of any length, or the rows that have none, make
+    as many groups as they need. A null or empty text is the mark alone; turns with the same number
+    keep their texts.
     """
     turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.coalesce("text", F.lit("")), F.lit("|")).alias("text"))
+    turns = turns.withColumn("salt", F.pmod(F.xxhash64("turn", "text"), F.lit(16)))  # a long conversation is dealt to several tasks
+    placed = turns.withColumn("n", F.row_number().over(Window.partitionBy("conv_id", "salt").orderBy("turn", "text")) - 1)
     size = F.octet_length("text") - 1
     little = join(*[number(F.shiftright(size, 8 * k).bitwiseAND(F.lit(255)), 1) for k in range(4)]).data
-    one = F.struct("turn", F.hex(little).alias("head"), F.hex(F.encode("text", "utf-8")).alias("body"))
-    groups = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(one)).alias("t"))
+    one = F.struct("n", "turn", F.hex(little).alias("head"), F.hex(F.encode("text", "utf-8")).alias("body"))
+    groups = placed.groupBy("conv_id", "salt", F.floor(F.col("n") / 64).alias("group")).agg(F.sort_array(F.collect_list(one)).alias("t"))
     hexes = F.transform("t", lambda x, i: F.when(i < F.size("t") - 1, F.concat(x["head"], x["body"])).otherwise(x["body"]))
     groups = groups.select(F.col("conv_id").alias("group_id"), F.size("t").cast("bigint").alias("tiles"), F.unhex(F.array_join(hexes, "")).alias("content"), F.transform("t", lambda x: x["turn"]).alias("turns"))
-    found = slice_tiles(groups).join(groups.select("group_id", "turns"), "group_id")
-    return found.select("group_id", F.col("turns")[F.col("tile").cast("int")].alias("turn"), F.decode("payload", "utf-8").alias("text"))
+    found = slice_tiles(groups).select("group_id", F.explode(F.arrays_zip("turns", "payloads")).alias("t"))
+    return found.select("group_id", F.col("t.turns").alias("turn"), F.decode("t.payloads", "utf-8").alias("text"))
 
 
 @query("WITH c AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CAST(floor(l_extendedprice) AS BIGINT) % 8192 AS pos, 8192 + (l_partkey % 16384) AS scale FROM lineitem) SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, (pos * scale + 8192) >> 14 AS scaled, ((pos * scale + 8192) >> 10) & 15 AS phase FROM c")

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 from functools import reduce
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,8 +21,10 @@ from pyspark.sql.types import StructType
 #: Brands of a file that is probed as readable; boxes that hold boxes, and the bytes before those.
 BRANDS = ("avif", "avis", "av02")
 CONTAINERS = {b"meta": 4, b"iprp": 0, b"ipco": 0, b"iref": 4, b"iinf": 6}
-#: Limits on what one file may hold.
-MOST_BOXES = 10_000
+#: Boxes that are read of one file unless more are asked for, and how deep they may lie in each other.
+MOST_BOXES, MOST_DEPTH = 10_000, 32
+#: Bytes that sizes and places in an extent list may have.
+WIDTHS = (0, 1, 2, 4, 8)
 #: Files, and bytes of files, that are described in one Arrow batch at most, unless one file is larger.
 ROWS, BYTES = 256, 8 << 20
 
@@ -51,30 +54,36 @@ class Box(NamedTuple):
     head: int  # bytes before the payload
 
 
-def _walk(data, start: int, end: int, depth: int, parent: int, out: list[Box]) -> None:
-    """Append the boxes in data[start:end]; their payloads stay where they are.
+def _walk(data, out: list[Box], most_boxes: int) -> None:
+    """Append the boxes of a file in order; their payloads stay where they are.
 
-    A box that says less than its own head for its size is an error; one that ends beyond `end` ends the walk without one.
+    A box that says less than its own head for its size is an error, as are too many or too deep
+    ones; one that ends beyond what is around it ends the walk there without one.
     """
-    at = start
-    while at + 8 <= end:
+    around = [(0, len(data), -1)]  # where the walk stands, where it ends, the box around it; the innermost last
+    while around:
+        at, end, parent = around.pop()
+        if at + 8 > end:
+            continue
         size, fourcc = struct.unpack_from(">I4s", data, at)
         head = 8
         if size == 1:
             if at + 16 > end:
-                return
+                continue
             size, head = struct.unpack_from(">Q", data, at + 8)[0], 16
         if size < head:
             raise ValueError(f"box size {size} at {at}")
         if at + size > end:
-            return
-        if len(out) >= MOST_BOXES:
+            continue
+        if len(out) >= most_boxes:
             raise ValueError("too many boxes")
-        number = len(out)
+        if len(around) >= MOST_DEPTH:
+            raise ValueError("boxes lie too deep")
+        depth = out[parent].depth + 1 if parent >= 0 else 0
         out.append(Box(depth, parent, fourcc, at, size, head))
+        around.append((at + size, end, parent))
         if fourcc in CONTAINERS:
-            _walk(data, at + head + CONTAINERS[fourcc], at + size, depth + 1, number, out)
-        at += size
+            around.append((at + head + CONTAINERS[fourcc], at + size, len(out) - 1))
 
 
 class _Bits:
@@ -123,11 +132,16 @@ def _associations(b) -> Iterator[tuple]:
 
 
 def _extents(b) -> Iterator[tuple]:
-    """(item, ord, offset, length) of what lies in the file itself; other construction methods are skipped."""
+    """(item, ord, offset, length) of what lies in the file itself; other construction methods are skipped.
+
+    ValueError for numbers of an odd size, and for places beyond 63 bits.
+    """
     r = _Bits(b)
     version = r.take(4) >> 24
     sizes = r.take(2)
     offset, length, base, index = sizes >> 12, sizes >> 8 & 15, sizes >> 4 & 15, sizes & 15 if version in (1, 2) else 0
+    if not {offset, length, base, index} <= set(WIDTHS):
+        raise ValueError(f"iloc has numbers of {offset}, {length}, {base} and {index} bytes")
     for _ in range(r.take(2 if version < 2 else 4)):
         item = r.take(2 if version < 2 else 4)
         method = r.take(2) & 15 if version in (1, 2) else 0
@@ -136,6 +150,8 @@ def _extents(b) -> Iterator[tuple]:
         for k in range(r.take(2)):
             r.take(index)
             row = (item, k, start + r.take(offset), r.take(length))
+            if row[2] + row[3] >= 1 << 63:
+                raise ValueError(f"iloc names a place beyond any file for item {item}")
             if method == 0:
                 yield row
 
@@ -153,18 +169,25 @@ def _config_units(raw: bytes) -> bytes:
     return raw[5 if len(raw) > 3 and raw[3] & 16 else 4 :]
 
 
-_SCHEMA = """path string, boxes array<struct<ord:int,depth:int,parent:int,fourcc:string,offset:bigint,length:bigint>>, primary_id long,
-  items array<struct<item_id:bigint,item_type:string>>, properties array<struct<fourcc:string,raw:binary>>,
-  associations array<struct<item_id:bigint,ord:bigint,idx:bigint,essential:boolean>>, references array<struct<ref_type:string,from_id:bigint,ord:bigint,to_id:bigint>>,
-  extents array<struct<item_id:bigint,ord:bigint,offset:bigint,length:bigint>>, payloads array<struct<item_id:bigint,payload:binary,max_level:int,avg_level:int>>, errors array<string>"""
+#: What `describe` can list of each file.
+LISTS = {
+    "boxes": "ord int, depth int, parent int, fourcc string, offset bigint, length bigint",
+    "items": "item_id bigint, item_type string",
+    "properties": "fourcc string, raw binary",
+    "associations": "item_id bigint, ord bigint, idx bigint, essential boolean",
+    "references": "ref_type string, from_id bigint, ord bigint, to_id bigint",
+    "extents": "item_id bigint, ord bigint, offset bigint, length bigint",
+    "payloads": "item_id bigint, payload binary",
+    "levels": "item_id bigint, max_level int, avg_level int",
+}
 
 
-def _described(data, most_bytes: int | None, light) -> dict:
-    """What one file says of itself. Each list keeps what comes before a fault, and `errors` names the faults."""
+def _described(data, wanted: tuple[str, ...], most_bytes: int, most_boxes: int, light) -> dict:
+    """What one file says of itself: the wanted lists as tuples. Each keeps what comes before a fault, and `errors` names the faults."""
     found: list[Box] = []
     errors = []
     try:
-        _walk(data, 0, len(data), 0, -1, found)
+        _walk(data, found, most_boxes)
     except ValueError as e:
         errors.append(str(e))
     first: dict[bytes, int] = {}
@@ -180,75 +203,97 @@ def _described(data, most_bytes: int | None, light) -> dict:
                     out.append(row)
             except IndexError:
                 errors.append(f"{kind.decode()} ends too soon")
+            except ValueError as e:
+                errors.append(str(e))
         return out
 
-    items: dict[int, str] = {}
     primary = read(b"pitm", lambda b: [_primary(b)])
-    for box in found:
-        if box.fourcc == b"infe":
-            try:
-                item, kind = _item(inside(box))
-                items.setdefault(item, kind)
-            except IndexError:
-                errors.append("infe ends too soon")
-    properties = [(b.fourcc.decode("latin-1"), inside(b)) for b in found if b.parent == first.get(b"ipco", -2)]
-    associations = read(b"ipma", _associations)
-    references, holder = [], first.get(b"iref", -2)
-    for box in found:
-        if box.parent == holder:
-            try:
-                for row in _references(inside(box), box.fourcc, data[found[holder].offset + found[holder].head]):
-                    references.append((row[0], row[1], len(references), row[2]))
-            except IndexError:
-                errors.append(f"{box.fourcc.decode('latin-1')} ends too soon")
-    extents = read(b"iloc", _extents)
-    payloads = []
-    if most_bytes is not None:
-        config = {}
-        for item, _, idx, _ in associations:
-            if 0 < idx <= len(properties) and properties[idx - 1][0] in ("av1C", "av2C"):
-                config[item] = _config_units(properties[idx - 1][1])
-        for item in dict.fromkeys(x[0] for x in extents):
-            own = [x[2:] for x in extents if x[0] == item]
+    out = {"primary_id": primary[0] if primary else None, "errors": errors}
+    whole_items = "payloads" in wanted or "levels" in wanted
+    if "boxes" in wanted:
+        out["boxes"] = [(n, b.depth, b.parent, b.fourcc.decode("latin-1"), b.offset, b.length) for n, b in enumerate(found)]
+    if "items" in wanted:
+        items: dict[int, str] = {}
+        for box in found:
+            if box.fourcc == b"infe":
+                try:
+                    item, kind = _item(inside(box))
+                    items.setdefault(item, kind)
+                except IndexError:
+                    errors.append("infe ends too soon")
+        out["items"] = list(items.items())
+    if "properties" in wanted or whole_items:
+        out["properties"] = [(b.fourcc.decode("latin-1"), inside(b)) for b in found if b.parent == first.get(b"ipco", -2)]
+    if "associations" in wanted or whole_items:
+        out["associations"] = read(b"ipma", _associations)
+    if "references" in wanted:
+        references, holder = [], first.get(b"iref", -2)
+        for box in found:
+            if box.parent == holder:
+                try:
+                    for row in _references(inside(box), box.fourcc, data[found[holder].offset + found[holder].head]):
+                        references.append((row[0], row[1], len(references), row[2]))
+                except IndexError:
+                    errors.append(f"{box.fourcc.decode('latin-1')} ends too soon")
+        out["references"] = references
+    if "extents" in wanted or whole_items:
+        out["extents"] = read(b"iloc", _extents)
+    if whole_items:
+        config, of_item, out["payloads"], out["levels"] = {}, {}, [], []
+        for item, _, idx, _ in out["associations"]:
+            if 0 < idx <= len(out["properties"]) and out["properties"][idx - 1][0] in ("av1C", "av2C"):
+                config[item] = _config_units(out["properties"][idx - 1][1])
+        for item, _, offset, length in out["extents"]:
+            of_item.setdefault(item, []).append((offset, length))
+        for item, own in of_item.items():
             if sum(n for _, n in own) + len(config.get(item, b"")) > most_bytes:
                 errors.append(f"item {item} is larger than {most_bytes} bytes")
-                payloads.append((item, None, None, None))
+                whole = None
             elif any(a + n > len(data) for a, n in own):
                 errors.append(f"item {item} ends beyond the file")
-                payloads.append((item, None, None, None))
+                whole = None
             else:
-                whole = config.get(item, b"") + b"".join(bytes(data[a : a + n]) for a, n in own)
-                payloads.append((item, whole, *light(whole)))
-    boxes_ = [(n, b.depth, b.parent, b.fourcc.decode("latin-1"), b.offset, b.length) for n, b in enumerate(found)]
-    return {"boxes": boxes_, "primary_id": primary[0] if primary else None, "items": list(items.items()), "properties": properties, "associations": associations, "references": references, "extents": extents, "payloads": payloads, "errors": errors}
-
-
-def describe(files: DataFrame, most_bytes: int | None = None) -> DataFrame:
-    """One row per file (path, content): its boxes, primary item, items, properties, associations, references, extents and errors, as arrays.
-
-    One pass over the files, without a shuffle; no payload of a box leaves it but those of
-    properties. most_bytes: also the bytes of every item, its codec configuration's units before
-    its extents, and the last content light level in them; an item of more bytes, or that ends
-    beyond the file, has null for them and an error. Lists are read whole; one that ends too soon
-    keeps the rows before its end and gives an error. Null and empty files give empty lists; no
-    content of a file raises an exception. Repeated paths are read one by one.
+                parts = [x for x in (config.get(item, b""), *(data[a : a + n] for a, n in own)) if len(x)]
+                whole = parts[0] if len(parts) == 1 else b"".join(parts)  # one part is a slice of the file, not a copy
+            if "payloads" in wanted:
+                out["payloads"].append((item, whole))
+            if "levels" in wanted:
+                out["levels"].append((item, *(light(whole) if whole is not None else (None, None))))
+    return out
+
+
+def describe(files: DataFrame, wanted: tuple[str, ...] = tuple(LISTS), most_bytes: int = 1 << 28, most_boxes: int = MOST_BOXES) -> DataFrame:
+    """One row per file (path, content): path, primary_id, the wanted lists (see LISTS) as arrays, errors.
+
+    One pass over the files, without a shuffle; only what is wanted is read and leaves it. payloads
+    are the bytes of every item, its codec configuration's units before its extents, and levels the
+    last content light level in them; an item of over most_bytes, or that ends beyond the file, has
+    null for them and an error. Of boxes after the first most_boxes, or deeper than MOST_DEPTH, only
+    an error is left. Lists are read whole; one that ends too soon, or holds numbers of an odd size
+    or beyond 63 bits, keeps the rows before that and gives an error. Null and empty files give empty
+    lists; no content of a file raises an exception. Repeated paths are read one by one.
     """
     from .obu import last_light_level
 
-    schema = to_arrow_schema(StructType.fromDDL(_SCHEMA))
-    named = {f.name: [x.name for x in f.type.value_type] for f in schema if pa.types.is_list(f.type) and pa.types.is_struct(f.type.value_type)}
+    ddl = "path string, primary_id long, " + "".join(f"{x} array<struct<{LISTS[x]}>>, " for x in wanted) + "errors array<string>"
+    schema = to_arrow_schema(StructType.fromDDL(ddl))
 
     def table(rows: list[dict]) -> pa.RecordBatch:
-        for row in rows:
-            row.update({name: [dict(zip(fields, v)) for v in row[name]] for name, fields in named.items()})
-        return pa.RecordBatch.from_pylist(rows, schema=schema)
+        columns = [pa.array([r[x] for r in rows], schema.field(x).type) for x in ("path", "primary_id")]
+        for name in wanted:
+            kind = schema.field(name).type
+            ends = np.cumsum([0] + [len(r[name]) for r in rows], dtype=np.int32)
+            fields = list(zip(*(v for r in rows for v in r[name]))) or [()] * kind.value_type.num_fields
+            parts = [pa.array(x, kind.value_type.field(i).type) for i, x in enumerate(fields)]
+            columns.append(pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(parts, fields=list(kind.value_type))).cast(kind))
+        return pa.RecordBatch.from_arrays([*columns, pa.array([r["errors"] for r in rows], pa.list_(pa.string()))], schema=schema)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, size = [], 0
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
                 data = content.as_buffer()
-                rows.append({"path": path} | _described(memoryview(data) if data is not None else b"", most_bytes, last_light_level))
+                rows.append({"path": path} | _described(memoryview(data) if data is not None else b"", wanted, most_bytes, most_boxes, last_light_level))
                 size += len(data) if data is not None else 0
                 if len(rows) == ROWS or size > BYTES:
                     yield table(rows)
@@ -256,7 +301,7 @@ def describe(files: DataFrame, most_bytes: int | None = None) -> DataFrame:
             if rows:
                 yield table(rows)
 
-    return files.select("path", "content").mapInArrow(parse, _SCHEMA)
+    return files.select("path", "content").mapInArrow(parse, ddl)
 
 
 def boxes(described: DataFrame) -> DataFrame:

@@ -36,7 +36,7 @@ def test_truncated_and_corrupted_files(spark, some):
                 bad[rng.randrange(len(bad))] = rng.randrange(256)
             contents.append(bytes(bad))
     files = frame(spark, contents)
-    found = isobmff.describe(files, 1 << 20).cache()
+    found = isobmff.describe(files, most_bytes=1 << 20).cache()
     assert found.count() == len(contents) and isobmff.boxes(found).count() > 0
     assert container.images(files).count() <= len(contents) and container.payloads(files).count() >= 0
     for table in (isobmff.items, isobmff.properties, isobmff.associations, isobmff.extents, isobmff.references):
@@ -49,7 +49,7 @@ def test_items_larger_than_allowed_or_beyond_the_file(spark, some):
     iloc = struct.pack(">IHH", 0, 0x4400, 1) + struct.pack(">HHHII", 1, 0, 1, 0, 10_000)
     box = lambda kind, body: struct.pack(">I4s", len(body) + 8, kind) + body
     whole = box(b"ftyp", b"avif\0\0\0\0") + box(b"meta", bytes(4) + box(b"iloc", iloc) + box(b"ipma", struct.pack(">II", 0, 2) + struct.pack(">HBB", 1, 1, 0x81)))
-    row = container.described(frame(spark, [whole]), 1 << 20).first()
+    row = container.described(frame(spark, [whole]), *isobmff.LISTS, most_bytes=1 << 20).first()
     assert [(p["item_id"], p["payload"]) for p in row["payloads"]] == [(1, None)]
     assert sorted(row["errors"]) == ["ipma ends too soon", "item 1 ends beyond the file"] and [a["idx"] for a in row["associations"]] == [1]
 
@@ -64,6 +64,54 @@ def test_box_sizes(spark):
     assert by("2") == [("free", 8, False)]
 
 
+def test_hostile_files_give_error_rows(spark):
+    """Places beyond 63 bits, numbers of odd sizes, thousands of nested boxes, more boxes than allowed: one file never ends the job."""
+    box = lambda kind, body: struct.pack(">I4s", len(body) + 8, kind) + body
+    lists = lambda sizes, *rest: box(b"ftyp", b"avif\0\0\0\0") + box(b"meta", bytes(4) + box(b"iloc", struct.pack(">IHH", 0, sizes, 1) + b"".join(rest)))
+    far = lists(0x8800, struct.pack(">HHHQQ", 1, 0, 1, (1 << 64) - 1, 1))
+    sum_ = lists(0x8880, struct.pack(">HHQHQQ", 1, 0, (1 << 63) - 1, 1, 5, 5))
+    odd = lists(0xFF00, bytes(64))
+    deep = b""
+    for _ in range(3000):
+        deep = box(b"meta", bytes(4) + deep)
+    deep, many = box(b"ftyp", b"avif\0\0\0\0") + deep, box(b"free", b"") * 50
+    found = {r["path"]: r for r in isobmff.describe(frame(spark, [far, sum_, odd, deep, many]), most_boxes=40).collect()}
+    assert [found[str(i)]["extents"] for i in range(3)] == [[], [], []] and [found[str(i)]["payloads"] for i in range(3)] == [[], [], []]
+    assert "beyond any file" in found["0"]["errors"][0] and "beyond any file" in found["1"]["errors"][0] and "15, 15" in found["2"]["errors"][0]
+    assert found["3"]["errors"] == ["boxes lie too deep"] and len(found["3"]["boxes"]) == isobmff.MOST_DEPTH + 1
+    assert found["4"]["errors"] == ["too many boxes"] and len(found["4"]["boxes"]) == 40
+    assert container.images(frame(spark, [far, sum_, odd, deep])).count() == 4
+
+
+def test_only_wanted_lists_are_returned(spark, some):
+    files = frame(spark, [r["content"] for r in some] + [None])
+    whole = {r["path"]: r for r in isobmff.describe(files).collect()}
+    for wanted in (("levels",), ("payloads", "boxes"), ()):
+        got = isobmff.describe(files, wanted)
+        assert got.columns == ["path", "primary_id", *wanted, "errors"]
+        assert all(r[x] == whole[r["path"]][x] for r in got.collect() for x in wanted)
+
+
+def test_tiles_of_groups(spark):
+    from lumenfold.plans.more import slice_tiles
+
+    content = (2).to_bytes(4, "little") + b"abc" + (0).to_bytes(4, "little") + b"d" + b"efg"
+    rows = [(None, 3, content, "x"), (1, 2, content[:5], "y"), (2, 0, b"", "z"), (3, None, b"", "z"), (4, 1, None, None), (5, 1, b"", "t")]
+    got = slice_tiles(spark.createDataFrame(rows, "id long, tiles long, content binary, turns string")).collect()
+    assert {r["id"]: (r["turns"], r["payloads"]) for r in got} == {None: ("x", [b"abc", b"d", b"efg"]), 1: ("y", None), 2: ("z", []), 3: ("z", None), 4: (None, None), 5: ("t", [b""])}
+
+
+def test_tiles_of_a_null_and_of_a_long_conversation(spark, tmp_path):
+    from collections import Counter
+
+    from lumenfold.plans import more
+
+    rows = [(None, 1, "user", "a"), (None, None, "user", None), (7, 1, None, "é"), (7, 1, None, "é")] + [(9, i % 700, "x", f"t{i % 50}") for i in range(3000)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = more.tile_slicing(spark, str(tmp_path)).collect()
+    assert Counter(map(tuple, got)) == Counter((c, t, (x or "") + "|") for c, t, _, x in rows)
+
+
 def test_files_of_a_folder(spark, some, tmp_path):
     for i, r in enumerate(some):
         (tmp_path / f"{i}.avif").write_bytes(bytes(r["content"]))
