@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import blocks, containers, fields, more, planes, shapes, stencils
+from .plans import blocks, containers, fields, headers, more, planes, shapes, stencils
 
-PLANS = (blocks, planes, containers, more, stencils, shapes, fields)
+PLANS = (blocks, planes, containers, more, stencils, shapes, fields, headers)
 
 
 def queries() -> dict:
