@@ -174,7 +174,7 @@ def audited(rows, min_docs):
     return sorted(found)
 
 
-@pytest.mark.parametrize("sizes", [None, {"VOCABULARY": 5, "SOURCES": 2, "COUNTS": 20}])
+@pytest.mark.parametrize("sizes", [None, {"VOCABULARY": 5, "SOURCES": 2, "COUNTS": 20, "CLASSES": 1}])
 def test_divergence_against_plain_python(spark, monkeypatch, rows, docs, sizes):
     for k, v in (sizes or {}).items():
         monkeypatch.setattr(divergence, k, v)
