@@ -471,10 +471,45 @@ def test_languages_of_unseen_documents(spark):
     assert right > 0.95
 
 
-def test_too_many_languages(spark):
-    known = spark.createDataFrame([("text", f"l{i}") for i in range(language_id.MOST_LANGUAGES + 1)], "text string, lang string")
-    with pytest.raises(ValueError):
-        language_id.identify(spark.createDataFrame([(1, "x", "y")], "page_id long, url string, html string"), known)
+def test_languages_in_several_tables(spark, monkeypatch):
+    """More languages than one table holds, and hot hosts apart from others, give the same posteriors."""
+    rng = random.Random(6)
+    known = spark.createDataFrame([(" ".join(f"{rng.choice('abcdefgh')}{i}x" for _ in range(20)), f"l{i:03d}") for i in range(70)], "text string, lang string")
+    pages = spark.createDataFrame([(i, f"http://{'big' if i % 3 else f'h{i}'}.example.com/", f"<p>a{i % 70}x b{i % 70}x c{i % 70}x") for i in range(140)], "page_id long, url string, html string")
+    found = lambda: sorted((r["page_id"], r["lang"], round(r["probability"], 9)) for r in language_id.identify(pages, known).collect())
+    several = found()
+    monkeypatch.setattr(language_id, "TABLE", 100)
+    assert several == found() and sum(lang == f"l{i % 70:03d}" for i, lang, _ in several) > 120
+    monkeypatch.setattr(language_id, "HOT", 10)
+    monkeypatch.setattr(language_id, "is_small", lambda df: False)
+    assert several == found()
+
+
+def test_long_pages_of_tags_take_linear_time(spark):
+    """Pages of 2 MB that open tags and never close them, or close one at the end, and a plain one: each in a second."""
+    import time
+
+    n = 2 << 20
+    texts = ["<head " * (n // 6), "<script " * (n // 8), "<!--" * (n // 4), "<" * n, "<html " * (n // 6), "<style " * (n // 7) + "</style>", "word " * (n // 5), "<nav></nav> " * (n // 12), "<b " * (n // 3) + ">"]
+    sizes = []
+    for text in texts:
+        began = time.process_time()
+        sizes.append(len(language_id.visible(text)))
+        assert time.process_time() - began < 1
+    assert sizes[:5] == [len(t) for t in texts[:5]] and sizes[5] == 1 and sizes[6] == len(texts[6]) and sizes[7] == 2 * (n // 12) and sizes[8] == 1
+    pages = spark.createDataFrame([(i, "", t) for i, t in enumerate(texts)], "page_id long, url string, html string")
+    assert language_id.identify(pages, spark.createDataFrame([("word", "en"), ("mot", "fr")], "text string, lang string")).count() == len(texts)
+
+
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        ("<head>a</head>b<script>c</script>d<!-- e -->f<nav>g</nav>h", " b d f h"), ("<HEAD>a<b>c", " a c"), ("<script>a</script>b<script>c", " b c"), ("a < b", "a < b"), ("a <b> c <d", "a   c <d"), (None, ""), ("<style>x</STYLE>ÿ\n<p\n>z", " ÿ\n z"),
+        ("<header>a</header>b", " a b"), ("<nav>İ</nav>é<!-- > --> x", " é  x"),
+    ],
+)
+def test_visible_text(page, text):
+    assert language_id.visible(page).decode() == text
 
 
 def test_language_of_given_pages(spark):
