@@ -5,6 +5,10 @@ on at least BLOCKS - DISTANCE whole blocks, so they meet under the key of some c
 blocks. Only distinct fingerprints take part, and a bucket gives links that span its components,
 never all its pairs. Buckets above BUCKET fingerprints are left to a second exact way, whose groups
 are bounded by the number of words of 64 bits near one word.
+
+Filtering (`keep_one_of_each`) is for near duplicates by shingles, which three of 64 bits would
+rarely catch: there fingerprints have 256 bits, of distinct words, so that edits move few bits, keys
+are choices of four blocks of eight bits, and candidates are verified on their shingles.
 """
 
 from __future__ import annotations
@@ -18,12 +22,19 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import at_places, materialize, place_of, with_row
+from .common import at_places, materialize, place_of, small_side, steps, texts_of, with_row
 from .components import connected_components
+from .words import LOWER, Words, find_words, hash_words, mix
 
 WIDTH, SEED, DISTANCE, BLOCKS = 3, 42, 3, 6
 #: Fingerprints of a bucket that are compared with each other, at most.
 BUCKET = 4000
+#: Of wide fingerprints, of 256 bits: blocks, their bits, rounds of keys of four blocks, differing bits of a candidate at most.
+#: Keys have 4 * PART_BITS bits, which tell some billions of texts apart; far above that, more bits and rounds are needed.
+PARTS, PART_BITS, ROUNDS, WIDE_DISTANCE = 32, 8, 10, 40
+#: Words in a shingle by which candidates are verified, and the least Jaccard similarity of near duplicates.
+SHINGLE, SIMILAR = 5, 0.8
+_SEED = 0x9E3779B97F4A7C15 >> 3
 
 
 def fingerprint(text: str | None, width: int = WIDTH) -> int:
@@ -160,15 +171,146 @@ def near_groups(docs: DataFrame, distance: int = DISTANCE, text: str = "text", i
     return rows.join(known, F.col("fp") == F.col("_fp"), "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("_fp").isNull(), F.col("doc_id")).otherwise(F.col("_first")).alias("component_id"))
 
 
-def keep_one_of_each(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """Of each component of near duplicates (see `near_groups`) the row with the smallest doc_id, with all its columns.
+def wide_fingerprint(lower: np.ndarray, words: Words, texts: int) -> np.ndarray:
+    """For each text four words of 64 bits: a SimHash of 256 bits over its distinct words; zeros for a text without any."""
+    names = hash_words(lower, words)
+    order = np.lexsort((names, words.text))
+    names, text = names[order], words.text[order]
+    new = np.ones(len(names), bool)
+    new[1:] = (names[1:] != names[:-1]) | (text[1:] != text[:-1])
+    names, text = names[new], text[new]
+    out = np.zeros((texts, 4), np.uint64)
+    if len(names):
+        first = np.flatnonzero(np.append(True, text[1:] != text[:-1]))
+        sizes = np.diff(np.append(first, len(text)))
+        for i in range(4):
+            bits = np.unpackbits(mix(names + np.uint64((i + 1) * _SEED)).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            ones = np.add.reduceat(bits, first, axis=0, dtype=np.int64)
+            out[text[first], i] = np.packbits(2 * ones > sizes[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
+    return out
+
+
+def wide_fingerprints(docs: DataFrame, place: str, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, w0 to w3, file, at) of every row; place: a struct (file, at) that tells rows apart."""
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = texts_of(batch.column(1))
+            found = [np.zeros((0, 4), np.uint64)]
+            for a, b in steps(offsets):
+                lower = LOWER[data[offsets[a] : offsets[b]]]
+                found.append(wide_fingerprint(lower, find_words(lower, offsets[a : b + 1] - offsets[a]), b - a))
+            wide = np.concatenate(found).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(wide[:, i]) for i in range(4)], *batch.columns[2:]], names=["doc_id", "w0", "w1", "w2", "w3", *batch.schema.names[2:]])
+
+    columns = [F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"), *place_of(place)]
+    return docs.select(*columns).mapInArrow(compute, "doc_id long, w0 long, w1 long, w2 long, w3 long, file long, at long")
+
+
+def _key_blocks() -> np.ndarray:
+    """Which four of the PARTS blocks make each key: rounds in which every block has a turn, each with another order of them."""
+    rng = np.random.default_rng(WIDTH)
+    return np.concatenate([rng.permutation(PARTS).reshape(-1, 4) for _ in range(ROUNDS)])
+
+
+def wide_keys(rows: DataFrame) -> DataFrame:
+    """(key, id): each wide fingerprint under every choice of four blocks."""
+    chosen = _key_blocks()
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 2000):
+                some = batch.slice(at, 2000)
+                bits = np.unpackbits(np.column_stack([np.asarray(some.column(i + 1)) for i in range(4)]).view(np.uint8), axis=1, bitorder="little")
+                blocks = bits[:, : PARTS * PART_BITS].reshape(len(some), PARTS, PART_BITS) @ (1 << np.arange(PART_BITS, dtype=np.int64))
+                key = np.zeros((len(some), len(chosen)), np.int64)
+                for i in range(4):
+                    key = key << PART_BITS | blocks[:, chosen[:, i]]
+                key |= np.arange(len(chosen), dtype=np.int64) << 4 * PART_BITS
+                yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1)), pa.array(np.repeat(np.asarray(some.column(0)), len(chosen)))], names=["key", "id"])
+
+    return rows.select("id", "w0", "w1", "w2", "w3").mapInArrow(spread, "key long, id long")
+
+
+def shingle_set(lower: np.ndarray, words: Words, text: int, width: int = SHINGLE) -> np.ndarray:
+    """The sorted 64-bit hashes of the shingles of one text; of fewer words the whole sequence, of none nothing."""
+    names = hash_words(lower, words)[words.first[text] : words.first[text + 1]]
+    if len(names) > width:
+        n, found = len(names) - width + 1, np.zeros(len(names) - width + 1, np.uint64)
+        for i in range(width):
+            found = mix(found + names[i : i + n])
+        return np.unique(found)
+    whole = np.zeros(min(len(names), 1), np.uint64)
+    for x in names:
+        whole = mix(whole + x)
+    return whole
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """The Jaccard similarity of two sorted sets; of two empty ones 1."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
+
+
+def near_links(named: DataFrame, row: str, rows: DataFrame, least: float = SIMILAR, text: str = "text") -> DataFrame:
+    """(a, b): ids of rows whose sets of five-word shingles have at least that similarity, as stars around the least id of each bucket.
+
+    rows: what `wide_fingerprints` returns of named, with a long id, just written. Rows that share a
+    key meet its least id only, so links grow with rows; every key is another chance. Candidates are
+    then verified, on their fingerprints and on all shingles of both whole texts.
+    """
+    keyed = wide_keys(rows)
+    sizes = materialize(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("a"), F.max("id").alias("b")).where("n > 1"), "buckets")
+    many = sizes.where("n > 2").select(F.col("key").alias("_key"), "a")
+    stars = keyed.join(small_side(many), F.col("key") == F.col("_key")).where("id <> a").select("a", F.col("id").alias("b"))
+    pairs = materialize(sizes.where("n = 2").select("a", "b").unionByName(stars).distinct(), "candidates")
+    for side in ("a", "b"):
+        known = rows.select(F.col("id").alias(f"id_{side}"), *[F.col(f"w{i}").alias(f"{side}{i}") for i in range(4)])
+        pairs = pairs.join(known, F.col(side) == F.col(f"id_{side}"))
+    apart = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(4)), F.lit(0))
+    pairs = materialize(pairs.where(apart <= WIDE_DISTANCE).select("a", "b"), "candidates")
+
+    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    places = materialize(rows.join(wanted, "id", "left_semi").select("id", F.col("file").alias("_file"), F.col("at").alias("_at")), "places")
+    texts = named.select(F.col(text).alias("text"), *place_of(row)).join(small_side(places), (F.col("file") == F.col("_file")) & (F.col("at") == F.col("_at"))).select("id", "text")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = texts_of(batch.column(1))
+            found = []
+            for a, b in steps(offsets):
+                lower = LOWER[data[offsets[a] : offsets[b]]]
+                words = find_words(lower, offsets[a : b + 1] - offsets[a])
+                found += [shingle_set(lower, words, i).tobytes() for i in range(b - a)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["id", "shingles"])
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one, two = ([np.frombuffer(x, np.uint64) for x in batch.column(c).to_pylist()] for c in (2, 3))
+            yield batch.select([0, 1]).filter(pa.array([similarity(x, y) >= least for x, y in zip(one, two)], pa.bool_()))
+
+    known = materialize(texts.mapInArrow(sets, "id long, shingles binary"), "shingles")
+    one, two = (known.select(F.col("id").alias(f"id_{x}"), F.col("shingles").alias(f"of_{x}")) for x in "ab")
+    both = pairs.join(two, F.col("b") == F.col("id_b")).join(one, F.col("a") == F.col("id_a")).select("a", "b", "of_a", "of_b")
+    return both.mapInArrow(alike, "a long, b long")
+
+
+def keep_one_of_each(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
+    """Of each component of near duplicates the row with the smallest doc_id, with all its columns.
 
-    Rows are told apart by where they stand in their files; of several with that doc_id, or of a
-    component without any doc_id, the first in the files stays. Other columns may have any names.
+    Rows are near if the sets of five-word shingles of their whole texts, A-Z in lower case, have a
+    Jaccard similarity of `least` or more (texts of fewer words: if they are the same words); texts
+    without words, null included, are one group. Candidates come from keys of SimHash fingerprints
+    of 256 bits over distinct words: two that differ in an eleventh of their bits share a key with a
+    probability of 0.95. Rows are told apart by where they stand in their files; of several with that
+    doc_id, or of a component without any doc_id, the first in the files stays. An empty table stays
+    empty; other columns may have any names.
     """
     named, row = with_row(docs)
-    rows = materialize(fingerprints(named, place=row), "fingerprints")
+    rows = materialize(wide_fingerprints(named, row).withColumn("id", F.monotonically_increasing_id()), "fingerprints")
+    joined = connected_components(near_links(named, row, rows, least))
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "file", "at")
-    known = components_of(rows, distance, order)
-    gone = rows.join(known, F.col("fp") == F.col("_fp")).where((F.col("file") != F.col("_first")["file"]) | (F.col("at") != F.col("_first")["at"])).select("file", "at")
+    members = materialize(rows.join(joined, F.col("id") == F.col("node")).select("component", order.alias("row")), "members")
+    stays = members.groupBy(F.col("component").alias("_component")).agg(F.min("row").alias("first"))
+    gone = members.join(stays, F.col("component") == F.col("_component")).where(F.col("row") != F.col("first")).select("row.file", "row.at")
     return at_places(named, row, materialize(gone, "gone"), "left_anti").select(*docs.columns)

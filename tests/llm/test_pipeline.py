@@ -26,19 +26,77 @@ def test_stages_keep_the_columns(spark, stages):
 
 
 def test_decisions_take_effect(spark, stages):
-    from lumenfold.llm import exact_dedup, mixing, simhash
+    from lumenfold.llm import exact_dedup, mixing
 
     before, after = stages[1]
     assert exact_dedup.exact_groups(after).where("NOT kept").isEmpty()
     assert after.count() == exact_dedup.exact_groups(before).where("kept").count()
     before, after = stages[2]
-    assert {r["doc_id"] for r in after.collect()} == {r["component_id"] for r in simhash.near_groups(before).collect()}
+    assert {r["doc_id"] for r in after.collect()} == first_of_each(before.collect())
     before, after = stages[3]
     assert Counter(r["doc_id"] for r in after.collect()) == {r["doc_id"]: r["copies"] for r in mixing.mix(before).collect() if r["copies"]}
     before, after = stages[4]
     assert Counter(r["doc_id"] for r in after.where("piece = 0").collect()) == Counter(r["doc_id"] for r in before.collect())
 
 
+def shingles(text):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def first_of_each(rows, least=0.8):
+    """The smallest doc_id of each component of pairs whose sets of five-word shingles are that similar, all pairs compared."""
+    sets, group = [shingles(r["text"]) for r in rows], list(range(len(rows)))
+
+    def root(x):
+        while group[x] != x:
+            x = group[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if len(a & b) >= least * len(a | b):
+                group[root(i)] = root(j)
+    found = {}
+    for i, r in enumerate(rows):
+        found[root(i)] = min(found.get(root(i), r["doc_id"]), r["doc_id"])
+    return set(found.values())
+
+
+def test_near_copies_are_caught_and_others_stay(spark):
+    """Pairs at 0.8 to 0.95, a large group of near copies, and pairs at 0.6 to 0.79 that must stay."""
+    import random
+
+    from corpus_pipeline import near
+
+    rng, rows, caught, free = random.Random(8), [], [], []
+    word = lambda: "".join(rng.choice("aeioulnrst") for _ in range(rng.randint(2, 7)))
+    common = [word() for _ in range(60)]
+    prose = lambda n: [rng.choice(common) if rng.random() < 0.5 else word() for _ in range(n)]
+
+    def edited(words, least, most):
+        while True:
+            new = list(words)
+            for at in rng.sample(range(len(new) - len(new) // 14), rng.randint(1, max(1, len(new) // 14))):
+                new[at : at + 1] = rng.choice([[word()], [], [new[at], word()]])
+            a, b = shingles(" ".join(words)), shingles(" ".join(new))
+            if least <= len(a & b) / len(a | b) < most:
+                return new
+
+    for i in range(240):
+        first = prose(rng.randint(60, 500))
+        low = i % 4 == 3
+        rows += [(2 * i, " ".join(first)), (2 * i + 1, " ".join(edited(first, *((0.6, 0.78) if low else (0.8, 0.95)))))]
+        (free if low else caught).append(2 * i + 1)
+    base = prose(300)
+    rows += [(1000 + i, " ".join(edited(base, 0.9, 1.0))) for i in range(60)]
+    left = {r["doc_id"] for r in near(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()}
+    assert sum(i not in left for i in caught) >= 0.9 * len(caught)
+    assert set(free) <= left and {2 * i for i in range(240)} <= left
+    assert 1000 in left and sum(1000 <= i for i in left) <= 3
+
+
 def test_clean_documents_stay(spark, stages):
     labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet").where("quality = 1")
     before, after = (x.join(labels, "doc_id").count() for x in stages[0])
