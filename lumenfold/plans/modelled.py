@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import modelled
-from ..sources.planes import blocks, pairs, spread_block
+from ..operators import modelled, motion
+from ..sources.planes import blocks, pairs, read, spread_block
 from .blocks import COLS, PQ, PX, big
 
 QUERIES: dict = {}
@@ -105,3 +105,84 @@ def matrix_intra_8(spark, sf_dir):
 def matrix_intra_16(spark, sf_dir):
     """16x16 blocks by the same matrices, with lines and columns between filled in."""
     return _matrix(spark, sf_dir, 16)
+
+
+# motion fields
+
+SIDE = 32  # cells in a line, and lines, of a field
+_VECTORS = """v AS (SELECT event_id // 1024 - source AS field, source, event_id % 1024 // 32 AS y, event_id % 32 AS x, (user_id * 37 + event_id * 11) % 641 - 320 AS mv_y, (user_id * 53 + event_id * 7) % 1281 - 640 AS mv_x,
+  (1 + event_id % 3) * (16384 // (1 + user_id % 4)) AS factor, (1 + user_id % 4) * CASE WHEN event_id % 5 = 0 THEN -1 ELSE 1 END AS reference, user_id % 3 = 0 AS wanted FROM events, (VALUES (0), (1)) s(source) WHERE event_id % 7 <> 3)"""
+_scaled = lambda v: f"greatest(-65535, least(65535, (({v}) * -factor + 8192 - CASE WHEN ({v}) * -factor < 0 THEN 1 ELSE 0 END) >> 14))"
+_PROJECTED = f"""{_VECTORS}, sc AS (SELECT *, {_scaled('mv_y')} AS dy, {_scaled('mv_x')} AS dx FROM v), mv AS (SELECT *, y - sign(dy) * (abs(dy) >> 6) AS to_y, x - sign(dx) * (abs(dx) >> 6) AS to_x FROM sc),
+ok AS (SELECT *, row_number() OVER (PARTITION BY field, to_y, to_x ORDER BY source, y, x) AS n FROM mv WHERE to_y BETWEEN 0 AND 31 AND to_x BETWEEN 0 AND 31 AND y // 8 = to_y // 8 AND x BETWEEN to_x // 8 * 8 - 8 AND to_x // 8 * 8 + 15),
+fold(field, to_y, to_x, n, mv_y, mv_x, reference) AS (SELECT field, to_y, to_x, n, mv_y * sign(reference), mv_x * sign(reference), abs(reference) FROM ok WHERE n = 1
+  UNION ALL SELECT f.field, f.to_y, f.to_x, o.n, CASE WHEN o.wanted AND abs(o.reference) <> f.reference THEN o.mv_y * sign(o.reference) ELSE f.mv_y END, CASE WHEN o.wanted AND abs(o.reference) <> f.reference THEN o.mv_x * sign(o.reference) ELSE f.mv_x END, CASE WHEN o.wanted THEN abs(o.reference) ELSE f.reference END
+  FROM fold f JOIN ok o ON o.field = f.field AND o.to_y = f.to_y AND o.to_x = f.to_x AND o.n = f.n + 1),
+cell AS (SELECT field, CAST(to_y AS BIGINT) AS y, CAST(to_x AS BIGINT) AS x, CAST(arg_max(mv_y, n) AS BIGINT) AS mv_y, CAST(arg_max(mv_x, n) AS BIGINT) AS mv_x, CAST(arg_max(reference, n) AS BIGINT) AS reference FROM fold GROUP BY field, to_y, to_x)"""
+
+
+def _vectors(spark, sf_dir):
+    e, u = F.col("event_id"), F.col("user_id")
+    rows = read(spark, sf_dir, "events").where(e % 7 != 3).select("event_id", "user_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("source"))
+    return rows.select(
+        (F.floor(e / 1024) - F.col("source")).alias("field"), "source", F.floor(e % 1024 / SIDE).alias("y"), (e % SIDE).alias("x"), ((u * 37 + e * 11) % 641 - 320).alias("mv_y"), ((u * 53 + e * 7) % 1281 - 640).alias("mv_x"),
+        ((1 + e % 3) * F.floor(F.lit(16384) / (1 + u % 4))).alias("factor"), ((1 + u % 4) * F.when(e % 5 == 0, -1).otherwise(1)).alias("reference"), (u % 3 == 0).alias("wanted"),
+    )
+
+
+def _fields(spark, sf_dir):
+    """Blocks of projected vectors, written once by being grouped."""
+    return motion.block_fields(motion.project(_vectors(spark, sf_dir), SIDE, SIDE))
+
+
+@query(f"WITH RECURSIVE {_PROJECTED} SELECT * FROM cell")
+def motion_projection(spark, sf_dir):
+    """Vectors of two fields sent along themselves to the cells of a field between, the first on each cell, or one that is wanted more."""
+    return motion.project(_vectors(spark, sf_dir), SIDE, SIDE)
+
+
+_GRID = f"{_PROJECTED}, blk AS (SELECT DISTINCT field, y // 8 AS tile_y, x // 8 AS tile_x FROM cell), c0 AS (SELECT b.field, b.tile_y, b.tile_x, y.y, x.x, cell.mv_y, cell.mv_x FROM blk b JOIN range(0, 8) y(y) ON true JOIN range(0, 8) x(x) ON true LEFT JOIN cell ON cell.field = b.field AND cell.y = b.tile_y * 8 + y.y AND cell.x = b.tile_x * 8 + x.x)"
+_ROWS = "r0 AS (SELECT field, tile_y, tile_x, y, x, last_value(s IGNORE NULLS) OVER w AS s FROM (SELECT *, CASE WHEN mv_y IS NOT NULL THEN {'a': mv_y, 'b': mv_x} END AS s FROM c0 WHERE y = 0) WINDOW w AS (PARTITION BY field, tile_y, tile_x ORDER BY x))" + "".join(
+    f", r{k} AS (SELECT field, tile_y, tile_x, y, x, last_value(s IGNORE NULLS) OVER w AS s FROM (SELECT c.field, c.tile_y, c.tile_x, c.y, c.x, CASE WHEN c.mv_y IS NOT NULL THEN {{'a': c.mv_y, 'b': c.mv_x}} ELSE r.s END AS s FROM c0 c JOIN r{k - 1} r ON c.field = r.field AND c.tile_y = r.tile_y AND c.tile_x = r.tile_x AND c.x = r.x WHERE c.y = {k}) WINDOW w AS (PARTITION BY field, tile_y, tile_x ORDER BY x))"
+    for k in range(1, 8)
+)
+
+
+@query(f"WITH RECURSIVE {_GRID}, {_ROWS}, t AS ({' UNION ALL '.join(f'SELECT * FROM r{k}' for k in range(8))}), z AS (SELECT t.field, t.tile_y, t.tile_x, t.y, t.x, coalesce(t.s, r.s, d.s) AS s FROM t LEFT JOIN t r ON r.field = t.field AND r.tile_y = t.tile_y AND r.tile_x = t.tile_x AND r.y = t.y AND r.x = t.x + 1 LEFT JOIN t d ON d.field = t.field AND d.tile_y = t.tile_y AND d.tile_x = t.tile_x AND d.x = t.x AND d.y = t.y + 1) SELECT field, tile_y * 8 + y AS y, tile_x * 8 + x AS x, s.a AS mv_y, s.b AS mv_x FROM z WHERE s IS NOT NULL")
+def motion_hole_fill(spark, sf_dir):
+    """Holes of projected fields filled from their neighbours in the order of lines, inside blocks of 8x8 cells."""
+    fields = _fields(spark, sf_dir)
+    return _chain(fields, motion.fill_holes, "fy", "fx")
+
+
+@query(f"WITH RECURSIVE {_GRID}, n AS (SELECT c.field, c.tile_y, c.tile_x, c.y, c.x, CAST(sum(o.mv_y) AS BIGINT) AS sy, CAST(sum(o.mv_x) AS BIGINT) AS sx, count(o.mv_y) AS n FROM c0 c JOIN c0 o ON o.field = c.field AND o.tile_y = c.tile_y AND o.tile_x = c.tile_x AND abs(o.y - c.y) + abs(o.x - c.x) <= 1 GROUP BY ALL) SELECT field, tile_y * 8 + y AS y, tile_x * 8 + x AS x, CAST((sy * (65536 // n) + 32768 - CASE WHEN sy < 0 THEN 1 ELSE 0 END) >> 16 AS BIGINT) AS mv_y, CAST((sx * (65536 // n) + 32768 - CASE WHEN sx < 0 THEN 1 ELSE 0 END) >> 16 AS BIGINT) AS mv_x FROM n WHERE n > 0")
+def motion_smoothing(spark, sf_dir):
+    """Projected vectors averaged with their neighbours that have any, inside blocks."""
+    return _chain(_fields(spark, sf_dir), motion.smooth, "sy", "sx")
+
+
+_up = lambda t: f"((({t}) + CASE WHEN ({t}) > 0 THEN 1 ELSE 0 END) >> 1)"
+
+
+def _gap_sql() -> str:
+    part = lambda c: f"CASE k WHEN 0 THEN o.{c} WHEN 1 THEN CASE WHEN r.mv_y IS NULL THEN o.{c} ELSE {_up(f'o.{c} + r.{c}')} END WHEN 2 THEN CASE WHEN b.mv_y IS NULL THEN o.{c} ELSE {_up(f'o.{c} + b.{c}')} END ELSE CASE n WHEN 1 THEN o.{c} WHEN 2 THEN {_up(f't{c}')} WHEN 3 THEN (t{c} * 85 + 128 - CASE WHEN t{c} < 0 THEN 1 ELSE 0 END) >> 8 ELSE (t{c} + 1 + CASE WHEN t{c} > 0 THEN 1 ELSE 0 END) >> 2 END END"
+    near = lambda a, dy, dx: f"LEFT JOIN c0 {a} ON {a}.field = o.field AND {a}.tile_y = o.tile_y AND {a}.tile_x = o.tile_x AND {a}.y = o.y + {dy} AND {a}.x = o.x + {dx}"
+    total = lambda c: f"o.{c} + coalesce(r.{c}, 0) + coalesce(b.{c}, 0) + coalesce(d.{c}, 0) AS t{c}"
+    inner = f"SELECT o.*, k.k, {total('mv_y')}, {total('mv_x')}, 1 + (r.mv_y IS NOT NULL)::INT + (b.mv_y IS NOT NULL)::INT + (d.mv_y IS NOT NULL)::INT AS n, r.mv_y AS ry, r.mv_x AS rx, b.mv_y AS by_, b.mv_x AS bx_ FROM c0 o JOIN range(0, 4) k(k) ON true {near('r', 0, 2)} {near('b', 2, 0)} {near('d', 2, 2)} WHERE o.y % 2 = 0 AND o.x % 2 = 0 AND o.mv_y IS NOT NULL"
+    name = lambda s: s.replace("o.mv", "q.mv").replace("r.mv_y", "q.ry").replace("r.mv_x", "q.rx").replace("b.mv_y", "q.by_").replace("b.mv_x", "q.bx_")
+    return f"SELECT field, tile_y * 8 + y + k // 2 AS y, tile_x * 8 + x + k % 2 AS x, CAST({name(part('mv_y'))} AS BIGINT) AS mv_y, CAST({name(part('mv_x'))} AS BIGINT) AS mv_x FROM ({inner}) q"
+
+
+@query(f"WITH RECURSIVE {_GRID} {_gap_sql()}")
+def motion_gaps(spark, sf_dir):
+    """Fields known at every second cell, with what lies between from two, three or four neighbours."""
+    return _chain(_fields(spark, sf_dir), motion.close_gaps, "gy", "gx")
+
+
+def _chain(fields, step, y: str, x: str):
+    """Cells of blocks after a step; a block's key is made of its field and place, so no join brings them together again."""
+    key = (F.col("field") + 2) * 16 + F.col("by") * 4 + F.col("bx")
+    found = step(fields.withColumn("block_id", key))
+    cells = found.select("block_id", F.posexplode(F.arrays_zip(y, x)).alias("i", "v")).where(F.col("v")[y] != motion.NONE)
+    i, b = F.col("i").cast("bigint"), F.col("block_id")
+    return cells.select((F.floor(b / 16) - 2).alias("field"), (F.floor(b % 16 / 4) * 8 + F.floor(i / 8)).alias("y"), (b % 4 * 8 + i % 8).alias("x"), F.col("v")[y].alias("mv_y"), F.col("v")[x].alias("mv_x"))
