@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import blocks, containers, fields, headers, modelled, more, planes, shapes, stencils
+from .plans import blocks, containers, fields, headers, images, modelled, more, planes, shapes, stencils
 
-PLANS = (blocks, planes, containers, more, stencils, shapes, fields, headers, modelled)
+PLANS = (blocks, planes, containers, more, stencils, shapes, fields, headers, modelled, images)
 
 
 def queries() -> dict:
