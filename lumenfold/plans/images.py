@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import deblocking
+from ..operators import deblocking, restoration
 from ..operators.loopfilter import Q_MULT, Q_WIDE, W_MULT
 from ..sources.planes import read
+from .planes import WIENER
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -63,3 +64,31 @@ def _pass_sql(number: int, along: str, across: str) -> str:
 def deblock_plane(spark, sf_dir):
     """Whole images deblocked: columns of edges, then rows of them over the result; tiles of 32 samples keep their seams, lossless blocks their samples."""
     return deblocking.deblock_images(images(spark, sf_dir), SIDE, SIDE, deblocking.block_edges(8, 32))
+
+
+# restoration
+
+_LATER = "greatest(0, least(255, v + (image * 3 + y * 7 + x * 5) % 9 - 4))"
+_STRIPE, _FIRST = 16, 8
+_number = lambda y: f"(({y} + {_STRIPE - _FIRST}) // {_STRIPE})"
+_PAIRS = ", ".join(f"({k}, {dy}, {dx}, {c}, {g})" for k, (dy, dx, c, g) in enumerate([(dy, dx, c, -1) for (dy, dx), c in WIENER.items()] + [(dy, dx, 0, g) for g, (dy, dx) in enumerate([(1, 0), (0, 1), (1, 1), (1, -1)])]))
+_ROW = f"(CASE WHEN {_number('y')} = 0 THEN 0 ELSE {_number('y')} * {_STRIPE} - {_STRIPE - _FIRST} END // 32)"
+
+
+@query(f"""WITH {_IMAGES}, s AS (SELECT image, y, x, v, {_LATER} AS w FROM px0), t(k, dy, dx, c, g) AS (VALUES {_PAIRS}), n AS MATERIALIZED (SELECT image, y, x, w, c, g, greatest(0, least({SIDE - 1}, y + dy)) AS ay, greatest(0, least({SIDE - 1}, x + dx)) AS ax, greatest(0, least({SIDE - 1}, y - dy)) AS oy, greatest(0, least({SIDE - 1}, x - dx)) AS ox FROM s, t),
+d AS (SELECT p.image, p.y, p.x, p.w, c, g, CASE WHEN {_number('p.ay')} = {_number('p.y')} THEN a.w ELSE a.v END + CASE WHEN {_number('p.oy')} = {_number('p.y')} THEN b.w ELSE b.v END - 2 * p.w AS d
+  FROM n p JOIN s a ON a.image = p.image AND a.y = p.ay AND a.x = p.ax JOIN s b ON b.image = p.image AND b.y = p.oy AND b.x = p.ox),
+f AS (SELECT image, y, x, w, CAST(sum(c * d) AS BIGINT) AS total, {', '.join(f'max(abs(d)) FILTER (WHERE g = {g}) AS g{g}' for g in range(4))} FROM d GROUP BY image, y, x, w),
+c AS (SELECT image, y // 2 AS cy, x // 2 AS cx, {', '.join(f'CAST(sum(g{g}) AS BIGINT) AS g{g}' for g in range(4))} FROM f GROUP BY ALL),
+e AS (SELECT image, cy, cx, ((CASE WHEN g0 <= g1 THEN 1 ELSE 0 END + CASE WHEN g2 <= g3 THEN 2 ELSE 0 END) * 37 + ((g0 + g1 + g2 + g3) >> 3) * 11) % 33 - 16 AS err FROM c),
+o AS (SELECT f.*, err * ((image + 5 * {_ROW} + 2 * (x // 32)) % 3 * 4) AS ch, CASE WHEN (image + {_ROW} + x // 32) % 2 = 0 THEN greatest(0, least(255, (128 * w + total + 64) >> 7)) ELSE w END AS r FROM f JOIN e USING (image) WHERE cy = y // 2 AND cx = x // 2)
+SELECT image, CAST(y AS BIGINT) AS y, CAST(x AS BIGINT) AS x, CAST(greatest(0, least(255, r + sign(ch) * ((abs(ch) + 8) >> 4))) AS BIGINT) AS v FROM o""")
+def restore_units(spark, sf_dir):
+    """Images restored in stripes: a filter by units over the later snapshot, lines beside a stripe from the earlier one, corrections from gradients taken before and added after."""
+    given = images(spark, sf_dir)
+    place = F.explode(F.sequence(F.lit(0), F.lit(SIDE * SIDE - 1)))
+    grid = given.select("image").distinct().select("image", place.alias("i")).select("image", F.floor(F.col("i") / SIDE).alias("y"), (F.col("i") % SIDE).cast("bigint").alias("x"))
+    before = grid.join(given, ["image", "y", "x"], "left").withColumn("v", F.coalesce("v", F.lit(restoration.MISSING)).cast("bigint"))
+    after = before.withColumn("v", F.greatest(F.lit(0), F.least(F.lit(255), F.col("v") + (F.col("image") * 3 + F.col("y") * 7 + F.col("x") * 5) % 9 - 4)).cast("bigint"))
+    units = lambda image, row, column: {"filtered": F.when((image + row + column) % 2 == 0, 1).otherwise(0), "scale": (image + 5 * row + 2 * column) % 3 * 4}
+    return restoration.restore_images(before, after, SIDE, SIDE, WIENER, units)
