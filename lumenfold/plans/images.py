@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import deblocking, restoration
+from ..operators import deblocking, partition, restoration
 from ..operators.loopfilter import Q_MULT, Q_WIDE, W_MULT
 from ..sources.planes import read
 from .planes import WIENER
@@ -92,3 +92,47 @@ def restore_units(spark, sf_dir):
     after = before.withColumn("v", F.greatest(F.lit(0), F.least(F.lit(255), F.col("v") + (F.col("image") * 3 + F.col("y") * 7 + F.col("x") * 5) % 9 - 4)).cast("bigint"))
     units = lambda image, row, column: {"filtered": F.when((image + row + column) % 2 == 0, 1).otherwise(0), "scale": (image + 5 * row + 2 * column) % 3 * 4}
     return restoration.restore_images(before, after, SIDE, SIDE, WIENER, units)
+
+
+# partition trees
+
+_DECISIONS = 48
+
+
+def _child(k: int) -> str:
+    parts = ", ".join(f"{{'y': top.y + top.h * {a[0]} // 8, 'x': top.x + top.w * {b[0]} // 8, 'h': top.h * {a[1]} // 8, 'w': top.w * {b[1]} // 8}}" for a, b in partition.KINDS[k])
+    return f"WHEN kind = {k} AND {partition.fits(k, 'top.h', 'top.w')} THEN [{parts}]"
+
+
+_KIND = "CASE WHEN user_id % 5 = 0 THEN 0 ELSE (user_id + event_id * 3) % 10 END"
+_TREE = f"""dec AS (SELECT event_id // {_DECISIONS} AS sb, list({_KIND} ORDER BY event_id) AS kinds FROM events GROUP BY ALL),
+walk(sb, n, kinds, waiting, leaf) AS (SELECT sb, 0, kinds, [{{'y': CAST(0 AS BIGINT), 'x': CAST(0 AS BIGINT), 'h': CAST(16 AS BIGINT), 'w': CAST(16 AS BIGINT)}}], CAST(NULL AS STRUCT(y BIGINT, x BIGINT, h BIGINT, w BIGINT)) FROM dec
+  UNION ALL SELECT sb, n + 1, kinds, CASE WHEN parts IS NULL THEN waiting[2:] ELSE list_concat(parts, waiting[2:]) END, CASE WHEN parts IS NULL THEN top END
+  FROM (SELECT *, CASE {' '.join(_child(k) for k in range(1, 10))} END AS parts FROM (SELECT *, waiting[1] AS top, kinds[n + 1] AS kind FROM walk WHERE len(waiting) > 0))),
+tree AS (SELECT sb, row_number() OVER (PARTITION BY sb ORDER BY n) - 1 AS ord, leaf.y AS y, leaf.x AS x, leaf.h AS h, leaf.w AS w FROM walk WHERE leaf IS NOT NULL)"""
+
+
+def _superblocks(spark, sf_dir):
+    e, u = F.col("event_id"), F.col("user_id")
+    kind = F.when(u % 5 == 0, 0).otherwise((u + e * 3) % 10)
+    rows = read(spark, sf_dir, "events").select(F.floor(e / _DECISIONS).alias("sb"), F.struct("event_id", kind.cast("bigint").alias("kind")).alias("d"))
+    found = rows.groupBy("sb").agg(F.transform(F.array_sort(F.collect_list("d")), lambda d: d["kind"]).alias("kinds"))  # a superblock's decisions
+    return partition.partition_tree(found, "sb", "kinds")
+
+
+@query(f"WITH RECURSIVE {_TREE} SELECT * FROM tree")
+def partition_trees(spark, sf_dir):
+    """Superblocks split by decisions into blocks of ten kinds of parts, in decode order."""
+    return _superblocks(spark, sf_dir)
+
+
+@query(f"""WITH RECURSIVE {_TREE}, b AS (SELECT sb // 4 AS frame, sb * 1000 + ord AS o, sb % 4 // 2 * 16 + y AS y, sb % 2 * 16 + x AS x, h, w FROM tree),
+u AS (SELECT frame, o, y + i AS y, x + j AS x FROM b, range(0, 16) r(i), range(0, 16) c(j) WHERE i < h AND j < w),
+q AS (SELECT b.*, 'r' AS side, k, y - 1 AS ay, x + w + k AS ax FROM b, range(0, 16) t(k) WHERE k < w UNION ALL SELECT b.*, 'b', k, y + h + k, x - 1 FROM b, range(0, 16) t(k) WHERE k < h),
+m AS (SELECT q.*, u.o AS before FROM q LEFT JOIN u ON u.frame = q.frame AND u.y = q.ay AND u.x = q.ax)
+SELECT frame, o AS "order", y, x, h, w, coalesce(min(k) FILTER (WHERE side = 'r' AND (before IS NULL OR before >= o)), w) AS top_right, coalesce(min(k) FILTER (WHERE side = 'b' AND (before IS NULL OR before >= o)), h) AS bottom_left FROM m GROUP BY frame, o, y, x, h, w""")
+def neighbour_availability(spark, sf_dir):
+    """How far beyond its top right and bottom left corner a block finds neighbours that are decoded before it, over frames of four superblocks."""
+    sb = F.col("sb")
+    blocks = _superblocks(spark, sf_dir).select(F.floor(sb / 4).alias("frame"), (sb * 1000 + F.col("ord")).alias("order"), (F.floor(sb % 4 / 2) * 16 + F.col("y")).alias("y"), (sb % 2 * 16 + F.col("x")).alias("x"), "h", "w")
+    return partition.availability(blocks, "frame", ["order"])
