@@ -64,6 +64,13 @@ class When(NamedTuple):
     steps: list
 
 
+class Gather(NamedTuple):
+    """A list of values by name, for each payload that gets here; their names may begin with underscores."""
+
+    name: str
+    values: list[str]
+
+
 class _Reading:
     """Bits of all payloads of a batch, one place in each, and the values so far."""
 
@@ -127,6 +134,9 @@ class _Reading:
             if isinstance(step, When):
                 self.run(step.steps, now & step.condition(self.values), out)
                 continue
+            if isinstance(step, Gather):
+                out[step.name] = (np.stack([self.values[x] for x in step.values], 1), now)
+                continue
             if isinstance(step, Check):
                 self.error |= now & ~step.good(self.values)
                 continue
@@ -145,19 +155,25 @@ class _Reading:
             out[step.name] = (self.values[step.name], now if before is None else now | before[1])
 
 
-def _names(steps: list) -> dict[str, Loop | None]:
-    """What a layout returns, in order; loops by themselves."""
-    found: dict[str, Loop | None] = {}
+def _names(steps: list) -> dict[str, Loop | Gather | None]:
+    """What a layout returns, in order; loops and lists by themselves."""
+    found: dict[str, Loop | Gather | None] = {}
     for s in steps:
         if isinstance(s, When):
             found |= _names(s.steps)
         elif not isinstance(s, Check) and not s.name.startswith("_"):
-            found[s.name] = s if isinstance(s, Loop) else None
+            found[s.name] = s if isinstance(s, (Loop, Gather)) else None
     return found
 
 
 def _ddl(steps: list) -> str:
-    return ", ".join(f"{name} {f'array<struct<{_ddl(loop.steps)}>>' if loop else 'bigint'}" for name, loop in _names(steps).items())
+    kind = lambda s: "bigint" if s is None else "array<bigint>" if isinstance(s, Gather) else f"array<struct<{_ddl(s.steps)}>>"
+    return ", ".join(f"{name} {kind(s)}" for name, s in _names(steps).items())
+
+
+def _whole(found: dict, step: Gather, rows: int) -> pa.Array:
+    values, there = found.get(step.name, (np.zeros((rows, len(step.values)), np.int64), np.zeros(rows, bool)))
+    return pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * values.shape[1], pa.int32()), pa.array(values.reshape(-1), pa.int64()), mask=pa.array(~there))
 
 
 def _column(found: dict, name: str, rows: int) -> pa.Array:
@@ -192,7 +208,7 @@ def read_header(df: DataFrame, payload: str, layout: list) -> DataFrame:
             rows, found = len(batch), {}
             reading = _Reading([x or b"" for x in batch.column(payload).to_pylist()])
             reading.run(layout, np.ones(rows, bool), found)
-            columns = [_list(found.get(name, []), loop, rows) if loop else _column(found, name, rows) for name, loop in _names(layout).items()]
+            columns = [_column(found, name, rows) if s is None else _whole(found, s, rows) if isinstance(s, Gather) else _list(found.get(name, []), s, rows) for name, s in _names(layout).items()]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in others], *columns, pa.array((reading.at - reading.start).astype(np.int32)), pa.array(reading.error)], names=[*others, *_names(layout), "position", "error"])
 
     return df.mapInArrow(parse, schema)
@@ -371,3 +387,47 @@ SEQUENCE = [
     *_adaptive("_always", _FULL), Let("cdef_on_skipped", lambda v: np.where((v["reduced"] == 1) | (v["_always"] == 0), 2, v["_always"] - 1)), Field("_deblock_bits", 2), Let("deblock_bits", lambda v: v["_deblock_bits"] + 2),
     Field("has_tiles"), Field("adaptive_tiles", when=_is("has_tiles", 1)), When(_is("has_tiles", 1), tile_layout()), Field("has_grain"),
 ]
+
+
+def diagonal(height: int, width: int) -> list[tuple[int, int]]:
+    """The places of a block by diagonals, each from its lowest line up."""
+    return [(y, d - y) for d in range(height + width - 1) for y in range(min(d, height - 1), -1, -1) if d - y < width]
+
+
+#: Sides (height, width) of the matrices of a set.
+MATRICES = ((8, 8), (4, 8), (8, 4))
+
+
+def _matrix(shape: int, plane: int) -> list:
+    """One matrix: a copy of the plane before, for the last shape the second one turned, or differences along diagonals; the first shape may be symmetric; a value of 0 repeats the last one to the end."""
+    (height, width), own = MATRICES[shape], f"_m{shape}{plane}"
+    copied, mirrored, turned = (f"{own}_{x}" for x in ("copied", "mirrored", "turned"))
+    fresh = lambda v: (v[copied] == 0) & (v[turned] == 0)
+    steps: list = [Let(copied, lambda v: 0), Let(mirrored, lambda v: 0), Let(turned, lambda v: 0), Let("_last", lambda v: 32), Let("_ended", lambda v: 0)]
+    if plane:
+        steps.append(Field(copied))
+    if shape != 1:
+        steps.append(Field(mirrored if shape == 0 else turned, when=_is(copied, 0)))
+    for y, x in diagonal(height, width):
+        name, other = f"{own}_{y}_{x}", f"{own}_{x}_{y}"
+        above = lambda v: (v[mirrored] == 1) & fresh(v)
+        read = fresh
+        if shape == 0 and x > y:
+            steps.append(Let("_last", lambda v, other=other: v[other], above))
+            read = lambda v: fresh(v) & (v[mirrored] == 0)
+        coded = lambda v, read=read: read(v) & (v["_ended"] == 0)
+        steps += [
+            Field("_code", 0, "zeros", coded), Check(lambda v, coded=coded: ~coded(v) | (v["_code"] <= 256) & (v["_code"] != 255)),
+            Let("_new", lambda v: (v["_last"] + np.where(v["_code"] % 2 == 1, v["_code"] + 1 >> 1, -(v["_code"] + 1 >> 1))) % 256, coded), Let("_zero", lambda v, coded=coded: coded(v) & (v["_new"] == 0)),
+            Let("_last", lambda v: v["_new"], lambda v, coded=coded: coded(v) & (v["_zero"] == 0)), Let("_ended", lambda v: 1, _is("_zero", 1)), Let(name, lambda v: v["_last"]),
+        ]
+        if plane:
+            steps.append(Let(name, lambda v, y=y, x=x: v[f"_m{shape}{plane - 1}_{y}_{x}"], _is(copied, 1)))
+        if shape == 2:
+            steps.append(Let(name, lambda v, y=y, x=x: v[f"_m1{plane}_{x}_{y}"], _both(_is(copied, 0), _is(turned, 1))))
+    return [*steps, Gather(f"m{shape}{plane}", [f"{own}_{y}_{x}" for y in range(height) for x in range(width)])]
+
+
+def matrix_set(planes: int) -> list:
+    """A set of quantiser matrices, of three shapes for each plane, in lines; null where a bit says that the predefined ones are meant."""
+    return [Field("predefined"), When(_is("predefined", 0), [x for shape in range(3) for plane in range(planes) for x in _matrix(shape, plane)])]

@@ -6,7 +6,7 @@ both engines read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import bitcodes
@@ -36,15 +36,18 @@ def coded(kind: str, n, value: str, when: str = "true") -> Column:
     return F.when(F.expr(when), bits).otherwise(F.lit(""))
 
 
-def payload(fields: list[tuple]) -> Column:
-    """The bytes of a header."""
-    return headers.bytes_of(F.concat(*[coded(*f) for f in fields]))
+def with_payload(rows: DataFrame, bits: Column) -> DataFrame:
+    """rows with `payload`, the bytes of a string of bits, which is put together once for each row."""
+    return hold(hold(rows, _bits=bits), payload=headers.bytes_of(F.col("_bits")))
 
 
 def _written(spark, sf_dir, table: str, columns: list[str], given: str, fields: list[tuple]):
     """A table's key columns with the header that its rows write; given: values named k and more, in SQL over the table."""
     rows = read(spark, sf_dir, table).selectExpr(*columns, *given)
-    return hold(rows, payload=payload(fields)).select(*columns, "payload")
+    parts = range(0, len(fields), 40)  # one expression for all fields would be more than a method of generated code may hold
+    for n in parts:
+        rows = hold(rows, **{f"_part{n}": F.concat(*[coded(*f) for f in fields[n : n + 40]])})
+    return with_payload(rows, F.concat(*[F.col(f"_part{n}") for n in parts])).select(*columns, "payload")
 
 
 # segments
@@ -166,7 +169,7 @@ def explicit_tiles(spark, sf_dir):
     rows = hold(rows, tallest=F.greatest(F.call_function("div", F.when(F.col("tiles") > 0, F.expr("shiftright(area, int(tiles + 1))")).otherwise(F.col("area")), F.col("columns_.longest")), F.lit(1)))
     rows = hold(rows, rows_=sizes("down", "tallest", 5, 1, 7))
     head = [coded(*x) for x in (("bits", 13, "width"), ("bits", 13, "height"), ("bits", 1, "sb128"), ("bits", 5, "level"), ("bits", 1, "tier"), ("bits", 1, "0"))]
-    written = hold(rows, payload=headers.bytes_of(F.concat(*head, F.col("columns_.bits"), F.col("rows_.bits")))).select("p_partkey", "payload")
+    written = with_payload(rows, F.concat(*head, F.col("columns_.bits"), F.col("rows_.bits"))).select("p_partkey", "payload")
     layout = [headers.Field("width", 13), headers.Field("height", 13), headers.Field("sb128"), headers.Field("level", 5), headers.Field("tier"), *headers.tile_layout()]
     found = headers.read_header(written, "payload", layout).where("NOT error")
     side = lambda name: found.select("p_partkey", F.lit(name).alias("side"), F.posexplode(name).alias("tile", "t")).select("p_partkey", "side", F.col("tile").cast("bigint").alias("tile"), "t.start", "t.length")
@@ -218,3 +221,65 @@ def sequence_headers(spark, sf_dir):
     """Sequence headers, short and whole ones: every field in its place, under the conditions that earlier ones set."""
     rows = _written(spark, sf_dir, "customer", ["c_custkey"], ["c_custkey AS k"], _SEQUENCE_FIELDS)
     return headers.read_header(rows, "payload", headers.SEQUENCE).where("NOT error").select("c_custkey", *[n.strip('"') for n in _SEQUENCE_OUT])
+
+
+# quantiser matrices
+
+_PLANES = 2
+_ENDS = "k % 4 = 1"  # such sets end every matrix that isn't symmetric with a 0
+
+
+def _value(t: int, c: int, i: str) -> str:
+    return f"(20 + (k * ({i} + 1) + {c * 5 + t * 11}) % 40)"
+
+
+_flagged = {"copied": lambda t, c: f"(k + {t + c}) % 3 = 0" if c else "false", "mirrored": lambda t, c: f"(k + {c}) % 2 = 0" if t == 0 else "false", "turned": lambda t, c: f"(k + {c}) % 4 = 0" if t == 2 else "false"}
+
+
+def _matrix_bits(t: int, c: int) -> Column:
+    """The bits of one matrix: flags, then differences in the order of the scan."""
+    places = headers.diagonal(*headers.MATRICES[t])
+    copied, mirrored, turned = (F.expr(_flagged[x](t, c)) for x in ("copied", "mirrored", "turned"))
+    flag = lambda test: F.when(test, "1").otherwise("0")
+    head = F.concat(flag(copied) if c else F.lit(""), F.when(~copied, flag(mirrored if t == 0 else turned)).otherwise("") if t != 1 else F.lit(""))
+    mirror = F.array(*[F.lit(places.index((x, y)) if t == 0 and x > y else n) for n, (y, x) in enumerate(places)])
+    ends = F.expr(_ENDS) & ~mirrored
+    stop = 10 + F.col("k") % 15
+    at = lambda n: F.col("k") * (n + 1) + (c * 5 + t * 11)
+    value = lambda i: 20 + at(F.when(mirrored, F.get(mirror, i)).otherwise(i)) % 40
+
+    def one(i):
+        before = F.when(i == 0, 32).otherwise(value(i - 1))
+        step = F.when(ends & (i == stop), -before).otherwise(value(i) - before)
+        code = F.when(step > 0, 2 * step - 1).otherwise(-2 * step).cast("bigint")
+        left_out = (mirrored & (F.get(mirror, i) != i)) | (ends & (i > stop))
+        return F.when(left_out, "").otherwise(bitcodes.exp_golomb(code))
+
+    return F.concat(head, F.when(copied | turned, "").otherwise(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(len(places) - 1)), one), "")))
+
+
+def _matrices_sql() -> str:
+    """Every entry of every matrix: by its own place, its mirror's, the plane before or the turned second shape."""
+    out = []
+    for t, (height, width) in enumerate(headers.MATRICES):
+        places = headers.diagonal(height, width)
+        for c in range(_PLANES):
+            rows = ", ".join(f"({y * width + x}, {n}, {places.index((x, y)) if t == 0 and x > y else n}, {headers.diagonal(*headers.MATRICES[1]).index((x, y)) if t == 2 else 0})" for n, (y, x) in enumerate(places))
+            own = lambda c: f"CASE WHEN {_flagged['turned'](t, c)} THEN {ended(1, c, 'o')} WHEN {_flagged['mirrored'](t, c)} THEN {_value(t, c, 'm')} ELSE {ended(t, c, 'i')} END"  # noqa: E731, B023
+            ended = lambda t, c, i: f"CASE WHEN {_ENDS} AND {i} >= 10 + k % 15 THEN {_value(t, c, '(9 + k % 15)')} ELSE {_value(t, c, i)} END"
+            turned_own = own(c)
+            if t == 2 and c:  # the second shape of this plane may itself be a copy
+                turned_own = turned_own.replace(ended(1, c, "o"), f"CASE WHEN {_flagged['copied'](1, c)} THEN {ended(1, c - 1, 'o')} ELSE {ended(1, c, 'o')} END", 1)
+            value = f"CASE WHEN {_flagged['copied'](t, c)} THEN {own(c - 1)} ELSE {turned_own} END" if c else own(c)
+            out.append(f"SELECT k, {t} AS shape, {c} AS plane, place, {value} AS v FROM t, (VALUES {rows}) p(place, i, m, o) WHERE k % 7 <> 0")
+    return " UNION ALL ".join(out)
+
+
+@query(f"WITH t AS (SELECT s_suppkey AS k FROM supplier) SELECT k AS s_suppkey, CAST(shape AS INTEGER) AS shape, CAST(plane AS INTEGER) AS plane, CAST(place AS INTEGER) AS place, CAST(v AS BIGINT) AS weight FROM ({_matrices_sql()})")
+def quantiser_matrix_sets(spark, sf_dir):
+    """User quantiser matrices: differences along diagonals, symmetric ones, copies of the plane before, turned ones, ends that repeat; predefined sets have none."""
+    rows = read(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_suppkey").alias("k"))
+    bits = F.concat(F.when(F.col("k") % 7 == 0, "1").otherwise(F.concat(F.lit("0"), *[_matrix_bits(t, c) for t in range(3) for c in range(_PLANES)])))
+    found = headers.read_header(with_payload(rows, bits).select("s_suppkey", "payload"), "payload", headers.matrix_set(_PLANES)).where("NOT error")
+    each = [F.struct(F.lit(t).alias("shape"), F.lit(c).alias("plane"), F.col(f"m{t}{c}").alias("m")) for t in range(3) for c in range(_PLANES)]
+    return found.select("s_suppkey", F.explode(F.array(*each)).alias("s")).select("s_suppkey", "s.shape", "s.plane", F.posexplode("s.m").alias("place", "weight"))

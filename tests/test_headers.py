@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from lumenfold.operators import headers
-from lumenfold.operators.headers import Check, Field, Let, Loop, When
+from lumenfold.operators.headers import Check, Field, Gather, Let, Loop, When
 
 
 class Bits:
@@ -70,6 +70,8 @@ def one_by_one(data, steps):
             elif isinstance(s, When):
                 if get(s.condition):
                     run(s.steps, out)
+            elif isinstance(s, Gather):
+                out[s.name] = [values[x] for x in s.values]
             elif isinstance(s, Check):
                 failed[0] = not get(s.good)
             elif s.when is not None and not get(s.when):
@@ -84,7 +86,7 @@ def one_by_one(data, steps):
                     values.setdefault(s.name, 0)
 
     def named(out, steps):
-        return {n: [named(x, loop.steps) for x in out.get(n, [])] if loop else out.get(n) for n, loop in headers._names(steps).items()}
+        return {n: [named(x, s.steps) for x in out.get(n, [])] if isinstance(s, Loop) else out.get(n) for n, s in headers._names(steps).items()}
 
     out = {}
     for name in every(steps):
@@ -97,7 +99,7 @@ def every(steps):
     for s in steps:
         if isinstance(s, (Loop, When)):
             yield from every(s.steps)
-        elif not isinstance(s, Check):
+        elif not isinstance(s, (Check, Gather)):
             yield s.name
 
 
@@ -107,7 +109,7 @@ MIXED = [
 ]
 
 
-@pytest.mark.parametrize("layout", [MIXED, headers.CONTENT, headers.grain(0), headers.grain(1), headers.grain(3), headers.SEQUENCE])
+@pytest.mark.parametrize("layout", [MIXED, headers.CONTENT, headers.grain(0), headers.grain(1), headers.grain(3), headers.SEQUENCE, headers.matrix_set(2)])
 def test_reader_against_bit_by_bit(spark, layout):
     rng = random.Random(4)
     data = [None, b"", b"\xff", b"\0" * 9, b"\xff" * 40] + [bytes(rng.randrange(256) for _ in range(rng.choice([1, 2, 5, 20, 90]))) for _ in range(150)] + [bytes(rng.choice((0, 3, 128, 224)) for _ in range(60)) for _ in range(60)]
@@ -120,3 +122,24 @@ def test_reader_against_bit_by_bit(spark, layout):
 
 def test_header_of_no_rows(spark):
     assert headers.read_header(spark.createDataFrame([], "payload binary"), "payload", MIXED).count() == 0
+
+
+def test_symmetric_matrices_that_end_early(spark):
+    """Places above the diagonal are their mirrors, also behind a 0; from there on the others repeat what came before them."""
+    zeros = lambda v: "0" * ((v + 1).bit_length() - 1) + f"{v + 1:b}"
+    places = headers.diagonal(8, 8)
+    differences = [5, -3, 1, 2]  # of (0, 0), (1, 0), (2, 0), (1, 1); (0, 1) and (0, 2) are mirrors
+    ends = 32 + 5 - 3 + 1 + 2  # what would follow is (3, 0): its 0 ends the matrix
+    assert places[:7] == [(0, 0), (1, 0), (0, 1), (2, 0), (1, 1), (0, 2), (3, 0)]
+    before = {(0, 0): 37, (1, 0): 34, (0, 1): 34, (2, 0): 35, (1, 1): ends, (0, 2): 35}
+    bits = "0" + "1" + "".join(zeros(2 * d - 1 if d > 0 else -2 * d) for d in [*differences, -35])
+    rest = zeros(2 * 32)  # the other shapes end at once: -32 makes 0
+    bits += rest + "0" + rest
+    data = int(bits + "0" * (-len(bits) % 8), 2).to_bytes(-(-len(bits) // 8), "big")
+    got = headers.read_header(spark.createDataFrame([(data,)], "payload binary"), "payload", headers.matrix_set(1)).first()
+    last, want = 32, {}
+    for y, x in places:
+        last = before[y, x] if (y, x) in before else want[x, y] if x > y else last
+        want[y, x] = last
+    assert not got["error"] and got["m00"] == [want[y, x] for y in range(8) for x in range(8)]
+    assert got["m10"] == [32] * 32 and got["m20"] == [32] * 32 and got["position"] == len(bits)
