@@ -119,12 +119,16 @@ def document_vectors(docs: DataFrame, min_docs: int) -> Iterator[tuple[DataFrame
     for (b,) in sorted(spark.read.schema("lang string, bucket int").parquet(path).select("bucket").distinct().collect()):
         own = spark.read.schema("lang string, source string, terms array<string>").parquet(f"{path}/bucket={b}")
         model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_docs), vocabSize=(1 << 31) - 1).fit(own)
-        names = [x.rpartition(_NUL) for x in model.vocabulary]
-        vocabulary = spark.createDataFrame(pa.table({"index": pa.array(range(len(names)), pa.int32()), "lang": pa.array([x[0] for x in names], pa.string()), "term": pa.array([x[2] for x in names], pa.string())}))
+        # the model's own files hold the vocabulary as one row, which so never comes to Python
+        saved = new_path(spark, "vocabulary")
+        model.save(saved)
+        name = F.substring_index("name", _NUL, -1)
+        vocabulary = spark.read.schema("vocabulary array<string>").parquet(f"{saved}/data").select(F.posexplode("vocabulary").alias("index", "name"))
+        vocabulary = vocabulary.select("index", F.substring("name", F.lit(1), F.length("name") - F.length(name) - 1).alias("lang"), name.alias("term"))
         to = new_path(spark, "document-vectors")
         model.transform(own).select("lang", "source", "vector").write.parquet(to)
         vectors = spark.read.schema("lang string, source string, vector struct<type: tinyint, size: int, indices: array<int>, values: array<double>>").parquet(to)
-        yield materialize(vocabulary, "vocabulary"), vectors.select("lang", "source", "vector.indices", "vector.values")
+        yield materialize(vocabulary, "vocabulary-terms"), vectors.select("lang", "source", "vector.indices", "vector.values")
 
 
 def term_counts(vectors: DataFrame, groups: DataFrame) -> DataFrame:
