@@ -73,9 +73,13 @@ def kept_terms(docs: DataFrame, min_docs: int) -> int:
         for batch in batches:
             salt = np.array([xxhash.xxh64_intdigest(x, 1) for x in batch.column("lang").to_pylist()], np.uint64)
             for a, b, lower, words in _words_of(batch):
-                names = mix(hash_words(lower, words) ^ salt[a:b][words.text])
-                inside = np.flatnonzero(names % np.uint64(CLASSES) == 0)
-                found = np.unique(np.stack([words.text[inside].astype(np.uint64), names[inside]]), axis=1)[1]
+                # a class is told by a term's first bytes and its size, so that others need no hash
+                sizes = words.ends - words.starts
+                head = sum(lower[np.minimum(words.starts + i, words.ends - 1)].astype(np.int64) * m for i, m in enumerate((7, 31, 101)))
+                inside = np.flatnonzero((head + 13 * sizes) % CLASSES == 0)
+                some_words = words._replace(starts=words.starts[inside], ends=words.ends[inside], text=words.text[inside])
+                names = mix(hash_words(lower, some_words) ^ salt[a:b][some_words.text])
+                found = np.unique(np.stack([some_words.text.astype(np.uint64), names]), axis=1)[1]
                 yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], names=["term"])
 
     return CLASSES * docs.select("lang", "text").mapInArrow(some, "term long").groupBy("term").count().where(F.col("count") >= min_docs).count()
@@ -134,17 +138,17 @@ def document_vectors(docs: DataFrame, min_docs: int) -> Iterator[tuple[DataFrame
 def term_counts(vectors: DataFrame, groups: DataFrame) -> DataFrame:
     """(group, index, n): the sums of the vectors of each group, for the terms that it has."""
     named = vectors.join(small_side(groups.select(F.col("lang").alias("_l"), F.col("source").alias("_s"), "group")), (F.col("lang") == F.col("_l")) & (F.col("source") == F.col("_s")))
-    one = named.select("group", F.explode(F.arrays_zip("indices", "values")).alias("at"))
-    return one.groupBy("group", F.col("at.indices").alias("index")).agg(F.sum("at.values").cast("long").alias("n"))  # doubles are exact to 2**53
+    one = named.select("group", "values", F.posexplode("indices").alias("at", "index")).select("group", "index", F.col("values")[F.col("at")].alias("n"))
+    return one.groupBy("group", "index").agg(F.sum("n").cast("long").alias("n"))  # doubles are exact to 2**53
 
 
-def _pair_sums(shares: DataFrame, groups: DataFrame) -> DataFrame:
+def _pair_sums(shares: DataFrame, rows: int, groups: DataFrame) -> DataFrame:
     """(a, b, sum, terms) for each pair of groups of a language, in one row or more: sums over terms, and how many terms that were.
 
-    shares: language, group, bucket, index, p of the terms that a group has; groups: language, group, absent, the share of one that it hasn't.
+    shares: language, group, bucket, index, p of the terms that a group has, so many rows; groups: language, group, absent, the share of one that it hasn't.
     """
     most = groups.groupBy("language").count().agg(F.max("count")).first()[0] or 1
-    blocks, buckets = math.ceil(most / SOURCES), max(1, math.ceil(shares.count() / COUNTS))
+    blocks, buckets = math.ceil(most / SOURCES), max(1, math.ceil(rows / COUNTS))
 
     def dealt(df: DataFrame) -> DataFrame:
         own = df.withColumn("_own", F.pmod(F.xxhash64("group"), F.lit(blocks))).withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
@@ -223,7 +227,7 @@ def audit(docs: DataFrame, min_docs: int = 10, top: int = 10, lang: str = "lang"
     given = given.join(known, F.col("group") == F.col("_group")).select("lang", "source", F.lit("term").alias("part"), "item", "value")
     given = given.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
 
-    sums = _pair_sums(shares, groups).groupBy("a", "b").agg(F.sum("sum").alias("sum"), F.sum("terms").alias("seen"))
+    sums = _pair_sums(shares, counts.count(), groups).groupBy("a", "b").agg(F.sum("sum").alias("sum"), F.sum("terms").alias("seen"))
     for side in ("a", "b"):
         known = groups.select(F.col("group").alias("_group"), F.col("source").alias(f"source_{side}"), F.col("absent").alias(f"absent_{side}"), *[F.col(x) for x in ("lang", "terms") if side == "a"])
         sums = sums.join(small_side(known), F.col(side) == F.col("_group")).drop("_group")
