@@ -36,7 +36,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near duplicates, by five-word shingles of a similarity of 0.8 or more, the row with the smallest doc_id stays.
 
-    Candidates are found by SimHash keys (see `simhash.keep_one_of_each`) and verified on whole texts.
+    Candidates are found by SimHash keys, what these miss by shared rare shingles (see
+    `simhash.keep_one_of_each`), and verified on whole texts: no such pair is lost.
     Texts without words, null included, are one group. Of several rows with that doc_id, or of rows
     without any, the first in the files stays. An empty table stays empty; columns may have any names.
     """
@@ -83,6 +84,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         own = [x for x in written(spark) if x not in before]
         path = new_path(spark, name.replace(" ", "-"))
         found.write.parquet(path)
+        del found
         release(spark, own + last)
         docs, last = spark.read.parquet(path), [path]
     return STAGES[-1][1](spark, docs, sf_dir)

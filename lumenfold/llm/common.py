@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -83,6 +84,9 @@ def release(spark: SparkSession, paths: list[str] | None = None) -> None:
         found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(found, True)
         if path in mine:
             mine.remove(path)
+    # Spark deletes the shuffle files of DataFrames that are gone when the driver collects its garbage
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def is_small(df: DataFrame, most_bytes: int = BROADCAST_BYTES) -> bool:

@@ -8,11 +8,13 @@ are bounded by the number of words of 64 bits near one word.
 
 Filtering (`keep_one_of_each`) is for near duplicates by shingles, which three of 64 bits would
 rarely catch: there fingerprints have 256 bits, of distinct words, so that edits move few bits, keys
-are choices of four blocks of eight bits, and candidates are verified on their shingles.
+are choices of four blocks of eight bits, and candidates are verified on their shingles. Keys miss
+some; those share one of their rarest shingles, and are looked for among rows still apart.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -34,6 +36,12 @@ BUCKET = 4000
 PARTS, PART_BITS, ROUNDS, WIDE_DISTANCE = 32, 8, 10, 40
 #: Words in a shingle by which candidates are verified, and the least Jaccard similarity of near duplicates.
 SHINGLE, SIMILAR = 5, 0.8
+#: Shingles known as common, at most, counted in one of so many texts; rows with one shingle that meet in one task, about.
+COMMON, EVERY, BLOCK = 1 << 18, 16, 1000
+#: What bounds in floating point are eased by, so that rounding loses no pair.
+_SLACK = 1e-9
+#: Bits of a set's parities, a multiple of 64: each tells whether an odd number of its shingles fall there.
+PARITIES = 1024
 _SEED = 0x9E3779B97F4A7C15 >> 3
 
 
@@ -171,9 +179,8 @@ def near_groups(docs: DataFrame, distance: int = DISTANCE, text: str = "text", i
     return rows.join(known, F.col("fp") == F.col("_fp"), "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("_fp").isNull(), F.col("doc_id")).otherwise(F.col("_first")).alias("component_id"))
 
 
-def wide_fingerprint(lower: np.ndarray, words: Words, texts: int) -> np.ndarray:
-    """For each text four words of 64 bits: a SimHash of 256 bits over its distinct words; zeros for a text without any."""
-    names = hash_words(lower, words)
+def wide_fingerprint(names: np.ndarray, words: Words, texts: int) -> np.ndarray:
+    """For each text four words of 64 bits: a SimHash of 256 bits over its distinct words, whose hashes are given; zeros for a text without any."""
     order = np.lexsort((names, words.text))
     names, text = names[order], words.text[order]
     new = np.ones(len(names), bool)
@@ -190,21 +197,101 @@ def wide_fingerprint(lower: np.ndarray, words: Words, texts: int) -> np.ndarray:
     return out
 
 
-def wide_fingerprints(docs: DataFrame, place: str, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, w0 to w3, file, at) of every row; place: a struct (file, at) that tells rows apart."""
+def shingle_sets(names: np.ndarray, words: Words, width: int = SHINGLE) -> list[np.ndarray]:
+    """For each text the sorted 64-bit hashes of its shingles, from those of its words; of fewer words the whole sequence, of none nothing."""
+    n = max(len(names) - width + 1, 0)
+    found, out = np.zeros(n, np.uint64), []
+    for i in range(width):
+        found = mix(found + names[i : i + n])
+    for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist()):
+        if b - a >= width:
+            out.append(np.unique(found[a : b - width + 1]))
+        else:
+            whole = np.zeros(min(b - a, 1), np.uint64)
+            for x in names[a:b]:
+                whole = mix(whole + x)
+            out.append(whole)
+    return out
+
+
+def _hashed(column: pa.Array) -> Iterator[tuple[np.ndarray, Words]]:
+    """(hashes of words, words) of some texts of a column at a time, A-Z in lower case."""
+    data, offsets = texts_of(column)
+    for a, b in steps(offsets):
+        lower = LOWER[data[offsets[a] : offsets[b]]]
+        words = find_words(lower, offsets[a : b + 1] - offsets[a])
+        yield hash_words(lower, words), words
+
+
+def common_shingles(named: DataFrame, row: str, text: str = "text") -> np.ndarray:
+    """Hashes of shingles that many texts have, the rarest first, COMMON at most.
+
+    They are counted in one text of up to EVERY. They only order shingles, see `rare_first`: whatever they are, no link is lost.
+    """
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [x for names, words in _hashed(batch.column(0)) for x in shingle_sets(names, words)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64))], names=["shingle"])
+
+    every = min(EVERY, max(1, named.count() // 8192))
+    some = named.where(F.pmod(F.xxhash64(*place_of(row)), F.lit(every)) == 0).select(F.col(text).alias("text"))
+    often = some.mapInArrow(shingles, "shingle long").groupBy("shingle").count().where("count > 3").orderBy(F.desc("count"), "shingle").limit(COMMON)
+    return often.select("shingle").toArrow().column(0).to_numpy()[::-1].view(np.uint64)
+
+
+def rare_first(sets: list[np.ndarray], common: tuple[np.ndarray, np.ndarray], least: float) -> list[np.ndarray]:
+    """Of each set the first shingles in one order of all shingles, sorted in it: those of `common` come last. Two sets of that similarity share one of these.
+
+    common: shingles, sorted by hash, and their places, as two arrays. At least `least` of a set's n
+    shingles are in the other set too, so they cannot all come after its first n - ceil(least * n) + 1.
+    Empty sets share a shingle 0.
+    A shingle is given by its place in the order, for which one bit of its hash is left out: shingles
+    that so fall together make candidates, and lose none.
+    """
+    shingles, places = common
+    whole = np.concatenate([np.zeros(0, np.uint64), *sets])
+    order = whole >> np.uint64(1)
+    if len(shingles):
+        at = np.minimum(np.searchsorted(shingles, whole), len(shingles) - 1)
+        known = shingles[at] == whole
+        order[known] = places[at[known]] | np.uint64(1 << 63)
+    out, end = [], 0
+    for x in sets:
+        end, n = end + len(x), len(x)
+        out.append(np.sort(order[end - n : end])[: n - math.ceil(least * n * (1 - _SLACK)) + 1] if n else np.zeros(1, np.uint64))
+    return out
+
+
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """PARITIES bits of a set, in words of 64: where two sets have unlike bits, one has a shingle that the other hasn't."""
+    odd = np.bincount((shingles >> np.uint64(32)).astype(np.int64) % PARITIES, minlength=PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def wide_fingerprints(docs: DataFrame, place: str, least: float = SIMILAR, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, w0 to w3, size, rare, odd, file, at) of every row: its wide fingerprint, how many shingles it has, their parities, and the first of them in an order by which any two sets of that similarity share one; place: a struct (file, at) that tells rows apart."""
+    often = common_shingles(docs, place, text)
+    by_hash = np.argsort(often)
+    common = often[by_hash], by_hash.astype(np.uint64)
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = texts_of(batch.column(1))
-            found = [np.zeros((0, 4), np.uint64)]
-            for a, b in steps(offsets):
-                lower = LOWER[data[offsets[a] : offsets[b]]]
-                found.append(wide_fingerprint(lower, find_words(lower, offsets[a : b + 1] - offsets[a]), b - a))
+            found, sizes, rare, odd = [np.zeros((0, 4), np.uint64)], [], [], [np.zeros(0, np.int64)]
+            for names, words in _hashed(batch.column(1)):
+                sets = shingle_sets(names, words)
+                found.append(wide_fingerprint(names, words, len(sets)))
+                sizes += [len(x) for x in sets]
+                rare += rare_first(sets, common, least)
+                odd += [parities(x) for x in sets]
             wide = np.concatenate(found).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(wide[:, i]) for i in range(4)], *batch.columns[2:]], names=["doc_id", "w0", "w1", "w2", "w3", *batch.schema.names[2:]])
+            spans = pa.array(np.cumsum([0] + [len(x) for x in rare]), pa.int32())
+            lists = pa.ListArray.from_arrays(spans, pa.array(np.concatenate([np.zeros(0, np.uint64), *rare]).view(np.int64)))
+            bits = pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1) * (PARITIES // 64), pa.int32()), pa.array(np.concatenate(odd)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(wide[:, i]) for i in range(4)], pa.array(sizes, pa.int64()), lists, bits, *batch.columns[2:]], names=["doc_id", "w0", "w1", "w2", "w3", "size", "rare", "odd", *batch.schema.names[2:]])
 
     columns = [F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"), *place_of(place)]
-    return docs.select(*columns).mapInArrow(compute, "doc_id long, w0 long, w1 long, w2 long, w3 long, file long, at long")
+    return docs.select(*columns).mapInArrow(compute, "doc_id long, w0 long, w1 long, w2 long, w3 long, size long, rare array<long>, odd array<long>, file long, at long")
 
 
 def _key_blocks() -> np.ndarray:
@@ -232,43 +319,85 @@ def wide_keys(rows: DataFrame) -> DataFrame:
     return rows.select("id", "w0", "w1", "w2", "w3").mapInArrow(spread, "key long, id long")
 
 
-def shingle_set(lower: np.ndarray, words: Words, text: int, width: int = SHINGLE) -> np.ndarray:
-    """The sorted 64-bit hashes of the shingles of one text; of fewer words the whole sequence, of none nothing."""
-    names = hash_words(lower, words)[words.first[text] : words.first[text + 1]]
-    if len(names) > width:
-        n, found = len(names) - width + 1, np.zeros(len(names) - width + 1, np.uint64)
-        for i in range(width):
-            found = mix(found + names[i : i + n])
-        return np.unique(found)
-    whole = np.zeros(min(len(names), 1), np.uint64)
-    for x in names:
-        whole = mix(whole + x)
-    return whole
-
-
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
     """The Jaccard similarity of two sorted sets; of two empty ones 1."""
     both = len(np.intersect1d(a, b, assume_unique=True))
     return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
 
-def near_links(named: DataFrame, row: str, rows: DataFrame, least: float = SIMILAR, text: str = "text") -> DataFrame:
-    """(a, b): ids of rows whose sets of five-word shingles have at least that similarity, as stars around the least id of each bucket.
+def _may_be_near(least: float, place: str | None = None) -> Column:
+    """Whether rows of size and _size shingles may be that similar; with place and _place, if the shingle there is the first that they share."""
+    left = [F.col(x) if place is None else F.col(x) - F.col(x.replace("size", place)) for x in ("size", "_size")]
+    return F.least(*left) >= F.lit(least / (1 + least) * (1 - _SLACK)) * (F.col("size") + F.col("_size"))
 
-    rows: what `wide_fingerprints` returns of named, with a long id, just written. Rows that share a
-    key meet its least id only, so links grow with rows; every key is another chance. Candidates are
-    then verified, on their fingerprints and on all shingles of both whole texts.
-    """
+
+def simhash_pairs(rows: DataFrame, least: float = SIMILAR) -> DataFrame:
+    """(a, b): ids of rows that share a key and differ in at most WIDE_DISTANCE bits, as stars around the least id of each key, as far as their sizes allow that similarity."""
     keyed = wide_keys(rows)
     sizes = materialize(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("a"), F.max("id").alias("b")).where("n > 1"), "buckets")
     many = sizes.where("n > 2").select(F.col("key").alias("_key"), "a")
     stars = keyed.join(small_side(many), F.col("key") == F.col("_key")).where("id <> a").select("a", F.col("id").alias("b"))
     pairs = materialize(sizes.where("n = 2").select("a", "b").unionByName(stars).distinct(), "candidates")
-    for side in ("a", "b"):
-        known = rows.select(F.col("id").alias(f"id_{side}"), *[F.col(f"w{i}").alias(f"{side}{i}") for i in range(4)])
+    for side, size in (("a", "size"), ("b", "_size")):
+        known = rows.select(F.col("id").alias(f"id_{side}"), F.col("size").alias(size), *[F.col(f"w{i}").alias(f"{side}{i}") for i in range(4)])
         pairs = pairs.join(known, F.col(side) == F.col(f"id_{side}"))
     apart = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(4)), F.lit(0))
-    pairs = materialize(pairs.where(apart <= WIDE_DISTANCE).select("a", "b"), "candidates")
+    return pairs.where((apart <= WIDE_DISTANCE) & _may_be_near(least)).select("a", "b")
+
+
+def _with_component(rows: DataFrame, joined: DataFrame) -> DataFrame:
+    """rows with the column component: that of their id, or the id itself."""
+    others = [c for c in rows.columns if c != "component"]
+    known = joined.select(F.col("node").alias("_node"), F.col("component").alias("_component"))
+    return rows.select(*others).join(known, F.col("id") == F.col("_node"), "left").select(*others, F.coalesce("_component", "id").alias("component"))
+
+
+def shared_shingles(rows: DataFrame, joined: DataFrame) -> DataFrame:
+    """(key, id, place, size, component), written: the shingles of `rare` that rows of several components have, with their place there.
+
+    joined: node, component, of the rows that have links.
+    """
+    rows = materialize(_with_component(rows.select("id", "size", "rare"), joined), "rare")
+    keyed = rows.select("id", "size", "component", F.posexplode("rare").alias("place", "key"))
+    shared = keyed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select(F.col("key").alias("_key"))
+    return materialize(keyed.join(small_side(materialize(shared, "buckets")), F.col("key") == F.col("_key")).select("key", "id", "place", "size", "component"), "shared")
+
+
+def pairs_with_least(shared: DataFrame, least: float) -> DataFrame:
+    """(a, b): ids of rows that share a shingle with the least id that has it, of another component, as far as their sizes and its places allow that similarity."""
+    first = shared.groupBy("key").agg(F.min(F.struct("id", "place", "size", "component")).alias("_a")).select(F.col("key").alias("_key"), *[F.col(f"_a.{c}").alias(f"_{c}") for c in ("id", "place", "size", "component")])
+    return shared.join(first, F.col("key") == F.col("_key")).where((F.col("component") != F.col("_component")) & _may_be_near(least, "place")).select(F.col("_id").alias("a"), F.col("id").alias("b")).distinct()
+
+
+def pairs_across(shared: DataFrame, least: float) -> DataFrame:
+    """(a, b), a the less: all pairs of ids of different components that share a shingle, as far as their sizes and its places allow that similarity.
+
+    A shingle of many rows is dealt to blocks of about BLOCK of them, and pairs of blocks meet.
+    """
+    apart = shared.groupBy(F.col("key").alias("_key")).agg(F.count(F.lit(1)).alias("_n"), F.min("component").alias("_first"), F.max("component").alias("_last")).where("_first < _last")
+    blocks = F.ceil(F.col("_n") / F.lit(BLOCK)).cast("long")
+    dealt = shared.join(small_side(materialize(apart, "buckets")), F.col("key") == F.col("_key"))
+    dealt = dealt.select(*shared.columns, F.pmod(F.xxhash64("id"), blocks).alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
+    dealt = dealt.select(*shared.columns, "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    right = dealt.select(*[F.col(c).alias(f"_{c}") for c in dealt.columns])
+    same = [F.col(c) == F.col(f"_{c}") for c in ("key", "i", "j")]
+    once = (F.col("id") < F.col("_id")) & ((F.col("i") == F.col("j")) | (F.col("own") != F.col("_own")))
+    both = dealt.join(right, [*same, F.col("component") != F.col("_component"), once, _may_be_near(least, "place")])
+    return both.select(F.col("id").alias("a"), F.col("_id").alias("b")).distinct()
+
+
+def verified(pairs: DataFrame, named: DataFrame, row: str, rows: DataFrame, least: float = SIMILAR, text: str = "text") -> DataFrame:
+    """Those of the pairs (a, b), just written, whose sets of five-word shingles have at least that similarity, on all shingles of both whole texts.
+
+    First go pairs whose parities are unlike in more places than so similar sets have shingles apart:
+    each place takes one shingle at least, so none of that similarity goes.
+    """
+    both = pairs
+    for side in ("a", "b"):
+        both = both.join(rows.select(F.col("id").alias(f"id_{side}"), F.col("size").alias(f"size_{side}"), F.col("odd").alias(f"odd_{side}")), F.col(side) == F.col(f"id_{side}"))
+    unlike = sum((F.bit_count(F.col("odd_a")[i].bitwiseXOR(F.col("odd_b")[i])) for i in range(PARITIES // 64)), F.lit(0))
+    most = F.lit((1 - least) / (1 + least) * (1 + _SLACK)) * (F.col("size_a") + F.col("size_b"))
+    pairs = materialize(both.where(unlike <= most).select("a", "b"), "candidates")
 
     wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     places = materialize(rows.join(wanted, "id", "left_semi").select("id", F.col("file").alias("_file"), F.col("at").alias("_at")), "places")
@@ -276,12 +405,7 @@ def near_links(named: DataFrame, row: str, rows: DataFrame, least: float = SIMIL
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = texts_of(batch.column(1))
-            found = []
-            for a, b in steps(offsets):
-                lower = LOWER[data[offsets[a] : offsets[b]]]
-                words = find_words(lower, offsets[a : b + 1] - offsets[a])
-                found += [shingle_set(lower, words, i).tobytes() for i in range(b - a)]
+            found = [x.tobytes() for names, words in _hashed(batch.column(1)) for x in shingle_sets(names, words)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["id", "shingles"])
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,20 +419,45 @@ def near_links(named: DataFrame, row: str, rows: DataFrame, least: float = SIMIL
     return both.mapInArrow(alike, "a long, b long")
 
 
+def near_components(named: DataFrame, row: str, rows: DataFrame, least: float = SIMILAR) -> DataFrame:
+    """(node, component): the components of rows whose sets of five-word shingles have at least that similarity, of all rows with such links.
+
+    rows: what `wide_fingerprints` returns of named, with a long id, just written. Rows that share a
+    SimHash key meet its least id only, so candidates grow with rows. What these stars miss is found
+    exactly: two rows of that similarity share one of their rare shingles, so where such a shingle
+    has rows of different components, they are verified and joined, first with the least id that
+    has it, then all pairs that are still apart.
+    """
+    links = materialize(verified(materialize(simhash_pairs(rows, least), "candidates"), named, row, rows, least), "links")
+    joined = connected_components(links)
+    shared, seen = shared_shingles(rows, joined), None
+    for candidates in (pairs_with_least, pairs_across):
+        pairs = candidates(shared, least)
+        if seen is not None:
+            pairs = pairs.join(seen.select(F.col("a").alias("_a"), F.col("b").alias("_b")), (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")), "left_anti")
+        seen = materialize(pairs, "candidates")
+        more = materialize(verified(seen, named, row, rows, least), "links")
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            joined = connected_components(links)
+            shared = _with_component(shared, joined)
+    return joined
+
+
 def keep_one_of_each(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     """Of each component of near duplicates the row with the smallest doc_id, with all its columns.
 
     Rows are near if the sets of five-word shingles of their whole texts, A-Z in lower case, have a
     Jaccard similarity of `least` or more (texts of fewer words: if they are the same words); texts
-    without words, null included, are one group. Candidates come from keys of SimHash fingerprints
-    of 256 bits over distinct words: two that differ in an eleventh of their bits share a key with a
-    probability of 0.95. Rows are told apart by where they stand in their files; of several with that
+    without words, null included, are one group. No such pair is lost: most come from keys of SimHash
+    fingerprints of 256 bits over distinct words, the rest by shared rare shingles, exactly (see
+    `near_components`). Rows are told apart by where they stand in their files; of several with that
     doc_id, or of a component without any doc_id, the first in the files stays. An empty table stays
     empty; other columns may have any names.
     """
     named, row = with_row(docs)
-    rows = materialize(wide_fingerprints(named, row).withColumn("id", F.monotonically_increasing_id()), "fingerprints")
-    joined = connected_components(near_links(named, row, rows, least))
+    rows = materialize(wide_fingerprints(named, row, least).withColumn("id", F.monotonically_increasing_id()), "fingerprints")
+    joined = near_components(named, row, rows, least)
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "file", "at")
     members = materialize(rows.join(joined, F.col("id") == F.col("node")).select("component", order.alias("row")), "members")
     stays = members.groupBy(F.col("component").alias("_component")).agg(F.min("row").alias("first"))

@@ -97,6 +97,54 @@ def test_near_copies_are_caught_and_others_stay(spark):
     assert 1000 in left and sum(1000 <= i for i in left) <= 3
 
 
+def short_copies():
+    """Short texts in pairs and families whose shingles are near the threshold on both sides, and texts that share long passages."""
+    import random
+
+    rng, rows = random.Random(5), []
+    word = lambda: "".join(rng.choice("aeioulnrst") for _ in range(rng.randint(2, 7)))
+    passage = [word() for _ in range(60)]
+    for i in range(300):
+        words = [word() for _ in range(rng.randint(1, 60))]
+        for _ in range(rng.randint(1, 3)):
+            rows.append(" ".join(words))
+            words = words[rng.choice([0, 0, 1, 2, 3]) :] + [word() for _ in range(rng.randint(0, 4))]
+    rows += [" ".join(passage + [word() for _ in range(rng.randint(5, 25))]) for _ in range(80)]
+    rows += ["", " ", "\t"] + ["\n".join(x.split()) for x in rows[:40]]
+    rng.shuffle(rows)
+    return list(enumerate(rows))
+
+
+@pytest.mark.parametrize("distance, block", [(40, 1000), (-1, 7)])
+def test_no_near_pair_is_lost(spark, monkeypatch, distance, block):
+    """Exactly the components of brute force stay, whatever the SimHash keys miss."""
+    from corpus_pipeline import near
+    from lumenfold.llm import simhash
+
+    monkeypatch.setattr(simhash, "WIDE_DISTANCE", distance)
+    monkeypatch.setattr(simhash, "BLOCK", block, raising=False)
+    docs = spark.createDataFrame(short_copies(), "doc_id long, text string")
+    assert {r["doc_id"] for r in near(spark, docs, "").collect()} == first_of_each(docs.collect())
+
+
+def test_pairs_across_components_meet_exactly(spark, monkeypatch):
+    """Without any star every near pair is a candidate, also where a shingle has many rows and is dealt to blocks."""
+    from itertools import combinations
+
+    from lumenfold.llm import common, simhash
+
+    monkeypatch.setattr(simhash, "BLOCK", 7)
+    docs = short_copies()
+    named, row = common.with_row(spark.createDataFrame(docs, "doc_id long, text string"))
+    rows = common.materialize(simhash.wide_fingerprints(named, row).withColumn("id", simhash.F.col("doc_id")), "fingerprints")
+    none = spark.createDataFrame([], "node long, component long")
+    across = common.materialize(simhash.pairs_across(simhash.shared_shingles(rows, none), 0.8), "candidates")
+    sets = {i: shingles(text) for i, text in docs}
+    want = {(a, b) for a, b in combinations(sets, 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert want and want <= {tuple(r) for r in across.collect()}
+    assert {tuple(r) for r in simhash.verified(across, named, row, rows).collect()} == want
+
+
 def test_clean_documents_stay(spark, stages):
     labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet").where("quality = 1")
     before, after = (x.join(labels, "doc_id").count() for x in stages[0])
