@@ -89,6 +89,11 @@ def release(spark: SparkSession, paths: list[str] | None = None) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def keep_last(spark: SparkSession, before: list[str]) -> None:
+    """Delete what was written since `written` gave `before`, but for the last path: a table just written needs nothing it was made from."""
+    release(spark, [x for x in written(spark)[:-1] if x not in before])
+
+
 def is_small(df: DataFrame, most_bytes: int = BROADCAST_BYTES) -> bool:
     """Whether df's rows have at most most_bytes together: each counts with its fixed parts and with the bytes of its strings.
 

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import at_places, materialize, place_of, small_side, steps, texts_of, with_row
+from .common import at_places, keep_last, materialize, place_of, small_side, steps, texts_of, with_row, written
 from .components import connected_components
 from .words import LOWER, Words, find_words, hash_words, mix
 
@@ -336,7 +336,8 @@ def simhash_pairs(rows: DataFrame, least: float = SIMILAR) -> DataFrame:
     keyed = wide_keys(rows)
     sizes = materialize(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("a"), F.max("id").alias("b")).where("n > 1"), "buckets")
     many = sizes.where("n > 2").select(F.col("key").alias("_key"), "a")
-    stars = keyed.join(small_side(many), F.col("key") == F.col("_key")).where("id <> a").select("a", F.col("id").alias("b"))
+    # not small_side: both tables grow with rows, so the join is the same at any size
+    stars = keyed.join(many, F.col("key") == F.col("_key")).where("id <> a").select("a", F.col("id").alias("b"))
     pairs = materialize(sizes.where("n = 2").select("a", "b").unionByName(stars).distinct(), "candidates")
     for side, size in (("a", "size"), ("b", "_size")):
         known = rows.select(F.col("id").alias(f"id_{side}"), F.col("size").alias(size), *[F.col(f"w{i}").alias(f"{side}{i}") for i in range(4)])
@@ -360,7 +361,8 @@ def shared_shingles(rows: DataFrame, joined: DataFrame) -> DataFrame:
     rows = materialize(_with_component(rows.select("id", "size", "rare"), joined), "rare")
     keyed = rows.select("id", "size", "component", F.posexplode("rare").alias("place", "key"))
     shared = keyed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select(F.col("key").alias("_key"))
-    return materialize(keyed.join(small_side(materialize(shared, "buckets")), F.col("key") == F.col("_key")).select("key", "id", "place", "size", "component"), "shared")
+    # not small_side: both tables grow with rows, so the join is the same at any size
+    return materialize(keyed.join(materialize(shared, "buckets"), F.col("key") == F.col("_key")).select("key", "id", "place", "size", "component"), "shared")
 
 
 def pairs_with_least(shared: DataFrame, least: float) -> DataFrame:
@@ -428,18 +430,30 @@ def near_components(named: DataFrame, row: str, rows: DataFrame, least: float =
     has rows of different components, they are verified and joined, first with the least id that
     has it, then all pairs that are still apart.
     """
+    spark, before = rows.sparkSession, written(rows.sparkSession)
     links = materialize(verified(materialize(simhash_pairs(rows, least), "candidates"), named, row, rows, least), "links")
+    keep_last(spark, before)
+    before = written(spark)
     joined = connected_components(links)
+    keep_last(spark, before)
+    before = written(spark)
     shared, seen = shared_shingles(rows, joined), None
+    keep_last(spark, before)
     for candidates in (pairs_with_least, pairs_across):
+        before = written(spark)
         pairs = candidates(shared, least)
         if seen is not None:
             pairs = pairs.join(seen.select(F.col("a").alias("_a"), F.col("b").alias("_b")), (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")), "left_anti")
         seen = materialize(pairs, "candidates")
+        keep_last(spark, before)
+        before = written(spark)
         more = materialize(verified(seen, named, row, rows, least), "links")
+        keep_last(spark, before)
         if not more.isEmpty():
             links = links.unionByName(more)
+            before = written(spark)
             joined = connected_components(links)
+            keep_last(spark, before)
             shared = _with_component(shared, joined)
     return joined
 
@@ -456,10 +470,14 @@ def keep_one_of_each(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     empty; other columns may have any names.
     """
     named, row = with_row(docs)
+    before = written(docs.sparkSession)
     rows = materialize(wide_fingerprints(named, row, least).withColumn("id", F.monotonically_increasing_id()), "fingerprints")
     joined = near_components(named, row, rows, least)
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "file", "at")
     members = materialize(rows.join(joined, F.col("id") == F.col("node")).select("component", order.alias("row")), "members")
     stays = members.groupBy(F.col("component").alias("_component")).agg(F.min("row").alias("first"))
     gone = members.join(stays, F.col("component") == F.col("_component")).where(F.col("row") != F.col("first")).select("row.file", "row.at")
-    return at_places(named, row, materialize(gone, "gone"), "left_anti").select(*docs.columns)
+    gone = materialize(gone, "gone")
+    del rows, joined, members, stays
+    keep_last(docs.sparkSession, before)
+    return at_places(named, row, gone, "left_anti").select(*docs.columns)

@@ -211,3 +211,15 @@ def test_a_run_leaves_only_the_last_stage(spark):
     assert got.count() > 100 and {p.rsplit("/", 1)[1].split("-")[0] for p in written(spark)} == {"pieces", "buckets", "mixing"}
     assert got.selectExpr("bool_and(size(ids) = length)").first()[0]
     release(spark)
+
+
+def test_near_dedup_leaves_only_what_its_result_reads(spark):
+    """Its own tables go while it runs: later stages find their disk free, and the result still reads what it needs."""
+    from corpus_pipeline import near
+    from lumenfold.llm.common import written
+
+    before = written(spark)
+    docs = spark.createDataFrame(short_copies(), "doc_id long, text string")
+    left = near(spark, docs, "")
+    assert [p.rsplit("/", 1)[1].split("-")[0] for p in written(spark) if p not in before] == ["rows", "gone"]
+    assert {r["doc_id"] for r in left.collect()} == first_of_each(docs.collect())
