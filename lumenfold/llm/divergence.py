@@ -122,7 +122,8 @@ def document_vectors(docs: DataFrame, min_docs: int) -> Iterator[tuple[DataFrame
     term_lists(docs, buckets).write.partitionBy("bucket").parquet(path)
     for (b,) in sorted(spark.read.schema("lang string, bucket int").parquet(path).select("bucket").distinct().collect()):
         own = spark.read.schema("lang string, source string, terms array<string>").parquet(f"{path}/bucket={b}")
-        model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_docs), vocabSize=(1 << 31) - 1).fit(own)
+        # documents that have a term count, not how often they have it, so fitting needs each term of a document once
+        model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_docs), vocabSize=(1 << 31) - 1).fit(own.select(F.array_distinct("terms").alias("terms")))
         # the model's own files hold the vocabulary as one row, which so never comes to Python
         saved = new_path(spark, "vocabulary")
         model.save(saved)
