@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import partial
 from itertools import combinations
 
 import numpy as np
@@ -38,6 +39,8 @@ PARTS, PART_BITS, ROUNDS, WIDE_DISTANCE = 32, 8, 10, 40
 SHINGLE, SIMILAR = 5, 0.8
 #: Shingles known as common, at most, counted in one of so many texts; rows with one shingle that meet in one task, about.
 COMMON, EVERY, BLOCK = 1 << 18, 16, 1000
+#: Rows with one shingle whose pairs are joined, at most; pairs of more rows are compared by their parities before they become rows.
+FEW = 16
 #: What bounds in floating point are eased by, so that rounding loses no pair.
 _SLACK = 1e-9
 #: Bits of a set's parities, a multiple of 64: each tells whether an odd number of its shingles fall there.
@@ -371,21 +374,68 @@ def pairs_with_least(shared: DataFrame, least: float) -> DataFrame:
     return shared.join(first, F.col("key") == F.col("_key")).where((F.col("component") != F.col("_component")) & _may_be_near(least, "place")).select(F.col("_id").alias("a"), F.col("id").alias("b")).distinct()
 
 
-def pairs_across(shared: DataFrame, least: float) -> DataFrame:
+def pairs_across(shared: DataFrame, least: float, rows: DataFrame | None = None) -> DataFrame:
     """(a, b), a the less: all pairs of ids of different components that share a shingle, as far as their sizes and its places allow that similarity.
 
-    A shingle of many rows is dealt to blocks of about BLOCK of them, and pairs of blocks meet.
+    rows: id, odd. With these, pairs of a shingle that more than FEW rows have come only as far as
+    their parities allow it too, so that a large family of texts just under the similarity gives no
+    row for each of its pairs: they are compared where they meet, in blocks of about BLOCK rows.
     """
     apart = shared.groupBy(F.col("key").alias("_key")).agg(F.count(F.lit(1)).alias("_n"), F.min("component").alias("_first"), F.max("component").alias("_last")).where("_first < _last")
-    blocks = F.ceil(F.col("_n") / F.lit(BLOCK)).cast("long")
-    dealt = shared.join(small_side(materialize(apart, "buckets")), F.col("key") == F.col("_key"))
-    dealt = dealt.select(*shared.columns, F.pmod(F.xxhash64("id"), blocks).alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
-    dealt = dealt.select(*shared.columns, "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    apart = materialize(apart.select("_key", "_n"), "buckets")
+    few, many = (apart, None) if rows is None else (apart.where(F.col("_n") <= FEW), materialize(apart.where(F.col("_n") > FEW), "buckets"))
+    dealt = _in_blocks(shared, few)
     right = dealt.select(*[F.col(c).alias(f"_{c}") for c in dealt.columns])
     same = [F.col(c) == F.col(f"_{c}") for c in ("key", "i", "j")]
     once = (F.col("id") < F.col("_id")) & ((F.col("i") == F.col("j")) | (F.col("own") != F.col("_own")))
     both = dealt.join(right, [*same, F.col("component") != F.col("_component"), once, _may_be_near(least, "place")])
-    return both.select(F.col("id").alias("a"), F.col("_id").alias("b")).distinct()
+    pairs = both.select(F.col("id").alias("a"), F.col("_id").alias("b"))
+    if rows is not None:
+        members = materialize(_in_blocks(shared, many), "large")
+        wanted = materialize(members.select("id").distinct(), "ids")
+        odd = rows.select(F.col("id").alias("_id"), "odd").join(small_side(wanted), F.col("_id") == F.col("id"), "left_semi")
+        members = members.join(odd, F.col("id") == F.col("_id"))
+        groups = members.groupBy("key", "i", "j").agg(F.collect_list(F.struct("id", "place", "size", "component", "own", "odd")).alias("all")).select("all", (F.col("i") != F.col("j")).alias("across"))
+        pairs = pairs.unionByName(groups.mapInArrow(_group_pairs(least), "a long, b long"))
+    return pairs.distinct()
+
+
+def _in_blocks(shared: DataFrame, counted: DataFrame) -> DataFrame:
+    """The rows of shared whose key is in counted (_key, _n), for each pair (i, j) of blocks of that key that theirs (own) is in."""
+    blocks = F.ceil(F.col("_n") / F.lit(BLOCK)).cast("long")
+    dealt = shared.join(small_side(counted), F.col("key") == F.col("_key"))
+    dealt = dealt.select(*shared.columns, F.pmod(F.xxhash64("id"), blocks).alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
+    return dealt.select(*shared.columns, "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+
+def _group_pairs(least: float):
+    """For mapInArrow: lists of rows with one shingle, of one block or two, to pairs (a, b) of their ids, as `pairs_across` has them."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists, across = batch.column(0), batch.column(1).to_pylist()
+            ends = np.cumsum(lists.value_lengths().to_numpy())
+            fields = dict(zip(("id", "place", "size", "component", "own", "odd"), lists.flatten().flatten()))
+            bits = fields.pop("odd").flatten().to_numpy().view(np.uint64).reshape(-1, PARITIES // 64)
+            fields, found = {name: x.to_numpy() for name, x in fields.items()}, [np.zeros((0, 2), np.int64)]
+            for first, end, two in zip(np.append(0, ends), ends, across):
+                order = first + np.argsort(fields["id"][first:end])
+                id, place, size, component, own = (x[order] for x in fields.values())
+                odd, left = bits[order], size - place
+                for i in range(len(order) - 1):
+                    sizes = size[i] + size[i + 1 :]
+                    near = (component[i + 1 :] != component[i]) & (np.minimum(left[i], left[i + 1 :]) >= least / (1 + least) * (1 - _SLACK) * sizes)
+                    if two:
+                        near &= own[i + 1 :] != own[i]
+                    some = i + 1 + np.flatnonzero(near)
+                    unlike = np.bitwise_count(odd[some] ^ odd[i]).sum(1, dtype=np.int64)
+                    some = some[unlike <= (1 - least) / (1 + least) * (1 + _SLACK) * (size[i] + size[some])]
+                    if len(some):
+                        found.append(np.column_stack((np.full(len(some), id[i]), id[some])))
+            pairs = np.concatenate(found)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    return compare
 
 
 def verified(pairs: DataFrame, named: DataFrame, row: str, rows: DataFrame, least: float = SIMILAR, text: str = "text") -> DataFrame:
@@ -439,7 +489,7 @@ def near_components(named: DataFrame, row: str, rows: DataFrame, least: float =
     before = written(spark)
     shared, seen = shared_shingles(rows, joined), None
     keep_last(spark, before)
-    for candidates in (pairs_with_least, pairs_across):
+    for candidates in (pairs_with_least, partial(pairs_across, rows=rows)):
         before = written(spark)
         pairs = candidates(shared, least)
         if seen is not None:

@@ -145,6 +145,46 @@ def test_pairs_across_components_meet_exactly(spark, monkeypatch):
     assert {tuple(r) for r in simhash.verified(across, named, row, rows).collect()} == want
 
 
+def family():
+    """Short copies, and a large family of texts that are alike but for a few just under the similarity, so that they share most shingles."""
+    import random
+
+    rng, rows = random.Random(6), short_copies()
+    word = lambda: "".join(rng.choice("aeioulnrst") for _ in range(rng.randint(2, 7)))
+    base = [word() for _ in range(300)]
+    for i in range(150):
+        words = list(base)
+        for at in rng.sample(range(300), 8):
+            words[at] = word()
+        rows.append((5000 + i, " ".join(words)))
+        if i < 3:
+            rows.append((6000 + i, " ".join([*words[3:], word()])))
+    return rows
+
+
+def test_a_family_under_the_threshold_gives_few_candidates(spark, monkeypatch):
+    """Where many rows share a shingle, pairs that can't be near make no rows, and no near pair is lost, in one block or more."""
+    from itertools import combinations
+
+    from lumenfold.llm import common, simhash
+
+    docs = family()
+    named, row = common.with_row(spark.createDataFrame(docs, "doc_id long, text string"))
+    rows = common.materialize(simhash.wide_fingerprints(named, row).withColumn("id", simhash.F.col("doc_id")), "fingerprints")
+    shared = simhash.shared_shingles(rows, spark.createDataFrame([], "node long, component long"))
+    sets = {i: shingles(text) for i, text in docs}
+    want = {(a, b) for a, b in combinations(sets, 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    want = {(min(x), max(x)) for x in want}
+    of_family = {x for x in want if x[0] >= 5000}
+    assert len(of_family) >= 3
+    for few, block in ((simhash.FEW, simhash.BLOCK), (3, 7)):
+        monkeypatch.setattr(simhash, "FEW", few)
+        monkeypatch.setattr(simhash, "BLOCK", block)
+        got = {tuple(r) for r in simhash.pairs_across(shared, 0.8, rows).collect()}
+        assert want <= got and all(a < b for a, b in got)
+        assert sum(a >= 5000 for a, _ in got) <= 200 + 2 * len(of_family)
+
+
 def test_clean_documents_stay(spark, stages):
     labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet").where("quality = 1")
     before, after = (x.join(labels, "doc_id").count() for x in stages[0])
