@@ -11,7 +11,7 @@ from ..functions.integer import clip, reciprocal, shifted
 from ..operators import bitreader, grain, references
 from ..sources import obu
 from ..sources.isobmff import integer, join, number
-from ..sources.planes import blocks, hold, read, spread_block
+from ..sources.planes import blocks, dealt, hold, read, spread_block
 from .blocks import COLS, PX, big
 from .containers import streams
 
@@ -276,11 +276,10 @@ def quantiser_matrices(spark, sf_dir):
 
 def grain_luts(spark, sf_dir):
     """Tables of grain of each supplier's seed and weights, summed up by line. Entries depend on those before them, which SQL would need a recursion over 6,000 steps for; a test fills them in plain Python."""
-    k = F.col("s_suppkey")
+    k = F.col("key")
     weights = F.transform(F.sequence(F.lit(0), F.lit(12)), lambda i: (k * 7 + i * 5) % 25 - 12)
-    made = grain.tables_of(read(spark, sf_dir, "supplier").select(k.alias("key"), (k * 40503 % 65536).alias("seed"), weights.alias("weights")), lag=2)
-    lines = made.select("key", "plane", F.posexplode("grain").alias("i", "v")).groupBy("key", "plane", F.floor(F.col("i") / grain.GRAIN_WIDTH).cast("bigint").alias("y"))
-    return lines.agg(F.sum("v").alias("total"), F.min("v").alias("least"), F.max("v").alias("most"))
+    keys = dealt(read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("key")), 4 * grain.ROWS, "key").groupBy("key").agg(F.count("*").alias("times"))
+    return grain.lines_of(keys.select("key", (k * 40503 % 65536).alias("seed"), weights.alias("weights"), "times"), lag=2)
 
 
 QUERIES["grain_luts"] = grain_luts

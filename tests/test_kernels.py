@@ -40,6 +40,46 @@ def test_grain_tables(spark, lag):
     assert len(got) == 9
 
 
+def test_grain_lines_are_made_where_tables_are(spark, tmp_path):
+    """One file is dealt to all cores, equal keys add up, and no entry of a table becomes a row."""
+    from lumenfold import registry
+
+    spark.range(1, 1101).selectExpr("explode(if(id = 7, array(id, id, id), array(id))) AS s_suppkey").coalesce(1).write.parquet(str(tmp_path / "supplier.parquet"))
+    made = registry.queries()["grain_luts"](spark, str(tmp_path))
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and plan.index("MapInArrow") < plan.index("REPARTITION_BY_NUM")
+    assert made.rdd.getNumPartitions() > 4
+    got = {(r["key"], r["plane"], r["y"]): (r["total"], r["least"], r["most"]) for r in made.collect()}
+    noise = grain.normal_noise()
+    assert len(got) == 1100 * 3 * 73
+    for key, times in ((1, 1), (7, 3), (1100, 1)):
+        seed, weights = 40503 * key % 65536, [(key * 7 + i * 5) % 25 - 12 for i in range(13)]
+        luma = filled(seed, weights, 2, 7, 0, noise)
+        for plane, want in enumerate([luma, *[filled(seed ^ turn, weights, 2, 7, 0, noise, luma) for turn in grain.CHROMA_SEEDS]]):
+            assert [got[key, plane, y] for y in range(73)] == [(times * sum(line), min(line), max(line)) for line in want]
+
+
+def test_draws_by_place_in_the_round():
+    """Every seed of 16 bits, zero among them, and a negative one."""
+    entries = grain.normal_noise()
+    n = grain.HEIGHT * grain.GRAIN_WIDTH
+    assert len(set(grain._register(n)[1])) == 1 << 16
+    for seeds in (np.array([0, 1, 2, 40503, 32768, 65535]), np.array([5, -3])):
+        assert (grain._drawn(seeds, entries).reshape(n, -1) == entries[grain._draws(seeds, n)]).all()
+
+
+@pytest.mark.parametrize("size", [1, 30, 1000, 10**6, 10**9])
+def test_grain_of_heavy_weights(size):
+    """Sums that need two, four or eight bytes."""
+    seeds, weights, noise = np.array([5, 9]), np.array([(i * 7 % 11 - 5) * size for i in range(26)]).reshape(13, 2), grain.normal_noise()
+    luma = grain.grain_tables(seeds, weights, 2, 9, 1, noise)
+    chroma = grain.grain_tables(seeds + 1, weights, 2, 9, 1, noise, luma)
+    for i in range(2):
+        own = [int(w) for w in weights[:, i]]
+        assert luma[:, :, i].tolist() == filled(int(seeds[i]), own, 2, 9, 1, noise)
+        assert chroma[:, :, i].tolist() == filled(int(seeds[i]) + 1, own, 2, 9, 1, noise, luma[:, :, i].tolist())
+
+
 @pytest.mark.parametrize("n", [4, 8, 16, 32])
 def test_cosine_matrix_is_nearly_orthogonal(n):
     m = blockmath.cosine_matrix(n)
