@@ -140,6 +140,46 @@ def test_codes_round_trip(spark, v):
     assert [row[f"q{n}"] for n in (2, 3, 5, 8, 100)] == [v % n for n in (2, 3, 5, 8, 100)]
 
 
+def test_golomb_rice_of_any_length(spark):
+    """Short and long codes, codes that more bits follow, texts that are none, and null."""
+    values = [0, 1, 31, 32, 63, 255 * 32, 256 * 32 + 31, 257 * 32, 8000 * 32 + 5, 1 << 21, -3, None]
+    for k in (0, 1, 5):
+        df = spark.createDataFrame([(v,) for v in values if v is None or v >> k <= 1 << 17], "v long").withColumn("code", bitcodes.golomb_rice(F.col("v"), k))
+        after = [bitcodes.read_golomb_rice(F.concat("code", F.lit(x)), k).alias(f"a{i}") for i, x in enumerate(("", "0", "1", "10110", "0" * 40, "1" * 40))]
+        for r in df.select("*", *after).collect():
+            v = r["v"]
+            assert r["code"] == (None if v is None else "1" * (v >> k) + "0" + format(v & (1 << k) - 1, "b").zfill(k)[:k])
+            assert [r[f"a{i}"] for i in range(6)] == [v if v is None or v >= 0 else v & (1 << k) - 1] * 6
+    texts = spark.createDataFrame([(x,) for x in ("1011010", "1101111111010", "01111101111", "1110111011111")], "code string")
+    assert [r[0] for r in texts.select(bitcodes.read_golomb_rice(F.col("code"), 5)).collect()] == [32 + 26, 64 + 31, 31, 96 + 29]
+
+
+def test_long_golomb_rice_codes_are_read_in_words(spark):
+    """Reading a code takes much less than searching its characters one by one."""
+    import time
+
+    coded = spark.range(0, 60, 1, 1).select(bitcodes.golomb_rice(F.col("id") + (1 << 25), 5).alias("code"))
+
+    def seconds(c):
+        took = []
+        for _ in range(3):
+            began = time.time()
+            coded.select("code", c.alias("read")).write.format("noop").mode("overwrite").save()
+            took.append(time.time() - began)
+        return min(took)
+
+    assert 3 * seconds(bitcodes.read_golomb_rice(F.col("code"), 5)) < seconds(F.instr("code", "0"))
+
+
+def test_long_codes_are_dealt_to_all_cores(spark, tmp_path):
+    from lumenfold import registry
+
+    spark.range(5000).selectExpr("id AS o_orderkey", "id * 300 AS o_custkey").coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    made = registry.queries()["golomb_rice_roundtrip"](spark, str(tmp_path))
+    assert made.rdd.getNumPartitions() == 8
+    assert made.selectExpr("count(*)", "count_if(back = o_orderkey * 300)", "sum(length(code))").first()[:] == (5000, 5000, sum((i * 300 >> 5) + 6 for i in range(5000)))
+
+
 def test_orientation_pairs(spark):
     rows = spark.createDataFrame([(s, a) for s in range(4) for a in (None, 0, 1)], "s int, a int").select("s", "a", container.orientation(F.col("s"), F.col("a")).alias("name")).collect()
     names = {(r["s"], r["a"]): r["name"] for r in rows}
